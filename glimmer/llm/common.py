@@ -22,6 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,7 +116,7 @@ def slices(batches: Iterable[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iter
             yield batch
             continue
         column = batch.column(batch.schema.get_field_index("text"))
-        ends = np.cumsum(np.asarray(pa.compute.binary_length(column).fill_null(0), dtype=np.int64))
+        ends = np.cumsum(np.asarray(pc.binary_length(column).fill_null(0), dtype=np.int64))
         start = 0
         while start < n:
             base = int(ends[start - 1]) if start else 0
