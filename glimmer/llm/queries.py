@@ -11,6 +11,7 @@ from glimmer.llm.bpe import bpe_decode, bpe_encode
 from glimmer.llm.decontaminate import find_leaks
 from glimmer.llm.lines import dedup_lines
 from glimmer.llm.quality import quality_cascade
+from glimmer.llm.simhash import near_duplicates
 
 #: The rank file of the tokenizer, by its name in the tokenizers' package.
 RANKS = "byte_bpe_50k.tiktoken"
@@ -24,6 +25,10 @@ def sha(column: F.Column) -> F.Column:
     return F.sha2(column, 256)
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha(F.array_join("items", ",").cast("binary")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -50,4 +55,4 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_decontaminate, op6_quality, op8_line_dedup, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_simhash, op4_decontaminate, op6_quality, op8_line_dedup, op9_byte_bpe)}
