@@ -83,15 +83,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def planned_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of df's size, from file sizes; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def planned_bytes(df: DataFrame) -> int | None:
+    """The optimizer's estimate of df's size, from file sizes; no job runs. None if it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 58 else None
 
 
-def count_blocks(df: DataFrame, block_bytes: int, least: int = 16) -> int:
-    """How many blocks of about block_bytes (of stored bytes) df falls into."""
-    most = 1_000_000
-    return max(least, min(most, math.ceil(planned_bytes(df) / block_bytes)))
+def count_blocks(df: DataFrame, block_bytes: int, least: int = 16, text: str = "text") -> int:
+    """How many blocks of about block_bytes (of stored bytes; of text where there is no estimate) df falls into."""
+    size = planned_bytes(df)
+    if size is None:
+        size = df.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    return max(least, min(1_000_000, math.ceil(size / block_bytes)))
 
 
 def documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -99,13 +102,6 @@ def documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
-def in_blocks(docs: DataFrame, n_blocks: int) -> DataFrame:
-    """docs with a column block; the rows of a block share a partition. The block depends on the row's own values
-    only, so a recomputed task makes the same blocks. Copies of a row spread by their identifier."""
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int")
-    return docs.withColumn("block", block).repartition(n_blocks, "block")
-
-
 def slices(batches: Iterable[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that each holds about most_bytes at most (one row at least)."""
     for batch in batches:

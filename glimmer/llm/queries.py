@@ -12,6 +12,7 @@ from glimmer.llm.decontaminate import find_leaks
 from glimmer.llm.lines import dedup_lines
 from glimmer.llm.quality import quality_cascade
 from glimmer.llm.simhash import near_duplicates
+from glimmer.llm.suffixes import cut_repeats
 
 #: The rank file of the tokenizer, by its name in the tokenizers' package.
 RANKS = "byte_bpe_50k.tiktoken"
@@ -34,6 +35,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha(F.array_join("items", ",").cast("binary")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = cut_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), sha("kept").alias("kept_sha256"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     found = quality_cascade(table(spark, sf_dir, "documents"), measures=measures)
@@ -55,4 +61,4 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op4_decontaminate, op6_quality, op8_line_dedup, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_simhash, op4_decontaminate, op5_suffix_dedup, op6_quality, op8_line_dedup, op9_byte_bpe)}
