@@ -29,7 +29,7 @@ from glimmer.llm.common import documents, ship, slices, to_batch
 #: The largest rank file that is broadcast.
 MOST_RANK_BYTES = 64 << 20
 #: Bounds of what a worker remembers: states, matches and token pairs.
-MOST_STATES, MOST_MATCHES, MOST_PAIRS = 20_000, 300_000, 800_000
+MOST_STATES, MOST_MATCHES, MOST_PAIRS = 10_000, 150_000, 250_000
 #: Subtrees of so many tokens at most are searched for one that can follow.
 FEW_BELOW = 24
 #: Longer matches are not remembered.
@@ -250,8 +250,6 @@ class Transducer:
     def encode(self, text: str, split: Callable[[str], list[str]]) -> bytes:
         """The ids of a text that split cuts into matches."""
         matches = self.matches
-        if len(matches) > MOST_MATCHES:
-            matches.clear()
         pieces = split(text)
         try:
             return b"".join(map(matches.__getitem__, pieces))
@@ -262,7 +260,9 @@ class Transducer:
             found = matches.get(piece)
             if found is None:
                 found = self.encode_bytes(piece.encode("utf-8"))
-                if len(piece) <= LONGEST_MATCH and len(matches) < 2 * MOST_MATCHES:
+                if len(piece) <= LONGEST_MATCH:
+                    if len(matches) >= MOST_MATCHES:
+                        matches.clear()
                     matches[piece] = found
             out.append(found)
         return b"".join(out)
@@ -316,6 +316,7 @@ class Utf8Machine:
 
 
 _TRANSDUCERS: dict[bytes, Transducer] = {}
+_TOKENS: dict[bytes, dict[int, bytes]] = {}
 
 
 def transducer(content: bytes) -> Transducer:
@@ -327,6 +328,15 @@ def transducer(content: bytes) -> Transducer:
     return _TRANSDUCERS[key]
 
 
+def token_bytes(content: bytes) -> dict[int, bytes]:
+    """The bytes of each token, as decoding needs them; kept by the worker."""
+    key = hashlib.sha256(content).digest()
+    if key not in _TOKENS:
+        _TOKENS.clear()
+        _TOKENS[key] = {rank: token for token, rank in parse_ranks(content).items()}
+    return _TOKENS[key]
+
+
 def read_ranks(path: str) -> bytes:
     with open(path, "rb") as file:
         content = file.read(MOST_RANK_BYTES + 1)
@@ -387,9 +397,9 @@ def bpe_decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from glimmer.llm.bpe import decoded as bytes_in
-        from glimmer.llm.bpe import transducer as of
+        from glimmer.llm.bpe import token_bytes as of
 
-        bytes_of = of(ranks.value).bytes_of
+        bytes_of = of(ranks.value)
         for batch in batches:
             each = max(1, int(batch.num_rows * (4 << 20) // max(1, batch.nbytes)))
             for start in range(0, batch.num_rows, each):
