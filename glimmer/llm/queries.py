@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from glimmer.llm.bpe import bpe_decode, bpe_encode
 from glimmer.llm.decontaminate import find_leaks
 from glimmer.llm.lines import dedup_lines
+from glimmer.llm.pii import pseudonymise
 from glimmer.llm.quality import quality_cascade
 from glimmer.llm.simhash import near_duplicates
 from glimmer.llm.suffixes import cut_repeats
@@ -17,6 +18,9 @@ from glimmer.llm.suffixes import cut_repeats
 #: The rank file of the tokenizer, by its name in the tokenizers' package.
 RANKS = "byte_bpe_50k.tiktoken"
 
+#: The key of the query's pseudonyms; a real one comes from a secret store.
+PSEUDONYM_KEY = "a key for tests"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -47,6 +51,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *measures, failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", sha(F.col("text").cast("binary")).alias("kept_sha256"))
@@ -61,4 +69,4 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op4_decontaminate, op5_suffix_dedup, op6_quality, op8_line_dedup, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_simhash, op4_decontaminate, op5_suffix_dedup, op6_quality, op7_pii, op8_line_dedup, op9_byte_bpe)}
