@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glimmer.llm.bpe import bpe_decode, bpe_encode
+from glimmer.llm.common import scratch_path
 from glimmer.llm.decontaminate import find_leaks
 from glimmer.llm.lines import dedup_lines
 from glimmer.llm.pii import pseudonymise
 from glimmer.llm.quality import quality_cascade
 from glimmer.llm.simhash import near_duplicates
 from glimmer.llm.suffixes import cut_repeats
+from glimmer.llm.warc import read_warc, write_warc
 
 #: The rank file of the tokenizer, by its name in the tokenizers' package.
 RANKS = "byte_bpe_50k.tiktoken"
@@ -68,5 +70,11 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", sha("ids").alias("ids_sha256"), sha("decoded").alias("decoded_sha256"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch_path(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), out)
+    return read_warc(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op4_decontaminate, op5_suffix_dedup, op6_quality, op7_pii, op8_line_dedup, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_simhash, op4_decontaminate, op5_suffix_dedup, op6_quality, op7_pii, op8_line_dedup, op9_byte_bpe, op10_warc)}

@@ -59,6 +59,33 @@ lines AS (
 
 OP8 = f"WITH {OP8_LINES} SELECT doc_id, n_lines, n_dropped, sha256(text) AS kept_sha256 FROM rebuilt"
 
+OP10 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), d AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha256(payload) AS payload_digest FROM p
+), f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM f
+"""
+
+#: Repeated windows of 50 bytes, as pairs of hexadecimal digits.
+OP5 = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS win FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM b)
+), g AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) < doc_id AS again FROM w
+), o AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM g WHERE again
+), r AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o
+), s AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS z FROM r GROUP BY doc_id, run
+), k AS (SELECT doc_id, run, z, lead(a) OVER (PARTITION BY doc_id ORDER BY run) AS following, a FROM s
+), t AS (
+  SELECT b.doc_id, sum(z - a) AS n_removed, count(*) AS n_spans,
+    substr(any_value(h), 1, 2 * min(a)) || string_agg(CASE WHEN following IS NULL THEN substr(h, 2 * z + 1) ELSE substr(h, 2 * z + 1, 2 * (following - z)) END, '' ORDER BY run) AS kept
+  FROM k JOIN b USING (doc_id) GROUP BY b.doc_id
+)
+SELECT b.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM b LEFT JOIN t USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": OP4, "op6_quality": OP6, "op8_line_dedup": OP8}
+    return {"op4_decontaminate": OP4, "op5_suffix_dedup": OP5, "op6_quality": OP6, "op8_line_dedup": OP8, "op10_warc": OP10}
