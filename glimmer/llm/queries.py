@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from glimmer.llm.bpe import bpe_decode, bpe_encode
 from glimmer.llm.common import scratch_path
 from glimmer.llm.decontaminate import find_leaks
+from glimmer.llm.hmm import score_texts
 from glimmer.llm.lines import dedup_lines
 from glimmer.llm.pii import pseudonymise
 from glimmer.llm.quality import quality_cascade
@@ -36,6 +37,15 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def remainder(n: int) -> Callable[[F.Column], F.Column]:
+    """Of an identifier, whether crc32 of its text leaves 2 when divided by n."""
+    return lambda doc: F.crc32(doc.cast("string").cast("binary")) % n == 2
+
+
+def op3_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), remainder(7))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha(F.array_join("items", ",").cast("binary")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -77,4 +87,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op4_decontaminate, op5_suffix_dedup, op6_quality, op7_pii, op8_line_dedup, op9_byte_bpe, op10_warc)}
+    return {f.__name__: f for f in (op1_simhash, op3_hmm, op4_decontaminate, op5_suffix_dedup, op6_quality, op7_pii, op8_line_dedup, op9_byte_bpe, op10_warc)}
