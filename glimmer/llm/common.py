@@ -18,7 +18,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -121,6 +121,22 @@ def slices(batches: Iterable[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iter
             start = stop
 
 
+def keep_rows(docs: DataFrame, text: str, make: Callable[[], Callable[[list[bytes]], np.ndarray]]) -> DataFrame:
+    """The rows of docs, all columns, for whose texts (null: empty) the function that make() returns on the executors
+    is true. No exchange."""
+    at, kinds = docs.columns.index(text), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decide = make()
+        for batch in batches:
+            names = batch.schema.names
+            for part in slices([batch.rename_columns([*(f"c{i}" if i != at else "text" for i in range(len(names)))])]):
+                keep = decide(utf8(part.column(at)))
+                yield part.filter(pa.array(np.asarray(keep, dtype=bool))).rename_columns(names)
+
+    return docs.mapInArrow(run, kinds)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts of a string column as UTF-8 bytes; null: empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

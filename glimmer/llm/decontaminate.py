@@ -12,14 +12,14 @@ all; larger sets are refused with a message that says to scan them in parts.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glimmer.llm.common import documents, ship, slices
+from glimmer.llm.common import documents, keep_rows, ship, slices
 
 #: Bytes of test texts in a block, each with an automaton of its own, and in all.
 BLOCK_BYTES, MOST_BYTES = 4 << 20, 32 << 20
@@ -133,3 +133,15 @@ def joined_runs(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
         else:
             out.append((start, stop))
     return out
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item_key: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs without any window of a test text, all columns."""
+    ship(docs.sparkSession)
+    blocks = [docs.sparkSession.sparkContext.broadcast(block) for block in item_blocks(benchmark, block_bytes, item_key, item_text)]
+
+    def make() -> Callable[[list[bytes]], np.ndarray]:
+        machines = [Automaton(block.value, window) for block in blocks]
+        return lambda texts: np.array([not any(machine.scan(x)[1] for machine in machines) for x in texts], dtype=bool)
+
+    return keep_rows(docs, text, make)

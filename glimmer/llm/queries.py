@@ -16,6 +16,7 @@ from glimmer.llm.pii import pseudonymise
 from glimmer.llm.quality import quality_cascade
 from glimmer.llm.simhash import near_duplicates
 from glimmer.llm.suffixes import cut_repeats
+from glimmer.llm.toxicity import score_toxicity
 from glimmer.llm.warc import read_warc, write_warc
 
 #: The rank file of the tokenizer, by its name in the tokenizers' package.
@@ -42,6 +43,12 @@ def remainder(n: int) -> Callable[[F.Column], F.Column]:
     return lambda doc: F.crc32(doc.cast("string").cast("binary")) % n == 2
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(4)
+    found = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda doc: ~held_out(doc))
+    return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op3_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"), remainder(7))
 
@@ -87,4 +94,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_hmm, op4_decontaminate, op5_suffix_dedup, op6_quality, op7_pii, op8_line_dedup, op9_byte_bpe, op10_warc)}
+    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_hmm, op4_decontaminate, op5_suffix_dedup, op6_quality, op7_pii, op8_line_dedup, op9_byte_bpe, op10_warc)}
