@@ -134,7 +134,7 @@ def shard_bounds(pages: DataFrame, shard_bytes: int) -> list[int]:
     return bounds
 
 
-def write_warc(pages: DataFrame, out: str, least: int = 100, file_bytes: int = 16 << 20, shard_bytes: int = 64 << 20, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def write_warc(pages: DataFrame, out: str, least: int = 100, file_bytes: int = 16 << 20, shard_bytes: int = 32 << 20, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Writes pages to the folder `out`; returns the manifest: shard, part, name, n_bytes, n_records, sha256."""
     spark = pages.sparkSession
     ship(spark)
@@ -151,12 +151,14 @@ def write_warc(pages: DataFrame, out: str, least: int = 100, file_bytes: int = 1
 
     firsts = small.where(F.col("n") >= least).groupBy("digest").agg(F.min("page").alias("first"), F.max("page").alias("last")).where(F.col("first") < F.col("last")).select("digest", "first")
     revisits = small.where(F.col("n") >= least).join(firsts, "digest").where(F.col("page") > F.col("first")).select("page", "digest", F.col("first").alias("refers_to")).distinct()
-    records = plain.join(revisits, ["page", "digest"], "left").withColumn("shard", shard_of("page"))
-    dealt = records.repartition(max(1, len(bounds) + 1), "shard").sortWithinPartitions("shard", "page", "digest", "url")
+    # a row that says what a page refers to comes just before the page, so the payloads are moved once
+    marks = revisits.select("page", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "refers_to")
+    records = plain.select("page", "url", "payload", "digest", F.lit(None).cast("long").alias("refers_to")).unionByName(marks).withColumn("shard", shard_of("page"))
+    dealt = records.repartition(max(1, len(bounds) + 1), "shard").sortWithinPartitions("shard", "page", "digest", F.col("refers_to").asc_nulls_last(), "url")
     schema = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("name", pa.string()), ("n_bytes", pa.int64()), ("n_records", pa.int64()), ("sha256", pa.string())])
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files = None
+        files, mark = None, None
 
         def rows(done: Files) -> pa.RecordBatch:
             done.close()
@@ -168,8 +170,12 @@ def write_warc(pages: DataFrame, out: str, least: int = 100, file_bytes: int = 1
                     if files is not None:
                         yield rows(files)
                     files = Files(out, row["shard"], file_bytes)
+                if row["refers_to"] is not None:
+                    mark = row
+                    continue
+                known = mark is not None and (mark["page"], mark["digest"]) == (row["page"], row["digest"])
                 page = None if row["page"] == NO_ID else row["page"]
-                files.add(page_record(page, row["url"], row["text"], row["digest"], row["refers_to"]))
+                files.add(page_record(page, row["url"], row["text"], row["digest"], mark["refers_to"] if known else None))
         if files is not None:
             yield rows(files)
 
@@ -186,12 +192,16 @@ def write_warc(pages: DataFrame, out: str, least: int = 100, file_bytes: int = 1
 
 def members(content: bytes) -> Iterator[bytes]:
     """The gzip members of a file, unpacked one after another."""
-    while content:
-        unzip = zlib.decompressobj(wbits=31)
-        yield unzip.decompress(content)
-        if not unzip.eof:
-            raise ValueError("a gzip member is cut off")
-        content = unzip.unused_data
+    at, view = 0, memoryview(content)
+    while at < len(content):
+        unzip, out = zlib.decompressobj(wbits=31), []
+        while not unzip.eof:
+            if at >= len(content):
+                raise ValueError("a gzip member is cut off")
+            part = view[at : at + (1 << 14)]
+            out.append(unzip.decompress(part))
+            at += len(part) - len(unzip.unused_data)
+        yield b"".join(out)
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
