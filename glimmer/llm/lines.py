@@ -102,12 +102,14 @@ def line_table(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, batches: int = 4, fan_out: int = 3, least: int = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of docs with the text rewritten (null becomes empty), and n_lines before and n_dropped.
+    """All columns of docs with the text rewritten (null becomes empty), and n_lines before and n_dropped, which replace
+    columns of these names.
 
     batches: into how many ranges of identifiers a table is cut; each adds to the runs. The texts pass through one
     exchange, to meet the hashes that they lose; a line is only ever moved as its hash."""
     spark = docs.sparkSession
     ship(spark)
+    docs = docs.drop("n_lines", "n_dropped")
     lines = stage(line_table(docs, key, text, least), "lines")
     cuts = sorted(set(lines.approxQuantile("doc", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
     edges = [None, *map(int, cuts), None]

@@ -1,0 +1,333 @@
+"""Operators that SQL cannot express, against brute-force versions, round trips and held-out accuracy."""
+
+import hashlib
+import math
+import random
+import re
+import struct
+import zlib
+from collections import Counter
+from functools import reduce
+
+import numpy as np
+import public_tokenizers
+import pytest
+import regex
+import tiktoken
+import xxhash
+from pyspark.sql import functions as F
+
+from conftest import DATA
+from glimmer.llm import bpe, hmm, pii, simhash, suffixes, toxicity
+from glimmer.llm.queries import op1_simhash, op3_hmm, op9_byte_bpe, remainder
+from glimmer.llm.warc import read_warc, write_warc
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    """Identifiers and texts of the smallest table."""
+    return {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    ranks = bpe.parse_ranks(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+# --- near-duplicates
+
+
+def plain_fingerprint(text):
+    words = text.encode().lower().split()
+    shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def components(prints):
+    """{doc: smallest reachable} by comparing all pairs."""
+    ids = sorted(prints)
+    least = {i: i for i in ids}
+
+    def find(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            if (prints[i] ^ prints[j]).bit_count() <= 2:
+                a, b = sorted((find(i), find(j)))
+                least[b] = a
+    return {i: find(i) for i in ids}
+
+
+def test_simhash_equals_all_pairs(spark, texts):
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in op1_simhash(spark, DATA).collect()}
+    prints = {i: plain_fingerprint(t) for i, t in texts.items()}
+    groups = components(prints)
+    assert got == {i: (f"{prints[i]:016x}", groups[i]) for i in texts}
+
+
+@pytest.mark.parametrize("many", [2, 40, 4096])
+def test_index_equals_all_pairs_when_patterns_are_split(spark, monkeypatch, many):
+    chance = random.Random(many)
+    centres = [chance.getrandbits(64) for _ in range(6)]
+    prints = {i: reduce(lambda x, _: x ^ (1 << chance.randrange(64)), range(chance.randrange(4)), chance.choice(centres)) for i in range(400)}
+    monkeypatch.setattr(simhash, "MANY", many)
+    rows = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in prints.items()], "doc long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, size, key, text: docs)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(rows).collect()}
+    assert got == components(prints)
+
+
+def test_chains_are_contracted(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 95)], "a long, b long")
+    assert {(r.a, r.b) for r in simhash.contract(links).collect()} == {(i, 0) for i in range(1, 41)} | {(100, 90), (95, 90)}
+
+
+# --- toxicity
+
+
+def test_gradients_equal_differences():
+    network = toxicity.Network.fresh(1)
+    for name in network.params:
+        network.params[name] = network.params[name].astype(np.float64)
+    words, at, mask = toxicity.laid_out([[b"abc", b"de", b"xyz"] * 5, [b"q", b"abc"], [b"zzz"] * toxicity.WINDOW])
+    weight, chance = np.array([1.0, -2.0, 0.5]), np.random.default_rng(0)
+
+    def value():
+        return float((network.logits(network.word_inputs(words), at, mask) * weight).sum())
+
+    value()
+    grads = network.backward(weight, len(words))
+    for name, array in network.params.items():
+        for _ in range(3):
+            place = tuple(int(chance.integers(s)) for s in array.shape)
+            held, step = array[place], 1e-4
+            array[place] = held + step
+            up = value()
+            array[place] = held - step
+            down = value()
+            array[place] = held
+            assert grads[name][place] == pytest.approx((up - down) / 2 / step, rel=1e-4, abs=1e-6)
+
+
+def test_toxicity_on_held_out_texts(spark):
+    chance = random.Random(4)
+    common, bad = ["river", "stone", "cloud", "walk", "green", "paper", "seven", "light"], ["grumbo", "snarkle", "vilefish"]
+    rows, labels = [], []
+    for i in range(700):
+        words, toxic = chance.choices(common, k=chance.randrange(20, 160)), int(i % 4 == 0)
+        if toxic:
+            for _ in range(1 + len(words) // 30):
+                words.insert(chance.randrange(len(words)), chance.choice(bad) + chance.choice(["", "s", "###"]))
+        rows.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    held = remainder(4)
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, marks, lambda doc: ~held(doc)).collect()}
+    out = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 4 == 2]
+    right = sum(got[i].predicted == labels[i][1] for i in out)
+    assert right / len(out) > 0.95 and all(0 <= r.score <= 1 for r in got.values())
+    scorer = toxicity.Scorer(toxicity.train([(labels[i][1], [toxicity.tokens(rows[i][1].encode())[:32]]) for i in range(60)], passes=1).params)
+    network, words = scorer.network, toxicity.tokens(rows[8][1].encode())
+    listed, at, mask = toxicity.laid_out([words[s : s + toxicity.WINDOW] for s in toxicity.window_starts(len(words))])
+    assert scorer.scores([rows[8][1].encode()])[0] == pytest.approx(toxicity.sigmoid(network.logits(network.word_inputs(listed), at, mask)).max(), abs=1e-4)
+
+
+def test_windows_cover_every_word():
+    for n in range(200):
+        covered = {i for s in toxicity.window_starts(n) for i in range(s, min(n, s + toxicity.WINDOW))}
+        assert covered == set(range(n))
+
+
+# --- language model
+
+
+def test_base_scores_and_model(spark, texts):
+    got = {r.doc_id: r for r in op3_hmm(spark, DATA).collect()}
+    tokens = {i: [*t.encode().lower().split(), None] for i, t in texts.items()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    counts = Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
+    total, size = sum(counts.values()), len(counts)
+    for i, ws in tokens.items():
+        base = sum(math.log10((counts[w] + 1) / (total + size + 1)) for w in ws)
+        assert (got[i].held_out, got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (held[i], len(ws), sum(counts[w] > 0 for w in ws), total)
+        assert got[i].base_score == pytest.approx(base)
+    assert sum(r.score for r in got.values() if r.held_out) > sum(r.base_score for r in got.values() if r.held_out)
+
+
+def small_model(k=3, n=5, seed=0):
+    chance = np.random.default_rng(seed)
+    parts = [x / x.sum(axis=-1, keepdims=True) for x in (chance.random(k), chance.random(k), chance.random((k, k)), chance.random((k, n)))]
+    return hmm.Model(*parts)
+
+
+def test_forward_recursion_equals_sum_over_paths():
+    from itertools import product
+
+    model, chance = small_model(), np.random.default_rng(1)
+    sizes = np.array([1, 4, 6, 2])
+    classes = chance.integers(0, 5, sizes.sum())
+    got = hmm.log_likelihoods(classes, sizes, model)
+    for i, (a, n) in enumerate(zip(np.cumsum(sizes) - sizes, sizes, strict=True)):
+        seen, total = classes[a : a + n], 0.0
+        for path in product(range(3), repeat=int(n)):
+            p = model.start[path[0]] * model.emit[path[0], seen[0]]
+            for t in range(1, n):
+                p *= model.move[path[t - 1], path[t]] * model.emit[path[t], seen[t]]
+            total += p
+        assert got[i] == pytest.approx(math.log10(total))
+
+
+def test_passes_raise_the_likelihood(spark):
+    chance = np.random.default_rng(2)
+    sizes = chance.integers(2, 300, 40)
+    classes = np.concatenate([(np.arange(n) + chance.integers(2)) % 2 * 2 + chance.integers(0, 2, n) for n in sizes])
+    model, before = small_model(2, 4, 3), -np.inf
+    for _ in range(6):
+        start, later, move, emit = hmm.expected_counts(classes, sizes, model)
+        assert emit.sum() == pytest.approx(sizes.sum(), rel=1e-4)
+        model = hmm.Model(*(x / x.sum(axis=-1, keepdims=True) for x in (start + 1e-6, later + 1e-6, move + 1e-6, emit + 1e-6)))
+        now = hmm.log_likelihoods(classes, sizes, model).sum()
+        assert now > before - 1e-3
+        before = now
+
+
+# --- repeated passages
+
+
+@pytest.mark.parametrize("many", [2, 512])
+def test_suffixes_equal_brute_force(spark, monkeypatch, many):
+    monkeypatch.setattr(suffixes, "MANY_BLOCKS", many)
+    chance = random.Random(5)
+    base = [" ".join(chance.choices("alpha beta gamma delta é eps zeta".split(), k=60)) for _ in range(5)]
+    docs = []
+    for i in range(120):
+        a = chance.choice(base)
+        docs.append((i, [a, a[: chance.randrange(len(a))] + chance.choice(base)[:80], None, a[chance.randrange(100) : chance.randrange(100, 300)] * 2, "ab" * chance.randrange(90)][chance.randrange(5)]))
+    first = {}
+    for i, t in docs:
+        raw = (t or "").encode()
+        for s in range(len(raw) - 49):
+            first.setdefault(raw[s : s + 50], i)
+    got = {r.doc_id: r for r in suffixes.cut_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    for i, t in docs:
+        raw = (t or "").encode()
+        gone = {b for s in range(len(raw) - 49) if first[raw[s : s + 50]] < i for b in range(s, s + 50)}
+        assert (got[i].n_removed, bytes(got[i].kept)) == (len(gone), bytes(b for n, b in enumerate(raw) if n not in gone))
+
+
+# --- pseudonyms
+
+
+def luhn(digits):
+    values = [int(d) for d in digits][::-1]
+    return (sum(values[::2]) + sum(sum(divmod(2 * v, 10)) for v in values[1::2])) % 10
+
+
+def plain_feistel(key, kind, a, b, a_size, b_size):
+    for i in range(pii.ROUNDS):
+        half = b if i % 2 == 0 else a
+        value = int(hashlib.sha256(f"{key}\x1f{kind}\x1f{i}:{half}:{a_size}:{b_size}".encode()).hexdigest()[:12], 16)
+        a, b = ((a + value) % a_size, b) if i % 2 == 0 else (a, (b + value) % b_size)
+    return a, b
+
+
+def test_cards_and_addresses_equal_a_plain_network(spark):
+    cards = ["4845168114407329", "4417744280351547", "4845 1681 1440 7329", "378282246310005"]
+    addresses = ["97.51.17.173", "0.0.0.0", "255.255.255.255"]
+    docs = spark.createDataFrame(list(enumerate([f"see {c} now" for c in cards] + [f"see {a} now" for a in addresses])), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.pseudonymise(docs, "k").collect()}
+    for i, c in enumerate(cards):
+        digits = re.sub(r"\D", "", c)
+        body, n = digits[:-1], len(digits) - 1
+        a, b = plain_feistel("k", "card", int(body[: n // 2]), int(body[n // 2 :]), 10 ** (n // 2), 10 ** (n - n // 2))
+        new = f"{a:0{n // 2}d}{b:0{n - n // 2}d}"
+        new += str((10 - luhn(new + "0")) % 10)
+        assert luhn(new) == 0 and re.sub(r"\D", "", got[i]) == new and re.sub(r"\d", "9", got[i]) == re.sub(r"\d", "9", f"see {c} now")
+    for i, address in enumerate(addresses, len(cards)):
+        o = [int(x) for x in address.split(".")]
+        a, b = plain_feistel("k", "ipv4", o[0] * 256 + o[1], o[2] * 256 + o[3], 1 << 16, 1 << 16)
+        assert got[i] == f"see {a >> 8}.{a & 255}.{b >> 8}.{b & 255} now"
+
+
+def test_kinds_decoys_and_links(spark):
+    lines = [
+        "mail jo.81@mail7.example.com and JO.81@mail7.example.com", "call +1 (017) 555-7713 190.137.223.204 x", "bad 9807915762804490 and 300.1.1.1 and 666-12-1234 and 1987-02-30", "born 1987-02-28, 28.02.1987, 02/28/1987",
+        "ssn 123-45-6789", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "plain 12 words 2024 and v1.2.3",
+    ]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), "k").collect()}
+    assert got[2].text == lines[2] and got[6].text == lines[6]
+    assert [got[0].n_email, got[1].n_phone, got[1].n_ipv4, got[3].n_date, got[4].n_ssn, got[5].n_secret] == [2, 1, 1, 3, 1, 1]
+    assert len(set(re.findall(r"\S+@\S+", got[0].text))) == 1 and re.fullmatch(r"call \+1 \(\d{3}\) \d{3}-\d{4} [\d.]+ x", got[1].text)
+    y, m, d = re.search(r"(\d{4})-(\d\d)-(\d\d)", got[3].text).groups()
+    assert f"{d}.{m}.{y}" in got[3].text and f"{m}/{d}/{y}" in got[3].text and "1987-02-28" not in got[3].text
+    assert re.fullmatch(r'token = "[0-9a-f]{40}"', got[5].text) and got[5].text != lines[5]
+
+
+def test_a_permutation_has_no_collisions(spark):
+    df = spark.range(1000).select(pii.permuted_digits("k", "x", F.lpad(F.col("id").cast("string"), 3, "0")).alias("v"))
+    assert sorted(r.v for r in df.collect()) == [f"{i:03d}" for i in range(1000)]
+
+
+# --- tokens
+
+
+def test_tokens_equal_the_library(spark, texts, tokenizer):
+    got = {r.doc_id: r for r in op9_byte_bpe(spark, DATA).collect()}
+    for i, t in texts.items():
+        ids = tokenizer.encode_ordinary(t)
+        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+
+
+@pytest.mark.parametrize("states", [0, 50, 10_000])
+def test_transducer_on_random_texts(monkeypatch, tokenizer, states):
+    monkeypatch.setattr(bpe, "MOST_STATES", states)
+    monkeypatch.setattr(bpe, "MOST_MATCHES", 30)
+    monkeypatch.setattr(bpe, "MOST_PAIRS", 200)
+    machine = bpe.Transducer(bpe.parse_ranks(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))))
+    split, chance = regex.compile(bpe.splitting_pattern(public_tokenizers.PATTERN)).findall, random.Random(states)
+    pieces = ["a", "b", " ", "  ", "\n", "\x1c", "\x85", "'s", "the", "é", "日本", "😀", "1", "12", "!", "ing", "er", "\t", "A", "zz", "​", "́", "=-"]
+    for _ in range(400):
+        text = "".join(chance.choices(pieces, k=chance.randrange(40)))
+        ids = machine.encode(text, split)
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == tokenizer.encode_ordinary(text)
+    assert machine.encode("a" * 5000, split) == struct.pack(f"<{len(x := tokenizer.encode_ordinary('a' * 5000))}I", *x)
+
+
+def test_streams_of_bytes_become_text():
+    text = "aé日😀́z" * 7
+    raw = text.encode()
+    for size in range(1, 9):
+        machine = bpe.Utf8Machine()
+        assert "".join(machine.feed(raw[i : i + size]) for i in range(0, len(raw), size)) + machine.finish() == text and machine.valid
+    for broken in (b"\xff", b"a\xe2\x82", b"\xed\xa0\x80", b"\xf4\x90\x80\x80", b"\xc0\xaf", b"\xe2(\xa1"):
+        machine = bpe.Utf8Machine()
+        assert "".join(machine.feed(broken[i : i + 1]) for i in range(len(broken))) + machine.finish() == broken.decode("utf-8", "replace") and not machine.valid
+
+
+# --- archives
+
+
+def test_archives_are_the_same_each_time(spark, tmp_path):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    pages = pages.unionByName(pages.where("page_id < 10").withColumn("page_id", F.col("page_id") + 1000))
+    names = []
+    for i, n in enumerate((2, 7)):
+        manifest = write_warc(pages.repartition(n), f"file://{tmp_path}/{i}", file_bytes=20_000, shard_bytes=60_000)
+        names.append(sorted((r.name, r.sha256, r.n_records) for r in manifest.collect()))
+    assert names[0] == names[1] and len(names[0]) > 3
+    assert all(hashlib.sha256((tmp_path / "0" / n).read_bytes()).hexdigest() == d for n, d, _ in names[0])
+    got = {r.page_id: r for r in read_warc(spark, f"file://{tmp_path}/0").collect()}
+    for r in pages.collect():
+        own = got[r.page_id]
+        assert own.record_type == ("revisit" if r.page_id >= 1000 else "response") and own.refers_to == (r.page_id - 1000 if r.page_id >= 1000 else None)
+        assert own.payload == (None if r.page_id >= 1000 else r.html.encode()) and own.payload_bytes == len(r.html.encode())
+    (tmp_path / "0" / names[0][0][0]).write_bytes(b"broken")
+    with pytest.raises(Exception, match="differs from the manifest"):
+        read_warc(spark, f"file://{tmp_path}/0").collect()
+    with pytest.raises(FileNotFoundError):
+        read_warc(spark, f"file://{tmp_path}/nowhere")
