@@ -127,9 +127,19 @@ def check_manifest(manifest: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(path, name, length) of the files below a folder."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
-    return found.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "length")
+    """(path, name, length) of the files below a folder, empty ones too, which Spark's readers skip. Names are listed on
+    the driver, as Spark does for any read; contents are not touched."""
+    import fnmatch
+
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+    found = []
+    while files.hasNext():
+        status = files.next()
+        name = status.getPath().getName()
+        if fnmatch.fnmatch(name, pattern):
+            found.append((status.getPath().toString(), name, status.getLen()))
+    return spark.createDataFrame(found, "path string, name string, length long")
 
 
 def image_folder(files: DataFrame, suffixes: tuple[str, ...] = (".png", ".jpg", ".jpeg")) -> DataFrame:
