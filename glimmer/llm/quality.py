@@ -120,7 +120,7 @@ class Rule:
 
 
 def default_rules(
-    most_symbols: float = 0.1, most_dup_lines: float = 0.3, mean_word: tuple[float, float] = (2.0, 15.0), least_worded: float = 0.7, least_words: int = 50, most_repeated: float = 0.5
+    most_symbols: float = 0.1, most_dup_lines: float = 0.5, mean_word: tuple[float, float] = (2.0, 15.0), least_worded: float = 0.7, least_words: int = 50, most_repeated: float = 0.5
 ) -> list[Rule]:
     """Too short, mostly repeated windows, more symbols a word, more repeated lines, a mean word length outside the
     range, or fewer words with letters than stated."""

@@ -41,7 +41,7 @@ WITH base AS (SELECT doc_id, coalesce(text, '') AS text FROM documents
   FROM split LEFT JOIN repeats USING (doc_id)
 ), f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND n_repeat_words <= 0.5 * n_words AND n_dup_lines <= 0.3 * greatest(1, n_lines) AND n_worded >= 0.7 * n_words
+  NOT base_failed AND n_repeat_words <= 0.5 * n_words AND n_dup_lines <= 0.5 * greatest(1, n_lines) AND n_worded >= 0.7 * n_words
     AND n_symbols <= 0.1 * greatest(1, n_words) AND word_chars BETWEEN 2 * n_words AND 15 * n_words AS kept
 FROM f
 """
