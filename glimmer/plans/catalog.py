@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glimmer.functions import columns as C
-from glimmer.operators import encode, estimators, pixels, probe, ranking, relational, sparse, stats
+from glimmer.operators import classify, encode, estimators, pixels, probe, ranking, relational, sparse, stats
 from glimmer.plans import sweep
 from glimmer.plans.relations import CLASSES, DIMS, FEATURES, TOKENS, Relations
 from glimmer.sources import store
@@ -407,6 +407,37 @@ def probe_r(r: Relations) -> DataFrame:
     return stats.probe_r(best, probe.priors(r.n_positive, r.n_rows).select("class", F.col("mean").alias("p"))).select(r6("probe_r"))
 
 
+@query
+def best_prototype_ap(r: Relations) -> DataFrame:
+    """The feature with the best average precision of each class on four fifths of the examples, and its value on the rest."""
+
+    def part(test: bool) -> DataFrame:
+        kept = (F.col("example_idx") % 5 == 0) if test else (F.col("example_idx") % 5 != 0)
+        acts = r.acts.where(kept)
+        totals = r.classes.join(acts.groupBy(F.col("label").alias("class")).agg(F.count("*").alias("total")), "class", "left").fillna(0)
+        grouped = ranking.tie_groups(r.codes.where(kept).select("row", "feature", "value"), acts.select("row", F.col("label").alias("class")), r.features, acts.count(), totals)
+        return ranking.tie_aware_ap(grouped).withColumn("ap", F.round("ap", 9))
+
+    best = part(False).groupBy("class").agg(F.max_by(F.struct("feature", "ap"), F.struct(F.col("ap"), -F.col("feature"))).alias("b")).select("class", "b.feature", F.col("b.ap").alias("train_ap"))
+    return best.join(part(True).withColumnRenamed("ap", "test_ap"), ["class", "feature"]).select("class", "feature", r6("train_ap"), r6("test_ap"))
+
+
+def examples(r: Relations) -> DataFrame:
+    """(example_idx, label, features): max-pooled codes and the majority label."""
+    labelled = stats.modal_label(r.acts, ["example_idx"]).select("example_idx", "label")
+    return classify.feature_vectors(sparse.pool(r.codes, TOKENS, "max"), labelled, FEATURES)
+
+
+@query
+def l1_feature_ranking(r: Relations) -> DataFrame:
+    return classify.feature_ranking(classify.l1_logistic(examples(r), c=1.0), r.spark).select("feature", r6("importance"), "place")
+
+
+@query
+def tree_feature_ranking(r: Relations) -> DataFrame:
+    return classify.feature_ranking(classify.tree(examples(r)), r.spark).select("feature", r6("importance"), "place")
+
+
 # --- estimators
 
 

@@ -1,5 +1,6 @@
 """DuckDB SQL for the queries in catalog.py. Without SQL: pareto_log_spaced (a greedy choice), pca_nmse and semi_nmf_nmse
-(eigenvectors and a solver); tests compare these with plain numpy."""
+(eigenvectors and a solver), l1_feature_ranking and tree_feature_ranking (fitted models); tests compare the first three
+with plain numpy."""
 
 from __future__ import annotations
 
@@ -45,6 +46,20 @@ TIES = """, scores AS (SELECT feature, label, greatest(h, 0) AS v FROM h
 ), tap AS (SELECT feature, class, CASE WHEN total > 0 THEN coalesce(s, 0) / total ELSE 0 END AS ap, total FROM features CROSS JOIN npos LEFT JOIN summed USING (feature, class)
 )"""
 
+
+
+def ties(part: str, where: str) -> str:
+    """Tables tie_part, placed_part and tap_part over some of the rows."""
+    return f""", n_{part} AS (SELECT class, count(label) AS total FROM classes LEFT JOIN act ON label = class AND {where} GROUP BY class
+), tie_{part} AS (SELECT feature, class, greatest(h, 0) AS v, count(*) AS n, count_if(label = class) AS pos FROM h CROSS JOIN classes WHERE {where} GROUP BY feature, class, greatest(h, 0)
+), placed_{part} AS (
+  SELECT *, coalesce(sum(n) OVER up, 0) AS t, coalesce(sum(pos) OVER up, 0) AS r0 FROM tie_{part} WINDOW up AS (PARTITION BY feature, class ORDER BY v DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), members_{part} AS (SELECT *, unnest(range(t::BIGINT + 1, (t + n)::BIGINT + 1)) AS j FROM placed_{part} WHERE pos > 0
+), summed_{part} AS (SELECT feature, class, sum(pos / n::DOUBLE * (r0 + 1 + CASE WHEN n > 1 THEN (j - t - 1) * (pos - 1) / (n - 1)::DOUBLE ELSE 0 END) / j) AS s FROM members_{part} GROUP BY feature, class
+), tap_{part} AS (SELECT feature, class, round(CASE WHEN total > 0 THEN coalesce(s, 0) / total ELSE 0 END, 9) AS ap FROM features CROSS JOIN n_{part} LEFT JOIN summed_{part} USING (feature, class)
+)"""
+
+
 #: One damped Newton step for each feature and class from the prior.
 PROBE = """, prior AS (SELECT class, total, total / n::DOUBLE AS mean, ln(greatest(1e-12, least(1 - 1e-12, total / n::DOUBLE)) / (1 - greatest(1e-12, least(1 - 1e-12, total / n::DOUBLE)))) AS b0, n FROM npos, total
 ), qx AS (SELECT feature, greatest(coalesce(sqrt(avg(value * value)), 1), 1e-6) AS qx, count(value) AS nnz FROM features LEFT JOIN codes USING (feature) GROUP BY feature
@@ -198,6 +213,10 @@ def oracle_sql() -> dict[str, str]:
         ),
         "best_latent_per_class": b(PROBE, "SELECT class, arg_min(feature, (round(loss, 9), feature)) AS feature, round(min(round(loss, 9)), 6) AS loss FROM loss GROUP BY class"),
         "probe_r": b(PROBE + ", m AS (SELECT class, min(round(loss, 9)) AS ce FROM loss GROUP BY class)", "SELECT round(1 - avg(ce) / avg(-(mean * ln(mean) + (1 - mean) * ln(1 - mean))), 6) AS probe_r FROM m JOIN prior USING (class)"),
+        "best_prototype_ap": b(
+            ties("a", "example_idx % 5 <> 0") + ties("b", "example_idx % 5 = 0") + ", best AS (SELECT class, feature, ap FROM tap_a QUALIFY row_number() OVER (PARTITION BY class ORDER BY ap DESC, feature) = 1)",
+            "SELECT class, feature, round(best.ap, 6) AS train_ap, round(tap_b.ap, 6) AS test_ap FROM best JOIN tap_b USING (class, feature)",
+        ),
         "kmeans_assign": b(NEAR, "SELECT row, center, round(distance, 6) AS distance FROM near"),
         "kmeans_codes": b(NEAR, "SELECT row, center AS feature, round(1 / (1 + distance), 6) AS value FROM near"),
         "kmeans_step": b(

@@ -282,3 +282,39 @@ def test_streams_reach_the_batch_result(spark, tmp_path):
     last = {r.feature: r.m for r in spark.table("seen").groupBy("feature").agg(F.max("last").alias("m")).collect()}
     assert last == {r.user_id: r.m for r in events.groupBy("user_id").agg(F.max("event_id").alias("m")).collect()}
     assert online.percentile_sgd([float(i % 100) for i in range(20000)], 90, 1.0, 20000) == pytest.approx(90, abs=5)
+
+
+def test_readers(spark, tmp_path):
+    from glimmer.sources import readers
+
+    (tmp_path / "a.csv").write_text("Name,Size\nx,1\ny,?\nz\nw,4,5\n")
+    assert [(r["name"], r["size"]) for r in readers.read_csv(spark, f"file://{tmp_path}/a.csv", "name string, size int").orderBy("name").collect()] == [("w", 4), ("x", 1), ("y", None), ("z", None)]
+    for i in range(3):
+        (tmp_path / f"{'keep' if i else 'skip'}{i}.json").write_text(f'{{"a": {{"b": {i}, "c": [1]}}}}')
+    found = readers.read_results(spark, f"file://{tmp_path}/*.json", "a struct<b: int, c: array<int>>", "keep")
+    flat = readers.flattened(found)
+    assert flat.columns == ["a.b", "a.c", "file"] and sorted(r["a.b"] for r in flat.collect()) == [1, 2]
+    assert readers.scalar_columns(flat).columns == ["a.b", "file"]
+    with pytest.raises(ValueError, match="lacks y, z"):
+        (tmp_path / "m.txt").write_text('{"x": 1}')
+        readers.read_metadata(spark, f"file://{tmp_path}/m.txt", ("x", "y", "z"))
+    with pytest.raises(ValueError, match="none of"):
+        readers.resolve_columns(found, {"stem": ["stem", "name"]})
+    work = spark.createDataFrame([(1,), (2,), (2,)], "k int")
+    assert [r.k for r in readers.pending(work, work.where("k = 2"), ["k"]).collect()] == [1]
+    assert readers.write_once(work, f"file://{tmp_path}/o") and not readers.write_once(work, f"file://{tmp_path}/o")
+    (tmp_path / "c.tsv").write_text("id\tname\n1\tcat\n")
+    assert tuple(readers.read_classes(spark, f"file://{tmp_path}/c.tsv").first()) == (1, "cat")
+
+
+def test_classifiers_rank_the_telling_feature_first(spark):
+    from glimmer.operators import classify
+
+    random = np.random.default_rng(8)
+    rows = [(i, j, float(v)) for i in range(120) for j, v in enumerate(random.random(4) * [1, 1, 1, 0.1] + ([0, 0, 3 * (i % 2), 0])) if v > 0.05]
+    codes = spark.createDataFrame(rows, "example_idx long, feature int, value double")
+    labelled = spark.createDataFrame([(i, i % 2) for i in range(121)], "example_idx long, label int")
+    data = classify.feature_vectors(codes, labelled, 4)
+    assert data.count() == 121 and data.where("example_idx = 120").first().features.toArray().tolist() == [0.0] * 4
+    for model in (classify.l1_logistic(data, c=1.0), classify.tree(data)):
+        assert classify.feature_ranking(model, spark).where("place = 1").first().feature == 2
