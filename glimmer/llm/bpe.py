@@ -6,7 +6,7 @@ would stay apart if encoded alone, and for each prefix exactly one token can sta
 every position at which a token now being read may have begun, the trie node reached and the tokens pending up to
 there; tokens that all these share are certain and are emitted. Their number is bounded by the longest token, so the
 lookahead is bounded. States and transitions are made on first use; when there are as many as memory allows, matches
-that leave them are run through the undeterminised transducer, position by position.
+that leave them are searched without states, by the same rule for neighbours.
 
 Decoding. Token bytes are concatenated; an incremental UTF-8 machine turns chunks into text and keeps what is
 incomplete for the next chunk.
@@ -32,6 +32,8 @@ MOST_RANK_BYTES = 64 << 20
 MOST_STATES, MOST_MATCHES, MOST_PAIRS = 10_000, 150_000, 250_000
 #: Subtrees of so many tokens at most are searched for one that can follow.
 FEW_BELOW = 24
+#: Longer matches seldom stay within the states once there can be no more of them.
+SHORT = 6
 #: Longer matches are not remembered.
 LONGEST_MATCH = 32
 
@@ -86,6 +88,7 @@ class Transducer:
         self.rows: dict[int, dict[int, bool]] = {}
         self.known = 0
         self.matches: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.states: dict[tuple, State] = {}
         self.start = self.state(((self.root, -1, ()),))
 
@@ -198,12 +201,15 @@ class Transducer:
 
     def encode_bytes(self, text: bytes) -> bytes:
         """The ids of one match, as little-endian unsigned 32-bit integers."""
+        full = len(self.states) >= MOST_STATES
+        if full and len(text) > SHORT:
+            return self.searched(text)
         state, out = self.start, []
         for byte in text:
             found = state.next.get(byte)
             if found is None:
-                if len(self.states) >= MOST_STATES:
-                    return self.simulated(text)
+                if full:
+                    return self.searched(text)
                 found = self.step(state, byte)
             state, known = found
             if known:
@@ -211,59 +217,64 @@ class Transducer:
         out.append(state.final)
         return b"".join(out)
 
-    def simulated(self, text: bytes) -> bytes:
-        """As encode_bytes, without determinised states: sets the token that stands last at each position, from each
-        position at which one may begin."""
+    def searched(self, text: bytes) -> bytes:
+        """As encode_bytes, without states: at each position the longest token that can follow the last one, depth first.
+        All ways to a position that join only tokens that stay apart are one and the same, so a position without a way
+        on is never entered again, and time is linear."""
         n, first, rows = len(text), self.root.next, self.rows
-        last = [-1] * (n + 1)
-        for start in range(n):
-            before, following = last[start], first
-            if start:
-                row = rows.get(before)
-                if row is None:
-                    row = rows[before] = {}
-            for end in range(start, n):
+        closed, taken, starts, at = bytearray(n + 1), [], [], 0
+        while at < n:
+            following, found = first, []
+            for end in range(at, n):
                 node = following.get(text[end])
                 if node is None:
                     break
-                token, following = node.token, node.next
-                if token is not None and last[end + 1] < 0:
-                    if start:
-                        apart = row.get(token)
-                        if apart is None:
-                            apart = self.apart(before, token)
-                        if not apart:
-                            continue
-                    last[end + 1] = token
-                if not following:
-                    break
-        out, at = [], n
-        while at:
-            token = last[at]
-            if token < 0:
-                raise ValueError("the rank table lacks a single byte")
-            out.append(token)
-            at -= len(self.bytes_of[token])
-        out.reverse()
-        return struct.pack(f"<{len(out)}I", *out)
+                if node.token is not None:
+                    found.append((end + 1, node.token))
+                following = node.next
+            if taken:
+                before = taken[-1]
+                row = rows.get(before)
+                if row is None:
+                    row = rows[before] = {}
+                for end, token in reversed(found):
+                    if closed[end]:
+                        continue
+                    apart = row.get(token)
+                    if apart is None:
+                        apart = self.apart(before, token)
+                    if apart:
+                        break
+                else:
+                    closed[at] = 1
+                    taken.pop()
+                    at = starts.pop()
+                    continue
+            else:
+                for end, token in reversed(found):
+                    if not closed[end]:
+                        break
+                else:
+                    raise ValueError("the rank table lacks a single byte")
+            taken.append(token)
+            starts.append(at)
+            at = end
+        return struct.pack(f"<{len(taken)}I", *taken)
 
     def encode(self, text: str, split: Callable[[str], list[str]]) -> bytes:
-        """The ids of a text that split cuts into matches."""
-        matches = self.matches
-        pieces = split(text)
-        try:
-            return b"".join(map(matches.__getitem__, pieces))
-        except KeyError:
-            pass
+        """The ids of a text that split cuts into matches. Matches are remembered in two generations, so that frequent
+        ones stay known when the older generation goes."""
         out = []
-        for piece in pieces:
-            found = matches.get(piece)
+        for piece in split(text):
+            found = self.matches.get(piece)
             if found is None:
-                found = self.encode_bytes(piece.encode("utf-8"))
+                found = self.older.get(piece)
+                if found is None:
+                    found = self.encode_bytes(piece.encode("utf-8"))
                 if len(piece) <= LONGEST_MATCH:
-                    if len(matches) >= MOST_MATCHES:
-                        matches.clear()
-                    matches[piece] = found
+                    if len(self.matches) >= MOST_MATCHES // 2:
+                        self.older, self.matches = self.matches, {}
+                    self.matches[piece] = found
             out.append(found)
         return b"".join(out)
 
