@@ -107,6 +107,14 @@ def decode_prefixes(codes: DataFrame, weights: Weights, prefixes: list[int], row
     return lists.mapInArrow(run, f"`{row}` {kind}, prefix int, x_hat array<double>")
 
 
+def aux_codes(codes: DataFrame, dead: DataFrame, k: int, row: str = "row") -> DataFrame:
+    """Of all values, the k largest positive ones of each row among dead features (feature); ties to the smaller feature.
+    What they decode to is held against what the living features leave over."""
+    w = Window.partitionBy(row).orderBy(F.desc("value"), "feature")
+    own = codes.join(F.broadcast(dead.select("feature")), "feature", "left_semi").where("value > 0")  # one row a feature
+    return own.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
+
+
 def edited(acts: DataFrame, codes: DataFrame, weights: Weights, feature: int, value: float, row: str = "row", act: str = "act") -> DataFrame:
     """Vectors with one feature set to a value and all else unchanged: x + (value - f) * decoder row."""
     direction = F.array(*(F.lit(float(x)) for x in weights.dec[feature]))

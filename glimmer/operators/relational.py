@@ -133,3 +133,15 @@ def task_counts(df: DataFrame, by: list[str], side: str, least: int) -> DataFram
     """(by..., n_true, n_false, kept): kept if both sides have at least so many rows."""
     got = df.groupBy(*by).agg(F.count_if(F.col(side)).alias("n_true"), F.count_if(~F.col(side)).alias("n_false"))
     return got.withColumn("kept", F.least("n_true", "n_false") >= least)
+
+
+def task_specs(df: DataFrame, label: str, pairs: DataFrame, views: dict[str, Column], least: int) -> DataFrame:
+    """(name, view, left, right, n_left, n_right) of tasks that tell two labels apart in one view of the rows, with at
+    least so many rows on either side. pairs: (left, right), a small table; views: conditions by name."""
+    per = None
+    for name, keep in views.items():
+        counts = df.where(keep).groupBy(label).agg(F.count("*").alias("n")).withColumn("view", F.lit(name))
+        per = counts if per is None else per.unionByName(counts)
+    a, b = (per.select(F.col(label).alias(side), "view", F.col("n").alias(f"n_{side}")) for side in ("left", "right"))
+    tasks = pairs.join(a, "left").join(b, ["right", "view"])
+    return tasks.where(F.least("n_left", "n_right") >= least).select(F.format_string("%s-%s-%s", "left", "right", "view").alias("name"), "view", "left", "right", "n_left", "n_right")

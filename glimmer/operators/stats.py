@@ -19,6 +19,13 @@ def recon_metrics(pairs: DataFrame, x: str = "x", x_hat: str = "x_hat") -> DataF
     )
 
 
+def explained_variance(pairs: DataFrame, x: str = "x", x_hat: str = "x_hat") -> DataFrame:
+    """One row: 1 - var(x - x_hat) / var(x) over all numbers of the arrays, with sample variances."""
+    flat = pairs.select(F.explode(F.arrays_zip(F.col(x).alias("a"), F.col(x_hat).alias("b"))).alias("z")).select(F.col("z.a").cast("double").alias("a"), F.col("z.b").cast("double").alias("b"))
+    whole = flat.agg(F.var_samp(F.col("a") - F.col("b")).alias("r"), F.var_samp("a").alias("v"))
+    return whole.select(F.when(F.col("v") > 0, 1 - F.col("r") / F.col("v")).alias("explained"))
+
+
 def eval_summary(codes: DataFrame, stats: DataFrame, n_tokens: int) -> DataFrame:
     """One row: mean L0 and L1 of a token, and how many features are dead, almost dead or dense."""
     sums = codes.agg(F.count_if(F.col("value") != 0).alias("l0"), F.coalesce(F.sum(F.abs("value")), F.lit(0.0)).alias("l1"))

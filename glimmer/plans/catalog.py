@@ -134,6 +134,24 @@ def recon_metrics(r: Relations) -> DataFrame:
     return found.select("n_tokens", "d_model", *(r6(c) for c in found.columns[2:]))
 
 
+@query
+def explained_variance(r: Relations) -> DataFrame:
+    return stats.explained_variance(rebuilt(r, [FEATURES])).select(r6("explained"))
+
+
+@query
+def aux_loss(r: Relations) -> DataFrame:
+    """Mean squared distance between what living features leave over and what the top dead ones decode to."""
+    dead = sparse.dead_mask(r.codes_of("jump", threshold=0.4), r.features, r.n_rows, 100).where("dead")
+    living = r.codes.join(F.broadcast(dead.select("feature")), "feature", "left_anti")
+    zero = F.array_repeat(F.lit(0.0), DIMS)
+    alive = encode.decode_prefixes(living, r.weights, [FEATURES]).select("row", F.col("x_hat").alias("alive"))
+    aux = encode.decode_prefixes(encode.aux_codes(r.codes_of("all"), dead, 4), r.weights, [FEATURES]).select("row", F.col("x_hat").alias("aux"))
+    full = r.acts.join(alive, "row", "left").join(aux, "row", "left").withColumns({"alive": F.coalesce("alive", zero), "aux": F.coalesce("aux", zero)})
+    left = F.zip_with("act", "alive", lambda x, y: x.cast("double") - y)
+    return full.select(C.squared_distance(left, F.col("aux")).alias("d")).agg((F.avg("d") / DIMS).alias("aux_mse")).select(r6("aux_mse"))
+
+
 @query
 def eval_summary(r: Relations) -> DataFrame:
     return stats.eval_summary(r.codes, relu_stats(r), r.n_rows).select(r6("l0"), r6("l1"), "n_dead", "n_almost_dead", "n_dense")
@@ -643,6 +661,13 @@ def task_counts(r: Relations) -> DataFrame:
     return relational.task_counts(both, ["lang"], "good", 5)
 
 
+@query
+def task_specs(r: Relations) -> DataFrame:
+    pairs = r.spark.createDataFrame([("en", "de"), ("en", "fr"), ("de", "es"), ("fr", "es")], "left string, right string")
+    views = {"short": F.col("n_chars") < 1000, "long": F.col("n_chars") >= 1000}
+    return relational.task_specs(r.table("documents"), "lang", pairs, views, 30)
+
+
 @query
 def filter_pack(r: Relations) -> DataFrame:
     return r.table("customer").where(((F.col("c_mktsegment").isin("BUILDING", "MACHINERY")) & F.col("c_acctbal").between(0, 5000)) | (F.col("c_nationkey") == 3)).where(~F.col("c_name").contains("99")).select("c_custkey")

@@ -128,6 +128,14 @@ def oracle_sql() -> dict[str, str]:
             """SELECT n_tokens, d_model, round(e, 6) AS sse_recon, round(b, 6) AS sse_baseline, round(e / b, 6) AS nmse, round(e / (n_tokens * d_model), 6) AS mse_per_dim, round(e / n_tokens, 6) AS mse_per_token,
             round(b / (n_tokens * d_model), 6) AS baseline_per_dim, round(b / n_tokens, 6) AS baseline_per_token FROM m""",
         ),
+        "explained_variance": b(recon("32"), "SELECT round(1 - var_samp(x - y) / var_samp(x), 6) AS explained FROM hat"),
+        "aux_loss": b(
+            """, last AS (SELECT feature, coalesce(max(row), -1) AS l FROM features LEFT JOIN (SELECT * FROM codes WHERE value > 0.4) USING (feature) GROUP BY feature), dead AS (SELECT feature FROM last, total WHERE n - 1 - l >= 100),
+            used AS (SELECT row, feature, value, 'alive' AS side FROM codes WHERE feature NOT IN (SELECT feature FROM dead)
+              UNION ALL SELECT row, feature, value, 'aux' FROM (SELECT row, feature, value FROM codes WHERE feature IN (SELECT feature FROM dead) QUALIFY row_number() OVER (PARTITION BY row ORDER BY value DESC, feature) <= 4)),
+            part AS (SELECT row, d, sum(value * c / s) AS v FROM used JOIN proto USING (feature) JOIN size USING (feature) GROUP BY row, d)""",
+            "SELECT round(avg((dims.v - coalesce(part.v, 0)) * (dims.v - coalesce(part.v, 0))), 6) AS aux_mse FROM dims LEFT JOIN part USING (row, d)",
+        ),
         "eval_summary": b(
             "",
             """SELECT round((SELECT count(*) FROM codes) / n::DOUBLE, 6) AS l0, round((SELECT sum(value) FROM codes) / n, 6) AS l1, (SELECT count_if(sparsity = 0) FROM stats)::BIGINT AS n_dead,
@@ -257,13 +265,15 @@ def oracle_sql() -> dict[str, str]:
         "quantile_summary": """SELECT l_returnflag, count(*) AS n, round(avg(l_extendedprice), 4) AS mean, round(stddev_samp(l_extendedprice), 4) AS std, round(min(l_extendedprice), 4) AS min, round(max(l_extendedprice), 4) AS max,
             round(quantile_cont(l_extendedprice, 0.05), 4) AS q05, round(quantile_cont(l_extendedprice, 0.5), 4) AS q50, round(quantile_cont(l_extendedprice, 0.95), 4) AS q95 FROM lineitem GROUP BY l_returnflag""",
         "task_counts": "SELECT lang, count_if(quality = 1)::BIGINT AS n_true, count_if(quality <> 1)::BIGINT AS n_false, least(count_if(quality = 1), count_if(quality <> 1)) >= 5 AS kept FROM documents JOIN labels USING (doc_id) GROUP BY lang",
+        "task_specs": """WITH p AS (SELECT unnest(['en', 'en', 'de', 'fr']) AS l, unnest(['de', 'fr', 'es', 'es']) AS r), v AS (SELECT lang, CASE WHEN n_chars < 1000 THEN 'short' ELSE 'long' END AS view, count(*) AS n FROM documents GROUP BY 1, 2)
+            SELECT l || '-' || r || '-' || a.view AS name, a.view, l AS "left", r AS "right", a.n AS n_left, b.n AS n_right FROM p JOIN v a ON a.lang = l JOIN v b ON b.lang = r AND b.view = a.view WHERE least(a.n, b.n) >= 30""",
         "filter_pack": "SELECT c_custkey FROM customer WHERE ((c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal BETWEEN 0 AND 5000) OR c_nationkey = 3) AND NOT contains(c_name, '99')",
         "lenient_cast": "SELECT doc_id, TRY_CAST(replace(source, 'src', '') AS INTEGER) AS source_no, TRY_CAST(lang AS INTEGER) AS bad FROM documents",
         "html_trait_parse": r"""WITH t AS (SELECT page_id, html, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<!--.*?-->|<[^>]*>', ' ', 'g'), '[ \t\n\v\f\r]+', ' ', 'g')) AS text FROM pages)
             SELECT page_id, length(text)::BIGINT AS n_text, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<p>'))::BIGINT AS n_paragraphs, contains(text, 'the') AS has_the FROM t""",
         "scalar_pack": r"""SELECT p_partkey, split_part(p_name, ' ', 1) AS first_word, split_part(p_name, ' ', -1) AS last_word, lower(p_brand) AS brand, regexp_replace(p_brand || '/' || p_type, '[^\p{L}\p{N}\-_.]', '_', 'g') AS safe, p_brand || '.tar' AS stem,
             round(log10(p_retailprice), 6) AS log_price, round(1 / (1 + exp(2 - p_size / 10.0)), 6) AS p, round(ln(1 + exp(2 - p_size / 10.0)), 6) AS bce, round(least(greatest(p_retailprice, 950), 1000), 6) AS clipped, round(2595 * log10(1 + p_retailprice / 700), 6) AS mel,
-            round(-1 + p_size * 0.02, 6) AS mapped FROM part""",
+            round(-1 + p_size * 0.02::DOUBLE, 6) AS mapped FROM part""",
         "json_fields": "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events",
         "colours": "SELECT n_nationkey, round(n_nationkey * 10 / 255.0, 6) AS red, round(n_nationkey / 255.0, 6) AS green, 1.0::DOUBLE AS blue FROM nation",
         "content_identity": """SELECT r_regionkey, substr(sha256('{"r_name":"' || r_name || '","r_regionkey":' || r_regionkey || '}'), 1, 8) AS id FROM region""",
