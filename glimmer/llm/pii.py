@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms for personal data, in DataFrame expressions only.
 
-Candidates are found by one pattern. A candidate is replaced only if it is valid in its own format: payment cards by
-their check digit, dates by the calendar, addresses by their ranges, national numbers by their issued ranges. Its value
+Candidates are found by one pattern. A candidate is replaced only if it is valid in its own format: payment cards and
+accounts by their check digits, dates by the calendar, addresses by their ranges, national numbers by their issued ranges. Its value
 is split into two halves and permuted within the format by a keyed Feistel network of modular additions; so the
 pseudonym is valid too, different values stay different, and equal values stay linked across documents. Mail addresses
 and secrets, which have no numeric format, become keyed digests.
@@ -9,6 +9,7 @@ and secrets, which have no numeric format, become keyed digests.
     kind    permuted                                     kept
     card    all digits but the last                      separators; the check digit is computed anew
     phone   all digits behind the country code           country code, separators
+    iban    the digits of the account                    country, letters, spaces; the check digits are computed anew
     ipv4    the 32-bit address                           dots
     ssn     area, group and serial, within their ranges  dashes
     date    the day among 73,000 days from 1900-01-01    the way it is written
@@ -29,16 +30,17 @@ ROUNDS = 8
 FIRST_DAY, DAY_PARTS = "1900-01-01", (250, 292)
 
 EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}"
-SECRET = r"(?<=(?i:token|secret|passwd|password|api[_-]?key|access[_-]?key)[\x22\x27]?[ \t]{0,3}[:=][ \t]{0,3}[\x22\x27]?)[A-Za-z0-9_/+-]{16,256}"
+SECRET = r"(?<=(?i:token|secret|passwd|password|api[_-]?key|access[_-]?key)[\x22\x27]?[ \t]{0,3}[:=][ \t]{0,3}[\x22\x27]?)[A-Za-z0-9_/+-]{16,256}|(?<![A-Za-z0-9_])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,128})(?![A-Za-z0-9_])"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-]|\.[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 NANP = r"(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}"
 PHONE = rf"(?<![0-9(+.-]){NANP}(?![0-9]|[.-][0-9])|(?<![0-9+])\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,4}}\)[ .-]?)?[0-9]{{2,5}}(?:[ .-]?[0-9]{{2,5}}){{1,4}}(?![0-9]|[.-][0-9])"
 CARD = r"(?<![0-9.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]|-[0-9])"
-ANY = "|".join((EMAIL, SECRET, IPV4, DATE, SSN, PHONE, CARD))
+ANY = "|".join((EMAIL, SECRET, IBAN, IPV4, DATE, SSN, PHONE, CARD))
 #: The kinds that are counted.
-KINDS = ("email", "phone", "card", "ipv4", "date", "ssn", "secret")
+KINDS = ("email", "phone", "card", "iban", "ipv4", "date", "ssn", "secret")
 
 
 def digest(key: str, kind: str, value: Column) -> Column:
@@ -70,7 +72,7 @@ def power_of_ten(n: Column) -> Column:
 
 
 def permuted_digits(key: str, kind: str, digits: Column) -> Column:
-    """A string of 2 to 19 digits as another of the same length."""
+    """A string of 2 to 30 digits as another of the same length."""
     left, right = F.floor(F.length(digits) / 2).cast("int"), F.ceil(F.length(digits) / 2).cast("int")
     halves = permuted(key, kind, F.substring(digits, F.lit(1), left).cast("long"), F.substring(digits, left + 1, right).cast("long"), power_of_ten(left), power_of_ten(right))
     return once(halves, lambda x: F.concat(F.lpad(x["a"].cast("string"), left, "0"), F.lpad(x["b"].cast("string"), right, "0")))
@@ -113,6 +115,25 @@ def phone(key: str, m: Column) -> Column:
     return once(prefix, replaced)
 
 
+def mod97(text: Column) -> Column:
+    """The remainder by 97 of a string of digits and capital letters, in which A is 10 and Z is 35."""
+    return F.aggregate(F.split(text, ""), F.lit(0), lambda held, c: F.when(c.rlike("[0-9]"), (held * 10 + F.ascii(c) - 48) % 97).otherwise((held * 100 + F.ascii(c) - 55) % 97))
+
+
+def iban(key: str, m: Column) -> Column:
+    def replaced(plain: Column) -> Column:
+        country, account = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
+
+        def written(new: Column) -> Column:
+            check = 98 - mod97(F.concat(refilled(account, new), country, F.lit("00")))
+            return refilled(m, F.concat(F.lpad(check.cast("string"), 2, "0"), new))
+
+        valid = F.length(plain).between(15, 34) & (F.length(digits_of(account)) >= 2) & (mod97(F.concat(account, F.substring(plain, 1, 4))) == 1)
+        return F.when(valid, once(permuted_digits(key, "iban", digits_of(account)), written))
+
+    return once(F.regexp_replace(m, " ", ""), replaced)
+
+
 def ipv4(key: str, m: Column) -> Column:
     def replaced(o: Column) -> Column:
         halves = permuted(key, "ipv4", o[0] * 256 + o[1], o[2] * 256 + o[3], 1 << 16, 1 << 16)
@@ -167,6 +188,7 @@ def replacement(key: str, m: Column) -> Column:
     email = F.concat(F.lit("u"), F.substring(digest(key, "email", F.lower(m)), 1, 16), F.lit("@example.invalid"))
     named = (
         F.when(m.contains("@"), as_kind("email", email))
+        .when(whole(IBAN), as_kind("iban", iban(key, m)))
         .when(whole(IPV4), as_kind("ipv4", ipv4(key, m)))
         .when(whole(DATE), as_kind("date", date(key, m)))
         .when(whole(SSN), as_kind("ssn", ssn(key, m)))
