@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from glimmer.llm.common import NO_ID, ship, slices
 
-#: Cells into which a range of identifiers is cut at once, to sum up bytes.
+#: The most cells into which a range of identifiers is cut at once, to sum up bytes.
 CELLS = 4096
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -106,27 +106,40 @@ class Files:
 
 
 def shard_bounds(pages: DataFrame, shard_bytes: int) -> list[int]:
-    """The first identifier of each shard but the first, by exact sums of bytes over ranges of identifiers. A range with
-    more bytes than a shard is cut further until its identifiers are."""
+    """The first identifier of each shard but the first, by exact sums of bytes over cells of identifiers. Cells with more
+    bytes than a shard are cut again, all in one job a level, into about four cells a shard; so what reaches the driver
+    follows the number of shards. A single identifier is never cut."""
     low, high = pages.agg(F.min("page"), F.max(F.when(F.col("page") < NO_ID, F.col("page")))).first()
     if low is None or high is None:
         return []
-    parts: list[tuple[int, int, int]] = []
-
-    def cut(a: int, b: int) -> None:
-        """The byte sums of [a, b], as (first, last, bytes) of its cells."""
-        width = max(1, -(-(b - a + 1) // CELLS))
-        cells = pages.where(F.col("page").between(a, b)).groupBy(F.floor((F.col("page") - F.lit(a)) / F.lit(width)).cast("long").alias("cell")).agg(F.sum("n").alias("n"))
-        for cell, n in sorted((r["cell"], r["n"]) for r in cells.collect()):  # at most CELLS rows
-            first, last = a + cell * width, min(b, a + (cell + 1) * width - 1)
-            if n > shard_bytes and width > 1:
-                cut(first, last)
+    cells: dict[int, tuple[int, int]] = {}  # first identifier: (last, bytes)
+    heavy = [(low, high, CELLS)]
+    while heavy:
+        firsts = np.array([a for a, _, _ in heavy], dtype=np.int64)
+        lasts = np.array([b for _, b, _ in heavy], dtype=np.int64)
+        widths = np.array([max(1, -(-(b - a + 1) // n)) for a, b, n in heavy], dtype=np.int64)
+
+        @F.pandas_udf("long")
+        def cell_of(page: pd.Series) -> pd.Series:
+            ids = page.to_numpy(dtype=np.int64)
+            at = np.maximum(np.searchsorted(firsts, ids, side="right") - 1, 0)
+            inside = (ids >= firsts[at]) & (ids <= lasts[at])
+            return pd.Series(np.where(inside, firsts[at] + (ids - firsts[at]) // widths[at] * widths[at], NO_ID))
+
+        sums = pages.where(F.col("page").between(int(firsts[0]), int(lasts.max()))).groupBy(cell_of("page").alias("cell")).agg(F.sum("n").alias("n"))
+        found = sorted((r["cell"], r["n"]) for r in sums.collect() if r["cell"] != NO_ID)
+        next_heavy = []
+        for cell, n in found:
+            at = int(np.searchsorted(firsts, cell, side="right")) - 1
+            last = min(int(lasts[at]), cell + int(widths[at]) - 1)
+            if n > shard_bytes and last > cell:
+                next_heavy.append((cell, last, min(CELLS, 4 * -(-n // shard_bytes))))
             else:
-                parts.append((first, last, n))
-
-    cut(low, high)
+                cells[cell] = (last, n)
+        heavy = next_heavy
     bounds, held = [], 0
-    for first, _, n in parts:
+    for first in sorted(cells):
+        n = cells[first][1]
         if held and held + n > shard_bytes:
             bounds.append(first)
             held = 0
@@ -154,7 +167,7 @@ def write_warc(pages: DataFrame, out: str, least: int = 100, file_bytes: int = 1
     # a row that says what a page refers to comes just before the page, so the payloads are moved once
     marks = revisits.select("page", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "refers_to")
     records = plain.select("page", "url", "payload", "digest", F.lit(None).cast("long").alias("refers_to")).unionByName(marks).withColumn("shard", shard_of("page"))
-    dealt = records.repartition(max(1, len(bounds) + 1), "shard").sortWithinPartitions("shard", "page", "digest", F.col("refers_to").asc_nulls_last(), "url")
+    dealt = records.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", "page", "digest", F.col("refers_to").asc_nulls_last(), "url")
     schema = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("name", pa.string()), ("n_bytes", pa.int64()), ("n_records", pa.int64()), ("sha256", pa.string())])
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
