@@ -1,0 +1 @@
+"""Activation analytics and corpus preparation on Spark."""
