@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glimmer.llm.bpe import bpe_decode, bpe_encode
+from glimmer.llm.bpe import bpe_encode
 from glimmer.llm.common import scratch_path
 from glimmer.llm.decontaminate import drop_leaks
 from glimmer.llm.lines import dedup_lines
@@ -49,8 +49,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): the token ids, and digests of them and of what they decode to."""
     import public_tokenizers
 
-    path = public_tokenizers.path(RANKS)
-    decoded = bpe_decode(bpe_encode(docs, path, public_tokenizers.PATTERN), path)
+    decoded = bpe_encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, decode=True)
     return decoded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -356,26 +356,32 @@ def read_ranks(path: str) -> bytes:
     return content
 
 
-def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", decode: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids) of each row: ids are little-endian unsigned 32-bit integers. One pass over the texts, no
-    exchange; the rank file, of checked size, is the only thing broadcast."""
+    exchange; the rank file, of checked size, is the only thing broadcast. With decode, also what bpe_decode makes of
+    the ids, by the same worker: (decoded, whole)."""
     spark = docs.sparkSession
     ship(spark)
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
     source = splitting_pattern(pattern)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), *([("decoded", pa.binary()), ("whole", pa.bool_())] if decode else [])])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
+        from glimmer.llm.bpe import decoded as bytes_in
         from glimmer.llm.bpe import transducer as of
 
         machine, split = of(ranks.value), regex.compile(source).findall
         for batch in slices(batches):
             ids = [machine.encode(x.decode("utf-8", "replace"), split) for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield to_batch({"doc_id": batch.column(0), "n_tokens": [len(x) // 4 for x in ids], "ids": ids}, schema)
+            out = {"doc_id": batch.column(0), "n_tokens": [len(x) // 4 for x in ids], "ids": ids}
+            if decode:
+                found = [bytes_in(x, machine.bytes_of) for x in ids]
+                out |= {"decoded": [x for x, _ in found], "whole": [x for _, x in found]}
+            yield to_batch(out, schema)
 
-    return documents(docs, key, text).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return documents(docs, key, text).mapInArrow(run, "doc_id long, n_tokens long, ids binary" + ", decoded binary, whole boolean" * decode)
 
 
 def decoded(ids: bytes, bytes_of: dict[int, bytes], chunk: int = 1 << 16) -> tuple[bytes, bool]:

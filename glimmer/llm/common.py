@@ -12,6 +12,8 @@ Conventions that hold for all of them:
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import io
 import math
 import os
@@ -29,12 +31,18 @@ from pyspark.sql import functions as F
 #: Stands for a null identifier while documents are compared.
 NO_ID = 2**63 - 1
 
+#: Rows of an Arrow batch.
+MOST_ROWS = 2000
+
 _LOCAL: dict[str, tempfile.TemporaryDirectory] = {}
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each application."""
+    """Sends this package to the executors, once for each application; and has Arrow batches hold at most MOST_ROWS rows,
+    as whole texts in batches of Spark's default length take much memory on both sides."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > MOST_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(MOST_ROWS))
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
@@ -55,7 +63,7 @@ def ship(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a local one only where that is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     key = f"scratch-{spark.sparkContext.applicationId}"
@@ -102,8 +110,15 @@ def documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
+def trim() -> None:
+    """Gives memory that is free back to the system: a worker lives on after its task, beside those of later ones."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that each holds about most_bytes at most (one row at least)."""
+    """The batches, cut so that each holds about most_bytes at most (one row at least); free memory goes back at the end."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -119,20 +134,20 @@ def slices(batches: Iterable[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iter
             stop = max(start + 1, int(np.searchsorted(ends, base + most_bytes, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    trim()
 
 
 def keep_rows(docs: DataFrame, text: str, make: Callable[[], Callable[[list[bytes]], np.ndarray]]) -> DataFrame:
     """The rows of docs, all columns, for whose texts (null: empty) the function that make() returns on the executors
     is true. No exchange."""
-    at, kinds = docs.columns.index(text), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    docs_names = list(docs.columns)
+    at, kinds = docs_names.index(text), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decide = make()
-        for batch in batches:
-            names = batch.schema.names
-            for part in slices([batch.rename_columns([*(f"c{i}" if i != at else "text" for i in range(len(names)))])]):
-                keep = decide(utf8(part.column(at)))
-                yield part.filter(pa.array(np.asarray(keep, dtype=bool))).rename_columns(names)
+        decide, names = make(), docs_names
+        for part in slices(b.rename_columns([f"c{i}" if i != at else "text" for i in range(len(names))]) for b in batches):
+            keep = decide(utf8(part.column(at)))
+            yield part.filter(pa.array(np.asarray(keep, dtype=bool))).rename_columns(names)
 
     return docs.mapInArrow(run, kinds)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glimmer.llm.bpe import bpe_decode, bpe_encode
+from glimmer.llm.bpe import bpe_encode
 from glimmer.llm.common import scratch_path
 from glimmer.llm.decontaminate import find_leaks
 from glimmer.llm.hmm import score_texts
@@ -82,8 +82,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = public_tokenizers.path(RANKS)
-    decoded = bpe_decode(bpe_encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    decoded = bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, decode=True)
     return decoded.select("doc_id", "n_tokens", sha("ids").alias("ids_sha256"), sha("decoded").alias("decoded_sha256"))
 
 
