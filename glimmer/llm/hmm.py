@@ -356,7 +356,8 @@ def score_texts(docs: DataFrame, held: Callable[[Column], Column], shape: Shape
 
     blocks = rows.where("kind = 0").select("block", "n", "words", "n_bytes", "n_tokens", "width", "tokens", "n_docs", "docs", "sizes", "held")
     answers = replies.where("kind = 0").select("block", "bucket", "n", "counts")
-    scored = stage(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(classify, SCORED_DDL), "classes")
+    own, back = (x.repartition(buckets, "block").groupBy("block") for x in (blocks, answers))
+    scored = stage(own.cogroup(back).applyInArrow(classify, SCORED_DDL), "classes")
     model = first_model(shape, overall)
     for _ in range(shape.passes):
         model = one_pass(scored, model, overall, shape.smoothing)
