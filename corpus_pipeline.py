@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glimmer.llm.bpe import bpe_encode
-from glimmer.llm.common import scratch_path
+from glimmer.llm.common import NO_ID, scratch_path
 from glimmer.llm.decontaminate import drop_leaks
+from glimmer.llm.jaccard import similar_texts
 from glimmer.llm.lines import dedup_lines
 from glimmer.llm.queries import RANKS, remainder, table
-from glimmer.llm.simhash import near_duplicates
+from glimmer.llm.simhash import contract, near_duplicates
 from glimmer.llm.toxicity import drop_toxic
 
 
@@ -34,9 +35,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest identifier."""
-    found = near_duplicates(docs)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
+    """Of each component of near-duplicates the document with the smallest identifier. Texts link if op1 links them, or
+    if their sets of five-word shingles have a Jaccard similarity of at least 0.8."""
+    keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("key"))
+    near = near_duplicates(keyed, key="key").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    least = contract(near.unionByName(similar_texts(keyed)))
+    named = keyed.select("doc_id", "key").join(least, F.col("key") == F.col("a"), "left").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.coalesce("b", "key").alias("component"))
+    first = named.groupBy("component").agg(F.nullif(F.min("doc"), F.lit(NO_ID)).alias("__kept")).select("__kept").distinct()
     return docs.join(first, docs["doc_id"].eqNullSafe(first["__kept"]), "left_semi").select(*docs.columns)
 
 
