@@ -3,15 +3,19 @@
 Encoding. The merges are compiled, as text calls for it, into a deterministic transducer over bytes. It rests on two
 facts about byte-pair encoding: the encoding of a prefix followed by more text is again composed of neighbours that
 would stay apart if encoded alone, and for each prefix exactly one token can stand last. A state therefore holds, for
-every position at which a token now being read may have begun, the trie node reached and the tokens pending up to
-there; tokens that all these share are certain and are emitted. Their number is bounded by the longest token, so the
-lookahead is bounded. States and transitions are made on first use; when there are as many as memory allows, matches
-that leave them are searched without states, by the same rule for neighbours.
+every place at which a token now being read may have begun, the trie node reached and the token before it; its output is
+the one token that ends here. States do not hold what is still to be emitted, so the rank table bounds their number.
+They and their transitions are made on first use; when there are as many as memory allows all are forgotten and made
+anew, and every match goes through them.
 
-Decoding. Token bytes are concatenated; an incremental UTF-8 machine turns chunks into text and keeps what is
-incomplete for the next chunk.
+Emission. All places at which a token may have begun are reached from one common place by the tokens that end there; the
+tokens up to it are certain. It lies back by the longest token at most a few times, so the lookahead is bounded; long
+matches are emitted as they are read.
 
-Null or empty texts give no tokens. Very long matches of the splitting pattern take time in proportion to their length.
+Decoding. Token bytes go through an incremental UTF-8 machine, which turns chunks into text and keeps what is incomplete
+for the next chunk; its text is the result. Broken sequences, which no encoded text gives, become U+FFFD.
+
+Null or empty texts give no tokens. The time for a match is in proportion to its length.
 """
 
 from __future__ import annotations
@@ -29,13 +33,15 @@ from glimmer.llm.common import documents, ship, slices, to_batch
 #: The largest rank file that is broadcast.
 MOST_RANK_BYTES = 64 << 20
 #: Bounds of what a worker remembers: states, matches and token pairs.
-MOST_STATES, MOST_MATCHES, MOST_PAIRS = 10_000, 150_000, 250_000
+MOST_STATES, MOST_MATCHES, MOST_PAIRS = 150_000, 150_000, 250_000
 #: Subtrees of so many tokens at most are searched for one that can follow.
 FEW_BELOW = 24
-#: Longer matches seldom stay within the states once there can be no more of them.
-SHORT = 6
 #: Longer matches are not remembered.
 LONGEST_MATCH = 32
+#: Places of a match whose tokens wait to be emitted.
+MOST_WAITING = 4096
+#: Tokens that are decoded together.
+CHUNK = 1 << 12
 
 
 def parse_ranks(content: bytes) -> dict[bytes, int]:
@@ -49,25 +55,26 @@ def splitting_pattern(pattern: str) -> str:
 
 
 class Node:
-    """A trie node: the token that ends here, the next bytes, and the tokens below it if they are few."""
+    """A trie node: its depth, the token that ends here, the next bytes, and the tokens below it if they are few."""
 
-    __slots__ = ("below", "next", "token")
+    __slots__ = ("below", "depth", "next", "token")
 
-    def __init__(self) -> None:
+    def __init__(self, depth: int) -> None:
         self.next: dict[int, Node] = {}
+        self.depth = depth
         self.token: int | None = None
         self.below: tuple[int, ...] | None = ()
 
 
 class State:
-    """items: (trie node, token before it, pending tokens) of each position at which a token may have begun, oldest first; the last
-    one is the position reached."""
+    """items: (trie node, token before it) of each place at which a token may have begun, oldest first; the last one is
+    the place reached. token: the output, the token that ends here."""
 
-    __slots__ = ("final", "items", "next")
+    __slots__ = ("items", "next", "token")
 
-    def __init__(self, items: tuple, final: bytes) -> None:
-        self.items, self.final = items, final
-        self.next: dict[int, tuple[State, bytes]] = {}
+    def __init__(self, items: tuple) -> None:
+        self.items, self.token = items, items[-1][1]
+        self.next: dict[int, State] = {}
 
 
 class Transducer:
@@ -76,11 +83,15 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.root = Node()
+        self.size_of = {rank: len(token) for token, rank in ranks.items()}
+        self.root = Node(0)
         for token, rank in ranks.items():
             node = self.root
             for byte in token:
-                node = node.next.setdefault(byte, Node())
+                following = node.next.get(byte)
+                if following is None:
+                    following = node.next[byte] = Node(node.depth + 1)
+                node = following
             node.token = rank
         self.list_below(self.root)
         self.split: dict[int, tuple[int, int] | None] = {}
@@ -90,7 +101,8 @@ class Transducer:
         self.matches: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.states: dict[tuple, State] = {}
-        self.start = self.state(((self.root, -1, ()),))
+        self.made = 0
+        self.start = self.state(((self.root, -1),))
 
     def list_below(self, node: Node) -> tuple[int, ...] | None:
         """Sets below for the subtree; returns the tokens at or below node if they are few."""
@@ -102,24 +114,16 @@ class Transducer:
         return None if found is None else found if node.token is None else (node.token, *found)
 
     def state(self, items: tuple) -> State:
-        key = tuple((id(node), last, pending) for node, last, pending in items)
+        key = tuple((id(node), last) for node, last in items)
         found = self.states.get(key)
         if found is None:
-            pending = items[-1][2]
-            found = self.states[key] = State(items, struct.pack(f"<{len(pending)}I", *pending))
+            if len(self.states) >= MOST_STATES:
+                self.states = {}
+                self.start = State(((self.root, -1),))
+            found = self.states[key] = State(items)
+            self.made += 1
         return found
 
-    def merged(self, text: bytes) -> list[bytes]:
-        """Plain byte-pair encoding of a short text: merge the lowest rank, leftmost first, until none is left."""
-        parts = [text[i : i + 1] for i in range(len(text))]
-        ranks = self.ranks
-        while len(parts) > 1:
-            best, at = min((ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if best == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for a single byte."""
         if token not in self.split:
@@ -176,91 +180,58 @@ class Transducer:
             return True
         return any(self.apart(last, token) for token in node.below)
 
-    def step(self, state: State, byte: int) -> tuple[State, bytes]:
+    def step(self, state: State, byte: int) -> State:
         """The transition for a byte, made now and kept."""
         items, reached = [], None
-        for node, last, pending in state.items:
+        for node, last in state.items:
             child = node.next.get(byte)
             if child is None:
                 continue
             token = child.token
             if token is not None and reached is None and (last < 0 or self.apart(last, token)):
-                reached = (self.root, token, (*pending, token))
+                reached = token
             if child.next and self.alive(child, last):
-                items.append((child, last, pending))
+                items.append((child, last))
         if reached is None:
             raise ValueError(f"the rank table has no token for byte {byte}")
-        items.append(reached)
-        shared = min(len(pending) for _, _, pending in items)
-        first, same = items[0][2], 0
-        while same < shared and all(pending[same] == first[same] for _, _, pending in items):
-            same += 1
-        out = struct.pack(f"<{same}I", *first[:same])
-        found = state.next[byte] = (self.state(tuple((node, last, pending[same:]) for node, last, pending in items)), out)
+        items.append((self.root, reached))
+        found = state.next[byte] = self.state(tuple(items))
         return found
 
+    def certain(self, state: State, tokens: list[int]) -> int:
+        """The last place that the tokens before all open places have in common. tokens: those that end at each place."""
+        at = len(tokens)
+        open_at = {at - node.depth for node, _ in state.items}
+        while len(open_at) > 1:
+            last = max(open_at)
+            open_at.remove(last)
+            open_at.add(last - self.size_of[tokens[last - 1]])
+        return open_at.pop()
+
+    def path(self, tokens: list[int], at: int) -> bytes:
+        """The ids up to a place, given the token that ends at each place."""
+        out, size_of = [], self.size_of
+        while at:
+            token = tokens[at - 1]
+            out.append(token)
+            at -= size_of[token]
+        out.reverse()
+        return struct.pack(f"<{len(out)}I", *out)
+
     def encode_bytes(self, text: bytes) -> bytes:
         """The ids of one match, as little-endian unsigned 32-bit integers."""
-        full = len(self.states) >= MOST_STATES
-        if full and len(text) > SHORT:
-            return self.searched(text)
-        state, out = self.start, []
+        state, tokens, out = self.start, [], []
         for byte in text:
-            found = state.next.get(byte)
-            if found is None:
-                if full:
-                    return self.searched(text)
-                found = self.step(state, byte)
-            state, known = found
-            if known:
-                out.append(known)
-        out.append(state.final)
+            following = state.next.get(byte)
+            state = following if following is not None else self.step(state, byte)
+            tokens.append(state.token)
+            if len(tokens) >= MOST_WAITING:
+                at = self.certain(state, tokens)
+                out.append(self.path(tokens, at))
+                del tokens[:at]
+        out.append(self.path(tokens, len(tokens)))
         return b"".join(out)
 
-    def searched(self, text: bytes) -> bytes:
-        """As encode_bytes, without states: at each position the longest token that can follow the last one, depth first.
-        All ways to a position that join only tokens that stay apart are one and the same, so a position without a way
-        on is never entered again, and time is linear."""
-        n, first, rows = len(text), self.root.next, self.rows
-        closed, taken, starts, at = bytearray(n + 1), [], [], 0
-        while at < n:
-            following, found = first, []
-            for end in range(at, n):
-                node = following.get(text[end])
-                if node is None:
-                    break
-                if node.token is not None:
-                    found.append((end + 1, node.token))
-                following = node.next
-            if taken:
-                before = taken[-1]
-                row = rows.get(before)
-                if row is None:
-                    row = rows[before] = {}
-                for end, token in reversed(found):
-                    if closed[end]:
-                        continue
-                    apart = row.get(token)
-                    if apart is None:
-                        apart = self.apart(before, token)
-                    if apart:
-                        break
-                else:
-                    closed[at] = 1
-                    taken.pop()
-                    at = starts.pop()
-                    continue
-            else:
-                for end, token in reversed(found):
-                    if not closed[end]:
-                        break
-                else:
-                    raise ValueError("the rank table lacks a single byte")
-            taken.append(token)
-            starts.append(at)
-            at = end
-        return struct.pack(f"<{len(taken)}I", *taken)
-
     def encode(self, text: str, split: Callable[[str], list[str]]) -> bytes:
         """The ids of a text that split cuts into matches. Matches are remembered in two generations, so that frequent
         ones stay known when the older generation goes."""
@@ -328,6 +299,7 @@ class Utf8Machine:
 
 _TRANSDUCERS: dict[bytes, Transducer] = {}
 _TOKENS: dict[bytes, dict[int, bytes]] = {}
+DECODED = "doc_id long, n_tokens long, ids binary, decoded string, whole boolean"
 
 
 def transducer(content: bytes) -> Transducer:
@@ -364,7 +336,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_i
     ship(spark)
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
     source = splitting_pattern(pattern)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), *([("decoded", pa.binary()), ("whole", pa.bool_())] if decode else [])])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), *([("decoded", pa.string()), ("whole", pa.bool_())] if decode else [])])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -381,19 +353,17 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_i
                 out |= {"decoded": [x for x, _ in found], "whole": [x for _, x in found]}
             yield to_batch(out, schema)
 
-    return documents(docs, key, text).mapInArrow(run, "doc_id long, n_tokens long, ids binary" + ", decoded binary, whole boolean" * decode)
+    return documents(docs, key, text).mapInArrow(run, DECODED if decode else "doc_id long, n_tokens long, ids binary")
 
 
-def decoded(ids: bytes, bytes_of: dict[int, bytes], chunk: int = 1 << 16) -> tuple[bytes, bool]:
-    """The bytes of ids, and whether they are whole UTF-8; read in chunks, as from a stream."""
+def decoded(ids: bytes, bytes_of: dict[int, bytes]) -> tuple[str, bool]:
+    """What the UTF-8 machine makes of ids, chunk by chunk; and whether no sequence was broken."""
     machine, out = Utf8Machine(), []
-    for start in range(0, len(ids), 4 * chunk):
-        part = ids[start : start + 4 * chunk]
-        found = b"".join(map(bytes_of.__getitem__, struct.unpack(f"<{len(part) // 4}I", part)))
-        machine.feed(found)
-        out.append(found)
-    machine.finish()
-    return b"".join(out), machine.valid
+    for start in range(0, len(ids), 4 * CHUNK):
+        part = ids[start : start + 4 * CHUNK]
+        out.append(machine.feed(b"".join(map(bytes_of.__getitem__, struct.unpack(f"<{len(part) // 4}I", part)))))
+    out.append(machine.finish())
+    return "".join(out), machine.valid
 
 
 def decode_stream(chunks: Iterable[bytes], bytes_of: dict[int, bytes]) -> Iterator[str]:
@@ -405,12 +375,12 @@ def decode_stream(chunks: Iterable[bytes], bytes_of: dict[int, bytes]) -> Iterat
 
 
 def bpe_decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded, whole) from what bpe_encode returns: decoded are bytes, whole says whether they
-    are valid UTF-8."""
+    """(doc_id, n_tokens, ids, decoded, whole) from what bpe_encode returns: decoded is the text, whole says whether the
+    bytes were valid UTF-8."""
     spark: SparkSession = encoded.sparkSession
     ship(spark)
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary()), ("whole", pa.bool_())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string()), ("whole", pa.bool_())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from glimmer.llm.bpe import decoded as bytes_in
@@ -424,4 +394,4 @@ def bpe_decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
                 found = [bytes_in(x, bytes_of) for x in part.column(2).to_pylist()]
                 yield to_batch({"doc_id": part.column(0), "n_tokens": part.column(1), "ids": part.column(2), "decoded": [x for x, _ in found], "whole": [x for _, x in found]}, schema)
 
-    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary, whole boolean")
+    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, DECODED)

@@ -83,7 +83,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     decoded = bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, decode=True)
-    return decoded.select("doc_id", "n_tokens", sha("ids").alias("ids_sha256"), sha("decoded").alias("decoded_sha256"))
+    return decoded.select("doc_id", "n_tokens", sha("ids").alias("ids_sha256"), sha(F.col("decoded").cast("binary")).alias("decoded_sha256"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -309,7 +309,34 @@ def test_transducer_on_random_texts(monkeypatch, tokenizer, states):
         text = "".join(chance.choices(pieces, k=chance.randrange(40)))
         ids = machine.encode(text, split)
         assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == tokenizer.encode_ordinary(text)
-    assert machine.encode("a" * 5000, split) == struct.pack(f"<{len(x := tokenizer.encode_ordinary('a' * 5000))}I", *x)
+    for text in ("a" * 5000, "".join(chance.choices("aeinrst", k=10_000)), " " * 9000):  # longer than what waits to be emitted
+        assert machine.encode(text, split) == struct.pack(f"<{len(x := tokenizer.encode_ordinary(text))}I", *x)
+
+
+def test_every_match_goes_through_the_transducer(spark, tokenizer):
+    """On all texts of the middle table: the state before the end of a match gives its last token, and states stay few."""
+    machine = bpe.Transducer(bpe.parse_ranks(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))))
+    split = regex.compile(bpe.splitting_pattern(public_tokenizers.PATTERN)).findall
+    pieces = {p for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() for p in split(r.text or "")}
+    steps = 0
+    for piece in pieces:
+        ids = struct.unpack(f"<{len(machine.encode_bytes(piece.encode())) // 4}I", machine.encode_bytes(piece.encode()))
+        state = machine.start
+        for byte in piece.encode():
+            state = state.next[byte]
+            steps += 1
+        assert state.token == ids[-1] and b"".join(map(machine.bytes_of.__getitem__, ids)) == piece.encode()
+        assert list(ids) == tokenizer.encode_ordinary(piece)
+    assert steps == sum(len(p.encode()) for p in pieces) and machine.made < steps / 4
+
+
+def test_chunks_of_ids_become_text(tokenizer):
+    text = "aé日😀́z and more, " * 3000
+    ids, bytes_of = tokenizer.encode_ordinary(text), {i: tokenizer.decode_single_token_bytes(i) for i in range(tokenizer.n_vocab)}
+    raw = struct.pack(f"<{len(ids)}I", *ids)
+    assert bpe.decoded(raw, bytes_of) == (text, True)
+    assert "".join(bpe.decode_stream((raw[i : i + 4] for i in range(0, len(raw), 4)), bytes_of)) == text
+    assert bpe.decoded(struct.pack("<I", next(i for i, b in bytes_of.items() if b == b"\xff")), bytes_of) == ("\ufffd", False)
 
 
 def test_streams_of_bytes_become_text():
