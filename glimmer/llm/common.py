@@ -91,23 +91,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def planned_bytes(df: DataFrame) -> int | None:
-    """The optimizer's estimate of df's size, from file sizes; no job runs. None if it has none."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 1 << 58 else None
+def text_bytes(df: DataFrame, text: str) -> int:
+    """The bytes of all texts, counted: sizes of files say little of texts that compress well."""
+    return int(df.agg(F.sum(F.octet_length(F.col(quoted(text)).cast("string")))).first()[0] or 0)
 
 
 def count_blocks(df: DataFrame, block_bytes: int, least: int = 16, text: str = "text") -> int:
-    """How many blocks of about block_bytes (of stored bytes; of text where there is no estimate) df falls into."""
-    size = planned_bytes(df)
-    if size is None:
-        size = df.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
-    return max(least, min(1_000_000, math.ceil(size / block_bytes)))
+    """How many blocks of about block_bytes of text df falls into."""
+    return max(least, math.ceil(text_bytes(df, text) / block_bytes))
 
 
 def documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The two columns that matter, as (doc_id long, text string not null)."""
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    return df.select(F.col(quoted(key)).cast("long").alias("doc_id"), F.coalesce(F.col(quoted(text)).cast("string"), F.lit("")).alias("text"))
+
+
+def quoted(name: str) -> str:
+    """A column's name for expressions, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def trim() -> None:

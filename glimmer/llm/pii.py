@@ -1,44 +1,66 @@
 """Format-preserving pseudonyms for personal data, in DataFrame expressions only.
 
-Candidates are found by one pattern. A candidate is replaced only if it is valid in its own format: payment cards and
-accounts by their check digits, dates by the calendar, addresses by their ranges, national numbers by their issued ranges. Its value
-is split into two halves and permuted within the format by a keyed Feistel network of modular additions; so the
-pseudonym is valid too, different values stay different, and equal values stay linked across documents. Mail addresses
-and secrets, which have no numeric format, become keyed digests.
-
-    kind    permuted                                     kept
-    card    all digits but the last                      separators; the check digit is computed anew
-    phone   all digits behind the country code           country code, separators
-    iban    the digits of the account                    country, letters, spaces; the check digits are computed anew
-    ipv4    the 32-bit address                           dots
-    ssn     area, group and serial, within their ranges  dashes
-    date    the day among 73,000 days from 1900-01-01    the way it is written
+Candidates are found by one pattern. A candidate is replaced as a whole, and only if it is valid in its own format:
+payment cards and accounts by their check digits, dates by the calendar, addresses by their ranges, national numbers by
+their issued ranges, phone numbers by an assigned country code and their length. Its value is split into two halves and
+permuted within the format by a keyed Feistel network of modular additions; so the pseudonym is valid too, different
+values stay different, and equal values stay linked across documents. Mail addresses and secrets, which have no numeric
+format, become keyed digests.
+
+    kind    permuted                                       kept
+    card    all digits but the last                        separators; the check digit is computed anew
+    phone   all digits behind the country code; in the     country code, separators; a first digit of a part that is
+            North American plan parts begin with 2 to 9    0 or 1 there (such a number is not issued)
+    iban    the digits of the account                      country, letters, spaces; the check digits are computed anew
+    ipv4    the 32-bit address                             dots
+    ssn     area, group and serial, within their ranges    dashes
+    date    the day among 73,000 days from 1900-01-01      the way it is written
     email   becomes a digest at example.invalid
-    secret  becomes a digest in the same alphabet        length, up to 64 characters
+    secret  becomes 16 to 64 hexadecimal digits            the name before it, quotes, closing punctuation
 
-A null text stays null, an empty one stays empty. Texts without digits and @ are not searched. Digits are ASCII digits.
+A secret is a key of a known shape, or a value behind a name such as "password" and a colon or equals sign: up to the
+closing quote, else to the next white space or quote, without closing punctuation. Values of fewer than six characters
+and plain words are none: only letters, lower case behind the first, with inner hyphens or apostrophes, and fewer than
+16 in a row. No kind has a greatest length beyond that of its format.
+
+A null text stays null, an empty one stays empty. Digits are ASCII digits.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glimmer.llm.common import quoted
+
 #: Rounds of the network.
 ROUNDS = 8
 #: Dates are permuted among so many days from the first.
 FIRST_DAY, DAY_PARTS = "1900-01-01", (250, 292)
 
-EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}"
-SECRET = r"(?<=(?i:token|secret|passwd|password|api[_-]?key|access[_-]?key)[\x22\x27]?[ \t]{0,3}[:=][ \t]{0,3}[\x22\x27]?)[A-Za-z0-9_/+-]{16,256}|(?<![A-Za-z0-9_])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,128})(?![A-Za-z0-9_])"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]*[A-Za-z0-9-]\.[A-Za-z]{2,}"
+#: What stands before a secret.
+NAMED = r"(?i:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key)[\x22\x27]?[ \t]*+[:=][ \t]*+"
+SECRET = (
+    rf"{NAMED}(?:\x22[^\x22\r\n]++(?=\x22)|\x27[^\x27\r\n]++(?=\x27)|[\x22\x27]?[^\s\x22\x27]*[^\s\x22\x27.,;:)\]}}])"
+    r"|(?<![A-Za-z0-9_])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,})(?![A-Za-z0-9_])"
+)
+#: What no plain words hold: digits and symbols, a capital behind a letter, 16 letters in a row.
+TELLING = r"[^\p{L}\x27\u2019 -]|\p{L}\p{Lu}|\p{L}{16}"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-]|\.[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 NANP = r"(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}"
-PHONE = rf"(?<![0-9(+.-]){NANP}(?![0-9]|[.-][0-9])|(?<![0-9+])\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,4}}\)[ .-]?)?[0-9]{{2,5}}(?:[ .-]?[0-9]{{2,5}}){{1,4}}(?![0-9]|[.-][0-9])"
+#: The assigned country codes by their first digits.
+COUNTRY = r"\+(?:[17]|2(?:[07]|[1-69][0-9])|3(?:[0-469]|[578][0-9])|4(?:[013-9]|2[0-9])|5(?:[1-8]|[09][0-9])|6(?:[0-6]|[789][0-9])|8(?:[1246]|[0578][0-9])|9(?:[0-58]|[679][0-9]))"
+PHONE = rf"(?<![0-9(+.-]){NANP}(?![0-9]|[.-][0-9])|(?<![0-9+])\+[0-9](?:[ .-]?[0-9]|[ .-]?\([0-9]{{1,4}}\)){{4,14}}(?![0-9]|[.-][0-9])"
 CARD = r"(?<![0-9.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]|-[0-9])"
 ANY = "|".join((EMAIL, SECRET, IBAN, IPV4, DATE, SSN, PHONE, CARD))
+#: Texts without any of these hold no candidate.
+HINT = r"[0-9@]|(?i:token|secret|passwd|password|pwd|key)|AKIA|gh[pousr]_|sk-"
 #: The kinds that are counted.
 KINDS = ("email", "phone", "card", "iban", "ipv4", "date", "ssn", "secret")
 
@@ -47,7 +69,7 @@ def digest(key: str, kind: str, value: Column) -> Column:
     return F.sha2(F.concat(F.lit(f"{key}\x1f{kind}\x1f"), value).cast("binary"), 256)
 
 
-def permuted(key: str, kind: str, a: Column, b: Column, a_size: Column | int, b_size: Column | int) -> Column:
+def permuted(key: str, kind: str, a: Column, b: Column, a_size: Column | int, b_size: Column | int, beside: Column | None = None) -> Column:
     """The struct (a, b), 0 <= a < a_size and 0 <= b < b_size, after the rounds: each adds a keyed digest of one half to the other."""
 
     def turn(held: Column, i: Column) -> Column:
@@ -58,7 +80,7 @@ def permuted(key: str, kind: str, a: Column, b: Column, a_size: Column | int, b_
         odd = F.struct(held["a"].alias("a"), F.pmod(held["b"] + value(held["a"]), F.lit(b_size) if isinstance(b_size, int) else b_size).cast("long").alias("b"))
         return F.when(i % 2 == 0, even).otherwise(odd)
 
-    sizes = F.concat_ws(":", *((F.lit(x) if isinstance(x, int) else x).cast("string") for x in (a_size, b_size)))
+    sizes = F.concat_ws(":", *((F.lit(x) if isinstance(x, int) else x).cast("string") for x in (a_size, b_size)), *([] if beside is None else [beside]))
     return F.aggregate(F.array(*(F.lit(i) for i in range(ROUNDS))), F.struct(a.cast("long").alias("a"), b.cast("long").alias("b")), turn)
 
 
@@ -71,10 +93,10 @@ def power_of_ten(n: Column) -> Column:
     return F.rpad(F.lit("1"), (n + 1).cast("int"), "0").cast("long")
 
 
-def permuted_digits(key: str, kind: str, digits: Column) -> Column:
-    """A string of 2 to 30 digits as another of the same length."""
+def permuted_digits(key: str, kind: str, digits: Column, beside: Column | None = None) -> Column:
+    """A string of 2 to 30 digits as another of the same length; beside: what else the permutation depends on."""
     left, right = F.floor(F.length(digits) / 2).cast("int"), F.ceil(F.length(digits) / 2).cast("int")
-    halves = permuted(key, kind, F.substring(digits, F.lit(1), left).cast("long"), F.substring(digits, left + 1, right).cast("long"), power_of_ten(left), power_of_ten(right))
+    halves = permuted(key, kind, F.substring(digits, F.lit(1), left).cast("long"), F.substring(digits, left + 1, right).cast("long"), power_of_ten(left), power_of_ten(right), beside)
     return once(halves, lambda x: F.concat(F.lpad(x["a"].cast("string"), left, "0"), F.lpad(x["b"].cast("string"), right, "0")))
 
 
@@ -105,14 +127,29 @@ def card(key: str, m: Column) -> Column:
 
 
 def phone(key: str, m: Column) -> Column:
-    prefix = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .(-])|^\+[0-9]", 0)
+    code = F.regexp_extract(m, f"^{COUNTRY}", 0)
+
+    def plain(digits: Column) -> Column:
+        return permuted_digits(key, "phone", digits)
+
+    def american(digits: Column) -> Column:
+        """Area, exchange and line of ten digits."""
+        area, exchange = F.substring(digits, 1, 3).cast("long"), F.substring(digits, 4, 3).cast("long")
+        halves = permuted(key, "phone-plan", (area - 200) * 800 + exchange - 200, F.substring(digits, 7, 4).cast("long"), 800 * 800, 10_000)
+        issued = once(halves, lambda x: F.concat((F.floor(x["a"] / 800) + 200).cast("string"), (x["a"] % 800 + 200).cast("string"), F.lpad(x["b"].cast("string"), 4, "0")))
+        first, second = F.substring(digits, 1, 1), F.substring(digits, 4, 1)
+        rest = permuted_digits(key, "phone-rest", F.concat(F.substring(digits, 2, 2), F.substring(digits, 5, 6)), F.concat(first, second))
+        other = once(rest, lambda x: F.concat(first, F.substring(x, 1, 2), second, F.substring(x, 3, 6)))
+        return F.when((area >= 200) & (exchange >= 200), issued).otherwise(other)
 
     def replaced(p: Column) -> Column:
-        rest = F.substring(m, F.length(p) + 1, F.length(m))
-        total = F.length(digits_of(m))
-        return F.when(total.between(8, 15) & (F.length(digits_of(rest)) >= 6), F.concat(p, once(permuted_digits(key, "phone", digits_of(rest)), lambda new: refilled(rest, new))))
+        rest, total = F.substring(m, F.length(p) + 1, F.length(m)), F.length(digits_of(m))
+        valid = total.between(8, 15) & (F.length(digits_of(rest)) >= 6) & ((p != "") | ~m.startswith("+"))
+        ten = (F.length(digits_of(rest)) == 10) & p.isin("", "+1")
+        new = once(digits_of(rest), lambda d: F.when(ten, american(d)).otherwise(plain(d)))
+        return F.when(valid, F.concat(p, once(new, lambda d: refilled(rest, d))))
 
-    return once(prefix, replaced)
+    return once(code, replaced)
 
 
 def mod97(text: Column) -> Column:
@@ -173,7 +210,13 @@ def date(key: str, m: Column) -> Column:
 
 
 def secret(key: str, m: Column) -> Column:
-    return F.when(m.rlike("[0-9]"), F.substring(digest(key, "secret", m), F.lit(1), F.length(m)))
+    def replaced(name: Column) -> Column:
+        value = F.substring(m, F.length(name) + 1, F.length(m))
+        valid = (name == "") | ((F.length(value) >= 6) & value.rlike(TELLING))
+        size = F.least(F.lit(64), F.greatest(F.lit(16), F.length(value)))
+        return F.when(valid, F.concat(name, F.substring(digest(key, "secret", value), F.lit(1), size)))
+
+    return once(F.regexp_extract(m, rf"^{NAMED}[\x22\x27]?", 0), replaced)
 
 
 def replacement(key: str, m: Column) -> Column:
@@ -186,8 +229,9 @@ def replacement(key: str, m: Column) -> Column:
         return m.rlike(f"^(?:{pattern})$")
 
     email = F.concat(F.lit("u"), F.substring(digest(key, "email", F.lower(m)), 1, 16), F.lit("@example.invalid"))
-    named = (
-        F.when(m.contains("@"), as_kind("email", email))
+    return (
+        F.when(m.rlike(f"^{NAMED}"), as_kind("secret", secret(key, m)))
+        .when(whole(EMAIL), as_kind("email", email))
         .when(whole(IBAN), as_kind("iban", iban(key, m)))
         .when(whole(IPV4), as_kind("ipv4", ipv4(key, m)))
         .when(whole(DATE), as_kind("date", date(key, m)))
@@ -196,22 +240,21 @@ def replacement(key: str, m: Column) -> Column:
         .when(whole(CARD), as_kind("card", card(key, m)))
         .otherwise(as_kind("secret", secret(key, m)))
     )
-    return named
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """All columns of docs with the text rewritten, and n_<kind> of each kind in place of such columns. key: the secret that fixes the
     permutations. One scan, no exchange, no Python."""
     docs = docs.drop(*(f"n_{kind}" for kind in KINDS))
-    content = F.col(text)
-    searched = content.rlike("[0-9@]") & content.rlike(ANY)
-    found = F.when(searched, F.transform(F.regexp_extract_all(content, F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("old"), replacement(key, m).alias("at"))))
-    marked = docs.withColumn("__found", found)
+    mark = next(name for i in count() if (name := f"found_{i}") not in {c.lower() for c in docs.columns})
+    content, found = F.col(quoted(text)), F.col(mark)
+    searched = content.rlike(HINT) & content.rlike(ANY)
+    marked = docs.withColumn(mark, F.when(searched, F.transform(F.regexp_extract_all(content, F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("old"), replacement(key, m).alias("at")))))
     gaps = F.split(content, ANY, -1)
-    pieces = F.transform(gaps, lambda gap, i: F.concat(gap, F.coalesce(F.get("__found", i)["at"]["new"], F.get("__found", i)["old"], F.lit(""))))
-    new = F.when(F.col("__found").isNull(), content).otherwise(F.array_join(pieces, ""))
+    pieces = F.transform(gaps, lambda gap, i: F.concat(gap, F.coalesce(F.get(found, i)["at"]["new"], F.get(found, i)["old"], F.lit(""))))
+    new = F.when(found.isNull(), content).otherwise(F.array_join(pieces, ""))
 
     def counted(kind: str) -> Column:
-        return F.coalesce(F.size(F.filter("__found", lambda x: x["at"]["kind"] == kind)), F.lit(0)).cast("long").alias(f"n_{kind}")
+        return F.coalesce(F.size(F.filter(found, lambda x: x["at"]["kind"] == kind)), F.lit(0)).cast("long").alias(f"n_{kind}")
 
-    return marked.select(*(new.alias(text) if c == text else docs[c] for c in docs.columns), *map(counted, KINDS))
+    return marked.select(*(new.alias(text) if c == text else F.col(quoted(c)) for c in docs.columns), *map(counted, KINDS))
