@@ -63,11 +63,16 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), sha("kept").alias("kept_sha256"))
 
 
+def fails_base(x) -> bool:
+    """Whether a measured text is too short or mostly repeated windows."""
+    return x.n_words < 50 or 100 * x.n_repeat_words > 50 * x.n_words
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    found = quality_cascade(table(spark, sf_dir, "documents"), measures=measures)
+    found = quality_cascade(table(spark, sf_dir, "documents"), measures=measures, fails=fails_base)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return found.select("doc_id", *measures, failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"))
+    return found.select("doc_id", *measures, failed.alias("base_failed"), "kept")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

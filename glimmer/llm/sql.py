@@ -37,11 +37,14 @@ WITH base AS (SELECT doc_id, coalesce(text, '') AS text FROM documents
   SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(lines) AS n_lines,
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
-    len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS n_worded
+    len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS n_worded,
+    coalesce(list_max(map_values(list_histogram(w))), 0) AS n_common,
+    len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*\x{{2022}}]'))) AS n_bullets,
+    len(list_filter(lines, lambda x: regexp_matches(x, '([.][.][.]|\x{{2026}})[\x20\x09-\x0D]*$'))) AS n_cut
   FROM split LEFT JOIN repeats USING (doc_id)
 ), f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND n_repeat_words <= 0.5 * n_words AND n_dup_lines <= 0.5 * greatest(1, n_lines) AND n_worded >= 0.7 * n_words
+  NOT base_failed AND n_common <= 0.3 * n_words AND n_bullets <= 0.9 * greatest(1, n_lines) AND n_cut <= 0.3 * greatest(1, n_lines) AND n_dup_lines <= 0.5 * greatest(1, n_lines) AND n_worded >= 0.7 * n_words
     AND n_symbols <= 0.1 * greatest(1, n_words) AND word_chars BETWEEN 2 * n_words AND 15 * n_words AS kept
 FROM f
 """
