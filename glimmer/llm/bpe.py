@@ -33,7 +33,7 @@ from glimmer.llm.common import documents, ship, slices, to_batch
 #: The largest rank file that is broadcast.
 MOST_RANK_BYTES = 64 << 20
 #: Bounds of what a worker remembers: states, matches and token pairs.
-MOST_STATES, MOST_MATCHES, MOST_PAIRS = 150_000, 150_000, 250_000
+MOST_STATES, MOST_MATCHES, MOST_PAIRS = 250_000, 300_000, 500_000
 #: Subtrees of so many tokens at most are searched for one that can follow.
 FEW_BELOW = 24
 #: Longer matches are not remembered.
@@ -66,15 +66,38 @@ class Node:
         self.below: tuple[int, ...] | None = ()
 
 
-class State:
-    """items: (trie node, token before it) of each place at which a token may have begun, oldest first; the last one is
-    the place reached. token: the output, the token that ends here."""
+class State(dict):
+    """The next state for each byte, made on first use. items: (trie node, token before it) of each place at which a
+    token may have begun, oldest first; the last one is the place reached. token: the output, the token that ends here."""
 
-    __slots__ = ("items", "next", "token")
+    __slots__ = ("items_at", "machine", "token")
 
-    def __init__(self, items: tuple) -> None:
-        self.items, self.token = items, items[-1][1]
-        self.next: dict[int, State] = {}
+    def __init__(self, machine: Transducer, items: tuple) -> None:
+        self.machine, self.items_at, self.token = machine, items, items[-1][1]
+
+    def __missing__(self, byte: int) -> State:
+        found = self[byte] = self.machine.step(self, byte)
+        return found
+
+
+class Matches(dict):
+    """The ids of matches, in two generations, so that frequent ones stay known when the older generation goes."""
+
+    __slots__ = ("encode", "older")
+
+    def __init__(self, encode: Callable[[bytes], bytes]) -> None:
+        self.encode, self.older = encode, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece)
+        if found is None:
+            found = self.encode(piece.encode("utf-8"))
+        if len(piece) <= LONGEST_MATCH:
+            if len(self) >= MOST_MATCHES // 2:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = found
+        return found
 
 
 class Transducer:
@@ -98,8 +121,7 @@ class Transducer:
         self.edges: tuple[dict, dict] = ({}, {})
         self.rows: dict[int, dict[int, bool]] = {}
         self.known = 0
-        self.matches: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.matches = Matches(self.encode_bytes)
         self.states: dict[tuple, State] = {}
         self.made = 0
         self.start = self.state(((self.root, -1),))
@@ -114,13 +136,12 @@ class Transducer:
         return None if found is None else found if node.token is None else (node.token, *found)
 
     def state(self, items: tuple) -> State:
-        key = tuple((id(node), last) for node, last in items)
-        found = self.states.get(key)
+        found = self.states.get(items)
         if found is None:
             if len(self.states) >= MOST_STATES:
                 self.states = {}
-                self.start = State(((self.root, -1),))
-            found = self.states[key] = State(items)
+                self.start = State(self, ((self.root, -1),))
+            found = self.states[items] = State(self, items)
             self.made += 1
         return found
 
@@ -181,9 +202,9 @@ class Transducer:
         return any(self.apart(last, token) for token in node.below)
 
     def step(self, state: State, byte: int) -> State:
-        """The transition for a byte, made now and kept."""
+        """The next state for a byte."""
         items, reached = [], None
-        for node, last in state.items:
+        for node, last in state.items_at:
             child = node.next.get(byte)
             if child is None:
                 continue
@@ -195,13 +216,12 @@ class Transducer:
         if reached is None:
             raise ValueError(f"the rank table has no token for byte {byte}")
         items.append((self.root, reached))
-        found = state.next[byte] = self.state(tuple(items))
-        return found
+        return self.state(tuple(items))
 
     def certain(self, state: State, tokens: list[int]) -> int:
         """The last place that the tokens before all open places have in common. tokens: those that end at each place."""
         at = len(tokens)
-        open_at = {at - node.depth for node, _ in state.items}
+        open_at = {at - node.depth for node, _ in state.items_at}
         while len(open_at) > 1:
             last = max(open_at)
             open_at.remove(last)
@@ -221,11 +241,11 @@ class Transducer:
     def encode_bytes(self, text: bytes) -> bytes:
         """The ids of one match, as little-endian unsigned 32-bit integers."""
         state, tokens, out = self.start, [], []
-        for byte in text:
-            following = state.next.get(byte)
-            state = following if following is not None else self.step(state, byte)
-            tokens.append(state.token)
-            if len(tokens) >= MOST_WAITING:
+        for begin in range(0, len(text), MOST_WAITING):
+            for byte in text[begin : begin + MOST_WAITING]:
+                state = state[byte]
+                tokens.append(state.token)
+            if begin + MOST_WAITING < len(text):
                 at = self.certain(state, tokens)
                 out.append(self.path(tokens, at))
                 del tokens[:at]
@@ -233,21 +253,8 @@ class Transducer:
         return b"".join(out)
 
     def encode(self, text: str, split: Callable[[str], list[str]]) -> bytes:
-        """The ids of a text that split cuts into matches. Matches are remembered in two generations, so that frequent
-        ones stay known when the older generation goes."""
-        out = []
-        for piece in split(text):
-            found = self.matches.get(piece)
-            if found is None:
-                found = self.older.get(piece)
-                if found is None:
-                    found = self.encode_bytes(piece.encode("utf-8"))
-                if len(piece) <= LONGEST_MATCH:
-                    if len(self.matches) >= MOST_MATCHES // 2:
-                        self.older, self.matches = self.matches, {}
-                    self.matches[piece] = found
-            out.append(found)
-        return b"".join(out)
+        """The ids of a text that split cuts into matches."""
+        return b"".join(map(self.matches.__getitem__, split(text)))
 
 
 class Utf8Machine:
