@@ -142,7 +142,7 @@ def keep_rows(docs: DataFrame, text: str, make: Callable[[], Callable[[list[byte
     """The rows of docs, all columns, for whose texts (null: empty) the function that make() returns on the executors
     is true. No exchange."""
     docs_names = list(docs.columns)
-    at, kinds = docs_names.index(text), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    at = docs_names.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decide, names = make(), docs_names
@@ -150,7 +150,7 @@ def keep_rows(docs: DataFrame, text: str, make: Callable[[], Callable[[list[byte
             keep = decide(utf8(part.column(at)))
             yield part.filter(pa.array(np.asarray(keep, dtype=bool))).rename_columns(names)
 
-    return docs.mapInArrow(run, kinds)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def utf8(column: pa.Array) -> list[bytes]:

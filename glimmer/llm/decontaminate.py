@@ -2,126 +2,90 @@
 
 Texts are normalised byte by byte: A to Z become lower case, other ASCII that is no letter or digit separates words, and
 all bytes beyond ASCII belong to words. As each byte stays in its place, a word's offsets are those in the original.
-The windows of all test texts form one automaton; each document is scanned once.
+The windows of all test texts form one automaton over numbered words, so a window of ten words is ten nodes at most; each
+document is scanned once. A worker keeps its automaton from task to task.
+
+An automaton holds at most MOST_NODES nodes, some 64 bytes each. Test texts that need more are cut into parts, each with
+an automaton of its own and a scan of its own; the hits are put together by row, so results are the same.
 
 A test text of fewer words than a window is one window; one without words has none. Null documents have no words; a null
-test text has none either, a null item identifier is named "null". Test texts are broadcast only up to MOST_BYTES in
-all; larger sets are refused with a message that says to scan them in parts.
+test text has none either. A test text without identifier counts as an item, a null in the list of items.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glimmer.llm.common import documents, keep_rows, ship, slices
+from glimmer.llm.common import documents, keep_rows, quoted, ship, slices, stage
 
-#: Bytes of test texts in a block, each with an automaton of its own, and in all.
-BLOCK_BYTES, MOST_BYTES = 4 << 20, 32 << 20
+#: Nodes of an automaton at most.
+MOST_NODES = 2_000_000
 
 #: Of each byte, what it is in normalised text: a separator becomes a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 WORD = re.compile(rb"[^ ]+")
-FOUND = "doc_id long, n_words long, n_hit long, spans array<struct<start: long, stop: long>>, items array<string>"
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+HITS = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", SPANS), ("items", pa.list_(pa.string()))])
+HITS_DDL = "n_words long, n_hit long, spans array<struct<start: long, stop: long>>, items array<string>"
+Item = tuple[str | None, bytes]
 
 
-def windows_of(text: bytes, size: int) -> list[bytes]:
-    """The windows of size consecutive words; of fewer words, all of them."""
-    words = text.translate(FOLD).split()
-    if not words:
-        return []
-    return [b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))]
+def sorted_items(names: Iterable[str | None]) -> list[str | None]:
+    """In the order of strings, a null last."""
+    return sorted(names, key=lambda x: (x is None, x or ""))
 
 
 class Automaton:
-    """All windows of some items."""
+    """The windows of some items, over the numbers of their words; zero stands for all other words."""
 
-    def __init__(self, items: list[tuple[str, bytes]], size: int) -> None:
+    def __init__(self, items: list[Item], size: int) -> None:
         import ahocorasick
 
-        owners: dict[bytes, dict[str, None]] = {}
+        self.number: dict[bytes, int] = {}
+        owners: dict[tuple[int, ...], dict[str | None, None]] = {}
         for name, text in items:
-            for window in windows_of(text, size):
-                owners.setdefault(window, {})[name] = None
-        self.machine = ahocorasick.Automaton()
+            words = tuple(self.number.setdefault(w, len(self.number) + 1) for w in text.translate(FOLD).split())
+            for i in range(max(1, len(words) - size + 1) if words else 0):
+                owners.setdefault(words[i : i + size], {})[name] = None
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        alike: dict[tuple, tuple] = {}
         for window, names in owners.items():
-            self.machine.add_word(f" {window.decode('latin-1')} ", (window.count(b" ") + 1, len(window) + 2, tuple(names)))
+            value = (len(window), tuple(names))
+            self.machine.add_word(window, alike.setdefault(value, value))
         self.empty = not owners
         if owners:
             self.machine.make_automaton()
 
-    def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], set[str]]:
+    def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], set[str | None]]:
         """Of a text: its number of words, the runs of hit words as (first, past the last), and the items found."""
         words = text.translate(FOLD).split()
         if self.empty or not words:
             return len(words), [], set()
-        joined = f" {b' '.join(words).decode('latin-1')} "
-        found = list(self.machine.iter(joined))
+        found = list(self.machine.iter(tuple(map(self.number.get, words, repeat(0)))))
         if not found:
             return len(words), [], set()
-        spaces = np.flatnonzero(np.frombuffer(joined.encode("latin-1"), dtype=np.uint8) == 32)
-        first = np.searchsorted(spaces, [end - length + 1 for end, (_, length, _) in found])
-        runs = joined_runs([(int(a), int(a) + n) for a, (_, (n, _, _)) in zip(first, found, strict=True)])
-        return len(words), runs, {name for _, (_, _, names) in found for name in names}
+        return len(words), joined_runs([(end - n + 1, end + 1) for end, (n, _) in found]), {name for _, (_, names) in found for name in names}
 
 
-def offsets(text: bytes, runs: list[tuple[int, int]]) -> list[dict[str, int]]:
-    """The runs of words as byte offsets in the original text."""
-    if not runs:
-        return []
-    at = [match.span() for match in WORD.finditer(text.translate(FOLD))]
-    return [{"start": at[a][0], "stop": at[b - 1][1]} for a, b in runs]
+_MACHINES: dict[bytes, Automaton] = {}
 
 
-def item_blocks(benchmark: DataFrame, block_bytes: int, key: str, text: str) -> Iterator[list[tuple[str, bytes]]]:
-    """The test texts, in blocks of at most about block_bytes; one block at a time is on the driver."""
-    rows = benchmark.select(F.coalesce(F.col(key).cast("string"), F.lit("null")), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))
-    block, held, total = [], 0, 0
-    for name, content in rows.toLocalIterator():
-        block.append((name, bytes(content)))
-        held += len(content)
-        total += len(content)
-        if total > MOST_BYTES:
-            raise ValueError(f"the test texts exceed {MOST_BYTES} bytes: scan them in parts and put the hits together")
-        if held >= block_bytes:
-            yield block
-            block, held = [], 0
-    yield block
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, n_words, n_hit, spans, items) of each row: hit words, their runs as byte offsets in the original UTF-8,
-    and the sorted identifiers of the items with a window in the text."""
-    spark = docs.sparkSession
-    ship(spark)
-    plain = documents(docs, key, text)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("items", pa.list_(pa.string()))])
-
-    def scan(blocks: list) -> DataFrame:
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            machines = [Automaton(block.value, window) for block in blocks]
-            for batch in slices(batches):
-                out: dict[str, list] = {f.name: [] for f in schema}
-                for raw in batch.column(1).cast(pa.binary()).to_pylist():
-                    n, runs, items = machines[0].scan(raw)
-                    for machine in machines[1:]:
-                        _, more, names = machine.scan(raw)
-                        runs, items = joined_runs(runs + more), items | names
-                    out["n_words"].append(n)
-                    out["n_hit"].append(sum(b - a for a, b in runs))
-                    out["spans"].append(offsets(raw, runs))
-                    out["items"].append(sorted(items))
-                out["doc_id"] = batch.column(0)
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) if f.name != "doc_id" else out["doc_id"] for f in schema], schema=schema)
-
-        return plain.mapInArrow(run, FOUND)
-
-    return scan([spark.sparkContext.broadcast(block) for block in item_blocks(benchmark, block_bytes, item_key, item_text)])
+def automaton(items: list[Item], size: int) -> Automaton:
+    """The worker's automaton for these items; it outlives a task."""
+    mark = hashlib.sha256(repr((size, items)).encode()).digest()
+    if mark not in _MACHINES:
+        _MACHINES.clear()
+        _MACHINES[mark] = Automaton(items, size)
+    return _MACHINES[mark]
 
 
 def joined_runs(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -135,13 +99,119 @@ def joined_runs(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item_key: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs without any window of a test text, all columns."""
+def offsets(text: bytes, runs: list[tuple[int, int]]) -> list[dict[str, int]]:
+    """The runs of words as byte offsets in the original text."""
+    if not runs:
+        return []
+    at = [match.span() for match in WORD.finditer(text.translate(FOLD))]
+    return [{"start": at[a][0], "stop": at[b - 1][1]} for a, b in runs]
+
+
+def item_parts(benchmark: DataFrame, size: int, most_nodes: int, key: str, text: str) -> Iterator[list[Item]]:
+    """The test texts, in parts whose automata have at most so many nodes; one part at a time is on the driver."""
+    rows = benchmark.select(F.col(quoted(key)).cast("string"), F.encode(F.coalesce(F.col(quoted(text)).cast("string"), F.lit("")), "UTF-8"))
+    part, held = [], 0
+    for name, content in rows.toLocalIterator():
+        content = bytes(content)
+        nodes = size * len(content.translate(FOLD).split())
+        if part and held + nodes > most_nodes:
+            yield part
+            part, held = [], 0
+        part.append((name, content))
+        held += nodes
+    yield part
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", most_nodes: int = MOST_NODES) -> DataFrame:
+    """(doc_id, n_words, n_hit, spans, items) of each row: hit words, their runs as byte offsets in the original UTF-8,
+    and the sorted identifiers of the items with a window in the text."""
+    spark = docs.sparkSession
+    ship(spark)
+    plain = documents(docs, key, text)
+    parts = item_parts(benchmark, window, most_nodes, item_key, item_text)
+    part, following = next(parts), next(parts, None)
+    if following is None:
+        return scanned(plain, "doc_id", part, window)
+    rows = stage(plain.withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = [stage(merged_hits(rows, x, window), "hits") for x in (part, following, *parts)]
+    hits = reduce(DataFrame.unionByName, found).groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("items")).alias("items"))
+    schema = pa.schema([("doc_id", pa.int64()), *HITS])
+
+    def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out: dict[str, list] = {f.name: [] for f in HITS}
+            for raw, runs, items in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                runs = joined_runs([(r["start"], r["stop"]) for r in runs or []])
+                put(out, raw, len(raw.translate(FOLD).split()), runs, set(items or []))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[f.name], type=f.type) for f in HITS)], schema=schema)
+
+    return rows.join(hits, "row", "left").select("doc_id", "text", "runs", "items").mapInArrow(finish, f"doc_id long, {HITS_DDL}")
+
+
+def put(out: dict[str, list], raw: bytes, n: int, runs: list[tuple[int, int]], items: set[str | None]) -> None:
+    out["n_words"].append(n)
+    out["n_hit"].append(sum(b - a for a, b in runs))
+    out["spans"].append(offsets(raw, runs))
+    out["items"].append(sorted_items(items))
+
+
+def scanned(plain: DataFrame, key: str, part: list[Item], window: int) -> DataFrame:
+    """(key, the columns of HITS) from (key, text) by the automaton of one part."""
+    held = plain.sparkSession.sparkContext.broadcast(part)
+    schema = pa.schema([(key, pa.int64()), *HITS])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from glimmer.llm.decontaminate import automaton as of
+
+        machine = of(held.value, window)
+        for batch in slices(batches):
+            out: dict[str, list] = {f.name: [] for f in HITS}
+            for raw in batch.column(1).cast(pa.binary()).to_pylist():
+                put(out, raw, *machine.scan(raw))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[f.name], type=f.type) for f in HITS)], schema=schema)
+
+    return plain.select(key, "text").mapInArrow(run, f"{key} long, {HITS_DDL}")
+
+
+def merged_hits(rows: DataFrame, part: list[Item], window: int) -> DataFrame:
+    """(row, runs of words, items) of the rows that hold a window of the part."""
+    held = rows.sparkSession.sparkContext.broadcast(part)
+    schema = pa.schema([("row", pa.int64()), ("runs", SPANS), ("items", pa.list_(pa.string()))])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from glimmer.llm.decontaminate import automaton as of
+
+        machine = of(held.value, window)
+        for batch in slices(batches):
+            ids, runs, items = [], [], []
+            for row, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                _, own, names = machine.scan(raw)
+                if own:
+                    ids.append(row)
+                    runs.append([{"start": a, "stop": b} for a, b in own])
+                    items.append(sorted_items(names))
+            yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip((ids, runs, items), schema, strict=True)], schema=schema)
+
+    return rows.select("row", "text").mapInArrow(run, "row long, runs array<struct<start: long, stop: long>>, items array<string>")
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item_key: str = "item_id", item_text: str = "text", most_nodes: int = MOST_NODES) -> DataFrame:
+    """The rows of docs without any window of a test text, all columns. Each part of the test texts filters once more."""
     ship(docs.sparkSession)
-    blocks = [docs.sparkSession.sparkContext.broadcast(block) for block in item_blocks(benchmark, block_bytes, item_key, item_text)]
+    for i, part in enumerate(item_parts(benchmark, window, most_nodes, item_key, item_text)):
+        if i:
+            docs = stage(docs, "clean")  # so that a worker holds one automaton at a time
+        docs = keep_rows(docs, text, clean_of(docs.sparkSession.sparkContext.broadcast(part), window))
+    return docs
+
+
+def clean_of(held, window: int) -> Callable[[], Callable[[list[bytes]], np.ndarray]]:
+    """Makes, on the executors, what tells texts without any window."""
 
     def make() -> Callable[[list[bytes]], np.ndarray]:
-        machines = [Automaton(block.value, window) for block in blocks]
-        return lambda texts: np.array([not any(machine.scan(x)[1] for machine in machines) for x in texts], dtype=bool)
+        from glimmer.llm.decontaminate import automaton as of
+
+        machine = of(held.value, window)
+        return lambda texts: np.array([not machine.scan(x)[1] for x in texts], dtype=bool)
 
-    return keep_rows(docs, text, make)
+    return make

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glimmer.llm.bpe import bpe_decode, bpe_encode
-from glimmer.llm.decontaminate import drop_leaks, find_leaks
+from glimmer.llm.decontaminate import drop_leaks, find_leaks, item_parts
 from glimmer.llm.hmm import Shape, score_texts
 from glimmer.llm.lines import dedup_lines
 from glimmer.llm.pii import pseudonymise
@@ -91,11 +91,20 @@ def test_defined_results(spark):
     assert score_toxicity(docs, some_labels(spark), always).where("doc_id = 4").first().score == 0
     hit = {r.doc_id: r for r in find_leaks(docs, small_benchmark(spark)).where("doc_id in (2, 3, 6)").collect()}
     assert hit[2]["items"] == ["a"] and hit[2].n_hit == 4 and ROWS[2][1].encode()[hit[2].spans[0].start : hit[2].spans[0].stop] == b"another line of text"
-    assert hit[3].n_words == 0 and hit[6]["items"] == ["null"]
+    assert hit[3].n_words == 0 and hit[6]["items"] == [None]
     assert {r.doc_id for r in drop_leaks(docs, small_benchmark(spark)).collect()} == {3, 4, 5, 7, None}
     assert {r.doc_id: r.text for r in pseudonymise(docs, "k").where("doc_id in (3, 4)").collect()} == {3: None, 4: ""}
 
 
+def test_parts_of_a_large_benchmark_give_the_same_hits(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(150).unionByName(awkward(spark).select("doc_id", "text"), allowMissingColumns=True)
+    tests = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select(F.col("item_id").cast("string").alias("item_id"), "text").unionByName(small_benchmark(spark))
+    whole = sorted(map(str, find_leaks(docs, tests).collect()))
+    assert len(list(item_parts(tests, 10, 3_000, "item_id", "text"))) > 3
+    assert sorted(map(str, find_leaks(docs, tests, most_nodes=3_000).collect())) == whole
+    assert sorted(map(str, drop_leaks(docs, tests, most_nodes=3_000).collect())) == sorted(map(str, drop_leaks(docs, tests).collect()))
+
+
 def test_hot_copies_stay_whole(spark):
     """A third of all rows are copies of one text, another third near copies."""
     text = " ".join(f"word{i}" for i in range(60))
