@@ -1,18 +1,19 @@
 """Language-model scores by a hidden Markov model, beside an add-one unigram base.
 
 Tokens are words in lower case and one end for each text. Tasks turn their texts into blocks: the distinct words of the
-block and the texts as numbers of these words; the texts themselves are not moved. Blocks send their words and counts,
-dealt by word, to be summed over all training texts, and get the sums back, so a frequent word costs one row for each
-block rather than for each occurrence.
+block and the texts as numbers of these words; the texts themselves are not moved. Blocks send a row for each of their
+distinct words; rows meet by word, are summed over all training texts, and go back to their blocks, so a frequent word
+costs one row for each block rather than for each occurrence.
 
 The model's states emit classes of words: each frequent word is a class of its own, all others share classes by a hash,
 in which a word has its share of the class's counts, and unknown words together the share of one more word. Baum-Welch
-runs over all training texts, in pieces of bounded length; each pass sums expected counts over all tasks, dealt by state
-and range of classes. The score of a text is the exact logarithm of its probability: the forward recursion over the
-whole text, scaled at each token, plus the words' shares of their classes.
+runs over all training texts by the exact forward-backward recursion over whole texts: the forward states at the ends of
+segments are kept, those inside are computed again on the way back. Each pass sums expected counts over all tasks, dealt
+by state and range of classes. The score of a text is the exact logarithm of its probability: the forward recursion over
+the whole text, scaled at each token, plus the words' shares of their classes.
 
-Null or empty texts are one end token. A null identifier belongs to the training texts. Without any training text all
-probabilities are those of the smoothing alone.
+Null or empty texts are one end token. A null identifier belongs to the training texts. Rows that repeat an identifier
+each count as a text. Without any training text all probabilities are those of the smoothing alone.
 """
 
 from __future__ import annotations
@@ -25,19 +26,19 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glimmer.llm.common import count_blocks, from_npy, npy, pack, ship, slices, stage, unpack
+from glimmer.llm.common import count_blocks, from_npy, npy, pack, quoted, ship, slices, stage, to_batch, unpack
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 8 << 20
 #: Counts below this have a bin of their own in the histogram of counts; above, there are 16 bins for each doubling.
 EXACT = 1024
-#: Words of more bytes are never classes of their own.
-LONGEST = 64
-#: Tokens in a piece of a training text.
-PIECE = 128
+#: Bytes that the words with classes of their own have at most in all.
+MOST_WORD_BYTES = 8 << 20
+#: Tokens of a segment, whose forward states are held at once, and of the blocks that run together.
+SEGMENT, TOGETHER = 1 << 19, 3 << 20
 #: The word that stands for the end.
 END = b""
 
@@ -55,18 +56,18 @@ class Shape:
     seed: int = 11
 
 
-def bin_of(n: np.ndarray) -> np.ndarray:
-    return np.where(n < EXACT, n, EXACT + np.floor(16 * np.log2(np.maximum(n, 1) / EXACT)).astype(np.int64))
-
-
-ROWS = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("words", pa.binary()), ("n_bytes", pa.int64()), ("counts", pa.binary()), ("n_tokens", pa.int64()), ("width", pa.int32()), ("tokens", pa.binary()), ("n_docs", pa.int64()), ("docs", pa.binary()), ("sizes", pa.binary()), ("held", pa.binary())])
-ROWS_DDL = "kind int, block long, bucket int, n long, words binary, n_bytes long, counts binary, n_tokens long, width int, tokens binary, n_docs long, docs binary, sizes binary, held binary"
-REPLY = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("counts", pa.binary()), ("words", pa.binary()), ("n_bytes", pa.int64()), ("total", pa.int64()), ("known", pa.int64()), ("bins", pa.list_(pa.int64())), ("shared", pa.list_(pa.int64()))])
-REPLY_DDL = "kind int, block long, bucket int, n long, counts binary, words binary, n_bytes long, total long, known long, bins array<long>, shared array<long>"
-SCORED = pa.schema([("block", pa.int64()), ("n_tokens", pa.int64()), ("classes", pa.binary()), ("n_docs", pa.int64()), ("docs", pa.binary()), ("sizes", pa.binary()), ("held", pa.binary()), ("known", pa.binary()), ("base", pa.binary()), ("inner", pa.binary())])
-SCORED_DDL = "block long, n_tokens long, classes binary, n_docs long, docs binary, sizes binary, held binary, known binary, base binary, inner binary"
-#: Marks a null identifier among the packed ones.
-NULL_ID = -(2**63)
+BLOCK_DDL = "block long, n long, words binary, n_bytes long, counts binary, n_tokens long, width int, tokens binary, n_docs long, docs binary, nulls binary, sizes binary, held binary"
+BLOCK = pa.schema([
+    ("block", pa.int64()), ("n", pa.int64()), ("words", pa.binary()), ("n_bytes", pa.int64()), ("counts", pa.binary()), ("n_tokens", pa.int64()), ("width", pa.int32()), ("tokens", pa.binary()),
+    ("n_docs", pa.int64()), ("docs", pa.binary()), ("nulls", pa.binary()), ("sizes", pa.binary()), ("held", pa.binary()),
+])
+SCORED = pa.schema([
+    ("block", pa.int64()), ("n_tokens", pa.int64()), ("classes", pa.binary()), ("n_docs", pa.int64()), ("docs", pa.binary()), ("nulls", pa.binary()), ("sizes", pa.binary()), ("held", pa.binary()),
+    ("known", pa.binary()), ("base", pa.binary()), ("inner", pa.binary()),
+])
+SCORED_DDL = "block long, n_tokens long, classes binary, n_docs long, docs binary, nulls binary, sizes binary, held binary, known binary, base binary, inner binary"
+#: Begins what is hashed into the shared classes.
+SHARED = b"\x01"
 
 
 def joined(words: list[bytes]) -> tuple[bytes, int]:
@@ -78,9 +79,8 @@ def parted(blob: bytes, size: int, n: int) -> list[bytes]:
     return unpack(blob, size, np.uint8).tobytes().split(b"\n") if n else []
 
 
-def block_rows(block: int, ids: list[int], held: list[bool], texts: list[bytes], buckets: int) -> list[dict]:
-    """The rows of a block: its texts as numbers of its words (kind 0), and its words with their counts in training
-    texts for each bucket (kind 1). Words are numbered by bucket."""
+def block_row(block: int, ids: list[int | None], held: list[bool], texts: list[bytes]) -> dict:
+    """A block: its distinct words with their counts in training texts, and its texts as numbers of these words."""
     number: dict[bytes, int] = defaultdict(count().__next__)
     parts, sizes = [], []
     for text in texts:
@@ -88,106 +88,89 @@ def block_rows(block: int, ids: list[int], held: list[bool], texts: list[bytes],
         words.append(END)
         parts.append(np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words)))
         sizes.append(len(words))
-    words = list(number)
-    bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), dtype=np.int64, count=len(words))
-    order = np.argsort(bucket, kind="stable")
-    place = np.empty_like(order)
-    place[order] = np.arange(len(order))
-    tokens = place[np.concatenate(parts)]
+    tokens = np.concatenate(parts)
     train = np.repeat(~np.array(held, dtype=bool), sizes)
-    counts = np.bincount(tokens[train], minlength=len(words))
-    words = [words[i] for i in order.tolist()]
-    blob, n_bytes = joined(words)
-    kind = np.uint16 if len(words) < 1 << 16 else np.uint32
-    rows = [{
-        "kind": 0, "block": block, "n": len(words), "words": blob, "n_bytes": n_bytes, "n_tokens": len(tokens), "width": np.dtype(kind).itemsize, "tokens": pack(tokens.astype(kind)),
-        "n_docs": len(ids), "docs": pack(np.array(ids, dtype=np.int64)), "sizes": pack(np.array(sizes, dtype=np.int64)), "held": pack(np.array(held, dtype=np.uint8)),
-    }]
-    ordered = bucket[order]
-    edges = np.r_[0, np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, len(ordered)].tolist()
-    for a, b in zip(edges, edges[1:], strict=False):
-        blob, n_bytes = joined(words[a:b])
-        rows.append({"kind": 1, "block": block, "bucket": int(ordered[a]), "n": b - a, "words": blob, "n_bytes": n_bytes, "counts": pack(counts[a:b])})
-    return rows
-
-
-def to_blocks(docs: DataFrame, buckets: int, key: str, text: str, held: Column) -> DataFrame:
+    counts = np.bincount(tokens[train], minlength=len(number))
+    blob, n_bytes = joined(list(number))
+    kind = np.uint16 if len(number) < 1 << 16 else np.uint32
+    return {
+        "block": block, "n": len(number), "words": blob, "n_bytes": n_bytes, "counts": pack(counts), "n_tokens": len(tokens), "width": np.dtype(kind).itemsize, "tokens": pack(tokens.astype(kind)),
+        "n_docs": len(ids), "docs": pack(np.array([x or 0 for x in ids], dtype=np.int64)), "nulls": pack(np.array([x is None for x in ids], dtype=np.uint8)), "sizes": pack(np.array(sizes, dtype=np.int64)), "held": pack(np.array(held, dtype=np.uint8)),
+    }
+
+
+def to_blocks(docs: DataFrame, key: str, text: str, held: Column) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         first = TaskContext.get().partitionId() << 32
         ids, outs, texts, size, number = [], [], [], 0, 0
         for batch in slices(batches):
-            ids += [NULL_ID if x is None else x for x in batch.column(0).to_pylist()]
+            ids += batch.column(0).to_pylist()
             texts += batch.column(1).cast(pa.binary()).to_pylist()
             outs += batch.column(2).to_pylist()
             size += batch.nbytes
             if size >= BLOCK_BYTES:
-                for row in block_rows(first + number, ids, outs, texts, buckets):
-                    yield pa.RecordBatch.from_pylist([row], schema=ROWS)
+                yield pa.RecordBatch.from_pylist([block_row(first + number, ids, outs, texts)], schema=BLOCK)
                 ids, outs, texts, size, number = [], [], [], 0, number + 1
         if ids:
-            for row in block_rows(first + number, ids, outs, texts, buckets):
-                yield pa.RecordBatch.from_pylist([row], schema=ROWS)
+            yield pa.RecordBatch.from_pylist([block_row(first + number, ids, outs, texts)], schema=BLOCK)
 
-    plain = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), held.alias("held"))
-    return plain.mapInArrow(run, ROWS_DDL)
+    plain = docs.select(F.col(quoted(key)).cast("long").alias("doc"), F.coalesce(F.col(quoted(text)).cast("string"), F.lit("")).alias("text"), held.alias("held"))
+    return plain.mapInArrow(run, BLOCK_DDL)
 
 
-def summed_counts(asked: DataFrame, buckets: int, shared: int) -> DataFrame:
-    """Of each bucket: to each block the summed counts of its words (kind 0), and all known words (kind 1)."""
+def word_rows(blocks: DataFrame) -> DataFrame:
+    """(word, count, block, place) of the distinct words of each block."""
+    schema = pa.schema([("word", pa.binary()), ("count", pa.int64()), ("block", pa.int64()), ("place", pa.int32())])
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        number: dict[bytes, int] = defaultdict(count().__next__)
-        places = [np.fromiter(map(number.__getitem__, parted(r["words"], r["n_bytes"], r["n"])), dtype=np.int64, count=r["n"]) for r in rows]
-        total = np.zeros(len(number), dtype=np.int64)
-        for place, r in zip(places, rows, strict=True):
-            total[place] += unpack(r["counts"], r["n"], np.int64)
-        out = [{"kind": 0, "block": r["block"], "bucket": r["bucket"], "n": r["n"], "counts": pack(total[place])} for place, r in zip(places, rows, strict=True)]
-        words = [w for w, n in zip(number, total.tolist(), strict=True) if n]
-        known = total[total > 0]
-        weights = np.zeros(shared, dtype=np.int64)
-        np.add.at(weights, [zlib.crc32(w, 1) % shared for w in words], np.where([w == END for w in words], 0, known + 1))
-        short = np.array([len(w) <= LONGEST for w in words], dtype=bool)
-        blob, n_bytes = joined(words)
-        out.append({"kind": 1, "bucket": key[0].as_py(), "n": len(words), "counts": pack(known), "words": blob, "n_bytes": n_bytes, "total": int(known.sum()), "known": len(words), "bins": np.bincount(bin_of(known[short])).tolist() if len(words) else [], "shared": weights.tolist()})
-        return pa.Table.from_pylist(out, schema=REPLY)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                words, counts = parted(r["words"], r["n_bytes"], r["n"]), unpack(r["counts"], r["n"], np.int64)
+                for at in range(0, len(words), 1 << 15):
+                    own = words[at : at + (1 << 15)]
+                    yield to_batch({"word": own, "count": counts[at : at + len(own)], "block": np.full(len(own), r["block"]), "place": np.arange(at, at + len(own), dtype=np.int32)}, schema)
 
-    return asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, REPLY_DDL)
+    return blocks.select("block", "n", "words", "n_bytes", "counts").mapInArrow(run, "word binary, count long, block long, place int")
 
 
-def frequent_words(vocabulary: DataFrame, most: int) -> dict[bytes, int]:
-    """Words and counts of all words with at least the least count (by bins) that leaves at most so many; END is one."""
-    bins = vocabulary.select(F.posexplode("bins").alias("bin", "n")).groupBy("bin").agg(F.sum("n").alias("n")).collect()  # bounded by the bins
-    least, held = None, 0
-    for bin_, n in sorted(((r["bin"], r["n"]) for r in bins), reverse=True):
-        held += n
-        if held > most or bin_ < 2:
-            break
-        least = bin_
-    least = 1 << 62 if least is None else least
+def summed_counts(rows: DataFrame, parts: int) -> DataFrame:
+    """(block, place, total, word): the word's count in all training texts, for each block; the word stands in one of
+    its rows only."""
+    same = Window.partitionBy("word")
+    dealt = rows.repartition(parts, "word").withColumns({"total": F.sum("count").over(same), "at": F.row_number().over(same.orderBy("block"))})
+    return dealt.select("block", "place", "total", F.when(F.col("at") == 1, F.col("word")).alias("word"))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                counts = unpack(r["counts"], r["n"], np.int64)
-                keep = bin_of(counts) >= least
-                found = [(w, n) for w, n, k in zip(parted(r["words"], r["n_bytes"], r["n"]), counts.tolist(), keep.tolist(), strict=True) if w == END or k and len(w) <= LONGEST]
-                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], type=pa.binary()), pa.array([n for _, n in found], type=pa.int64())], names=["word", "count"])
 
-    rows = vocabulary.select("n", "counts", "words", "n_bytes").mapInArrow(run, "word binary, count long").collect()
-    return {bytes(w): n for w, n in sorted((bytes(r["word"]), r["count"]) for r in rows)}
+def bin_of(n: Column) -> Column:
+    """The bin of a count in the histogram: exact up to EXACT, then 16 for each doubling."""
+    return F.when(n < EXACT, n).otherwise(EXACT + F.floor(16 * F.log2(n / EXACT))).cast("long")
+
+
+def frequent_words(vocabulary: DataFrame, most: int) -> dict[bytes, int]:
+    """Words and counts of all words with at least the least count (by bins) that leaves at most so many, of at most
+    MOST_WORD_BYTES in all; words that occur once are never among them, END always."""
+    sized = vocabulary.where(F.col("word") != F.lit(END)).withColumn("bin", bin_of(F.col("total")))
+    bins = sized.groupBy("bin").agg(F.count("*").alias("n"), F.sum(F.octet_length("word")).alias("size")).collect()  # bounded by the bins
+    least, held, size = 1 << 62, 0, 0
+    for r in sorted(bins, key=lambda r: -r["bin"]):
+        held, size = held + r["n"], size + r["size"]
+        if held > most or size > MOST_WORD_BYTES or r["bin"] < 2:
+            break
+        least = r["bin"]
+    rows = vocabulary.where((F.col("word") == F.lit(END)) | (bin_of(F.col("total")) >= least)).select("word", "total").collect()
+    return {w: n for w, n in sorted((bytes(r["word"]), r["total"]) for r in rows)}
 
 
 class Model:
-    """start, later (the first states of texts, and of pieces behind the first), move and emit as probabilities."""
+    """start, move and emit as probabilities."""
 
-    def __init__(self, start: np.ndarray, later: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
-        self.start, self.later, self.move, self.emit = (x.astype(np.float64) for x in (start, later, move, emit))
+    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
+        self.start, self.move, self.emit = (x.astype(np.float64) for x in (start, move, emit))
 
     def blob(self) -> bytes:
-        return npy(start=self.start, later=self.later, move=self.move, emit=self.emit)
+        return npy(start=self.start, move=self.move, emit=self.emit)
 
 
 def lanes(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,45 +196,52 @@ def log_likelihoods(classes: np.ndarray, sizes: np.ndarray, model: Model) -> np.
     return found
 
 
-def expected_counts(classes: np.ndarray, sizes: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts of (start, later, move, emit) over the texts, in pieces."""
+def expected_counts(classes: np.ndarray, sizes: np.ndarray, model: Model, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected counts of (start, move, emit) over whole texts. Steps fall into segments of about so many tokens; the
+    forward states at their starts are kept, and those within a segment computed again when the way back reaches it."""
     k, n_classes = model.emit.shape
-    pieces = -(-sizes // PIECE)
-    first = np.cumsum(sizes) - sizes
-    inner = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    begin = np.repeat(first, pieces) + inner * PIECE
-    length = np.minimum(np.repeat(sizes, pieces) - inner * PIECE, PIECE)
-    order, active = lanes(length)
-    begin, inner = begin[order], inner[order]
-    emit = np.ascontiguousarray(model.emit.T).astype(np.float32)
-    move = model.move.astype(np.float32)
-    ahead, scales, seen = [], [], []
-    held = np.where((inner == 0)[:, None], model.start, model.later).astype(np.float32)
-    for step, n in enumerate(active.tolist()):
-        e = emit[classes[begin[:n] + step]]
-        held = (held[:n] @ move if step else held[:n]) * e
-        scale = held.sum(axis=1, keepdims=True)
-        held = held / scale
-        ahead.append(held)
-        scales.append(scale)
-        seen.append(e)
-    moves, weights, at = np.zeros((k, k)), [], []
-    later = None
-    for step in range(len(active) - 1, -1, -1):
-        n = int(active[step])
-        back = np.ones((n, k), dtype=np.float32)
-        if later is not None:
-            m = len(later)
-            through = seen[step + 1] * later / scales[step + 1]
-            moves += ahead[step][:m].T @ through
-            back[:m] = through @ move.T
-        weights.append(ahead[step] * back)
-        at.append(classes[begin[:n] + step])
-        later = back
-    every, which = np.concatenate(weights), np.concatenate(at)
-    emits = np.stack([np.bincount(which, weights=every[:, i], minlength=n_classes) for i in range(k)])
-    whole = weights[-1].astype(np.float64)
-    return whole[inner == 0].sum(axis=0), whole[inner > 0].sum(axis=0), model.move * moves, emits
+    order, active = lanes(sizes)
+    begin = (np.cumsum(sizes) - sizes)[order]
+    emit, move = np.ascontiguousarray(model.emit.T).astype(np.float32), model.move.astype(np.float32)
+    first = np.broadcast_to(model.start.astype(np.float32), (len(sizes), k))
+    whole = np.cumsum(active) // segment
+    cuts = [0, *(np.flatnonzero(np.diff(whole)) + 1).tolist(), len(active)]
+
+    def ahead(a: int, b: int, held: np.ndarray, keep: list | None) -> np.ndarray:
+        for step in range(a, b):
+            n = int(active[step])
+            seen = emit[classes[begin[:n] + step]]
+            held = (held[:n] @ move if step else held[:n]) * seen
+            scale = held.sum(axis=1, keepdims=True)
+            held = held / scale
+            if keep is not None:
+                keep.append((held, seen / scale))
+        return held
+
+    starts = [first]
+    for a, b in zip(cuts[:-2], cuts[1:-1], strict=True):
+        starts.append(ahead(a, b, starts[-1], None))
+    moves, emits, start, through = np.zeros((k, k)), np.zeros((k, n_classes)), np.zeros(k), None
+    for a, b, held in reversed(list(zip(cuts[:-1], cuts[1:], starts, strict=True))):
+        kept: list = []
+        ahead(a, b, held, kept)
+        weights, at = [], []
+        for step in range(b - 1, a - 1, -1):
+            own, seen = kept.pop()
+            weight = own
+            if through is not None:
+                m = len(through)
+                moves += own[:m].T @ through
+                back = np.ones_like(own)
+                back[:m] = through @ move.T
+                weight, seen = own * back, seen * back
+            weights.append(weight)
+            at.append(classes[begin[: len(own)] + step])
+            through = seen
+        every, which = np.concatenate(weights), np.concatenate(at)
+        emits += np.stack([np.bincount(which, weights=every[:, i], minlength=n_classes) for i in range(k)])
+        start = weights[-1].sum(axis=0, dtype=np.float64)
+    return start, model.move * moves, emits
 
 
 def first_model(shape: Shape, overall: np.ndarray) -> Model:
@@ -261,7 +251,25 @@ def first_model(shape: Shape, overall: np.ndarray) -> Model:
     emit = overall * np.exp(random.normal(scale=1.0, size=(k, len(overall))))
     move = np.full((k, k), 0.1 / max(1, k - 1))
     np.fill_diagonal(move, 0.9 if k > 1 else 1.0)
-    return Model(np.full(k, 1 / k), np.full(k, 1 / k), move, emit / emit.sum(axis=1, keepdims=True))
+    return Model(np.full(k, 1 / k), move, emit / emit.sum(axis=1, keepdims=True))
+
+
+def training_texts(rows: Iterable[dict]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(classes, sizes) of the training texts of blocks, several blocks together up to a number of tokens."""
+    held, lengths, size = [], [], 0
+    for r in rows:
+        sizes = unpack(r["sizes"], r["n_docs"], np.int64)
+        train = unpack(r["held"], r["n_docs"], np.uint8) == 0
+        if not train.any():
+            continue
+        held.append(unpack(r["classes"], r["n_tokens"], np.uint16)[np.repeat(train, sizes)])
+        lengths.append(sizes[train])
+        size += len(held[-1])
+        if size >= TOGETHER:
+            yield np.concatenate(held), np.concatenate(lengths)
+            held, lengths, size = [], [], 0
+    if held:
+        yield np.concatenate(held), np.concatenate(lengths)
 
 
 def one_pass(scored: DataFrame, model: Model, overall: np.ndarray, smoothing: float, parts: int = 8) -> Model:
@@ -273,17 +281,11 @@ def one_pass(scored: DataFrame, model: Model, overall: np.ndarray, smoothing: fl
 
     def expect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(**from_npy(held.value))
-        small, emits = np.zeros((k, k + 2)), np.zeros((k, n_classes))
-        for batch in batches:
-            for r in batch.to_pylist():
-                sizes = unpack(r["sizes"], r["n_docs"], np.int64)
-                train = unpack(r["held"], r["n_docs"], np.uint8) == 0
-                if not train.any():
-                    continue
-                classes = unpack(r["classes"], r["n_tokens"], np.uint16)[np.repeat(train, sizes)].astype(np.int64)
-                start, later, move, emit = expected_counts(classes, sizes[train], own)
-                small += np.c_[start, later, move]
-                emits += emit
+        small, emits = np.zeros((k, k + 1)), np.zeros((k, n_classes))
+        for classes, sizes in training_texts(r for batch in batches for r in batch.to_pylist()):
+            start, move, emit = expected_counts(classes, sizes, own)
+            small += np.c_[start, move]
+            emits += emit
         rows = [(i, -1, small[i]) for i in range(k)] + [(i, j, emits[i, a:b]) for i in range(k) for j, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in rows], type=pa.int32()), pa.array([j for _, j, _ in rows], type=pa.int32()), pa.array([x.tobytes() for _, _, x in rows], type=pa.binary())], names=["state", "part", "sums"])
 
@@ -297,15 +299,15 @@ def one_pass(scored: DataFrame, model: Model, overall: np.ndarray, smoothing: fl
 
     ddl = "state int, part int, sums binary"
     rows = scored.select("n_tokens", "classes", "n_docs", "sizes", "held").mapInArrow(expect, ddl).repartition(k * parts, "state", "part").mapInArrow(add, ddl).collect()  # of fixed size
-    small, emits = np.zeros((k, k + 2)), np.zeros((k, n_classes))
+    small, emits = np.zeros((k, k + 1)), np.zeros((k, n_classes))
     for r in rows:
         if r["part"] < 0:
             small[r["state"]] = np.frombuffer(r["sums"])
         else:
             emits[r["state"], cuts[r["part"]] : cuts[r["part"] + 1]] = np.frombuffer(r["sums"])
-    start, later, move = small[:, 0] + 1, small[:, 1] + 1, small[:, 2:] + 1
+    start, move = small[:, 0] + 1, small[:, 1:] + 1
     emits = emits + smoothing * overall
-    return Model(start / start.sum(), later / later.sum(), move / move.sum(axis=1, keepdims=True), emits / emits.sum(axis=1, keepdims=True))
+    return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emits / emits.sum(axis=1, keepdims=True))
 
 
 def score_texts(docs: DataFrame, held: Callable[[Column], Column], shape: Shape = Shape(), key: str = "doc_id", text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
@@ -315,18 +317,20 @@ def score_texts(docs: DataFrame, held: Callable[[Column], Column], shape: Shape
         raise ValueError("there are too many classes")
     ship(docs.sparkSession)
     spark = docs.sparkSession
-    buckets = count_blocks(docs, block_bytes, text=text)
-    rows = stage(to_blocks(docs, buckets, key, text, F.coalesce(held(F.col(key)), F.lit(False))), "blocks")
-    replies = stage(summed_counts(rows.where("kind = 1").select("bucket", "block", "n", "words", "n_bytes", "counts"), buckets, shape.shared), "counts")
-    vocabulary = replies.where("kind = 1")
-    total, known = vocabulary.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
+    parts = count_blocks(docs, block_bytes, text=text)
+    blocks = stage(to_blocks(docs, key, text, F.coalesce(held(F.col(quoted(key))), F.lit(False))), "blocks")
+    counts = stage(summed_counts(word_rows(blocks), parts), "counts")
+    vocabulary = counts.where("word is not null and total > 0").select("word", "total")
+    shared_class = (F.crc32(F.concat(F.lit(SHARED), F.col("word"))) % shape.shared).cast("int")
     weights = np.ones(shape.shared, dtype=np.int64)  # one more word in each: the unknown ones
-    for r in vocabulary.select(F.posexplode("shared").alias("class", "n")).groupBy("class").agg(F.sum("n").alias("n")).collect():  # one row a class
-        weights[r["class"]] += r["n"]
+    total = known = 0
+    for r in vocabulary.groupBy(shared_class.alias("class")).agg(F.sum("total").alias("tokens"), F.count("*").alias("words")).collect():  # a row a class
+        weights[r["class"]] += r["tokens"] + r["words"]
+        total, known = total + r["tokens"], known + r["words"]
     top = frequent_words(vocabulary, shape.words)
-    ends = top.pop(END, 0)
     for word, n in top.items():
-        weights[zlib.crc32(word, 1) % shape.shared] -= n + 1
+        weights[zlib.crc32(SHARED + word) % shape.shared] -= n + 1
+    ends = top.pop(END, 0)
     n_top = 1 + len(top)
     overall = np.r_[1.0 + ends, np.array(list(top.values()), dtype=np.float64) + 1, weights.astype(np.float64)]
     overall /= overall.sum()
@@ -338,25 +342,23 @@ def score_texts(docs: DataFrame, held: Callable[[Column], Column], shape: Shape
         out = []
         for r in blocks.to_pylist():
             words = parted(r["words"], r["n_bytes"], r["n"])
-            found = sorted((a["bucket"], a["n"], a["counts"]) for a in answers.to_pylist())
-            counts = np.concatenate([unpack(data, n, np.int64) for _, n, data in found])
+            counts = np.zeros(len(words), dtype=np.int64)
+            counts[answers.column("place").to_numpy()] = answers.column("total").to_numpy()
             number = np.fromiter((names.value.get(w, -1) for w in words), dtype=np.int64, count=len(words))
             rare = number < 0
-            number[rare] = n_top + np.fromiter((zlib.crc32(w, 1) % n_shared for w, x in zip(words, rare.tolist(), strict=True) if x), dtype=np.int64, count=int(rare.sum()))
+            number[rare] = n_top + np.fromiter((zlib.crc32(SHARED + w) % n_shared for w, x in zip(words, rare.tolist(), strict=True) if x), dtype=np.int64, count=int(rare.sum()))
             logs = np.log10(counts + 1.0)
             inner = np.where(rare, logs - shares[np.maximum(number - n_top, 0)], 0.0)
             tokens = unpack(r["tokens"], r["n_tokens"], np.uint16 if r["width"] == 2 else np.uint32).astype(np.int64)
             sizes = unpack(r["sizes"], r["n_docs"], np.int64)
             begin = np.cumsum(sizes) - sizes
             out.append({
-                "block": r["block"], "n_tokens": r["n_tokens"], "classes": pack(number[tokens].astype(np.uint16)), "n_docs": r["n_docs"], "docs": r["docs"], "sizes": r["sizes"], "held": r["held"],
+                "block": r["block"], "n_tokens": r["n_tokens"], "classes": pack(number[tokens].astype(np.uint16)), "n_docs": r["n_docs"], **{c: r[c] for c in ("docs", "nulls", "sizes", "held")},
                 "known": pack(np.add.reduceat((counts > 0)[tokens].astype(np.int64), begin)), "base": pack(np.add.reduceat(logs[tokens], begin) - sizes * denominator), "inner": pack(np.add.reduceat(inner[tokens], begin)),
             })
         return pa.Table.from_pylist(out, schema=SCORED)
 
-    blocks = rows.where("kind = 0").select("block", "n", "words", "n_bytes", "n_tokens", "width", "tokens", "n_docs", "docs", "sizes", "held")
-    answers = replies.where("kind = 0").select("block", "bucket", "n", "counts")
-    own, back = (x.repartition(buckets, "block").groupBy("block") for x in (blocks, answers))
+    own, back = (x.repartition(parts, "block").groupBy("block") for x in (blocks.drop("counts"), counts.select("block", "place", "total")))
     scored = stage(own.cogroup(back).applyInArrow(classify, SCORED_DDL), "classes")
     model = first_model(shape, overall)
     for _ in range(shape.passes):
@@ -369,11 +371,11 @@ def score_texts(docs: DataFrame, held: Callable[[Column], Column], shape: Shape
         for batch in batches:
             for r in batch.to_pylist():
                 n = r["n_docs"]
-                ids, sizes = unpack(r["docs"], n, np.int64), unpack(r["sizes"], n, np.int64)
+                ids, sizes, nulls = unpack(r["docs"], n, np.int64), unpack(r["sizes"], n, np.int64), unpack(r["nulls"], n, np.uint8) > 0
                 classes = unpack(r["classes"], r["n_tokens"], np.uint16).astype(np.int64)
                 likely = log_likelihoods(classes, sizes, own) + unpack(r["inner"], n, np.float64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, mask=ids == NULL_ID), pa.array(unpack(r["held"], n, np.uint8) > 0), pa.array(sizes), pa.array(unpack(r["known"], n, np.int64)), pa.array(np.full(n, train_tokens)), pa.array(unpack(r["base"], n, np.float64)), pa.array(likely)],
+                    [pa.array(ids, mask=nulls), pa.array(unpack(r["held"], n, np.uint8) > 0), pa.array(sizes), pa.array(unpack(r["known"], n, np.int64)), pa.array(np.full(n, train_tokens)), pa.array(unpack(r["base"], n, np.float64)), pa.array(likely)],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
