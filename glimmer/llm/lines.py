@@ -1,31 +1,41 @@
 """Line deduplication with levelled sorted runs of line hashes.
 
 A line's key is the line without white space at its ends, A to Z in lower case; keys of at least ten code points count.
-State is a set of runs: tables of (128-bit key hash, first document), each sorted by hash, with no hash in two of them.
-A batch of documents reduces its lines to one row for each hash, merge-joins them with the runs, drops what the runs
-hold, and adds what they lack as a new run. When a level has as many runs as the fan-out, they are merged into one run
-of the next level, so a hash is rewritten once for each level.
+State is a set of runs: tables of (128-bit key hash, first document), bucketed by hash and sorted within each bucket, with
+no hash in two of them. A batch of documents reduces its lines to one row for each hash in the same buckets and in order,
+merges with the runs one after another without moving them, keeps what they lack (an anti-join), and adds that as a new
+run. When a level has as many runs as the fan-out, they are merged into one run of the next level, bucket by bucket, so a
+hash is rewritten once for each level.
 
 Batches are ranges of ascending identifiers, so the first document of a key is the smallest that holds it. A key in one
-document only loses nothing, however often it repeats there. Null texts are one empty line. Null identifiers are one
-document that ranks last.
+document only loses nothing, however often it repeats there. The documents that lose a frequent line meet its owner by
+broadcast, of at most MOST_FREQUENT lines; those of all others meet it by hash. Null texts are one empty line. Null
+identifiers are one document that ranks last.
 """
 
 from __future__ import annotations
 
+import contextlib
+import math
+import uuid
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from glimmer.llm.common import NO_ID, scratch_path, ship, slices, stage, to_batch
+from glimmer.llm.common import quoted, scratch_path, ship, slices, stage, text_bytes, to_batch
 
 #: What is stripped from the ends of a line.
 SPACE = b" \t\n\r\x0b\x0c"
 #: Code points that a key has at least.
 LEAST = 10
+#: Lines of a batch that count as frequent at most: those in more than this part of its rows.
+MOST_FREQUENT = 1000
+#: Bytes of text for each bucket of the runs, and the most buckets that a table can have.
+BUCKET_BYTES, MOST_BUCKETS = 64 << 20, 100_000
 
 
 def line_hash(line: bytes, least: int = LEAST) -> bytes | None:
@@ -38,94 +48,132 @@ def line_hash(line: bytes, least: int = LEAST) -> bytes | None:
     return xxhash.xxh3_128_digest(key)
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings (dots as double underscores) for the plans that run inside; the old ones come back."""
+    names = {name.replace("__", "."): value for name, value in values.items()}
+    before = {name: spark.conf.get(name) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 class LineRuns:
     """The levelled runs, kept in the shared folder; add() takes one batch after another."""
 
-    def __init__(self, spark: SparkSession, fan_out: int = 3) -> None:
-        self.spark, self.fan_out = spark, fan_out
+    def __init__(self, spark: SparkSession, buckets: int = 8, fan_out: int = 2) -> None:
+        self.spark, self.buckets, self.fan_out = spark, buckets, fan_out
         self.levels: list[list[DataFrame]] = []
+        self.names: list[str] = []
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
-    def write(self, run: DataFrame) -> DataFrame:
-        """A run as a table that is sorted within each of its files."""
-        path = scratch_path(self.spark, "line-run")
-        run.repartition("hash").sortWithinPartitions("hash").write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema("hash binary, first long").parquet(path)
+    def write(self, rows: DataFrame) -> DataFrame:
+        """rows, already dealt to the buckets by hash, as a table with one sorted file for each bucket."""
+        name = f"glimmer_line_run_{uuid.uuid4().hex}"
+        rows.write.bucketBy(self.buckets, "hash").sortBy("hash").option("compression", "zstd").option("path", scratch_path(self.spark, "line-run")).saveAsTable(name)
+        self.names.append(name)
+        return self.spark.table(name)
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """batch: (hash, doc) of lines. Returns (doc, hash) of the lines that the batch loses; the runs then hold its hashes."""
-        firsts = batch.groupBy("hash").agg(F.min("doc").alias("here"))
-        known = self.runs()
-        if known:
-            old = reduce(DataFrame.unionByName, known)
-            firsts = firsts.join(old, "hash", "left")
-        else:
-            firsts = firsts.withColumn("first", F.lit(None).cast("long"))
-        firsts = stage(firsts, "line-firsts")
-        new = firsts.where(F.col("first").isNull()).select("hash", F.col("here").alias("first"))
-        if not self.levels:
-            self.levels.append([])
-        self.levels[0].append(self.write(new))
-        self.compact()
-        owner = firsts.select("hash", F.coalesce("first", "here").alias("owner"))
-        return batch.distinct().join(owner, "hash").where(F.col("doc") != F.col("owner")).select("doc", "hash")
+        """batch: (hash, doc, mark) of lines. Returns (doc, mark, hash) of the lines that the batch loses; the runs then
+        hold its hashes."""
+        with settings(self.spark, spark__sql__shuffle__partitions=str(self.buckets), spark__sql__legacy__bucketedTableScan__outputOrdering="true", spark__sql__sources__bucketing__autoBucketedScan__enabled="false"):
+            firsts = batch.groupBy("hash").agg(F.min("doc").alias("here"), F.count("*").alias("n"))
+            first, known = F.lit(None).cast("long"), F.lit(False)
+            for i, run in enumerate(self.runs()):
+                firsts = firsts.join(run.select("hash", F.col("first").alias(f"first_{i}"), F.lit(True).alias(f"known_{i}")).hint("merge"), "hash", "left")
+                first, known = F.coalesce(first, F.col(f"first_{i}")), known | F.coalesce(F.col(f"known_{i}"), F.lit(False))
+            met = self.write(firsts.select("hash", "here", "n", first.alias("first"), known.alias("known")))
+            if not self.levels:
+                self.levels.append([])
+            self.levels[0].append(met.where(~F.col("known")).select("hash", F.col("here").alias("first")))
+            self.compact()
+        owners = met.where(F.col("known") | (F.col("n") > 1)).select("hash", F.when(F.col("known"), F.col("first")).otherwise(F.col("here")).alias("owner"), "n")
+        return stage(self.losses(batch, owners), "line-lost")
+
+    def losses(self, batch: DataFrame, owners: DataFrame) -> DataFrame:
+        cut = max(MOST_FREQUENT, batch.count() // MOST_FREQUENT)
+        often = F.broadcast(owners.where(F.col("n") > cut))  # fewer than MOST_FREQUENT rows, as each stands for more than cut rows of the batch
+        few = batch.join(often, "hash", "left_anti").join(owners.where(F.col("n") <= cut), "hash")
+        met = few.unionByName(batch.join(often, "hash"))
+        return met.where(~F.col("doc").eqNullSafe(F.col("owner"))).select("doc", "mark", "hash")
 
     def compact(self) -> None:
-        """Merges full levels downwards."""
+        """Merges full levels downwards: a full outer join on the sorted hashes, which no two runs share."""
         at = 0
         while at < len(self.levels) and len(self.levels[at]) >= self.fan_out:
-            merged = self.write(reduce(DataFrame.unionByName, self.levels[at]))
+            merged = reduce(lambda a, b: self.write(a.join(b.hint("merge"), "hash", "full").select("hash", F.coalesce(a["first"], b["first"]).alias("first"))), self.levels[at])
             self.levels[at] = []
             if at + 1 == len(self.levels):
                 self.levels.append([])
             self.levels[at + 1].append(merged)
             at += 1
 
+    def close(self) -> None:
+        """Takes the runs out of the catalog; their files go with the other scratch files."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def mark_of(key: Column, text: Column) -> Column:
+    """Tells rows without identifier apart by their texts; zero for all others."""
+    return F.when(key.isNull(), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))
+
 
-def line_table(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
-    """(doc, hash) of the distinct lines that count in each row."""
-    schema = pa.schema([("doc", pa.int64()), ("hash", pa.binary())])
+def line_table(docs: DataFrame, key: str, text: str, least: int, edges: list[int]) -> DataFrame:
+    """(doc, mark, hash, batch) of the distinct lines that count in each row; the edges are the last identifiers of all
+    batches but the last."""
+    schema = pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("hash", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ids, hashes = [], []
-            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            ids, marks, hashes = [], [], []
+            for doc, mark, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
                 found = {line_hash(line, least) for line in raw.split(b"\n")} - {None}
                 ids += [doc] * len(found)
+                marks += [mark] * len(found)
                 hashes += found
-            yield to_batch({"doc": ids, "hash": hashes}, schema)
+            yield to_batch({"doc": ids, "mark": marks, "hash": hashes}, schema)
 
-    plain = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return plain.mapInArrow(run, "doc long, hash binary")
+    doc, content = F.col(quoted(key)).cast("long"), F.coalesce(F.col(quoted(text)).cast("string"), F.lit(""))
+    lines = docs.select(doc.alias("doc"), mark_of(doc, content).alias("mark"), content.alias("text")).mapInArrow(run, "doc long, mark long, hash binary")
+    number = F.coalesce(reduce(lambda a, b: a + b, [(F.col("doc") > edge).cast("int") for edge in edges], F.lit(0)), F.lit(len(edges)))
+    return lines.withColumn("batch", number)
 
 
-def dedup_lines(docs: DataFrame, batches: int = 4, fan_out: int = 3, least: int = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, batch_bytes: int = 128 << 20, most_batches: int = 16, fan_out: int = 2, least: int = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of docs with the text rewritten (null becomes empty), and n_lines before and n_dropped, which replace
     columns of these names.
 
-    batches: into how many ranges of identifiers a table is cut; each adds to the runs. The texts pass through one
-    exchange, to meet the hashes that they lose; a line is only ever moved as its hash."""
+    A table is cut into batches of ascending identifiers of about batch_bytes of text, or more so that there are at most
+    most_batches; each adds to the runs. The texts pass through one exchange, to meet the hashes that they lose; a line is
+    only ever moved as its hash."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.drop("n_lines", "n_dropped")
-    lines = stage(line_table(docs, key, text, least), "lines")
-    cuts = sorted(set(lines.approxQuantile("doc", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
-    edges = [None, *map(int, cuts), None]
-    runs, lost = LineRuns(spark, fan_out), []
-    for low, high in zip(edges, edges[1:], strict=False):
-        part = lines
-        if low is not None:
-            part = part.where(F.col("doc") > low)
-        if high is not None:
-            part = part.where(F.col("doc") <= high)
-        lost.append(stage(runs.add(part), "line-lost"))
-    dropped = reduce(DataFrame.unionByName, lost).groupBy("doc").agg(F.collect_list("hash").alias("lost"))
-    own = docs.withColumn(text, F.coalesce(F.col(text).cast("string"), F.lit("")))
-    joined = own.join(dropped.hint("shuffle_hash"), F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)) == dropped["doc"], "left").select(*(own[c] for c in own.columns), dropped["lost"].alias("__lost"))
-    at = own.columns.index(text)
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema), "n_lines long", "n_dropped long"])
+    size = text_bytes(docs, text)
+    batches = max(1, min(most_batches, math.ceil(size / batch_bytes)))
+    doc = F.col(quoted(key)).cast("long")
+    edges = sorted({int(x) for x in docs.select(doc.alias("doc")).approxQuantile("doc", [i / batches for i in range(1, batches)], 0.01)}) if batches > 1 else []
+    path = scratch_path(spark, "lines")
+    line_table(docs, key, text, least, edges).write.partitionBy("batch").option("compression", "zstd").parquet(path)
+    lines = spark.read.schema("doc long, mark long, hash binary, batch int").parquet(path)
+    runs = LineRuns(spark, max(8, min(MOST_BUCKETS, size // BUCKET_BYTES)), fan_out)
+    lost = [runs.add(lines.where(F.col("batch") == i).drop("batch")) for i in range(len(edges) + 1)]
+    runs.close()
+    dropped = reduce(DataFrame.unionByName, lost).groupBy("doc", "mark").agg(F.collect_list("hash").alias("lost"))
+    content = F.coalesce(F.col(quoted(text)).cast("string"), F.lit(""))
+    own = docs.select(*(content.alias(c) if c == text else F.col(quoted(c)) for c in docs.columns))
+    names = [f"c{i}" for i in range(len(own.columns))]
+    plain = own.toDF(*names).withColumns({"key": F.col(names[own.columns.index(key)]).cast("long"), "side": mark_of(F.col(names[own.columns.index(key)]), F.col(names[own.columns.index(text)]))})
+    met = plain.join(dropped.hint("shuffle_hash"), plain["key"].eqNullSafe(dropped["doc"]) & (plain["side"] == dropped["mark"]), "left").select(*names, "lost")
+    at, out_names = own.columns.index(text), [*own.columns, "n_lines", "n_dropped"]
 
     def rewrite(found: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
@@ -143,7 +191,6 @@ def dedup_lines(docs: DataFrame, batches: int = 4, fan_out: int = 3, least: int
                 n_dropped.append(len(parts) - len(kept))
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             columns[at] = pa.array(texts, type=pa.binary()).cast(batch.schema.field(at).type)
-            names = [batch.schema.field(i).name for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, type=pa.int64()), pa.array(n_dropped, type=pa.int64())], names=[*names, "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, type=pa.int64()), pa.array(n_dropped, type=pa.int64())], names=out_names)
 
-    return joined.mapInArrow(rewrite, ddl)
+    return met.mapInArrow(rewrite, StructType([*own.schema.fields, StructField("n_lines", LongType()), StructField("n_dropped", LongType())]))

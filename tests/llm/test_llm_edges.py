@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from glimmer.llm import lines
 from glimmer.llm.bpe import bpe_decode, bpe_encode
 from glimmer.llm.decontaminate import drop_leaks, find_leaks, item_parts
 from glimmer.llm.hmm import Shape, score_texts
@@ -61,7 +62,7 @@ OPERATORS = {
     "suffixes": lambda d, t: cut_repeats(d),
     "quality": lambda d, t: quality_cascade(d, measures=("n_words", "n_repeat_words", "n_dup_lines", "word_chars")),
     "pii": lambda d, t: pseudonymise(d, "k"),
-    "lines": lambda d, t: dedup_lines(d, batches=2, fan_out=2),
+    "lines": lambda d, t: dedup_lines(d, batch_bytes=1 << 20, fan_out=2),
     "bpe": lambda d, t: encoded(d),
     "warc": archived,
 }
@@ -115,5 +116,32 @@ def test_hot_copies_stay_whole(spark):
     cut = {r.doc_id: r for r in cut_repeats(docs).collect()}
     assert all(cut[i].kept == b"" for i in range(3, 600, 3)) and cut[0].n_removed == 0
     assert all(cut[i].n_removed >= len(text) + 5 for i in range(4, 600, 3)) and cut[1].n_removed == len(text)
-    kept = {r.doc_id: r.n_dropped for r in dedup_lines(docs).collect()}
-    assert sum(kept.values()) == 199
+    for size in (1 << 30, 20_000):
+        kept = {r.doc_id: r.n_dropped for r in dedup_lines(docs, batch_bytes=size).collect()}
+        assert sum(kept.values()) == 199
+
+
+def test_runs_merge_without_an_exchange(spark, monkeypatch):
+    """Many batches and levels, frequent lines by broadcast, and the plans of merging: only the batch itself is moved."""
+    monkeypatch.setattr(lines, "MOST_FREQUENT", 3)
+    rows = [(i, "\n".join(f"line number {(i * j) % 23} of all" for j in range(1, 6)) + "\na line that all of them hold") for i in range(90)] + [(2**63 - 1, "line number 1 of all\nonly in the last one"), (None, "line number 2 of all\nonly in the last one"), (None, "only without a number")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    plans, write = [], lines.LineRuns.write
+
+    def watched(self, df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(self, df)
+
+    monkeypatch.setattr(lines.LineRuns, "write", watched)
+    got = {(r.doc_id, r.text): r.n_dropped for r in dedup_lines(docs, batch_bytes=1000).collect()}
+    first = {}
+    for i, t in rows:
+        for line in t.split("\n"):
+            first.setdefault(line, i)
+    want = {}
+    for i, t in rows:
+        parts = t.split("\n")
+        kept = [x for x in parts if first[x] == i]
+        want[i, "\n".join(kept)] = len(parts) - len(kept)
+    assert got == want and len(plans) > 16
+    assert any("SortMergeJoin" in p for p in plans) and all(p.count("Exchange hashpartitioning") <= 1 for p in plans)
