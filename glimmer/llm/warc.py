@@ -1,15 +1,18 @@
 """A deterministic sharded WARC writer, and a reader.
 
-Records are sorted by identifier. Shards are ranges of identifiers with about equal bytes, cut by exact sums and so the
-same in each run; a shard is a sequence of files, each closed when its compressed size reaches a limit. Every record is
-a gzip member of its own. Headers, identifiers and digests are made from the content alone. Of records with equal
-payloads of at least `least` bytes the one with the smallest identifier is a response, the others are revisits that
-name it.
-
-A file is written under a temporary name and renamed when it is complete, so a task that is run again leaves the same
-files. When all are there a manifest with sizes and digests is written, and a marker last; readers take the files that
-the manifest names and check every digest. Paths are reached through pyarrow's file systems on the executors, so the
-folder may be local to all, or in a store that pyarrow knows.
+Records are sorted by identifier and, below it, by digest. Shards are ranges of this order with about equal bytes, cut by
+exact running sums and so the same in each run; a shard is a sequence of files, each closed when its compressed size
+reaches a limit. Every record is a gzip member of its own. Headers, identifiers and digests are made from the content
+alone. Of records with equal payloads of at least `least` bytes the one with the smallest identifier is a response, the
+others are revisits that name it.
+
+Each call of the writer has a folder of its own below `out`. Tasks write files under temporary names that no other task
+uses; Spark's own commit tells which of them count. These get their final names, a manifest with sizes and digests is
+written, and an empty marker whose name holds a number and the folder's name commits all at once. Readers take the marker
+with the highest number, read the files that the manifest names and check every digest; so a folder may be written
+again, and readers see the former archive until the new marker is there. Former folders are left to the caller. Files
+are opened through pyarrow's file systems on the executors, so `out` may be local to all, or in a store that pyarrow
+knows.
 
 A null payload is empty. A null identifier ranks last and has no header; rows that repeat an identifier with the same
 payload are alike. An empty table gives a manifest without files.
@@ -27,16 +30,17 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glimmer.llm.common import NO_ID, ship, slices
+from glimmer.llm.common import quoted, ship, slices, stage
 
-#: The most cells into which a range of identifiers is cut at once, to sum up bytes.
-CELLS = 4096
+#: Shards at most; of a larger table each holds more bytes.
+MOST_SHARDS = 100_000
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SPACE_OF_IDS = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
+WRITTEN = "hidden string, shard int, part int, name string, n_bytes long, n_records long, sha256 string"
 MANIFEST = "shard int, part int, name string, n_bytes long, n_records long, sha256 string"
 
 
@@ -67,13 +71,18 @@ def page_record(page: int | None, url: str | None, payload: bytes, digest: str,
     return record("revisit", headers, http)
 
 
+def store_of(path: str) -> tuple:
+    """(pyarrow's file system, the path in it)."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
 class Files:
     """The files of one shard, one open at a time and held in memory up to the limit."""
 
     def __init__(self, out: str, shard: int, most_bytes: int) -> None:
-        from pyarrow import fs
-
-        self.store, self.folder = fs.FileSystem.from_uri(out) if "://" in out or out.startswith("file:") else (fs.LocalFileSystem(), out)
+        self.store, self.folder = store_of(out)
         self.shard, self.most, self.part, self.rows = shard, most_bytes, 0, []
         self.open()
 
@@ -93,114 +102,122 @@ class Files:
             self.open()
 
     def close(self) -> None:
-        """Writes what is open under a temporary name, then renames it."""
+        """Writes what is open under a name of its own."""
         if not self.count:
             return
-        content = self.buffer.getvalue()
-        hidden = f"{self.folder}/_temporary-{uuid.uuid4().hex}-{self.name}"
-        with self.store.open_output_stream(hidden, compression=None) as out:
+        content, hidden = self.buffer.getvalue(), f"{uuid.uuid4().hex}-{self.name}"
+        with self.store.open_output_stream(f"{self.folder}/_temporary/{hidden}", compression=None) as out:
             out.write(content)
-        self.store.move(hidden, f"{self.folder}/{self.name}")
-        self.rows.append((self.shard, self.part, self.name, len(content), self.count, hashlib.sha256(content).hexdigest()))
+        self.rows.append((hidden, self.shard, self.part, self.name, len(content), self.count, hashlib.sha256(content).hexdigest()))
         self.count = 0
 
 
-def shard_bounds(pages: DataFrame, shard_bytes: int) -> list[int]:
-    """The first identifier of each shard but the first, by exact sums of bytes over cells of identifiers. Cells with more
-    bytes than a shard are cut again, all in one job a level, into about four cells a shard; so what reaches the driver
-    follows the number of shards. A single identifier is never cut."""
-    low, high = pages.agg(F.min("page"), F.max(F.when(F.col("page") < NO_ID, F.col("page")))).first()
-    if low is None or high is None:
-        return []
-    cells: dict[int, tuple[int, int]] = {}  # first identifier: (last, bytes)
-    heavy = [(low, high, CELLS)]
-    while heavy:
-        firsts = np.array([a for a, _, _ in heavy], dtype=np.int64)
-        lasts = np.array([b for _, b, _ in heavy], dtype=np.int64)
-        widths = np.array([max(1, -(-(b - a + 1) // n)) for a, b, n in heavy], dtype=np.int64)
-
-        @F.pandas_udf("long")
-        def cell_of(page: pd.Series) -> pd.Series:
-            ids = page.to_numpy(dtype=np.int64)
-            at = np.maximum(np.searchsorted(firsts, ids, side="right") - 1, 0)
-            inside = (ids >= firsts[at]) & (ids <= lasts[at])
-            return pd.Series(np.where(inside, firsts[at] + (ids - firsts[at]) // widths[at] * widths[at], NO_ID))
-
-        sums = pages.where(F.col("page").between(int(firsts[0]), int(lasts.max()))).groupBy(cell_of("page").alias("cell")).agg(F.sum("n").alias("n"))
-        found = sorted((r["cell"], r["n"]) for r in sums.collect() if r["cell"] != NO_ID)
-        next_heavy = []
-        for cell, n in found:
-            at = int(np.searchsorted(firsts, cell, side="right")) - 1
-            last = min(int(lasts[at]), cell + int(widths[at]) - 1)
-            if n > shard_bytes and last > cell:
-                next_heavy.append((cell, last, min(CELLS, 4 * -(-n // shard_bytes))))
-            else:
-                cells[cell] = (last, n)
-        heavy = next_heavy
-    bounds, held = [], 0
-    for first in sorted(cells):
-        n = cells[first][1]
-        if held and held + n > shard_bytes:
-            bounds.append(first)
-            held = 0
-        held += n
-    return bounds
-
-
-def write_warc(pages: DataFrame, out: str, least: int = 100, file_bytes: int = 16 << 20, shard_bytes: int = 32 << 20, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Writes pages to the folder `out`; returns the manifest: shard, part, name, n_bytes, n_records, sha256."""
+def order_key(page: Column, digest: Column) -> Column:
+    """Text that sorts as (page, nulls last; digest)."""
+    return F.concat(F.coalesce(F.lpad(F.hex(page.bitwiseXOR(F.lit(-(2**63)))), 16, "0"), F.lit("X")), digest)
+
+
+def shard_bounds(records: DataFrame, shard_bytes: int) -> list[str]:
+    """The first key of each shard but the first, from (key, n): records begin a new shard where the sum of all bytes
+    before them passes a multiple of shard_bytes. One number a partition and one key a shard reach the driver."""
+    ranged = stage(records.repartitionByRange("key").withColumn("part", F.spark_partition_id()), "ranged")
+    sums = sorted((r["part"], r["n"]) for r in ranged.groupBy("part").agg(F.sum("n").alias("n")).collect())
+    shard_bytes = max(shard_bytes, -(-sum(n for _, n in sums) // MOST_SHARDS))
+    before, held = {}, 0
+    for part, n in sums:
+        before[part], held = held, held + n
+    offsets = F.broadcast(records.sparkSession.createDataFrame(sorted(before.items()), "part int, before long"))
+    running = F.sum("n").over(Window.partitionBy("part").orderBy("key", "n").rowsBetween(Window.unboundedPreceding, -1))
+    shard = F.floor((F.col("before") + F.coalesce(running, F.lit(0))) / shard_bytes)
+    firsts = ranged.join(offsets, "part").withColumn("shard", shard).groupBy("shard").agg(F.min("key").alias("key")).collect()
+    return sorted({r["key"] for r in firsts})[1:]
+
+
+def write_warc(pages: DataFrame, out: str, least: int = 100, file_bytes: int = 16 << 20, shard_bytes: int = 64 << 20, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """Writes pages to the folder `out`; returns the manifest: shard, part, name, n_bytes, n_records, sha256. The payloads
+    are read twice, once for their digests, and pass through one exchange."""
     spark = pages.sparkSession
     ship(spark)
-    payload = F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary")
-    plain = pages.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("page"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
-    plain = plain.withColumn("digest", F.sha2("payload", 256)).withColumn("n", F.octet_length("payload").cast("long"))
-    small = plain.select("page", "digest", "n")
-    bounds = np.array(shard_bounds(small, shard_bytes), dtype=np.int64)
+    folder = f"{out}/archive-{uuid.uuid4().hex}"
+    store, at = hadoop(spark, out)
+    store.mkdirs(at(f"{folder}/_temporary"))
+    payload = F.coalesce(F.col(quoted(html)).cast("string"), F.lit("")).cast("binary")
+    plain = pages.select(F.col(quoted(key)).cast("long").alias("page"), F.col(quoted(url)).cast("string").alias("url"), payload.alias("payload"))
+    plain = plain.withColumn("digest", F.sha2("payload", 256)).withColumn("key", order_key(F.col("page"), F.col("digest")))
+    small = stage(plain.select("page", "digest", "key", F.octet_length("payload").cast("long").alias("n")), "digests")
+    bounds = np.array(shard_bounds(small.select("key", "n"), shard_bytes), dtype=bytes)
     held = spark.sparkContext.broadcast(bounds)
 
     @F.pandas_udf("int")
-    def shard_of(page: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(held.value, page.to_numpy(dtype=np.int64), side="right").astype(np.int32))
+    def shard_of(key: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(held.value, key.to_numpy().astype(bytes), side="right").astype(np.int32))
 
-    firsts = small.where(F.col("n") >= least).groupBy("digest").agg(F.min("page").alias("first"), F.max("page").alias("last")).where(F.col("first") < F.col("last")).select("digest", "first")
-    revisits = small.where(F.col("n") >= least).join(firsts, "digest").where(F.col("page") > F.col("first")).select("page", "digest", F.col("first").alias("refers_to")).distinct()
+    firsts = small.where(F.col("n") >= least).groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("rows")).where("rows > 1 and first is not null").select("digest", "first")
+    later = small.join(firsts, "digest").where(F.col("page").isNull() | (F.col("page") > F.col("first")))
     # a row that says what a page refers to comes just before the page, so the payloads are moved once
-    marks = revisits.select("page", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "refers_to")
-    records = plain.select("page", "url", "payload", "digest", F.lit(None).cast("long").alias("refers_to")).unionByName(marks).withColumn("shard", shard_of("page"))
-    dealt = records.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", "page", "digest", F.col("refers_to").asc_nulls_last(), "url")
-    schema = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("name", pa.string()), ("n_bytes", pa.int64()), ("n_records", pa.int64()), ("sha256", pa.string())])
+    marks = later.select("page", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", F.col("first").alias("refers_to"), "key").distinct()
+    records = plain.select("page", "url", "payload", "digest", F.lit(None).cast("long").alias("refers_to"), "key").unionByName(marks).withColumn("shard", shard_of("key"))
+    dealt = records.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", "key", F.col("refers_to").asc_nulls_last(), "url")
+    schema = pa.schema([("hidden", pa.string()), ("shard", pa.int32()), ("part", pa.int32()), ("name", pa.string()), ("n_bytes", pa.int64()), ("n_records", pa.int64()), ("sha256", pa.string())])
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, mark = None, None
 
         def rows(done: Files) -> pa.RecordBatch:
             done.close()
-            return pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*done.rows, strict=True) if done.rows else [[]] * 6, schema, strict=True)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*done.rows, strict=True) if done.rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
         for batch in batches:
             for row in (r for part in slices([batch.rename_columns(["page", "url", "text", "digest", "refers_to", "shard"])]) for r in part.to_pylist()):
                 if files is None or files.shard != row["shard"]:
                     if files is not None:
                         yield rows(files)
-                    files = Files(out, row["shard"], file_bytes)
+                    files = Files(folder, row["shard"], file_bytes)
                 if row["refers_to"] is not None:
                     mark = row
                     continue
                 known = mark is not None and (mark["page"], mark["digest"]) == (row["page"], row["digest"])
-                page = None if row["page"] == NO_ID else row["page"]
-                files.add(page_record(page, row["url"], row["text"], row["digest"], mark["refers_to"] if known else None))
+                files.add(page_record(row["page"], row["url"], row["text"], row["digest"], mark["refers_to"] if known else None))
         if files is not None:
             yield rows(files)
 
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
-    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    store.mkdirs(folder)
-    written = dealt.select("page", "url", "payload", "digest", "refers_to", "shard").mapInArrow(write, MANIFEST)
+    def settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, top = store_of(folder)
+        for batch in batches:
+            for hidden, name in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                target = f"{top}/{name}"
+                try:
+                    if store.get_file_info(target).type == fs.FileType.NotFound:
+                        store.move(f"{top}/_temporary/{hidden}", target)
+                except OSError:  # another run of this task was faster
+                    if store.get_file_info(target).type == fs.FileType.NotFound:
+                        raise
+            yield batch.select(MANIFEST_COLUMNS)
+
+    dealt.select("page", "url", "payload", "digest", "refers_to", "shard").mapInArrow(write, WRITTEN).write.json(f"{folder}/_written")
+    spark.read.schema(WRITTEN).json(f"{folder}/_written").mapInArrow(settle, MANIFEST).write.json(f"{folder}/_manifest")
+    store.delete(at(f"{folder}/_temporary"), True)
+    number = 1 + max((n for n, _ in committed(spark, out)), default=0)
+    store.create(at(f"{out}/_COMMITTED-{number:09d}-{folder.rpartition('/')[2]}"), False).close()
+    return spark.read.schema(MANIFEST).json(f"{folder}/_manifest")
+
+
+MANIFEST_COLUMNS = [part.split()[0] for part in MANIFEST.split(", ")]
+
+
+def hadoop(spark: SparkSession, path: str) -> tuple:
+    """(Hadoop's file system of a path, its class of paths)."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    written.write.mode("overwrite").json(f"{out}/_manifest_part")
-    store.rename(at(f"{out}/_manifest_part"), at(f"{out}/_manifest"))
-    store.create(at(f"{out}/_COMMITTED"), True).close()
-    return spark.read.schema(MANIFEST).json(f"{out}/_manifest")
+    return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def committed(spark: SparkSession, out: str) -> list[tuple[int, str]]:
+    """(number, folder) of the markers in out."""
+    store, at = hadoop(spark, out)
+    names = [f.getPath().getName() for f in (store.globStatus(at(f"{out}/_COMMITTED-*")) or [])]
+    return [(int(number), folder) for _, number, folder in (name.split("-", 2) for name in names)]
 
 
 def members(content: bytes) -> Iterator[bytes]:
@@ -234,17 +251,20 @@ def read_warc(spark: SparkSession, out: str) -> DataFrame:
     """(page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload) of the committed records; a
     revisit has no payload of its own."""
     ship(spark)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/_COMMITTED")
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    found = committed(spark, out)
+    if not found:
         raise FileNotFoundError(f"{out} holds no committed archive")
-    manifest = spark.read.schema(MANIFEST).json(f"{out}/_manifest").select("name", "sha256")
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.gz").load(out).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    folder = f"{out}/{max(found)[1]}"
+    manifest = spark.read.schema(MANIFEST).json(f"{folder}/_manifest").select("name", "sha256")
+    dealt = manifest.repartition(max(1, min(MOST_SHARDS, manifest.count())), "name")  # only names are moved, each task opens its files
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = store_of(folder)
         for batch in batches:
-            for i in range(batch.num_rows):
-                content, digest = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+            for name, digest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with store.open_input_stream(f"{top}/{name}", compression=None) as file:
+                    content = file.read()
                 if hashlib.sha256(content).hexdigest() != digest:
                     raise ValueError("a file differs from the manifest")
                 rows: list[dict] = []
@@ -269,4 +289,4 @@ def read_warc(spark: SparkSession, out: str) -> DataFrame:
                         rows, held = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return found.join(manifest, "name").select("content", "sha256").mapInArrow(read, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
+    return dealt.mapInArrow(read, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
