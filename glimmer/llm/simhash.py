@@ -11,8 +11,9 @@ adds up differences from the top and leaves a whole group as soon as they exceed
 Links are not listed: each pattern joins what its searches link and passes on one row for each member. Components
 follow from these rows by rounds of star contraction. Nothing is collected to the driver.
 
-Texts without words have fingerprint zero. Rows with a null identifier take part; they rank after all others, and a
-component of nothing else has a null identifier.
+Links and components name fingerprints; only at the end each component gets its smallest identifier. Texts without words
+have fingerprint zero. Rows with a null identifier take part; they rank after all others, and a component of nothing else
+has a null identifier.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glimmer.llm.common import NO_ID, ship, slices, stage, to_batch
+from glimmer.llm.common import documents, ship, slices, stage, to_batch
 
 SEED = 42
 #: Patterns with more fingerprints than this are split again.
@@ -81,7 +82,7 @@ def fingerprint(text: bytes, size: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, fp): a null identifier is NO_ID; fp is the fingerprint's bits as a signed long."""
+    """(doc, fp): fp is the fingerprint's bits as a signed long."""
     schema = pa.schema([("doc", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,8 +90,7 @@ def fingerprints(docs: DataFrame, size: int = 3, key: str = "doc_id", text: str
             found = np.array([fingerprint(x, size) for x in batch.column(1).cast(pa.binary()).to_pylist()], dtype=np.uint64)
             yield to_batch({"doc": batch.column(0), "fp": pa.array(found.view(np.int64))}, schema)
 
-    plain = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return plain.mapInArrow(run, "doc long, fp long")
+    return documents(docs, key, text).mapInArrow(run, "doc long, fp long")
 
 
 def gray_rank(fp: F.Column) -> F.Column:
@@ -249,8 +249,8 @@ def near_duplicates(docs: DataFrame, most_bits: int = 2, size: int = 3, key: str
         raise ValueError("the patterns find links of at most two bits")
     ship(docs.sparkSession)
     own = stage(fingerprints(docs, size, key, text), "fingerprints")
-    classes = stage(own.groupBy("fp").agg(F.min("doc").alias("rep")), "classes")
-    upper = below_masks(classes, list(enumerate(UPPER)))
+    classes = stage(own.groupBy("fp").agg(F.min("doc").alias("first")).withColumn("rep", F.col("fp")), "classes")
+    upper = below_masks(classes.select("fp", "rep"), list(enumerate(UPPER)))
     many = stage(upper.groupBy("node", "value").count().where(F.col("count") > MANY).select("node", "value"), "patterns")
     links = local_links(upper.join(many, ["node", "value"], "left_anti"), most_bits)
     crowded = upper.join(many, ["node", "value"], "left_semi")
@@ -259,10 +259,7 @@ def near_duplicates(docs: DataFrame, most_bits: int = 2, size: int = 3, key: str
         deeper = finer if i == 0 else deeper.unionByName(finer)
     links = links.unionByName(local_links(deeper, most_bits))
     least = contract(links)
-    named = classes.join(least, classes["rep"] == least["a"], "left").select("fp", F.coalesce("b", "rep").alias("component"))
-    found = own.join(named, "fp")
-    return found.select(
-        F.nullif("doc", F.lit(NO_ID)).alias("doc_id"),
-        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-        F.nullif("component", F.lit(NO_ID)).alias("component_id"),
-    )
+    named = classes.join(least, classes["rep"] == least["a"], "left").select("fp", "first", F.coalesce("b", "rep").alias("class"))
+    smallest = named.groupBy("class").agg(F.min("first").alias("component_id"))
+    found = own.join(named.join(smallest, "class").select("fp", "component_id"), "fp")
+    return found.select(F.col("doc").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -82,6 +82,24 @@ def test_index_equals_all_pairs_when_patterns_are_split(spark, monkeypatch, many
     assert got == components(prints)
 
 
+def test_long_texts_have_the_same_fingerprints(monkeypatch, texts):
+    """Texts that are cut into words piece by piece, and those that are not."""
+    some = [t.encode() for t in list(texts.values())[:40]] + [b" ".join(b"w%d" % (i * i % 977) for i in range(70_000)), b"", b"one", b"one two"]
+    whole = [simhash.fingerprint(t) for t in some]
+    monkeypatch.setattr(simhash, "LONG", 10)
+    assert [simhash.fingerprint(t) for t in some] == whole and whole[-3] == 0
+    monkeypatch.setattr(simhash.word_runs, "__defaults__", (7,))
+    assert [simhash.fingerprint(t) for t in some] == whole
+    assert whole[-4] == plain_fingerprint(some[-4].decode())
+
+
+def test_awkward_identifiers(spark):
+    rows = [(2**63 - 1, "same words here now"), (None, "same words here now"), (None, "other text of no number"), (-(2**63), "alone in this world"), (2**63 - 1, None)]
+    got = sorted((str(r.doc_id), str(r.component_id)) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    top, low = str(2**63 - 1), str(-(2**63))
+    assert got == sorted([(top, top), ("None", top), ("None", "None"), (low, low), (top, top)])
+
+
 def test_chains_are_contracted(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 95)], "a long, b long")
     assert {(r.a, r.b) for r in simhash.contract(links).collect()} == {(i, 0) for i in range(1, 41)} | {(100, 90), (95, 90)}
