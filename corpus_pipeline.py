@@ -4,7 +4,7 @@ with benchmark passages go, the rest is encoded.
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and read again as the
 next one's docs. All but the last return the columns of documents. A document whose lines all go stays with an empty
 text; near-duplicate removal then leaves one of these. Rows that repeat an identifier are one document and share a fate
-in near-duplicate removal.
+in near-duplicate removal, as do all rows without one, which rank last.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glimmer.llm.bpe import bpe_encode
-from glimmer.llm.common import NO_ID, scratch_path
+from glimmer.llm.common import scratch_path
 from glimmer.llm.decontaminate import drop_leaks
 from glimmer.llm.jaccard import similar_texts
 from glimmer.llm.lines import dedup_lines
@@ -40,9 +40,9 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("key"))
     near = near_duplicates(keyed, key="key").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
     least = contract(near.unionByName(similar_texts(keyed)))
-    named = keyed.select("doc_id", "key").join(least, F.col("key") == F.col("a"), "left").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.coalesce("b", "key").alias("component"))
-    first = named.groupBy("component").agg(F.nullif(F.min("doc"), F.lit(NO_ID)).alias("__kept")).select("__kept").distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["__kept"]), "left_semi").select(*docs.columns)
+    named = keyed.select("doc_id", "key").join(least, F.col("key") == F.col("a"), "left").select("doc_id", F.coalesce("b", "key").alias("component"))
+    first = named.groupBy("component").agg(F.min("doc_id").alias("kept")).select("kept").distinct()
+    return docs.join(first, docs["doc_id"].eqNullSafe(first["kept"]), "left_semi")
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
