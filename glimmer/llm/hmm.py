@@ -26,7 +26,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glimmer.llm.common import count_blocks, from_npy, npy, pack, quoted, ship, slices, stage, to_batch, unpack
@@ -38,7 +38,7 @@ EXACT = 1024
 #: Bytes that the words with classes of their own have at most in all.
 MOST_WORD_BYTES = 8 << 20
 #: Tokens of a segment, whose forward states are held at once, and of the blocks that run together.
-SEGMENT, TOGETHER = 1 << 19, 3 << 20
+SEGMENT, TOGETHER = 1 << 18, 2 << 20
 #: The word that stands for the end.
 END = b""
 
@@ -138,9 +138,10 @@ def word_rows(blocks: DataFrame) -> DataFrame:
 def summed_counts(rows: DataFrame, parts: int) -> DataFrame:
     """(block, place, total, word): the word's count in all training texts, for each block; the word stands in one of
     its rows only."""
-    same = Window.partitionBy("word")
-    dealt = rows.repartition(parts, "word").withColumns({"total": F.sum("count").over(same), "at": F.row_number().over(same.orderBy("block"))})
-    return dealt.select("block", "place", "total", F.when(F.col("at") == 1, F.col("word")).alias("word"))
+    dealt = rows.repartition(parts, "word")
+    sums = dealt.groupBy("word").agg(F.sum("count").alias("total"), F.min("block").alias("first"))
+    met = dealt.join(sums.hint("shuffle_hash"), "word")  # a part holds a bounded share of the words, already in place
+    return met.select("block", "place", "total", F.when(F.col("block") == F.col("first"), F.col("word")).alias("word"))
 
 
 def bin_of(n: Column) -> Column:
@@ -173,26 +174,36 @@ class Model:
         return npy(start=self.start, move=self.move, emit=self.emit)
 
 
-def lanes(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order of sequences by falling length, and how many last beyond each step."""
-    order = np.argsort(-sizes, kind="stable")
-    active = len(sizes) - np.searchsorted(np.sort(sizes), np.arange(int(sizes.max())), side="right")
-    return order, active
+class Lanes:
+    """Texts side by side, the longest first: order (of the texts), active (how many reach each step), and the classes of
+    one step after another; those of a step are classes[edges[step] : edges[step + 1]]."""
+
+    def __init__(self, classes: np.ndarray, sizes: np.ndarray) -> None:
+        self.order = np.argsort(-sizes, kind="stable")
+        active = len(sizes) - np.searchsorted(np.sort(sizes), np.arange(int(sizes.max())), side="right")
+        self.active, self.edges = active.tolist(), np.r_[0, np.cumsum(active)].tolist()
+        lane = np.empty(len(sizes), dtype=np.int64)
+        lane[self.order] = np.arange(len(sizes))
+        steps = np.arange(len(classes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.classes = np.empty(len(classes), dtype=np.int32)
+        self.classes[np.asarray(self.edges)[steps] + np.repeat(lane, sizes)] = classes
+
+    def at(self, step: int) -> np.ndarray:
+        return self.classes[self.edges[step] : self.edges[step + 1]]
 
 
 def log_likelihoods(classes: np.ndarray, sizes: np.ndarray, model: Model) -> np.ndarray:
     """log10 of the probability of each text's classes, by the scaled forward recursion."""
-    order, active = lanes(sizes)
-    at = (np.cumsum(sizes) - sizes)[order]
-    emit = np.ascontiguousarray(model.emit.T)
+    lanes = Lanes(classes, sizes)
+    emit, ones = np.ascontiguousarray(model.emit.T), np.ones((len(model.start), 1))
     held, out = np.broadcast_to(model.start, (len(sizes), len(model.start))), np.zeros(len(sizes))
-    for step, n in enumerate(active.tolist()):
-        held = (held[:n] @ model.move if step else held[:n]) * emit[classes[at[:n] + step]]
-        scale = held.sum(axis=1)
-        held = held / scale[:, None]
-        out[:n] += np.log10(scale)
+    for step, n in enumerate(lanes.active):
+        held = (held[:n] @ model.move if step else held[:n]) * emit.take(lanes.at(step), axis=0)
+        scale = held @ ones
+        held /= scale
+        out[:n] += np.log10(scale[:, 0])
     found = np.empty_like(out)
-    found[order] = out
+    found[lanes.order] = out
     return found
 
 
@@ -200,47 +211,50 @@ def expected_counts(classes: np.ndarray, sizes: np.ndarray, model: Model, segmen
     """Expected counts of (start, move, emit) over whole texts. Steps fall into segments of about so many tokens; the
     forward states at their starts are kept, and those within a segment computed again when the way back reaches it."""
     k, n_classes = model.emit.shape
-    order, active = lanes(sizes)
-    begin = (np.cumsum(sizes) - sizes)[order]
-    emit, move = np.ascontiguousarray(model.emit.T).astype(np.float32), model.move.astype(np.float32)
-    first = np.broadcast_to(model.start.astype(np.float32), (len(sizes), k))
-    whole = np.cumsum(active) // segment
-    cuts = [0, *(np.flatnonzero(np.diff(whole)) + 1).tolist(), len(active)]
-
-    def ahead(a: int, b: int, held: np.ndarray, keep: list | None) -> np.ndarray:
+    lanes = Lanes(classes, sizes)
+    emit, move, ones = np.ascontiguousarray(model.emit.T).astype(np.float32), model.move.astype(np.float32), np.ones((k, 1), dtype=np.float32)
+    back_move = np.ascontiguousarray(move.T)
+    edges, n_lanes = lanes.edges, len(sizes)
+    cuts = [0, *(np.flatnonzero(np.diff(np.array(edges[1:]) // segment)) + 1).tolist(), len(lanes.active)]
+    most = max(edges[b] - edges[a] for a, b in zip(cuts, cuts[1:], strict=False))
+    # buffers that all steps share: the states and scales of a segment, and what a step needs besides
+    states, scales = np.empty((most, k), dtype=np.float32), np.empty((most, 1), dtype=np.float32)
+    moved, seen, later = (np.empty((n_lanes, k), dtype=np.float32) for _ in range(3))
+
+    def ahead(a: int, b: int, held: np.ndarray) -> np.ndarray:
+        """The states of the steps from a to b, scaled, in the buffers; a copy of the last ones."""
         for step in range(a, b):
-            n = int(active[step])
-            seen = emit[classes[begin[:n] + step]]
-            held = (held[:n] @ move if step else held[:n]) * seen
-            scale = held.sum(axis=1, keepdims=True)
-            held = held / scale
-            if keep is not None:
-                keep.append((held, seen / scale))
-        return held
-
-    starts = [first]
+            n, own = lanes.active[step], slice(edges[step] - edges[a], edges[step + 1] - edges[a])
+            np.take(emit, lanes.at(step), axis=0, out=seen[:n], mode="clip")
+            if step:
+                held = np.matmul(held[:n], move, out=moved[:n])
+            held = np.multiply(held, seen[:n], out=states[own])
+            scale = np.matmul(held, ones, out=scales[own])
+            np.reciprocal(scale, out=scale)
+            held *= scale
+        return held.copy()
+
+    starts = [np.broadcast_to(model.start.astype(np.float32), (n_lanes, k))]
     for a, b in zip(cuts[:-2], cuts[1:-1], strict=True):
-        starts.append(ahead(a, b, starts[-1], None))
-    moves, emits, start, through = np.zeros((k, k)), np.zeros((k, n_classes)), np.zeros(k), None
-    for a, b, held in reversed(list(zip(cuts[:-1], cuts[1:], starts, strict=True))):
-        kept: list = []
-        ahead(a, b, held, kept)
-        weights, at = [], []
+        starts.append(ahead(a, b, starts[-1]))
+    moves, emits, start, m = np.zeros((k, k)), np.zeros((k, n_classes)), np.zeros(k), 0
+    for a, b in reversed(list(zip(cuts[:-1], cuts[1:], strict=True))):
+        ahead(a, b, starts.pop())
         for step in range(b - 1, a - 1, -1):
-            own, seen = kept.pop()
-            weight = own
-            if through is not None:
-                m = len(through)
-                moves += own[:m].T @ through
-                back = np.ones_like(own)
-                back[:m] = through @ move.T
-                weight, seen = own * back, seen * back
-            weights.append(weight)
-            at.append(classes[begin[: len(own)] + step])
-            through = seen
-        every, which = np.concatenate(weights), np.concatenate(at)
-        emits += np.stack([np.bincount(which, weights=every[:, i], minlength=n_classes) for i in range(k)])
-        start = weights[-1].sum(axis=0, dtype=np.float64)
+            n, part = lanes.active[step], slice(edges[step] - edges[a], edges[step + 1] - edges[a])
+            own = states[part]
+            np.take(emit, lanes.at(step), axis=0, out=seen[:n], mode="clip")
+            seen[:n] *= scales[part]
+            if m:  # lanes that go on behind this step
+                moves += own[:m].T @ later[:m]
+                back = np.matmul(later[:m], back_move, out=moved[:m])
+                own[:m] *= back  # from here on the weight of each state
+                seen[:m] *= back
+            seen, later, m = later, seen, n
+        which = lanes.classes[edges[a] : edges[b]]
+        for i in range(k):
+            emits[i] += np.bincount(which, weights=states[: len(which), i], minlength=n_classes)
+        start = states[: lanes.active[a]].sum(axis=0, dtype=np.float64)
     return start, model.move * moves, emits
 
 
