@@ -147,20 +147,20 @@ def line_table(docs: DataFrame, key: str, text: str, least: int, edges: list[int
     return lines.withColumn("batch", number)
 
 
-def dedup_lines(docs: DataFrame, batch_bytes: int = 128 << 20, most_batches: int = 16, fan_out: int = 2, least: int = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, batch_bytes: int = 128 << 20, batches: tuple[int, int] = (4, 16), fan_out: int = 2, least: int = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of docs with the text rewritten (null becomes empty), and n_lines before and n_dropped, which replace
     columns of these names.
 
-    A table is cut into batches of ascending identifiers of about batch_bytes of text, or more so that there are at most
-    most_batches; each adds to the runs. The texts pass through one exchange, to meet the hashes that they lose; a line is
+    A table is cut into batches of ascending identifiers of about batch_bytes of text, but into at least batches[0] and
+    at most batches[1]; each adds to the runs. So a hash meets log2(batches[1]) runs at most, however large the table. The texts pass through one exchange, to meet the hashes that they lose; a line is
     only ever moved as its hash."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.drop("n_lines", "n_dropped")
     size = text_bytes(docs, text)
-    batches = max(1, min(most_batches, math.ceil(size / batch_bytes)))
+    n = max(batches[0], min(batches[1], math.ceil(size / batch_bytes)))
     doc = F.col(quoted(key)).cast("long")
-    edges = sorted({int(x) for x in docs.select(doc.alias("doc")).approxQuantile("doc", [i / batches for i in range(1, batches)], 0.01)}) if batches > 1 else []
+    edges = sorted({int(x) for x in docs.select(doc.alias("doc")).approxQuantile("doc", [i / n for i in range(1, n)], 0.01)}) if n > 1 else []
     path = scratch_path(spark, "lines")
     line_table(docs, key, text, least, edges).write.partitionBy("batch").option("compression", "zstd").parquet(path)
     lines = spark.read.schema("doc long, mark long, hash binary, batch int").parquet(path)
