@@ -5,13 +5,13 @@ directions; its last states, joined with an embedding of the word by hash, are t
 the words of a window. Attention pools the window's states into one logit. A text is scored by all its overlapping
 windows; the highest counts.
 
-Training takes a bounded sample: at most DOCS_EACH labelled texts of each class, those with the least hash of the
-identifier, and of each at most WINDOWS_EACH windows, spread evenly over the whole text. A pass takes at most PASS_DOCS
-texts of a class and PASS_WINDOWS windows of each. At first every window takes the label of its text; later only the
-highest window of a toxic text does, as most others hold nothing toxic. Halfway and later, the windows of the other
-texts in the sample that score highest by mistake are added to each pass. Scoring covers
-all windows of all texts. A text without words scores zero. Null labels are left out; without labels of both classes all
-scores are zero. Texts with a null identifier are scored but never trained on.
+Training takes a bounded sample: at most `docs_each` labelled texts of each class, those with the least hash of the
+identifier, each with all its windows. It runs in rounds of a fixed number of steps, whatever the sample's size; texts are
+drawn in turn. In the first round every window takes the label of its text. Before each later round all windows of the
+sample are scored: a toxic text then stands for its highest window, as most others hold nothing toxic, and half of the
+harmless windows of a step are drawn in proportion to their scores. Scoring covers all windows of all texts. A text
+without words scores zero. Null labels are left out; without labels of both classes all scores are zero. Texts with a null
+identifier are scored but never trained on.
 """
 
 from __future__ import annotations
@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from glimmer.llm.common import documents, from_npy, keep_rows, npy, ship, slices
 
-#: Bounds of the sample.
-DOCS_EACH, WINDOWS_EACH = 3000, 24
-#: Bounds of a pass; HARD is how many mistaken windows are added.
-PASS_DOCS, PASS_WINDOWS, HARD = 1500, 8, 1500
+#: Labelled texts of each class that are learned from, unless the caller says otherwise.
+DOCS_EACH = 1500
+#: Rounds of training, steps in a round, and windows of either class in a step.
+ROUNDS, STEPS, EACH = 8, 150, 24
 #: Words in a window, and from one window's start to the next.
 WINDOW, STRIDE = 32, 24
 #: Bytes of a word that are read together; longer words are cut into such pieces.
@@ -208,64 +208,57 @@ def laid_out(windows: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.nd
     return list(number), at, mask
 
 
-def hardest(network: Network, docs: list[tuple[int, list[list[bytes]]]]) -> list[tuple[int, list[list[bytes]]]]:
-    """The windows of texts with label 0 that score highest, each as a text of its own."""
-    windows = [w for label, own in docs if not label for w in own]
-    scorer, scores = Scorer(network.params), []
-    for start in range(0, len(windows), TOGETHER):
-        scores.append(scorer.scores([b" ".join(w) for w in windows[start : start + TOGETHER]]))
-    found = np.concatenate(scores)
-    return [(0, [windows[i]]) for i in np.argsort(-found, kind="stable")[:HARD].tolist() if found[i] > 0.02]
+def window_scores(network: Network, docs: list[tuple[int, list[list[bytes]]]]) -> np.ndarray:
+    """The scores of all windows, one text after another."""
+    windows, scorer = [b" ".join(w) for _, own in docs for w in own], Scorer(network.params)
+    return np.concatenate([scorer.scores(windows[at : at + TOGETHER]) for at in range(0, len(windows), TOGETHER)])
 
 
-def train(docs: list[tuple[int, list[list[bytes]]]], passes: int = 10, alike: int = 1, rate: float = 0.012, each: int = 24, seed: int = 7) -> Network | None:
-    """docs: (label, windows). passes: over the sample, in the first `alike` of which all windows take their text's
-    label; a small sample is passed over more often."""
+def train(docs: list[tuple[int, list[list[bytes]]]], rounds: int = ROUNDS, steps: int = STEPS, rate: float = 0.02, each: int = EACH, seed: int = 7) -> Network | None:
+    """docs: (label, windows); see the module's text."""
     docs = [x for x in docs if x[1]]
-    classes = [[x for x in docs if x[0] == label] for label in (0, 1)]
-    if not all(classes):
+    bad, good = ([x for x in docs if x[0] == label] for label in (1, 0))
+    if not bad or not good:
         return None
     network, random = Network.fresh(seed), np.random.default_rng(seed)
     first = {k: np.zeros_like(v) for k, v in network.params.items()}
     second = {k: np.zeros_like(v) for k, v in network.params.items()}
-    steps, hard = 0, []
-    passes = max(passes, min(40, -(-24_000 // len(docs))))
-    for turn in range(passes):
-        if turn in (passes // 2, passes * 3 // 4):
-            hard = hardest(network, classes[0])
-        taken = list(hard)
-        for own in classes:
-            for i in random.permutation(len(own))[:PASS_DOCS].tolist():
-                label, windows = own[i]
-                if len(windows) > PASS_WINDOWS:
-                    windows = [windows[j] for j in random.permutation(len(windows))[:PASS_WINDOWS].tolist()]
-                taken.append((label, windows))
-        order = random.permutation(len(taken))
-        for start in range(0, len(order), each):
-            batch = [taken[i] for i in order[start : start + each]]
-            words, at, mask = laid_out([w for _, windows in batch for w in windows])
-            logits = network.logits(network.word_inputs(words), at, mask)
-            slope, where = np.zeros_like(logits), 0
-            for label, windows in batch:
-                own = slice(where, where + len(windows))
-                where += len(windows)
-                p = sigmoid(logits[own])
-                if not label:
-                    slope[own] = p / len(windows) if turn < alike else p * p / max(float(p.sum()), 1e-6)
-                elif turn < alike:
-                    slope[own] = (p - 1) / len(windows)
-                else:
-                    best = own.start + int(p.argmax())
-                    slope[best] = sigmoid(logits[best]) - 1
-            grads = network.backward((slope / len(batch)).astype(np.float32), len(words))
-            norm = float(np.sqrt(sum((g.astype(np.float64) ** 2).sum() for g in grads.values())))
-            steps += 1
-            now = rate * min(1.0, steps / 50) * (1 - 0.9 * turn / passes)
-            for k, g in grads.items():
-                g = g * min(1.0, 1.0 / max(norm, 1e-9))
-                first[k] += 0.1 * (g - first[k])
-                second[k] += 0.01 * (g * g - second[k])
-                network.params[k] -= (now * first[k] / (1 - 0.9**steps) / (np.sqrt(second[k] / (1 - 0.99**steps)) + 1e-8)).astype(np.float32)
+    labels = np.repeat([1.0, 0.0], each)
+    harmless = [w for _, own in good for w in own]
+
+    def any_window(own: list) -> Iterator[list[bytes]]:
+        """A window of each text in a random order, again and again."""
+        while True:
+            for i in random.permutation(len(own)).tolist():
+                windows = own[i][1]
+                yield windows[random.integers(len(windows))]
+
+    toxic, other, likely = any_window(bad), any_window(good), None
+    for turn in range(rounds * steps):
+        if turn and turn % steps == 0:
+            scores, top, at = window_scores(network, bad), [], 0
+            for _, own in bad:
+                top.append((1, [own[int(scores[at : at + len(own)].argmax())]]))
+                at += len(own)
+            toxic = any_window(top)
+            likely = window_scores(network, good)
+            likely = likely / likely.sum()
+        taken = [next(toxic) for _ in range(each)]
+        if likely is None:
+            taken += [next(other) for _ in range(each)]
+        else:
+            taken += [next(other) for _ in range(each - each // 2)]
+            taken += [harmless[i] for i in random.choice(len(harmless), each // 2, p=likely).tolist()]
+        words, at, mask = laid_out(taken)
+        logits = network.logits(network.word_inputs(words), at, mask)
+        grads = network.backward(((sigmoid(logits) - labels) / len(labels)).astype(np.float32), len(words))
+        norm = float(np.sqrt(sum((g.astype(np.float64) ** 2).sum() for g in grads.values())))
+        now = rate * min(1.0, (turn + 1) / 50) * (1 - 0.9 * turn / (rounds * steps))
+        for k, g in grads.items():
+            g = g * min(1.0, 1.0 / max(norm, 1e-9))
+            first[k] += 0.1 * (g - first[k])
+            second[k] += 0.01 * (g * g - second[k])
+            network.params[k] -= (now * first[k] / (1 - 0.9 ** (turn + 1)) / (np.sqrt(second[k] / (1 - 0.99 ** (turn + 1))) + 1e-8)).astype(np.float32)
     return network
 
 
@@ -356,10 +349,10 @@ class Scorer:
         return out
 
 
-def sample(docs: DataFrame, labels: DataFrame, usable: Callable[[Column], Column], key: str, text: str, label: str) -> list[tuple[int, list[list[bytes]]]]:
-    """The bounded sample: (label, windows) of at most DOCS_EACH texts a class."""
+def sample(docs: DataFrame, labels: DataFrame, usable: Callable[[Column], Column], key: str, text: str, label: str, docs_each: int) -> list[tuple[int, list[list[bytes]]]]:
+    """The bounded sample: (label, windows) of at most docs_each texts a class."""
     known = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & usable(F.col(key)))
-    parts = [known.where(F.col("label") == i).groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(DOCS_EACH) for i in (0, 1)]
+    parts = [known.where(F.col("label") == i).groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs_each) for i in (0, 1)]
     chosen = parts[0].unionByName(parts[1]).groupBy("doc_id").agg(F.max("label").alias("label"))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,23 +361,22 @@ def sample(docs: DataFrame, labels: DataFrame, usable: Callable[[Column], Column
             for doc, raw, mark in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = tokens(raw)
                 starts = window_starts(len(words))
-                if len(starts) > WINDOWS_EACH:
-                    starts = [starts[i * (len(starts) - 1) // (WINDOWS_EACH - 1)] for i in range(WINDOWS_EACH)]
                 ids.append(doc)
                 own.append(mark)
                 out.append([b" ".join(words[s : s + WINDOW]) for s in starts])
             yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array(own, type=pa.int32()), pa.array(out, type=pa.list_(pa.binary()))], names=["doc_id", "label", "windows"])
 
     found = documents(docs, key, text).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
-    rows = found.mapInArrow(cut, "doc_id long, label int, windows array<binary>").collect()  # at most DOCS_EACH texts a class
+    rows = found.mapInArrow(cut, "doc_id long, label int, windows array<binary>").collect()  # at most docs_each texts a class
     unique = {r["doc_id"]: (r["label"], [bytes(w).split(b" ") for w in r["windows"]]) for r in rows}
     return [unique[k] for k in sorted(unique)]
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, usable: Callable[[Column], Column], threshold: float = 0.3, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """(doc_id, score, predicted) of each row. usable: of an identifier, whether its label may be learned from."""
+def score_toxicity(docs: DataFrame, labels: DataFrame, usable: Callable[[Column], Column], threshold: float = 0.3, key: str = "doc_id", text: str = "text", label: str = "toxic", docs_each: int = DOCS_EACH) -> DataFrame:
+    """(doc_id, score, predicted) of each row. usable: of an identifier, whether its label may be learned from; docs_each:
+    the most labelled texts of each class that are learned from."""
     ship(docs.sparkSession)
-    network = train(sample(docs, labels, usable, key, text, label))
+    network = train(sample(docs, labels, usable, key, text, label, docs_each))
     held = docs.sparkSession.sparkContext.broadcast(npy(**network.params) if network else b"")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -396,10 +388,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, usable: Callable[[Column]
     return documents(docs, key, text).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, usable: Callable[[Column], Column], threshold: float = 0.3, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, usable: Callable[[Column], Column], threshold: float = 0.3, key: str = "doc_id", text: str = "text", label: str = "toxic", docs_each: int = DOCS_EACH) -> DataFrame:
     """The rows of docs that score below the threshold, all columns."""
     ship(docs.sparkSession)
-    network = train(sample(docs, labels, usable, key, text, label))
+    network = train(sample(docs, labels, usable, key, text, label, docs_each))
     if network is None:
         return docs
     held = docs.sparkSession.sparkContext.broadcast(npy(**network.params))

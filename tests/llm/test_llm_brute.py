@@ -149,7 +149,7 @@ def test_toxicity_on_held_out_texts(spark):
     out = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 4 == 2]
     right = sum(got[i].predicted == labels[i][1] for i in out)
     assert right / len(out) > 0.95 and all(0 <= r.score <= 1 for r in got.values())
-    scorer = toxicity.Scorer(toxicity.train([(labels[i][1], [toxicity.tokens(rows[i][1].encode())[:32]]) for i in range(60)], passes=1).params)
+    scorer = toxicity.Scorer(toxicity.train([(labels[i][1], [toxicity.tokens(rows[i][1].encode())[:32]]) for i in range(60)], rounds=1, steps=5).params)
     network, words = scorer.network, toxicity.tokens(rows[8][1].encode())
     listed, at, mask = toxicity.laid_out([words[s : s + toxicity.WINDOW] for s in toxicity.window_starts(len(words))])
     assert scorer.scores([rows[8][1].encode()])[0] == pytest.approx(toxicity.sigmoid(network.logits(network.word_inputs(listed), at, mask)).max(), abs=1e-4)
