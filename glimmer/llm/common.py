@@ -28,9 +28,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Stands for a null identifier while documents are compared.
-NO_ID = 2**63 - 1
-
 #: Rows of an Arrow batch.
 MOST_ROWS = 2000
 
@@ -62,10 +59,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local one, but only if all
+    tasks run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     key = f"scratch-{spark.sparkContext.applicationId}"
     if key not in _LOCAL:
         _LOCAL[key] = tempfile.TemporaryDirectory(prefix="glimmer-")

@@ -14,7 +14,7 @@ that follow are eight bytes each and refine only groups that are still mixed. Th
 blocks, which cut the text.
 
 Texts shorter than `length` lose nothing; a null text is empty. Matches never cross documents. Rows that repeat an
-identifier count as one document. A null identifier ranks last.
+identifier count as one document. A null identifier ranks last, level with the largest number.
 """
 
 from __future__ import annotations
@@ -27,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glimmer.llm.common import NO_ID, count_blocks, pack, ship, unpack
+from glimmer.llm.common import count_blocks, pack, quoted, ship, unpack
 
-#: Stored bytes of documents in a block.
+#: Stands for a null identifier while texts are compared.
+LAST = 2**63 - 1
+#: Bytes of documents in a block.
 BLOCK_BYTES = 4 << 20
 #: Bytes that are hashed together.
 PIECE = 1 << 20
@@ -192,7 +194,7 @@ ASKED = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("n", pa.int64
 SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("n", pa.int64()), ("texts", pa.binary()), ("n_bytes", pa.int64()), ("sizes", pa.binary()), ("places", pa.binary()), ("docs", pa.binary())])
 REPLY = pa.schema([("kind", pa.int32()), ("block", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64()), ("data", pa.binary())])
 REPLY_DDL = "kind int, block int, bucket int, n long, data binary"
-CUT = pa.schema([("doc", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("starts", pa.list_(pa.int64())), ("stops", pa.list_(pa.int64())), ("kept", pa.binary())])
+CUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("starts", pa.list_(pa.int64())), ("stops", pa.list_(pa.int64())), ("kept", pa.binary())])
 
 
 def as_table(rows: list[dict], schema: pa.Schema) -> pa.Table:
@@ -206,7 +208,8 @@ def cut_repeats(docs: DataFrame, length: int = 50, k: int = 20, block_bytes: int
         raise ValueError("8 <= k < length")
     ship(docs.sparkSession)
     n_blocks = n_buckets = count_blocks(docs, block_bytes, text=text)
-    plain = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    name, content = F.col(quoted(key)).cast("long"), F.coalesce(F.col(quoted(text)).cast("string"), F.lit(""))
+    plain = docs.select(F.coalesce(name, F.lit(LAST)).alias("doc"), name.isNull().alias("none"), content.alias("text"))
     spread = F.pmod(F.xxhash64("doc", "text"), F.lit(n_blocks)).cast("int")
     blocks = plain.withColumn("block", spread).repartition(n_blocks, "block")
 
@@ -301,11 +304,13 @@ def cut_repeats(docs: DataFrame, length: int = 50, k: int = 20, block_bytes: int
                 removed[window + length] -= 1
         covered = np.cumsum(removed)[:-1] > 0
         data, out = np.frombuffer(own.buffer, dtype=np.uint8), {f.name: [] for f in CUT}
-        for doc, a, b in zip(own.ids.tolist(), own.starts.tolist(), own.ends.tolist(), strict=True):
+        none = table.column("none").to_pylist()
+        docs = [None if none[row] else doc for row, doc in zip(own.rows, own.ids.tolist(), strict=True)]
+        for doc, a, b in zip(docs, own.starts.tolist(), own.ends.tolist(), strict=True):
             gone = covered[a:b]
             n = int(np.count_nonzero(gone))
             edges = np.flatnonzero(np.diff(np.r_[False, gone, False])) if n else np.zeros(0, dtype=np.int64)
-            for name, value in (("doc", doc), ("n_bytes", b - a), ("n_removed", n), ("starts", edges[::2]), ("stops", edges[1::2]), ("kept", data[a:b][~gone].tobytes() if n else own.buffer[a:b])):
+            for name, value in (("doc_id", doc), ("n_bytes", b - a), ("n_removed", n), ("starts", edges[::2]), ("stops", edges[1::2]), ("kept", data[a:b][~gone].tobytes() if n else own.buffer[a:b])):
                 out[name].append(value)
         return pa.table([pa.array(out[f.name], type=f.type) for f in CUT], schema=CUT)
 
@@ -314,5 +319,4 @@ def cut_repeats(docs: DataFrame, length: int = 50, k: int = 20, block_bytes: int
     sent = repeated.repartition(n_blocks, "block").groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(send, "bucket int, block int, n long, texts binary, n_bytes long, sizes binary, places binary, docs binary")
     least = sent.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(sort, REPLY_DDL)
     answers = repeated.unionByName(least).repartition(n_blocks, "block")
-    done = answers.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(cut, "doc long, n_bytes long, n_removed long, starts array<long>, stops array<long>, kept binary")
-    return done.select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), "n_bytes", "n_removed", "starts", "stops", "kept")
+    return answers.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, starts array<long>, stops array<long>, kept binary")
