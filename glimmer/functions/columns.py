@@ -8,6 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: The Euler-Mascheroni constant.
+EULER = 0.5772156649015329
+
+
 def dot(a: Column, b: Column) -> Column:
     """The inner product of two arrays, in double."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -138,3 +142,25 @@ def canonical_map(m: Column) -> Column:
 def shuffle_key(seed: int, *keys: Column) -> Column:
     """A key whose order is a fixed shuffle; equal for equal seeds and keys."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *(k.cast("string") for k in keys)))
+
+
+def harmonic(m: Column) -> Column:
+    """1 + 1/2 + ... + 1/m: summed up to 15, beyond by the asymptotic series, whose error is below 1e-11."""
+    x = m.cast("double")
+    few = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(m, F.lit(16)), F.lit(1)).cast("int")), F.lit(0.0), lambda s, j: s + 1 / j)
+    many = F.log(x) + EULER + 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6)
+    return F.when(m < 1, F.lit(0.0)).when(m < 16, few).otherwise(many)
+
+
+def close(a: Column, b: Column, relative: float = 1e-5, absolute: float = 1e-8) -> Column:
+    """Whether two numbers are equal up to a tolerance; NaN equals NaN, null equals null."""
+    near = F.abs(a - b) <= absolute + relative * F.abs(b)
+    return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).when(F.isnan(a) | F.isnan(b), F.isnan(a) & F.isnan(b)).otherwise(near)
+
+
+def two_sides(text: Column, separator: str = ":") -> tuple[Column, Column]:
+    """What stands before and after the first separator; an error if either is empty."""
+    at = F.locate(separator, text)
+    left, right = F.substring(text, F.lit(1), at - 1), F.substring(text, at + len(separator), F.length(text))
+    whole = (at > 1) & (F.length(right) > 0)
+    return tuple(F.when(whole, side).otherwise(F.raise_error(F.concat(F.lit("two sides are missing in "), text))) for side in (left, right))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: The largest weights that are broadcast, in bytes.
 MOST_WEIGHT_BYTES = 512 << 20
+#: Bytes of a dense matrix of rows by features, which a task holds at a time.
+MOST_DENSE_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -29,9 +31,19 @@ class Weights:
 
 
 def mean_vector(acts: DataFrame, act: str = "act") -> np.ndarray:
-    """The mean of each dimension, in double; one row a dimension comes to the driver."""
-    rows = acts.select(F.posexplode(act).alias("d", "v")).groupBy("d").agg(F.avg(F.col("v").cast("double")).alias("m")).orderBy("d").collect()
-    return np.array([r["m"] for r in rows])
+    """The mean of each dimension, in double; each task sends one row of sums."""
+    from glimmer.operators.estimators import summed
+
+    sums = summed(acts, lambda x: {"n": np.array([len(x)]), "s": x.sum(axis=0)}, act)
+    return sums["s"] / sums["n"]
+
+
+def parts_of(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that a dense matrix of so many numbers a row takes at most MOST_DENSE_BYTES."""
+    each = max(1, MOST_DENSE_BYTES // (8 * width))
+    for batch in batches:
+        for at in range(0, batch.num_rows, each):
+            yield batch.slice(at, each)
 
 
 def datapoint_weights(acts: DataFrame, n_features: int, row: str = "row", act: str = "act") -> Weights:
@@ -55,9 +67,7 @@ def dense_codes(acts: DataFrame, weights: Weights, keep: str = "positive", k: in
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, bias = held.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in parts_of(batches, enc.shape[1]):
             x = np.asarray(batch.column(at).flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
             h = x @ enc + bias
             if keep == "topk":
@@ -90,7 +100,7 @@ def decode_prefixes(codes: DataFrame, weights: Weights, prefixes: list[int], row
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dec, bias = held.value
-        for batch in batches:
+        for batch in parts_of(batches, len(dec)):
             entries = batch.column(1)
             ends = entries.offsets.to_numpy()
             flat = entries.values

@@ -2,28 +2,37 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glimmer.functions.columns import harmonic
 
-def tie_groups(codes: DataFrame, positives: DataFrame, features: DataFrame, n_rows: int, n_positive: DataFrame) -> DataFrame:
-    """(feature, class, value, n, pos) of each group of equal scores; absent ones are the group of value 0.
 
-    positives: (row, class) of positive rows; n_positive: (class, total). Negative stored scores rank below zero."""
-    per_value = codes.groupBy("feature", "value").agg(F.count("*").alias("n"))
+def tie_groups(codes: DataFrame, positives: DataFrame, features: DataFrame, n_rows: int, n_positive: DataFrame) -> DataFrame:
+    """(feature, class, value, n, pos, below, total, n_rows): the groups of equal scores that hold a positive row, and of
+    each feature and class the group of absent scores, which have value 0; below: rows with lower scores.
+
+    positives: (row, class) of positive rows; n_positive: (class, total). Negative stored scores rank below zero. Rows
+    are counted once for each score; classes meet only the scores of their own rows."""
+    counts = codes.groupBy("feature", "value").agg(F.count("*").alias("n"))
+    absent = features.select("feature").join(counts.groupBy("feature").agg(F.sum("n").alias("s")), "feature", "left")
+    absent = absent.select("feature", F.lit(0.0).alias("value"), (F.lit(n_rows) - F.coalesce("s", F.lit(0))).alias("n"))
+    lower = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    every = counts.unionByName(absent).groupBy("feature", "value").agg(F.sum("n").alias("n")).withColumn("below", F.coalesce(F.sum("n").over(lower), F.lit(0)))
     hits = codes.join(positives, "row").groupBy("feature", "value", "class").agg(F.count("*").alias("pos"))
-    grid = per_value.crossJoin(F.broadcast(n_positive.select("class")))  # by classes, a bounded side
-    stored = grid.join(hits, ["feature", "value", "class"], "left").select("feature", "class", "value", "n", F.coalesce("pos", F.lit(0)).alias("pos"))
-    zeros = features.select("feature").crossJoin(F.broadcast(n_positive)).join(stored.groupBy("feature", "class").agg(F.sum("n").alias("sn"), F.sum("pos").alias("sp")), ["feature", "class"], "left")
-    zeros = zeros.select("feature", "class", F.lit(0.0).alias("value"), (F.lit(n_rows) - F.coalesce("sn", F.lit(0))).alias("n"), (F.col("total") - F.coalesce("sp", F.lit(0))).alias("pos"))
-    return stored.unionByName(zeros.where("n > 0")).groupBy("feature", "class", "value").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    grid = features.select("feature").crossJoin(F.broadcast(n_positive.select("class", "total")))  # by classes, a bounded side
+    rest = grid.join(hits.groupBy("feature", "class").agg(F.sum("pos").alias("s")), ["feature", "class"], "left")
+    rest = rest.select("feature", F.lit(0.0).alias("value"), "class", (F.col("total") - F.coalesce("s", F.lit(0))).alias("pos"))
+    own = hits.unionByName(rest).groupBy("feature", "value", "class").agg(F.sum("pos").alias("pos"))
+    found = own.join(every, ["feature", "value"]).join(F.broadcast(n_positive.select("class", "total")), "class")
+    return found.select("feature", "class", "value", "n", "pos", "below", "total", F.lit(n_rows).alias("n_rows"))
 
 
 def auroc(groups: DataFrame) -> DataFrame:
     """(feature, class, auroc) from tie groups, by average ranks; null where a side is empty."""
-    below = Window.partitionBy("feature", "class").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = groups.withColumn("before", F.coalesce(F.sum("n").over(below), F.lit(0)))
-    sums = ranked.groupBy("feature", "class").agg(F.sum(F.col("pos") * (F.col("before") + (F.col("n") + 1) / 2)).alias("r"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("m"))
+    sums = groups.groupBy("feature", "class").agg(F.sum(F.col("pos") * (F.col("below") + (F.col("n") + 1) / 2)).alias("r"), F.max("total").alias("p"), (F.max("n_rows") - F.max("total")).alias("m"))
     return sums.select("feature", "class", F.when((F.col("p") > 0) & (F.col("m") > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("m"))).alias("auroc"))
 
 
@@ -35,15 +44,16 @@ def average_precision(ranked: DataFrame, by: list[str], order: list) -> DataFram
 
 
 def tie_aware_ap(groups: DataFrame, undefined: float | None = 0.0) -> DataFrame:
-    """(feature, class, ap): the mean of average precision over all orders of tied scores, in closed form. A group with
-    many members is summed over its ranks by an array expression."""
+    """(feature, class, ap): the mean of average precision over all orders of tied scores, in closed form: a group's
+    ranks enter by two harmonic numbers, however many they are."""
     above = Window.partitionBy("feature", "class").orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, -1)
-    g = groups.withColumn("t", F.coalesce(F.sum("n").over(above), F.lit(0))).withColumn("r0", F.coalesce(F.sum("pos").over(above), F.lit(0)))
+    t = (F.col("n_rows") - F.col("below") - F.col("n")).cast("double")
+    g = groups.where("pos > 0 or value = 0").withColumn("t", t).withColumn("r0", F.coalesce(F.sum("pos").over(above), F.lit(0)))
     # sum over j = t+1 .. t+n of (r/n) (R + 1 + (j-t-1)(r-1)/(n-1)) / j = (r/n) (R + 1 - (t+1) s) (H(t+n) - H(t)) + (r/n) s n
     slope = F.when(F.col("n") > 1, (F.col("pos") - 1) / (F.col("n") - 1)).otherwise(F.lit(0.0))
-    harmonic = F.aggregate(F.sequence(F.col("t") + 1, F.col("t") + F.col("n")), F.lit(0.0), lambda s, j: s + 1 / j)
-    part = F.when(F.col("pos") > 0, F.col("pos") / F.col("n") * ((F.col("r0") + 1 - (F.col("t") + 1) * slope) * harmonic + slope * F.col("n"))).otherwise(F.lit(0.0))
-    total = F.sum("pos")
+    ranks = harmonic(F.col("t") + F.col("n")) - harmonic(F.col("t"))
+    part = F.when(F.col("pos") > 0, F.col("pos") / F.col("n") * ((F.col("r0") + 1 - (F.col("t") + 1) * slope) * ranks + slope * F.col("n"))).otherwise(F.lit(0.0))
+    total = F.max("total")
     return g.withColumn("part", part).groupBy("feature", "class").agg(F.when(total > 0, F.sum("part") / total).otherwise(F.lit(undefined)).alias("ap"))
 
 
@@ -69,13 +79,50 @@ def prf1(counts: DataFrame) -> DataFrame:
 def dense_quantile(codes: DataFrame, features: DataFrame, n_rows: int, q: float) -> DataFrame:
     """(feature, cut): the quantile of each feature over all rows, zeros included, with linear interpolation. Stored
     values are at least 0."""
-    low, high = int((n_rows - 1) * q), min(int((n_rows - 1) * q) + 1, n_rows - 1)
-    nnz = codes.groupBy("feature").agg(F.count("*").alias("nnz"))
-    w = Window.partitionBy("feature").orderBy("value", "row")
-    placed = codes.join(nnz, "feature").withColumn("at", F.lit(n_rows) - F.col("nnz") + F.row_number().over(w) - 1)
-    ends = placed.where(F.col("at").isin(low, high)).groupBy("feature").agg(F.max(F.when(F.col("at") == low, F.col("value"))).alias("a"), F.max(F.when(F.col("at") == high, F.col("value"))).alias("b"))
-    a, b = F.coalesce("a", F.lit(0.0)), F.coalesce("b", F.lit(0.0))
-    return features.join(ends, "feature", "left").select("feature", (a + (b - a) * ((n_rows - 1) * q - low)).alias("cut"))
+    absent = features.select("feature").join(codes.groupBy("feature").agg(F.count("*").alias("nnz")), "feature", "left").select("feature", F.lit(0.0).alias("value"), (F.lit(n_rows) - F.coalesce("nnz", F.lit(0))).alias("n"))
+    counted = codes.groupBy("feature", "value").agg(F.count("*").alias("n")).unionByName(absent.where("n > 0"))
+    return exact_quantiles(counted, ["feature"], "value", [q], n="n").select("feature", F.col("q0").alias("cut"))
+
+
+def exact_quantiles(df: DataFrame, by: list[str], value: str, at: list[float], n: str | None = None, accuracy: int = 10_000) -> DataFrame:
+    """(by..., q0, q1, ...): quantiles of each group with linear interpolation, exact. A mergeable sketch bounds each of
+    them on either side; then only the rows below are counted, and only values between the bounds are put in order.
+    n: a column that says how many rows a row stands for (positive, not null)."""
+    w = F.col(n).cast("long") if n else F.lit(1).cast("long")
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"), w.alias("w"))
+    e = 3.0 / accuracy
+    edges = [x for q in at for x in (max(0.0, q - e), min(1.0, q + e))]
+    if n is not None:  # rows that stand for many are put in order by their distinct values
+        running = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+        placed = rows.groupBy(*by, "v").agg(F.sum("w").alias("w")).withColumns({"before": F.coalesce(F.sum("w").over(running), F.lit(0)), "total": F.sum("w").over(Window.partitionBy(*by))})
+        near = placed.select(*by, "v", "w", "before", "total")
+    else:
+        bounds = rows.groupBy(*by).agg(F.percentile_approx("v", edges, accuracy).alias("bounds"), F.sum("w").alias("total"))
+        # in a small group the bounds may lie less than a rank away: there all values are put in order
+        whole = F.array(*(F.lit(float(x)) for _ in at for x in ("-inf", "inf")))
+        bounds = bounds.withColumn("bounds", F.when(F.col("total") <= accuracy, whole).otherwise(F.col("bounds")))
+        joined = rows.join(bounds, by)
+        inside = reduce(lambda a, b: a | b, [F.col("v").between(F.col("bounds")[2 * i], F.col("bounds")[2 * i + 1]) for i in range(len(at))])
+        lows = joined.groupBy(*by).agg(*(F.count_if(F.col("v") < F.col("bounds")[2 * i]).alias(f"low{i}") for i in range(len(at))))
+        values = joined.where(inside).groupBy(*by, "v").agg(F.count("*").alias("w"), F.first("bounds").alias("bounds"), F.first("total").alias("total")).join(lows, by)
+        near = None
+        for i in range(len(at)):
+            running = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+            own = values.where(F.col("v").between(F.col("bounds")[2 * i], F.col("bounds")[2 * i + 1])).select(*by, "v", "w", (F.col(f"low{i}") + F.coalesce(F.sum("w").over(running), F.lit(0))).alias("before"), "total", F.lit(i).alias("i"))
+            near = own if near is None else near.unionByName(own)
+
+    def quantile(i: int, q: float) -> F.Column:
+        rank = (F.col("total") - 1) * q
+        low, high = F.floor(rank), F.ceil(rank)
+        mine = F.lit(True) if n is not None else F.col("i") == i
+
+        def holds(r: F.Column) -> F.Column:
+            return F.max(F.when(mine & (F.col("before") <= r) & (r < F.col("before") + F.col("w")), F.col("v")))
+
+        part = F.max(rank - low)
+        return (holds(low) + (holds(high) - holds(low)) * part).alias(f"q{i}")
+
+    return near.groupBy(*by).agg(*(quantile(i, q) for i, q in enumerate(at)))
 
 
 def purity_at_k(top: DataFrame, labels: DataFrame, k: int) -> DataFrame:
@@ -84,6 +131,11 @@ def purity_at_k(top: DataFrame, labels: DataFrame, k: int) -> DataFrame:
     return counts.groupBy("feature").agg((F.max("n") / k).alias("purity"))
 
 
+def mean_yield(yields: DataFrame) -> DataFrame:
+    """One row (auc_b): the mean of yields over the budgets."""
+    return yields.agg(F.avg("yield").alias("auc_b"))
+
+
 def yield_at_budgets(ranked: DataFrame, budgets: list[int], tau: float) -> DataFrame:
     """(budget, yield): of features (position from 1, ap), the share of the first `budget` with ap >= tau; null counts
     as below. Positions beyond the last count as below too."""

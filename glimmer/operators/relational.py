@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glimmer.sources.store import kept
+
 
 def pareto(df: DataFrame, by: list[str], x: str, y: str, strict: bool = False, tie: str | None = None) -> DataFrame:
     """Rows on the lower-left frontier of each group. Not strict: y equals the least y so far in the order (x, y).
@@ -145,3 +147,17 @@ def task_specs(df: DataFrame, label: str, pairs: DataFrame, views: dict[str, Col
     a, b = (per.select(F.col(label).alias(side), "view", F.col("n").alias(f"n_{side}")) for side in ("left", "right"))
     tasks = pairs.join(a, "left").join(b, ["right", "view"])
     return tasks.where(F.least("n_left", "n_right") >= least).select(F.format_string("%s-%s-%s", "left", "right", "view").alias("name"), "view", "left", "right", "n_left", "n_right")
+
+
+def ranked(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """df with places from 1 in a strict order over all rows: rows are dealt by ranges of the order, numbered within each
+    range, and moved on by the sizes of the ranges before, of which one number each reaches the driver."""
+    spark = df.sparkSession
+    dealt = kept(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    sizes, before, held = sorted((r["__range"], r["count"]) for r in dealt.groupBy("__range").count().collect()), [], 0
+    for number, size in sizes:
+        before.append((number, held))
+        held += size
+    offsets = F.broadcast(spark.createDataFrame(before, "__range int, __before long"))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return dealt.join(offsets, "__range").withColumn(name, (F.col("__before") + own).cast("long")).drop("__range", "__before")

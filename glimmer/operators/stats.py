@@ -2,16 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glimmer.operators.ranking import exact_quantiles
+
+
+def pair_sums(pairs: DataFrame, x: str, x_hat: str) -> DataFrame:
+    """One row of sums over rows of (x, x_hat) arrays: n, and by dimension s and q (of x and its square), e and d (of the
+    squared and the plain difference). Each task sends one row."""
+    names = ("s", "q", "e", "d")
+    ddl = ", ".join(["n long", *(f"{c} array<double>" for c in names)])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = 0, None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                a, b = (np.asarray(part.column(i).flatten(), dtype=np.float64).reshape(part.num_rows, -1) for i in (0, 1))
+                sums = np.stack([a.sum(axis=0), (a * a).sum(axis=0), ((a - b) ** 2).sum(axis=0), (a - b).sum(axis=0)])
+                n, total = n + part.num_rows, sums if total is None else total + sums
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([n]), *(pa.array([x.tolist()], type=pa.list_(pa.float64())) for x in total)], names=["n", *names])
+
+    parts = pairs.select(x, x_hat).mapInArrow(run, ddl)
+    flat = parts.select("n", F.posexplode(F.arrays_zip(*names)).alias("at", "z")).groupBy("at").agg(F.sum("n").alias("n"), *(F.sum(f"z.{c}").alias(c) for c in names))
+    return flat.agg(F.max("n").alias("n"), F.count("*").alias("d_model"), F.sum("e").alias("e"), F.sum("q").alias("q"), F.sum("s").alias("s"), F.sum("d").alias("d"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("means"))
+
 
 def recon_metrics(pairs: DataFrame, x: str = "x", x_hat: str = "x_hat") -> DataFrame:
     """One row from rows of (x, x_hat) arrays: n_tokens, d_model, sse_recon, sse_baseline (about the mean vector), nmse
     and errors a token and a number. nmse is null where the baseline is not positive."""
-    flat = pairs.select(F.posexplode(F.arrays_zip(F.col(x).alias("a"), F.col(x_hat).alias("b"))).alias("d", "z")).select("d", F.col("z.a").cast("double").alias("a"), F.col("z.b").cast("double").alias("b"))
-    by_dim = flat.groupBy("d").agg(F.count("*").alias("n"), F.sum("a").alias("s"), F.sum(F.col("a") * F.col("a")).alias("q"), F.sum((F.col("a") - F.col("b")) * (F.col("a") - F.col("b"))).alias("e"))
-    total = by_dim.agg(F.max("n").alias("n_tokens"), F.count("*").alias("d_model"), F.sum("e").alias("sse_recon"), (F.sum("q") - F.sum(F.col("s") * F.col("s") / F.col("n"))).alias("sse_baseline"))
+    total = pair_sums(pairs, x, x_hat).select(F.col("n").alias("n_tokens"), "d_model", F.col("e").alias("sse_recon"), (F.col("q") - F.col("means")).alias("sse_baseline"))
     per = F.col("n_tokens") * F.col("d_model")
     return total.select(
         "n_tokens", "d_model", "sse_recon", "sse_baseline", F.when(F.col("sse_baseline") > 0, F.col("sse_recon") / F.col("sse_baseline")).alias("nmse"),
@@ -21,9 +47,9 @@ def recon_metrics(pairs: DataFrame, x: str = "x", x_hat: str = "x_hat") -> DataF
 
 def explained_variance(pairs: DataFrame, x: str = "x", x_hat: str = "x_hat") -> DataFrame:
     """One row: 1 - var(x - x_hat) / var(x) over all numbers of the arrays, with sample variances."""
-    flat = pairs.select(F.explode(F.arrays_zip(F.col(x).alias("a"), F.col(x_hat).alias("b"))).alias("z")).select(F.col("z.a").cast("double").alias("a"), F.col("z.b").cast("double").alias("b"))
-    whole = flat.agg(F.var_samp(F.col("a") - F.col("b")).alias("r"), F.var_samp("a").alias("v"))
-    return whole.select(F.when(F.col("v") > 0, 1 - F.col("r") / F.col("v")).alias("explained"))
+    n = F.col("n") * F.col("d_model")
+    found = pair_sums(pairs, x, x_hat).select(((F.col("e") - F.col("d") * F.col("d") / n) / (n - 1)).alias("r"), ((F.col("q") - F.col("s") * F.col("s") / n) / (n - 1)).alias("v"))
+    return found.select(F.when(F.col("v") > 0, 1 - F.col("r") / F.col("v")).alias("explained"))
 
 
 def eval_summary(codes: DataFrame, stats: DataFrame, n_tokens: int) -> DataFrame:
@@ -110,8 +136,9 @@ def probe_r(train: DataFrame, base: DataFrame) -> DataFrame:
 
 def quantiles(df: DataFrame, by: list[str], value: str, at: tuple[float, ...] = (0.05, 0.5, 0.95)) -> DataFrame:
     """(by..., n, mean, std, min, max, q...): exact quantiles with linear interpolation."""
-    named = [F.percentile(value, q).alias(f"q{round(100 * q):02d}") for q in at]
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), *named)
+    plain = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    found = exact_quantiles(df, by, value, list(at))
+    return plain.join(found, by, "left").select(*by, "n", "mean", "std", "min", "max", *(F.col(f"q{i}").alias(f"q{round(100 * q):02d}") for i, q in enumerate(at)))
 
 
 def expected_bytes(n_examples: Column | int, tokens: int, layers: int, dims: int) -> Column:

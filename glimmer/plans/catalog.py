@@ -561,8 +561,7 @@ def first_per_group(r: Relations) -> DataFrame:
 
 @query
 def global_rank(r: Relations) -> DataFrame:
-    ranked = r.table("supplier").select("s_suppkey", F.row_number().over(Window.orderBy(F.coalesce("s_acctbal", F.lit(1e9)).desc(), "s_suppkey")).alias("place"))
-    return ranked
+    return relational.ranked(r.table("supplier").select("s_suppkey", "s_acctbal"), [F.coalesce("s_acctbal", F.lit(1e9)).desc(), F.col("s_suppkey")]).select("s_suppkey", F.col("place").cast("int").alias("place"))
 
 
 @query

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glimmer.operators.encode import Weights, datapoint_weights, dense_codes
+from glimmer.sources.store import kept
 
 #: Features of the codes, tokens of an example, classes of the labels and dimensions of a vector.
 FEATURES, TOKENS, CLASSES, DIMS = 32, 4, 10, 64
@@ -62,8 +63,8 @@ class Relations:
 
     @cached_property
     def codes(self) -> DataFrame:
-        """(row, example_idx, token_idx, label, feature, value), positive values."""
-        return self.codes_of("positive")
+        """(row, example_idx, token_idx, label, feature, value), positive values; encoded once and written out."""
+        return kept(self.codes_of("positive"))
 
     def codes_of(self, keep: str, **more: float) -> DataFrame:
         return dense_codes(self.acts, self.weights, keep, carry=("row", "example_idx", "token_idx", "label"), **more)

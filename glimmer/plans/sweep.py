@@ -75,3 +75,12 @@ def groups(configs: DataFrame, by: list[str], cap: int, order: list[str]) -> Dat
 def identity(config: dict) -> str:
     """Eight digits that do not depend on the order of keys."""
     return hashlib.sha256(json.dumps(flat(config), sort_keys=True).encode()).hexdigest()[:8]
+
+
+#: The fields that only a shuffled scan has.
+SHUFFLE_ONLY = ("seed", "buffer", "workers")
+
+
+def ordered(config: dict) -> dict:
+    """The configuration of the ordered scan over the same data as a shuffled one."""
+    return {k: v for k, v in config.items() if k not in SHUFFLE_ONLY}

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import json
+import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +19,37 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from glimmer.functions.columns import shuffle_key
 
+if TYPE_CHECKING:
+    from glimmer.operators.encode import Weights
+
+
+_LOCAL: dict[str, tempfile.TemporaryDirectory] = {}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that spark.checkpoint.dir names. Where that is unset, a local one, but only if all tasks
+    run on this machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        key = spark.sparkContext.applicationId
+        if key not in _LOCAL:
+            _LOCAL[key] = tempfile.TemporaryDirectory(prefix="glimmer-engine-")
+            atexit.register(_LOCAL[key].cleanup)
+        folder = f"file://{_LOCAL[key].name}"
+    path = f"{folder.rstrip('/')}/glimmer-{name}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df as a table in the scratch folder: computed once, whoever reads it, and not lost with an executor."""
+    path = scratch(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
 @dataclass(frozen=True)
 class Layout:
@@ -203,3 +238,80 @@ class FloatShardReader(DataSourceReader):
             part = np.ascontiguousarray(data[start : start + each])
             acts = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, self.dims, dtype=np.int32)), pa.array(part.reshape(-1)))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), partition.value, dtype=np.int32)), pa.array(np.arange(start, start + len(part))), acts], names=["shard", "row", "act"])
+
+
+class ByteShards(DataSource):
+    """Raw uint8 labels as rows (shard, row, label). Option: paths (comma-separated, shared by all executors)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "byte_shards"
+
+    def schema(self) -> str:
+        return "shard int, row long, label int"
+
+    def reader(self, schema: object) -> DataSourceReader:
+        return ByteShardReader(self.options)
+
+
+class ByteShardReader(DataSourceReader):
+    """One partition a shard; a shard is mapped, not loaded."""
+
+    def __init__(self, options: dict[str, str]) -> None:
+        self.paths = [p for p in options["paths"].split(",") if p]
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(i) for i in range(len(self.paths))]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        data = np.memmap(self.paths[partition.value], dtype=np.uint8, mode="r")
+        for start in range(0, len(data), 1 << 20):
+            part = np.asarray(data[start : start + (1 << 20)], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), partition.value, dtype=np.int32)), pa.array(np.arange(start, start + len(part))), pa.array(part)], names=["shard", "row", "label"])
+
+
+def numbered(df: DataFrame, label: str) -> DataFrame:
+    """df with <label>_id: the number of each value among the sorted distinct ones, from 0."""
+    from pyspark.sql import Window
+
+    values = df.select(label).where(F.col(label).isNotNull()).distinct()  # a dimension
+    ids = values.select(label, (F.row_number().over(Window.orderBy(label)) - 1).cast("int").alias(f"{label}_id"))
+    return df.join(ids, label, "left")
+
+
+def stem_join(images: DataFrame, masks: DataFrame, table: DataFrame, labels: list[str]) -> DataFrame:
+    """(stem, image, mask, labels..., <label>_id...) of the stems that all three hold. images, masks: (path); table:
+    (stem, labels...). A stem that one side holds twice is an error."""
+    from glimmer.functions.columns import stem
+
+    def once(df: DataFrame, what: str) -> DataFrame:
+        seen = df.groupBy("stem").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in df.columns if c != "stem"))
+        twice = F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit(f"{what} holds a stem twice: "), F.col("stem"))).cast("boolean")).otherwise(F.lit(True))
+        return seen.where(twice).drop("n")
+
+    sides = (once(images.select(stem(F.col("path")).alias("stem"), F.col("path").alias("image")), "images"), once(masks.select(stem(F.col("path")).alias("stem"), F.col("path").alias("mask")), "masks"), once(table.select("stem", *labels), "the table"))
+    found = sides[0].join(sides[1], "stem").join(sides[2], "stem")
+    for label in labels:
+        found = numbered(found, label)
+    return found
+
+
+def write_weights(spark: SparkSession, weights: Weights, path: str, header: dict) -> None:
+    """A header as JSON and the weights as a relation (part, at, values): enc and dec by feature, biases as one row."""
+    rows = [(part, i, [float(x) for x in row]) for part, matrix in (("enc", weights.enc), ("dec", weights.dec)) for i, row in enumerate(matrix)]
+    rows += [("bias_enc", 0, [float(x) for x in weights.bias_enc]), ("bias_dec", 0, [float(x) for x in weights.bias_dec])]
+    spark.createDataFrame(rows, "part string, at int, values array<double>").write.mode("overwrite").parquet(f"{path}/weights")
+    spark.createDataFrame([(json.dumps(header, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
+
+
+def read_weights(spark: SparkSession, path: str) -> tuple[dict, Weights]:
+    """What write_weights wrote. Headers without a schema number, or with one up to 5, are read; others are refused."""
+    from glimmer.operators.encode import Weights
+
+    header = json.loads(spark.read.text(f"{path}/header").first()["value"])
+    if int(header.get("schema", 1)) > 5:
+        raise ValueError(f"{path} has the newer schema {header['schema']}")
+    found: dict[str, list] = {}
+    for r in spark.read.parquet(f"{path}/weights").orderBy("part", "at").collect():  # weights, which are broadcast anyway
+        found.setdefault(r["part"], []).append(r["values"])
+    return header, Weights(np.array(found["enc"]), np.array(found["dec"]), np.array(found["bias_enc"][0]), np.array(found["bias_dec"][0]))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -42,20 +43,67 @@ def since_active(stream: DataFrame, feature: str = "feature", row: str = "row")
     return stream.groupBy(feature).applyInPandasWithState(update, f"{feature} {kind}, last long, fired long", "last long, fired long", "update", GroupStateTimeout.NoTimeout)
 
 
-def each_batch(fit: Callable[[object, DataFrame], object], start: object) -> tuple[Callable[[DataFrame, int], None], Callable[[], object]]:
-    """For foreachBatch: a function that folds each micro-batch into an estimator, and one that returns it."""
-    held = [start]
+def dead_by_state(state: DataFrame, features: DataFrame, n_rows: int, after: int) -> DataFrame:
+    """(feature, since, dead) from the state (feature, last, ...) that since_active keeps."""
+    since = F.lit(n_rows) - 1 - F.coalesce("last", F.lit(-1))
+    return features.join(state, "feature", "left").select("feature", since.cast("long").alias("since"), (since >= after).alias("dead"))
+
+
+def each_batch(fit: Callable[[object, DataFrame], object], start: object, folder: str | None = None) -> tuple[Callable[[DataFrame, int], None], Callable[[], object]]:
+    """For foreachBatch: a function that folds each micro-batch into an estimator, and one that returns it. With a folder
+    (shared, reached through Spark) the estimator and the number of the last batch are written after each batch; a query
+    that starts again goes on from there and skips a batch that is delivered twice."""
+    held: list = [start, -1]
+
+    def load(spark: SparkSession) -> None:
+        rows = spark.read.schema("number long, state binary").parquet(f"{folder}/*").orderBy(F.desc("number")).limit(1).collect() if exists(spark) else []
+        if rows:
+            held[0], held[1] = pickle.loads(rows[0]["state"]), rows[0]["number"]
+
+    def exists(spark: SparkSession) -> bool:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
     def fold(batch: DataFrame, number: int) -> None:
-        held[0] = fit(held[0], batch)
+        spark = batch.sparkSession
+        if folder and held[1] < 0:
+            load(spark)
+        if number <= held[1]:
+            return
+        held[0], held[1] = fit(held[0], batch), number
+        if folder:
+            spark.createDataFrame([(number, pickle.dumps(held[0]))], "number long, state binary").coalesce(1).write.mode("overwrite").parquet(f"{folder}/{number}")
 
     return fold, lambda: held[0]
 
 
-def percentile_sgd(values: list[float], percent: float, rate: float, total: int, estimate: float = 0.0) -> float:
+def percentile_by_key(df: DataFrame, key: str, order: str, value: str, percent: float, rate: float) -> DataFrame:
+    """(key, n, estimate): the stochastic percentile of each key's values in order. Each step depends on the one before,
+    so a key's values pass through one task, batch by batch; exact percentiles do not need that."""
+    total = df.where(F.col(value).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    rows = df.where(F.col(value).isNotNull()).join(F.broadcast(total), key).select(key, order, F.col(value).cast("double").alias("x"), "n")  # one row a key
+    dealt = rows.repartition(key).sortWithinPartitions(key, order)
+    kind = dict(df.dtypes)[key]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: tuple | None = None
+        for frame in frames:
+            for name, own in frame.groupby(key, sort=False):
+                if held is None or held[0] != name:
+                    if held is not None:
+                        yield pd.DataFrame([held[:3]], columns=[key, "n", "estimate"])
+                    held = (name, int(own["n"].iloc[0]), 0.0, 0)
+                held = (name, held[1], percentile_sgd(own["x"].tolist(), percent, rate, held[1], held[2], held[3]), held[3] + len(own))
+        if held is not None:
+            yield pd.DataFrame([held[:3]], columns=[key, "n", "estimate"])
+
+    return dealt.mapInPandas(run, f"`{key}` {kind}, n long, estimate double")
+
+
+def percentile_sgd(values: list[float], percent: float, rate: float, total: int, estimate: float = 0.0, done: int = 0) -> float:
     """A stochastic percentile: steps of falling size towards the side that is short. Order matters; batch percentiles are
-    better where all values are at hand."""
-    for step, x in enumerate(values, 1):
+    better where all values are at hand. done: steps taken before, which led to the estimate given."""
+    for step, x in enumerate(values, done + 1):
         sign = (x > estimate) - (x < estimate)
         estimate += rate * (total - step) / total * (sign + 2 * percent / 100 - 1)
     return estimate

@@ -318,3 +318,135 @@ def test_classifiers_rank_the_telling_feature_first(spark):
     assert data.count() == 121 and data.where("example_idx = 120").first().features.toArray().tolist() == [0.0] * 4
     for model in (classify.l1_logistic(data, c=1.0), classify.tree(data)):
         assert classify.feature_ranking(model, spark).where("place = 1").first().feature == 2
+
+
+def test_tie_groups_of_billions_need_no_array(spark):
+    """The group of absent scores of 3 * 10^9 rows enters by two harmonic numbers."""
+    n = 3 * 10**9
+    codes = spark.createDataFrame([(1, 0, 0.5), (2, 0, 0.4)], "row long, feature int, value double")
+    positives = spark.createDataFrame([(1, 0)], "row long, class int")
+    features = spark.createDataFrame([(0,)], "feature int")
+    grouped = ranking.tie_groups(codes, positives, features, n, spark.createDataFrame([(0, 3)], "class int, total long"))
+    r = ranking.tie_aware_ap(grouped).first()
+    t, size, pos = 2, n - 2, 2
+    slope = (pos - 1) / (size - 1)
+    harmonic = (np.log(n) + np.euler_gamma + 1 / (2 * n)) - 1.5
+    want = (1 + pos / size * ((1 + 1 - (t + 1) * slope) * harmonic + slope * size)) / 3
+    assert r.ap == pytest.approx(want, rel=1e-9)
+    assert ranking.auroc(grouped).first().auroc == pytest.approx((1 * (n - 0.0) + 2 * (size + 1) / 2 - 6) / (3 * (n - 3)), rel=1e-6)
+
+
+def test_harmonic_numbers(spark):
+    from glimmer.functions import columns
+
+    got = {r.m: r.h for r in spark.range(0, 60).select(F.col("id").alias("m"), columns.harmonic(F.col("id")).alias("h")).collect()}
+    assert all(got[m] == pytest.approx(sum(1 / j for j in range(1, m + 1)), abs=1e-10) for m in got)
+
+
+@pytest.mark.parametrize("accuracy", [50, 10_000])
+def test_exact_quantiles_equal_numpy(spark, accuracy):
+    chance = np.random.default_rng(3)
+    values = {"a": chance.normal(size=3000), "b": chance.integers(0, 4, 2000).astype(float), "c": chance.random(7), "d": np.r_[np.zeros(1500), chance.random(500)]}
+    rows = [(k, float(v)) for k, own in values.items() for v in own] + [("a", None)]
+    got = ranking.exact_quantiles(spark.createDataFrame(rows, "g string, v double").repartition(5), ["g"], "v", [0.0, 0.05, 0.5, 0.951, 1.0], accuracy=accuracy).collect()
+    for r in got:
+        for i, q in enumerate([0.0, 0.05, 0.5, 0.951, 1.0]):
+            assert r[f"q{i}"] == pytest.approx(np.quantile(values[r.g], q), abs=1e-12)
+
+
+def test_ranks_over_ranges(spark):
+    from glimmer.operators import relational
+
+    rows = [(i, i * 37 % 101) for i in range(400)]
+    got = {r.i: r.place for r in relational.ranked(spark.createDataFrame(rows, "i int, v int").repartition(6), [F.desc("v"), F.col("i")]).collect()}
+    assert got == {i: n for n, (i, _) in enumerate(sorted(rows, key=lambda x: (-x[1], x[0])), 1)}
+
+
+def test_fitted_probes_stand_still(spark):
+    """probe_report on the smallest table against a plain logistic regression of the chosen feature."""
+    from conftest import DATA
+    from glimmer.plans.evaluation import QUERIES, probe_side
+    from glimmer.plans.relations import Relations
+
+    r = Relations(spark, DATA)
+    codes, labels, base, n = probe_side(r, test=False)
+    rows, by_row = sorted(x.row for x in labels.collect()), {x.row: x["class"] for x in labels.collect()}
+    place = {row: i for i, row in enumerate(rows)}
+    x = np.zeros((32, n))
+    for c in codes.collect():
+        x[c.feature, place[c.row]] = c.value
+    for found in QUERIES["probe_report"](spark, DATA).collect():
+        y = np.array([by_row[row] == found["class"] for row in rows], dtype=float)
+        losses = []
+        for f in range(32):
+            w = np.zeros(2)
+            design = np.c_[np.ones(n), x[f]]
+            for _ in range(60):
+                p = 1 / (1 + np.exp(-design @ w))
+                w -= np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) / n + 1e-6 * np.eye(2), design.T @ (p - y) / n)
+            z = design @ w
+            losses.append(float(np.mean(np.logaddexp(0, z) - y * z)))
+        assert found.loss == pytest.approx(min(losses), abs=2e-5) and losses[found.feature] == pytest.approx(min(losses), abs=2e-5)
+
+
+def test_baseline_run_equals_numpy(spark):
+    from conftest import DATA
+    from glimmer.functions import columns
+    from glimmer.operators import estimators
+    from glimmer.plans.evaluation import QUERIES
+    from glimmer.plans.relations import Relations
+
+    r = Relations(spark, DATA)
+    rows = r.acts.select("row", "act", F.conv(F.substring(columns.shuffle_key(5, F.col("row")), 1, 1), 16, 10).cast("int").alias("h")).collect()
+    centres, counts = r.weights.dec[:8].astype(float).copy(), np.zeros(8)
+    for batch in range(4):
+        own = np.array([x.act for x in rows if x.h // 4 == batch], dtype=float)
+        near = ((own[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        for c in range(8):
+            mine = own[near == c]
+            if len(mine):
+                counts[c] += len(mine)
+                centres[c] += (mine.sum(axis=0) - len(mine) * centres[c]) / counts[c]
+    every = np.array([x.act for x in rows], dtype=float)
+    inertia = ((every[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1).sum()
+    found = QUERIES["baseline_run"](spark, DATA).first()
+    assert 0 < found.utilisation and found.inertia == pytest.approx(inertia, rel=0.05)
+    assert isinstance(estimators.KMeans(r.weights.dec[:8]), estimators.KMeans)
+
+
+def test_raw_labels(spark, tmp_path):
+    from glimmer.sources import store
+
+    parts = [np.arange(300, dtype=np.uint8), np.full(5, 255, dtype=np.uint8)]
+    paths = []
+    for i, part in enumerate(parts):
+        paths.append(str(tmp_path / f"{i}.bin"))
+        part.tofile(paths[-1])
+    spark.dataSource.register(store.ByteShards)
+    got = spark.read.format("byte_shards").option("paths", ",".join(paths)).load().orderBy("shard", "row").collect()
+    assert [r.label for r in got] == [*parts[0].tolist(), *parts[1].tolist()] and got[-1].row == 4
+
+
+def test_an_estimator_survives_a_restart(spark, tmp_path):
+    from glimmer.streaming import online
+
+    def fit(held, batch):
+        return held + batch.count()
+
+    folder = f"file://{tmp_path}/state"
+    fold, state = online.each_batch(fit, 0, folder)
+    for number in range(3):
+        fold(spark.range(10 * (number + 1)), number)
+    fold, again = online.each_batch(fit, 0, folder)
+    fold(spark.range(999), 2)  # delivered twice
+    fold(spark.range(5), 3)
+    assert state() == 60 and again() == 65
+
+
+def test_doubled_stems_are_an_error(spark):
+    from glimmer.sources import store
+
+    images = spark.createDataFrame([("/a/x.jpg",), ("/b/x.png",)], "path string")
+    masks, table = spark.createDataFrame([("/m/x.png",)], "path string"), spark.createDataFrame([("x", "p")], "stem string, label string")
+    with pytest.raises(Exception, match="holds a stem twice"):
+        store.stem_join(images, masks, table, ["label"]).collect()
