@@ -133,7 +133,7 @@ def shard_bounds(records: DataFrame, shard_bytes: int) -> list[str]:
     return sorted({r["key"] for r in firsts})[1:]
 
 
-def write_warc(pages: DataFrame, out: str, least: int = 100, file_bytes: int = 16 << 20, shard_bytes: int = 64 << 20, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def write_warc(pages: DataFrame, out: str, least: int = 100, file_bytes: int = 16 << 20, shard_bytes: int = 16 << 20, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Writes pages to the folder `out`; returns the manifest: shard, part, name, n_bytes, n_records, sha256. The payloads
     are read twice, once for their digests, and pass through one exchange."""
     spark = pages.sparkSession
