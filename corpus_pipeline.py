@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glimmer.llm.bpe import bpe_encode
-from glimmer.llm.common import scratch_path
+from glimmer.llm.common import quoted, scratch_path
 from glimmer.llm.decontaminate import drop_leaks
 from glimmer.llm.jaccard import similar_texts
 from glimmer.llm.lines import dedup_lines
@@ -31,7 +31,7 @@ def drop_toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that a document with a smaller identifier holds; n_chars follows the text."""
     kept = dedup_lines(docs)
-    return kept.select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else c for c in docs.columns))
+    return kept.select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(quoted(c)) for c in docs.columns))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
