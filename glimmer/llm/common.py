@@ -150,7 +150,7 @@ def keep_rows(docs: DataFrame, text: str, make: Callable[[], Callable[[list[byte
             keep = decide(utf8(part.column(at)))
             yield part.filter(pa.array(np.asarray(keep, dtype=bool))).rename_columns(names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.toDF(*(f"c{i}" for i in range(len(docs_names)))).mapInArrow(run, docs.schema)  # whatever characters names hold
 
 
 def utf8(column: pa.Array) -> list[bytes]:

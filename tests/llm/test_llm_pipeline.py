@@ -6,6 +6,7 @@ import struct
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conftest import DATA
@@ -82,6 +83,34 @@ def test_benchmark_passages_go(spark, stages):
     assert sorted(texts(stages[4])) == sorted(i for i, t in before.items() if clean(t))
 
 
+AWKWARD = [(1, "the same line of text\nanother line of text here", "a", "s", 40), (1, "the same line of text\nanother line of text here", "a", "s", 40), (2, "the same line of text\nanother line of text here", None, None, None), (3, None, None, None, None), (4, "", "a", "s", 0), (None, "the same line of text", "a", "s", 21), (None, None, None, None, None), (5, " \t\n\x0b", "a", "s", 4), (6, "many words of one very long text that goes on and on " * 20_000, "a", "s", 9), (7, "日本語のテキスト 😀", "a", "s", 9), (2**63 - 1, "only here, on a line of its own", "a", "s", 9)]
+#: What stays of the awkward rows, stage by stage, each on the rows themselves.
+STAY = {"toxicity": len(AWKWARD), "line dedup": len(AWKWARD), "byte-level BPE encoding and decoding": len(AWKWARD)}
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_on_awkward_rows(spark, name, stage):
+    """Nulls, empty and long texts, repeated rows, clashing extra columns; and an empty table."""
+    docs = spark.createDataFrame(AWKWARD, "doc_id long, text string, lang string, source string, n_chars long")
+    for extra in ("key", "component", "kept", "doc", "lost", "c0", "a`b.c"):
+        docs = docs.withColumn(extra, F.lit(1))
+    found = stage(spark, docs, DATA)
+    rows = found.collect()
+    assert len(rows) == STAY.get(name, len(rows)) and {r.doc_id for r in rows} <= {r[0] for r in AWKWARD}
+    if name != corpus_pipeline.STAGES[-1][0]:
+        assert found.columns == docs.columns
+    if name == "SimHash near-dedup":
+        assert sorted(r.doc_id for r in rows if r.doc_id is not None) == [1, 1, 3, 6, 7, 2**63 - 1]
+        assert sum(r.doc_id is None for r in rows) == 2  # the text without number has no partner among the others
+    if name == "benchmark decontamination":
+        assert len(rows) == len(AWKWARD)
+    if name == "line dedup":
+        texts = sorted((str(r.doc_id), r.text) for r in rows if r.doc_id in (1, 2, None))
+        assert texts == [("1", AWKWARD[0][1]), ("1", AWKWARD[0][1]), ("2", ""), ("None", ""), ("None", "")]
+    empty = stage(spark, docs.where("doc_id < 0"), DATA)
+    assert empty.collect() == [] and empty.columns == found.columns
+
+
 def test_tokens(stages):
     ranks = bpe.parse_ranks(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
