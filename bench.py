@@ -66,8 +66,7 @@ def vectors_a_second(spark: SparkSession, sf_dir: str) -> dict[str, int]:
         noop(probe.step(probe.probe_stats(codes().select("row", "feature", "value"), r.positives, probe.start(r.features, base), base, n), sparse.rms_scale(codes(), r.features)))
 
     def rebuilt() -> None:
-        decoded = encode.decode_prefixes(codes(), weights, [FEATURES]).select("row", "x_hat")
-        noop(stats.recon_metrics(r.acts.select("row", F.col("act").alias("x")).join(decoded, "row")))
+        noop(stats.recon_metrics(encode.reconstructed(r.acts, weights, [FEATURES])))
 
     work: dict[str, Callable[[], object]] = {
         "scan": lambda: noop(r.acts.agg(F.sum(C.norm(F.col("act"))))),

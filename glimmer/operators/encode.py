@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -55,12 +55,50 @@ def datapoint_weights(acts: DataFrame, n_features: int, row: str = "row", act: s
     return Weights(dec, dec, np.zeros(len(dec)), np.zeros(dec.shape[1]))
 
 
-def dense_codes(acts: DataFrame, weights: Weights, keep: str = "positive", k: int = 0, threshold: float = 0.0, carry: tuple[str, ...] = ("row",), act: str = "act") -> DataFrame:
-    """(carry..., feature, value) by one matrix product for each Arrow batch.
+#: What is kept of a dense matrix of values: name -> function of (values, k, threshold) that returns (rows, features).
+TRANSFORMS: dict[str, Callable[[np.ndarray, int, float], tuple[np.ndarray, np.ndarray]]] = {}
+
+
+def transform(name: str) -> Callable[[Callable], Callable]:
+    """Registers a transform under a name."""
+
+    def add(f: Callable[[np.ndarray, int, float], tuple[np.ndarray, np.ndarray]]) -> Callable:
+        TRANSFORMS[name] = f
+        return f
+
+    return add
+
+
+@transform("all")
+def keep_all(h: np.ndarray, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    return np.nonzero(np.ones_like(h, dtype=bool))
+
+
+@transform("positive")
+def keep_positive(h: np.ndarray, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    return np.nonzero(h > 0)
+
+
+@transform("jump")
+def keep_jump(h: np.ndarray, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    return np.nonzero(h > max(threshold, 0.0))
+
 
-    keep: "all" values; "positive" ones; "topk", the k largest of a row, whatever their sign, ties to the smaller
-    feature; "jump", those above max(threshold, 0)."""
-    held = acts.sparkSession.sparkContext.broadcast((weights.enc.T.copy(), weights.bias_enc))
+@transform("topk")
+def keep_topk(h: np.ndarray, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest of a row, whatever their sign, ties to the smaller feature; zeros are left out."""
+    order = np.argsort(-h, axis=1, kind="stable")[:, :k]
+    rows, features = np.repeat(np.arange(len(h)), order.shape[1]), order.reshape(-1)
+    there = h[rows, features] != 0
+    return rows[there], features[there]
+
+
+def dense_codes(acts: DataFrame, weights: Weights, keep: str = "positive", k: int = 0, threshold: float = 0.0, carry: tuple[str, ...] = ("row",), act: str = "act") -> DataFrame:
+    """(carry..., feature, value) by one matrix product for each Arrow batch. keep: the name of a transform; "all" values,
+    "positive" ones, "topk" of a row, or "jump", those above max(threshold, 0)."""
+    if keep not in TRANSFORMS:
+        raise ValueError(f"no transform {keep}; there are {', '.join(sorted(TRANSFORMS))}")
+    held, chosen = acts.sparkSession.sparkContext.broadcast((weights.enc.T.copy(), weights.bias_enc)), TRANSFORMS[keep]
     kinds = {f.name: f.dataType.simpleString() for f in acts.schema}
     ddl = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "feature int", "value double"])
     at = len(carry)
@@ -70,13 +108,7 @@ def dense_codes(acts: DataFrame, weights: Weights, keep: str = "positive", k: in
         for batch in parts_of(batches, enc.shape[1]):
             x = np.asarray(batch.column(at).flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
             h = x @ enc + bias
-            if keep == "topk":
-                order = np.argsort(-h, axis=1, kind="stable")[:, :k]
-                rows, features = np.repeat(np.arange(len(h)), order.shape[1]), order.reshape(-1)
-                there = h[rows, features] != 0
-                rows, features = rows[there], features[there]
-            else:
-                rows, features = np.nonzero(np.ones_like(h, dtype=bool) if keep == "all" else h > (max(threshold, 0.0) if keep == "jump" else 0.0))
+            rows, features = chosen(h, k, threshold)
             taken = [batch.column(i).take(pa.array(rows)) for i in range(at)]
             yield pa.RecordBatch.from_arrays([*taken, pa.array(features.astype(np.int32)), pa.array(h[rows, features])], names=[*carry, "feature", "value"])
 
@@ -117,6 +149,28 @@ def decode_prefixes(codes: DataFrame, weights: Weights, prefixes: list[int], row
     return lists.mapInArrow(run, f"`{row}` {kind}, prefix int, x_hat array<double>")
 
 
+def reconstructed(acts: DataFrame, weights: Weights, prefixes: list[int], row: str = "row", act: str = "act") -> DataFrame:
+    """(row, prefix, x, x_hat): vectors encoded to positive codes and decoded again in one pass over them, without an
+    exchange. A row without codes is rebuilt as the bias."""
+    if prefixes != sorted(set(prefixes)) or prefixes[-1] != len(weights.dec):
+        raise ValueError("prefixes must rise strictly and end with all features")
+    held = acts.sparkSession.sparkContext.broadcast((weights.enc.T.copy(), weights.bias_enc, weights.dec, weights.bias_dec))
+    kinds = dict(acts.dtypes)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, bias_enc, dec, bias_dec = held.value
+        for batch in parts_of(batches, len(dec)):
+            x = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
+            codes = np.maximum(x @ enc + bias_enc, 0.0)
+            total = np.broadcast_to(bias_dec, x.shape)
+            for low, prefix in zip([0, *prefixes], prefixes, strict=False):
+                total = total + codes[:, low:prefix] @ dec[low:prefix]
+                ends = pa.array(np.arange(0, total.size + 1, total.shape[1], dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(batch.num_rows, prefix, dtype=np.int32)), batch.column(1), pa.ListArray.from_arrays(ends, pa.array(total.reshape(-1)))], names=[row, "prefix", "x", "x_hat"])
+
+    return acts.select(row, act).mapInArrow(run, f"`{row}` {kinds[row]}, prefix int, x {kinds[act]}, x_hat array<double>")
+
+
 def aux_codes(codes: DataFrame, dead: DataFrame, k: int, row: str = "row") -> DataFrame:
     """Of all values, the k largest positive ones of each row among dead features (feature); ties to the smaller feature.
     What they decode to is held against what the living features leave over."""

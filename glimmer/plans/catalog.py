@@ -130,13 +130,13 @@ def feature_stats_masked(r: Relations) -> DataFrame:
 
 @query
 def recon_metrics(r: Relations) -> DataFrame:
-    found = stats.recon_metrics(rebuilt(r, [FEATURES]))
+    found = stats.recon_metrics(encode.reconstructed(r.acts, r.weights, [FEATURES]))
     return found.select("n_tokens", "d_model", *(r6(c) for c in found.columns[2:]))
 
 
 @query
 def explained_variance(r: Relations) -> DataFrame:
-    return stats.explained_variance(rebuilt(r, [FEATURES])).select(r6("explained"))
+    return stats.explained_variance(encode.reconstructed(r.acts, r.weights, [FEATURES])).select(r6("explained"))
 
 
 @query

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from glimmer.functions import columns as C
 from glimmer.operators import encode, estimators, probe, ranking, relational, sparse, stats
 from glimmer.plans import sweep
-from glimmer.plans.catalog import QUERIES, groups, query, r6, rebuilt, relu_stats
+from glimmer.plans.catalog import QUERIES, groups, query, r6, relu_stats
 from glimmer.plans.relations import CLASSES, FEATURES, TOKENS, Relations
 from glimmer.sources import readers, store
 from glimmer.streaming import online
@@ -26,14 +26,14 @@ def held_out() -> Column:
 @query
 def inference_summary(r: Relations) -> DataFrame:
     """What an inference run reports: reconstruction, sparsity and firing in one row."""
-    recon = stats.recon_metrics(rebuilt(r, [FEATURES])).select("n_tokens", r6("nmse"), r6("mse_per_dim"))
+    recon = stats.recon_metrics(encode.reconstructed(r.acts, r.weights, [FEATURES])).select("n_tokens", r6("nmse"), r6("mse_per_dim"))
     return recon.crossJoin(stats.eval_summary(r.codes, relu_stats(r), r.n_rows).select(r6("l0"), r6("l1"), "n_dead", "n_almost_dead", "n_dense"))  # one row each
 
 
 @query
 def validation_summary(r: Relations) -> DataFrame:
     """The same over held-out examples only, with explained variance."""
-    pairs = rebuilt(r, [FEATURES]).join(r.acts.where(held_out()).select("row"), "row", "left_semi")
+    pairs = encode.reconstructed(r.acts.where(held_out()), r.weights, [FEATURES])
     codes = r.codes.where(held_out())
     n = r.acts.where(held_out()).count()
     sums = codes.agg((F.count_if(F.col("value") != 0) / n).alias("l0"), (F.sum("value") / n).alias("l1"))
@@ -248,7 +248,7 @@ def pure_patch_summary(r: Relations) -> DataFrame:
 @query
 def scaled_mse(r: Relations) -> DataFrame:
     """Mean squared error with both sides divided by the largest number of the row, times its square again."""
-    pairs = rebuilt(r, [FEATURES]).select("row", "x", "x_hat", F.array_max(F.transform("x", lambda v: F.abs(v.cast("double")))).alias("top"))
+    pairs = encode.reconstructed(r.acts, r.weights, [FEATURES]).select("row", "x", "x_hat", F.array_max(F.transform("x", lambda v: F.abs(v.cast("double")))).alias("top"))
     scaled = F.zip_with("x", "x_hat", lambda a, b: (a.cast("double") / F.col("top") - b / F.col("top")) * (a.cast("double") / F.col("top") - b / F.col("top")))
     return pairs.select((F.aggregate(scaled, F.lit(0.0), lambda s, v: s + v) / F.size("x") * F.col("top") * F.col("top")).alias("e")).agg(r6(F.avg("e"), "mse"))
 
@@ -360,6 +360,26 @@ def checkpoint_roundtrip(r: Relations) -> DataFrame:
     return r.spark.createDataFrame(rows, "feature int, kind string, size double").select("feature", "kind", r6("size"))
 
 
+@query
+def artifact_set(r: Relations) -> DataFrame:
+    """The five tables of an inference run: what a first call writes, what a second does, and what metrics only does."""
+    folder = store.scratch(r.spark, "artifacts")
+    found = relu_stats(r)
+    frames = {"codes": r.codes, "features": found, "top": sparse.topk_per_feature(r.codes, r.features, 4), "metrics": stats.eval_summary(r.codes, found, r.n_rows), "labels": r.labels}
+    first, second = readers.write_artifacts(frames, folder), readers.write_artifacts(frames, folder)
+    third = readers.write_artifacts(frames, folder, force=True, only="metrics")
+    rows = [(name, name in first, name in second, name in third, r.spark.read.parquet(f"{folder}/{name}").count()) for name in frames]
+    return r.spark.createDataFrame(rows, "name string, first boolean, second boolean, metrics_only boolean, n long")
+
+
+@query
+def codes_transform(r: Relations) -> DataFrame:
+    """Codes by a transform that is registered here: the values of a row above its mean."""
+    if "above_mean" not in encode.TRANSFORMS:
+        encode.transform("above_mean")(lambda h, k, threshold: (h > h.mean(axis=1, keepdims=True) + 0.05).nonzero())
+    return r.codes_of("above_mean").groupBy("feature").agg(F.count("*").alias("n"), r6(F.sum("value"), "sum"))
+
+
 @query
 def stem_join(r: Relations) -> DataFrame:
     """Images, masks and a label table joined by the stem of their file names, each label column numbered by its sorted

@@ -106,6 +106,11 @@ def oracle_sql() -> dict[str, str]:
         "resumed_work": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber >= 4)",
         "conditional_labels": "SELECT l AS lang, count(doc_id) > 0 AS made, count(doc_id) AS n FROM (SELECT unnest(['de', 'en', 'xx']) AS l) LEFT JOIN (SELECT doc_id, lang FROM documents JOIN labels USING (doc_id) WHERE toxic = 1) ON lang = l GROUP BY l",
         "checkpoint_roundtrip": "SELECT unnest(range(0, 32))::INTEGER AS feature, 'tied' AS kind, 1.0 AS size",
+        "artifact_set": b(
+            ", f AS (SELECT * FROM (VALUES ('codes', (SELECT count(*) FROM codes)), ('features', 32), ('top', 128), ('metrics', 1), ('labels', (SELECT n FROM total))) AS t(name, n))",
+            "SELECT name, true AS first, false AS second, name = 'metrics' AS metrics_only, n::BIGINT AS n FROM f",
+        ),
+        "codes_transform": b(", m AS (SELECT row, avg(h) AS m FROM h GROUP BY row)", "SELECT feature, count(*) AS n, round(sum(h), 6) AS sum FROM h JOIN m USING (row) WHERE h > m + 0.05 GROUP BY feature"),
         "stem_join": """WITH l AS (SELECT lang, (row_number() OVER (ORDER BY lang) - 1)::INTEGER AS lang_id FROM (SELECT DISTINCT lang FROM documents WHERE doc_id % 2 = 0)), s AS (SELECT source, (row_number() OVER (ORDER BY source) - 1)::INTEGER AS source_id FROM (SELECT DISTINCT source FROM documents WHERE doc_id % 2 = 0))
             SELECT 'doc_' || doc_id AS stem, lang, lang_id, source, source_id FROM documents LEFT JOIN l USING (lang) LEFT JOIN s USING (source) WHERE doc_id % 2 = 0""",
         "taxonomy_source": "SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA')",

@@ -95,3 +95,10 @@ def write_once(df: DataFrame, path: str, force: bool = False) -> bool:
 def write_manifest(files: DataFrame, path: str, order: list[str]) -> None:
     """JSON lines in order, one file: a manifest is small."""
     files.orderBy(*order).coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_artifacts(frames: dict[str, DataFrame], folder: str, force: bool = False, only: str | None = None) -> list[str]:
+    """Writes a set of tables below a folder, each under its name, and returns the names written. Nothing is written if all
+    are there already, unless forced; only: the one table to write, such as the metrics."""
+    wanted = {only: frames[only]} if only else frames
+    return [name for name, df in wanted.items() if write_once(df, f"{folder}/{name}", force)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import hashlib
+import io
 import json
 import tempfile
 import uuid
@@ -270,6 +271,55 @@ class ByteShardReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), partition.value, dtype=np.int32)), pa.array(np.arange(start, start + len(part))), pa.array(part)], names=["shard", "row", "label"])
 
 
+class SparseShards(DataSource):
+    """Compressed sparse rows in npz files (data, indices, indptr) as rows (shard, row, feature, value). Option: paths
+    (comma-separated, shared by all executors)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "sparse_shards"
+
+    def schema(self) -> str:
+        return "shard int, row long, feature int, value double"
+
+    def reader(self, schema: object) -> DataSourceReader:
+        return SparseShardReader(self.options)
+
+
+class SparseShardReader(DataSourceReader):
+    """One partition a shard."""
+
+    def __init__(self, options: dict[str, str]) -> None:
+        self.paths = [p for p in options["paths"].split(",") if p]
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(i) for i in range(len(self.paths))]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        with np.load(self.paths[partition.value], allow_pickle=False) as found:
+            data, indices, ends = found["data"], found["indices"], found["indptr"]
+        rows = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        for start in range(0, len(data), 1 << 18):
+            own = slice(start, start + (1 << 18))
+            n = len(data[own])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, partition.value, dtype=np.int32)), pa.array(rows[own].astype(np.int64)), pa.array(indices[own].astype(np.int32)), pa.array(data[own].astype(np.float64))], names=["shard", "row", "feature", "value"])
+
+
+def read_matrices(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """(name, at, values) of the named matrices of an npz file, which Spark reads as a binary file."""
+    schema = "name string, at long, values array<double>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                with np.load(io.BytesIO(content), allow_pickle=False) as found:
+                    for name in names:
+                        matrix = np.atleast_2d(found[name]).astype(np.float64)
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(matrix)), pa.array(np.arange(len(matrix))), pa.array(matrix.tolist(), type=pa.list_(pa.float64()))], names=["name", "at", "values"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+
+
 def numbered(df: DataFrame, label: str) -> DataFrame:
     """df with <label>_id: the number of each value among the sorted distinct ones, from 0."""
     from pyspark.sql import Window

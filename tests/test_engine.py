@@ -450,3 +450,24 @@ def test_doubled_stems_are_an_error(spark):
     masks, table = spark.createDataFrame([("/m/x.png",)], "path string"), spark.createDataFrame([("x", "p")], "stem string, label string")
     with pytest.raises(Exception, match="holds a stem twice"):
         store.stem_join(images, masks, table, ["label"]).collect()
+
+
+def test_npz_files(spark, tmp_path):
+    from glimmer.sources import store
+
+    dense = np.random.default_rng(8).random((6, 5)) * (np.random.default_rng(9).random((6, 5)) > 0.6)
+    rows, features = dense.nonzero()
+    ends = np.r_[0, np.cumsum(np.bincount(rows, minlength=6))]
+    np.savez(tmp_path / "codes.npz", data=dense[rows, features], indices=features, indptr=ends, shape=dense.shape)
+    spark.dataSource.register(store.SparseShards)
+    got = spark.read.format("sparse_shards").option("paths", str(tmp_path / "codes.npz")).load().collect()
+    assert sorted((r.row, r.feature, r.value) for r in got) == sorted(zip(rows.tolist(), features.tolist(), dense[rows, features].tolist(), strict=True))
+    np.savez(tmp_path / "probe.npz", w=dense, b=dense[0])
+    back = {(r.name, r["at"]): r["values"] for r in store.read_matrices(spark, f"file://{tmp_path}/probe.npz", ["w", "b"]).collect()}
+    assert back["b", 0] == dense[0].tolist() and all(back["w", i] == dense[i].tolist() for i in range(6))
+
+
+def test_unknown_transforms_are_refused(spark):
+    acts = spark.createDataFrame([(0, [1.0, 2.0])], "row long, act array<double>")
+    with pytest.raises(ValueError, match="no transform"):
+        encode.dense_codes(acts, encode.Weights(np.eye(2), np.eye(2), np.zeros(2), np.zeros(2)), "nothing")
