@@ -155,6 +155,25 @@ def test_toxicity_on_held_out_texts(spark):
     assert scorer.scores([rows[8][1].encode()])[0] == pytest.approx(toxicity.sigmoid(network.logits(network.word_inputs(listed), at, mask)).max(), abs=1e-4)
 
 
+def test_toxicity_query_equals_the_plain_network(spark, texts):
+    """Every score of the query against the network as it is trained, window by window."""
+    held = remainder(4)
+    docs, labels = (spark.read.parquet(f"{DATA}/{name}.parquet") for name in ("documents", "labels"))
+    sample = toxicity.sample(docs, labels, lambda doc: ~held(doc), "doc_id", "text", "toxic", toxicity.DOCS_EACH)
+    marks = {r.doc_id: r.toxic for r in labels.collect()}
+    usable = [i for i, y in marks.items() if y in (0, 1) and zlib.crc32(str(i).encode()) % 4 != 2 and i in texts]
+    assert sorted(y for y, _ in sample) == sorted(marks[i] for i in usable)
+    assert sum(len(own) for _, own in sample) == sum(len(toxicity.window_starts(len(toxicity.tokens(texts[i].encode())))) for i in usable)
+    network = toxicity.train(sample)
+    for r in queries.op2_toxicity(spark, DATA).collect():
+        words, want = toxicity.tokens(texts[r.doc_id].encode()), 0.0
+        if words:
+            listed, at, mask = toxicity.laid_out([words[s : s + toxicity.WINDOW] for s in toxicity.window_starts(len(words))])
+            want = float(toxicity.sigmoid(network.logits(network.word_inputs(listed), at, mask).astype(np.float64)).max())
+        assert r.score == pytest.approx(want, abs=2e-3) and r.predicted == int(r.score >= 0.3)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
 def test_windows_cover_every_word():
     for n in range(200):
         covered = {i for s in toxicity.window_starts(n) for i in range(s, min(n, s + toxicity.WINDOW))}
