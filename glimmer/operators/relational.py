@@ -23,10 +23,10 @@ def pareto(df: DataFrame, by: list[str], x: str, y: str, strict: bool = False, t
     return df.withColumn("__best", F.min(y).over(w.rowsBetween(Window.unboundedPreceding, 0))).where(F.col(y) == F.col("__best")).drop("__best")
 
 
-def spaced_frontier(df: DataFrame, by: list[str], x: str, y: str, most: int = 6) -> DataFrame:
+def spaced_frontier(df: DataFrame, by: list[str], x: str, y: str, most: int = 6, tie: str | None = None) -> DataFrame:
     """The strict frontier of each group, thinned to at most `most` points: both ends, and in order the unused point
     nearest each target that is evenly spaced in log(1 + x). A group is its frontier only."""
-    front = pareto(df, by, x, y, strict=True)
+    front = pareto(df, by, x, y, strict=True, tie=tie)
 
     def thin(points: pd.DataFrame) -> pd.DataFrame:
         points = points.sort_values([x, y], kind="stable").reset_index(drop=True)

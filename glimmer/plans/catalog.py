@@ -528,7 +528,7 @@ def pareto_strict(r: Relations) -> DataFrame:
 
 @query
 def pareto_log_spaced(r: Relations) -> DataFrame:
-    front = relational.spaced_frontier(parts(r).select("p_brand", "p_partkey", "p_size", "p_retailprice"), ["p_brand"], "p_size", "p_retailprice", 3)
+    front = relational.spaced_frontier(parts(r).select("p_brand", "p_partkey", "p_size", "p_retailprice"), ["p_brand"], "p_size", "p_retailprice", 3, tie="p_partkey")
     return front.select("p_brand", "p_partkey", "p_size", r6("p_retailprice"))
 
 

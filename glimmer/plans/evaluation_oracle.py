@@ -1,4 +1,4 @@
-"""DuckDB SQL for the queries in evaluation.py. Without SQL: probe_report (probes fitted until they stand still) and
+"""DuckDB SQL for the queries in evaluation.py and for pareto_log_spaced. Without SQL: probe_report (probes fitted until they stand still) and
 baseline_run (passes over shuffled batches); tests compare them with plain numpy."""
 
 from __future__ import annotations
@@ -111,6 +111,10 @@ def oracle_sql() -> dict[str, str]:
             "SELECT name, true AS first, false AS second, name = 'metrics' AS metrics_only, n::BIGINT AS n FROM f",
         ),
         "codes_transform": b(", m AS (SELECT row, avg(h) AS m FROM h GROUP BY row)", "SELECT feature, count(*) AS n, round(sum(h), 6) AS sum FROM h JOIN m USING (row) WHERE h > m + 0.05 GROUP BY feature"),
+        "pareto_log_spaced": """WITH p AS (SELECT *, min(p_retailprice) OVER (PARTITION BY p_brand ORDER BY p_size, p_retailprice, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM part),
+            f AS (SELECT p_brand, p_partkey, p_size, p_retailprice, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_retailprice) AS j, count(*) OVER (PARTITION BY p_brand) AS n, ln(1 + p_size) AS pos FROM p WHERE best IS NULL OR p_retailprice < best),
+            e AS (SELECT p_brand, min(pos) + (max(pos) - min(pos)) / 2 AS mid FROM f GROUP BY p_brand), c AS (SELECT p_brand, arg_min(j, (round(abs(pos - mid), 12), j)) AS j FROM f JOIN e USING (p_brand) WHERE j > 1 AND j < n GROUP BY p_brand)
+            SELECT f.p_brand, p_partkey, p_size, round(p_retailprice, 6) AS p_retailprice FROM f LEFT JOIN c USING (p_brand) WHERE n <= 3 OR f.j = 1 OR f.j = n OR f.j = c.j""",
         "stem_join": """WITH l AS (SELECT lang, (row_number() OVER (ORDER BY lang) - 1)::INTEGER AS lang_id FROM (SELECT DISTINCT lang FROM documents WHERE doc_id % 2 = 0)), s AS (SELECT source, (row_number() OVER (ORDER BY source) - 1)::INTEGER AS source_id FROM (SELECT DISTINCT source FROM documents WHERE doc_id % 2 = 0))
             SELECT 'doc_' || doc_id AS stem, lang, lang_id, source, source_id FROM documents LEFT JOIN l USING (lang) LEFT JOIN s USING (source) WHERE doc_id % 2 = 0""",
         "taxonomy_source": "SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA')",

@@ -1,6 +1,5 @@
-"""DuckDB SQL for the queries in catalog.py. Without SQL: pareto_log_spaced (a greedy choice), pca_nmse and semi_nmf_nmse
-(eigenvectors and a solver), l1_feature_ranking and tree_feature_ranking (fitted models); tests compare the first three
-with plain numpy."""
+"""DuckDB SQL for the queries in catalog.py. Without SQL: pca_nmse and semi_nmf_nmse (eigenvectors and a solver),
+l1_feature_ranking and tree_feature_ranking (fitted models); tests compare the first two with plain numpy."""
 
 from __future__ import annotations
 
