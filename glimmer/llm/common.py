@@ -25,7 +25,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch.
@@ -106,6 +106,22 @@ def documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return df.select(F.col(quoted(key)).cast("long").alias("doc_id"), F.coalesce(F.col(quoted(text)).cast("string"), F.lit("")).alias("text"))
 
 
+def placed(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """df in this order, written to the shared folder, with places from 0. Rows are dealt by ranges of the order, equal
+    ones too, so no range outgrows a task; of each range its size reaches the driver."""
+    spark = df.sparkSession
+    tied = df.withColumn("__tie", F.monotonically_increasing_id())
+    dealt = tied.repartitionByRange(*order, F.col("__tie")).sortWithinPartitions(*order, F.col("__tie")).drop("__tie").withColumn("__at", F.monotonically_increasing_id())
+    dealt = stage(dealt, "placed")
+    part = F.shiftright("__at", 33)  # the range; the lower 33 bits are the row's number in it
+    before, held = [], 0
+    for row in sorted(dealt.groupBy(part.alias("part")).count().collect()):
+        before.append((row[0], held))
+        held += row[1]
+    starts = F.broadcast(spark.createDataFrame(before, "__part long, __before long"))
+    return dealt.withColumn("__part", part).join(starts, "__part").withColumn(name, F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__part", "__before", "__at")
+
+
 def quoted(name: str) -> str:
     """A column's name for expressions, whatever characters it holds."""
     return "`" + name.replace("`", "``") + "`"

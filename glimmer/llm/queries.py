@@ -12,6 +12,7 @@ from glimmer.llm.common import scratch_path
 from glimmer.llm.decontaminate import find_leaks
 from glimmer.llm.hmm import score_texts
 from glimmer.llm.lines import dedup_lines
+from glimmer.llm.merkle import folded, manifest
 from glimmer.llm.pii import pseudonymise
 from glimmer.llm.quality import quality_cascade
 from glimmer.llm.simhash import near_duplicates
@@ -97,5 +98,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    more = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("string")
+    changed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, more).otherwise(F.col("n_chars").cast("string"))
+    found = manifest(docs, other=[F.col("doc_id"), F.col("source"), F.col("lang"), changed, F.col("text")])
+    digests = folded(found.select("doc_id", "leaf", "subroot", "root", "proof", "other"), "other")
+    return digests.select("doc_id", *(F.lower(F.hex(c)).alias(c) for c in ("leaf", "subroot", "root", "proof_sha256", "folded_root")), (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_hmm, op4_decontaminate, op5_suffix_dedup, op6_quality, op7_pii, op8_line_dedup, op9_byte_bpe, op10_warc)}
+    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_hmm, op4_decontaminate, op5_suffix_dedup, op6_quality, op7_pii, op8_line_dedup, op9_byte_bpe, op10_warc, op11_merkle)}

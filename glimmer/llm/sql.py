@@ -90,5 +90,52 @@ FROM b LEFT JOIN t USING (doc_id)
 """
 
 
+CRC32 = """
+crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, (c & 1) * 3988292384))) AS t)
+"""
+
+
+def crc32(ascii_text: str) -> str:
+    """The CRC-32 of a text of ASCII characters, where crc_table is in reach."""
+    codes = f"list_transform(string_split({ascii_text}, ''), lambda x: ascii(x)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295)"
+
+
+def counted(value: str) -> str:
+    return f"coalesce(strlen({value})::VARCHAR || ':' || {value}, '-')"
+
+
+OP11 = f"""
+WITH RECURSIVE {CRC32}, base AS (
+  SELECT doc_id, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS grp, {counted("doc_id::VARCHAR")} || {counted("source")} || {counted("lang")} AS front, {counted("text")} AS rear,
+    n_chars, {crc32("coalesce(doc_id::VARCHAR, '')")} % 7 = 0 AND doc_id IS NOT NULL AS hit FROM documents, crc_table
+), leaves AS (
+  SELECT doc_id, grp, sha256(front || {counted("n_chars::VARCHAR")} || rear) AS leaf, sha256(front || {counted("(n_chars + CASE WHEN hit THEN 1 ELSE 0 END)::VARCHAR")} || rear) AS other FROM base
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS LAST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n FROM leaves
+), nodes AS (
+  SELECT grp, 0 AS level, pos, n, leaf AS h FROM numbered
+  UNION ALL SELECT grp, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY grp, level, pos // 2, n
+), tops AS (SELECT grp, level AS height, h, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1
+), upper AS (
+  SELECT 0 AS level, pos, n, h FROM tops
+  UNION ALL SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM upper WHERE n > 1 GROUP BY level, pos // 2, n
+), root AS (SELECT h FROM upper WHERE n = 1
+), places AS (SELECT m.*, t.height, t.h AS subroot, t.pos AS top_at, (SELECT max(level) FROM upper) AS more FROM numbered m JOIN tops t USING (grp)
+), steps AS (
+  SELECT p.doc_id, p.leaf, p.grp, p.pos AS own, s.level, (p.pos >> s.level) & 1 AS side, x.h FROM places p, range(64) s(level) LEFT JOIN nodes x ON x.grp = p.grp AND x.level = s.level AND x.pos = xor(p.pos >> s.level, 1) WHERE s.level < p.height
+  UNION ALL
+  SELECT p.doc_id, p.leaf, p.grp, p.pos, p.height + s.level, (p.top_at >> s.level) & 1, x.h FROM places p, range(64) s(level) LEFT JOIN upper x ON x.level = s.level AND x.pos = xor(p.top_at >> s.level, 1) WHERE s.level < p.more
+), proofs AS (
+  SELECT grp, own AS pos, sha256(coalesce(string_agg(h, '' ORDER BY level), '')) AS proof_sha256 FROM steps GROUP BY grp, own
+), folds AS (
+  SELECT grp, pos, 0 AS level, other AS h FROM numbered
+  UNION ALL SELECT f.grp, f.pos, f.level + 1, sha256(CASE WHEN s.side = 1 THEN coalesce(s.h, '') || f.h ELSE f.h || coalesce(s.h, '') END) FROM folds f JOIN steps s ON s.grp = f.grp AND s.own = f.pos AND s.level = f.level
+), ends AS (SELECT grp, pos, arg_max(h, level) AS folded_root FROM folds GROUP BY grp, pos)
+SELECT p.doc_id, p.leaf, p.subroot, root.h AS root, coalesce(q.proof_sha256, sha256('')) AS proof_sha256, e.folded_root, e.folded_root = root.h AS verified
+FROM places p JOIN ends e USING (grp, pos) LEFT JOIN proofs q USING (grp, pos), root
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": OP4, "op5_suffix_dedup": OP5, "op6_quality": OP6, "op8_line_dedup": OP8, "op10_warc": OP10}
+    return {"op4_decontaminate": OP4, "op5_suffix_dedup": OP5, "op6_quality": OP6, "op8_line_dedup": OP8, "op10_warc": OP10, "op11_merkle": OP11}
