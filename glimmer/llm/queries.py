@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glimmer.llm.bpe import bpe_encode
-from glimmer.llm.common import scratch_path
+from glimmer.llm.common import scratch_path, stage
 from glimmer.llm.decontaminate import find_leaks
 from glimmer.llm.hmm import score_texts
+from glimmer.llm.language import identify
 from glimmer.llm.lines import dedup_lines
 from glimmer.llm.merkle import folded, manifest
 from glimmer.llm.pii import pseudonymise
@@ -18,6 +19,7 @@ from glimmer.llm.quality import quality_cascade
 from glimmer.llm.simhash import near_duplicates
 from glimmer.llm.suffixes import cut_repeats
 from glimmer.llm.toxicity import score_toxicity
+from glimmer.llm.turns import audits, damaged, repaired, transcripts
 from glimmer.llm.warc import read_warc, write_warc
 
 #: The rank file of the tokenizer, by its name in the tokenizers' package.
@@ -107,5 +109,23 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.select("doc_id", *(F.lower(F.hex(c)).alias(c) for c in ("leaf", "subroot", "root", "proof_sha256", "folded_root")), (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    original = table(spark, sf_dir, "conversations")
+    turns = damaged(original)
+    found = stage(audits(turns, every=original), "audits")
+    told = transcripts(repaired(turns, found)).withColumnRenamed("conv", "own")
+    met = found.join(told, F.col("conv").eqNullSafe(F.col("own")), "left")
+    none = F.sha2(F.lit("").cast("binary"), 256)
+    return met.select(
+        F.col("conv").alias("conv_id"), F.coalesce("gaps", F.lit(0)).alias("gaps"), "blank", "duplicate", "truncated", F.coalesce("illegal", F.lit(0)).alias("illegal"), "cost", "audit", F.coalesce("repaired_sha256", none).alias("repaired_sha256")
+    )
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = lambda doc: F.crc32(doc.cast("string").cast("binary")) % 5
+    found = identify(table(spark, sf_dir, "documents"), lambda doc: rest(doc) != 0)
+    return found.select("doc_id", F.coalesce(rest(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_hmm, op4_decontaminate, op5_suffix_dedup, op6_quality, op7_pii, op8_line_dedup, op9_byte_bpe, op10_warc, op11_merkle)}
+    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_hmm, op4_decontaminate, op5_suffix_dedup, op6_quality, op7_pii, op8_line_dedup, op9_byte_bpe, op10_warc, op11_merkle, op12_turns, op13_language)}

@@ -137,5 +137,52 @@ FROM places p JOIN ends e USING (grp, pos) LEFT JOIN proofs q USING (grp, pos),
 """
 
 
+OP12 = f"""
+WITH RECURSIVE {CRC32}, keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS fault FROM conversations, crc_table
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE fault WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM keyed WHERE fault <> 0
+), placed AS (
+  SELECT *, coalesce('=' || conv_id::VARCHAR, '') AS c, role[1:1] AS initial, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(strlen(role)::VARCHAR || ':' || role || text), copy) AS k,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen
+  FROM damaged
+), turns AS (
+  SELECT *, said = '' AS blank, said <> '' AND seen AS duplicate, said <> '' AND NOT seen AND right(said, 1) NOT IN ('.', '!', '?') AS truncated,
+    lag(initial) OVER (PARTITION BY c ORDER BY k) AS before FROM placed
+), told AS (
+  SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(k) AS n FROM turns GROUP BY c
+), says AS (FROM (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)) AS v(initial, q, nxt)
+), paths AS (
+  SELECT c, 0::BIGINT AS k, 0 AS q, 0::BIGINT AS cost, '' AS audit, []::VARCHAR[] AS lines FROM told
+  UNION ALL
+  SELECT c, k, q, best.cost, best.audit, best.lines FROM (
+    SELECT c, k, q, min({{'cost': cost, 'audit': audit, 'lines': lines}}) AS best FROM (
+      WITH opened AS (
+        SELECT c, k, q, cost, audit, lines FROM paths
+        UNION ALL SELECT c, k, s.nxt, cost + 5, audit || 'I', list_append(lines, CASE s.initial WHEN 'u' THEN 'user:' ELSE 'assistant:' END) FROM paths JOIN says s USING (q) WHERE s.initial <> 's'
+      )
+      SELECT o.c, t.k, o.q, o.cost + 2 AS cost, o.audit || 'D' AS audit, o.lines FROM opened o JOIN turns t ON t.c = o.c AND t.k = o.k + 1
+      UNION ALL SELECT o.c, t.k, s.nxt, o.cost + CASE WHEN t.truncated THEN 5 ELSE 0 END, o.audit || 'K', list_append(o.lines, t.role || ':' || t.text)
+      FROM opened o JOIN turns t ON t.c = o.c AND t.k = o.k + 1 AND NOT t.blank AND NOT t.duplicate JOIN says s ON s.q = o.q AND s.initial = t.initial
+      UNION ALL SELECT o.c, t.k, s.nxt, o.cost + 1 + CASE WHEN t.truncated THEN 5 ELSE 0 END, o.audit || 'R', list_append(o.lines, CASE s.initial WHEN 'u' THEN 'user:' ELSE 'assistant:' END || t.text)
+      FROM opened o JOIN turns t ON t.c = o.c AND t.k = o.k + 1 AND NOT t.blank AND NOT t.duplicate JOIN says s ON s.q = o.q AND s.initial <> 's'
+    ) GROUP BY c, k, q)
+), ends AS (
+  SELECT p.c, p.q, p.cost, p.audit, p.lines FROM paths p JOIN told USING (c) WHERE p.k = told.n
+), closed AS (
+  SELECT c, min({{'cost': cost, 'audit': audit, 'lines': lines}}) AS best FROM (
+    SELECT * FROM ends WHERE q IN (0, 3)
+    UNION ALL SELECT c, 3, cost + 5, audit || 'I', list_append(lines, 'assistant:') FROM ends WHERE q = 2
+  ) GROUP BY c
+), every AS (SELECT DISTINCT conv_id, coalesce('=' || conv_id::VARCHAR, '') AS c FROM conversations)
+SELECT e.conv_id, coalesce(t.gaps, 0)::BIGINT AS gaps, coalesce(t.blank, 0) AS blank, coalesce(t.duplicate, 0) AS duplicate, coalesce(t.truncated, 0) AS truncated, coalesce(t.illegal, 0) AS illegal,
+  coalesce(x.best.cost, 0) AS cost, coalesce(x.best.audit, '') AS audit, sha256(coalesce(array_to_string(x.best.lines, chr(10)), '')) AS repaired_sha256
+FROM every e LEFT JOIN told t USING (c) LEFT JOIN closed x USING (c)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": OP4, "op5_suffix_dedup": OP5, "op6_quality": OP6, "op8_line_dedup": OP8, "op10_warc": OP10, "op11_merkle": OP11}
+    return {"op4_decontaminate": OP4, "op5_suffix_dedup": OP5, "op6_quality": OP6, "op8_line_dedup": OP8, "op10_warc": OP10, "op11_merkle": OP11, "op12_turns": OP12}
