@@ -147,16 +147,16 @@ def line_table(docs: DataFrame, key: str, text: str, least: int, edges: list[int
     return lines.withColumn("batch", number)
 
 
-def dedup_lines(docs: DataFrame, batch_bytes: int = 128 << 20, batches: tuple[int, int] = (4, 16), fan_out: int = 2, least: int = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of docs with the text rewritten (null becomes empty), and n_lines before and n_dropped, which replace
-    columns of these names.
+def dedup_lines(docs: DataFrame, batch_bytes: int = 128 << 20, batches: tuple[int, int] = (4, 16), fan_out: int = 2, least: int = LEAST, key: str = "doc_id", text: str = "text", counts: tuple[str, str] | None = ("n_lines", "n_dropped")) -> DataFrame:
+    """All columns of docs with the text rewritten (null becomes empty), and the numbers of lines before and of lines
+    dropped under the two names in counts, which replace columns of these names; without counts nothing is added.
 
     A table is cut into batches of ascending identifiers of about batch_bytes of text, but into at least batches[0] and
     at most batches[1]; each adds to the runs. So a hash meets log2(batches[1]) runs at most, however large the table. The texts pass through one exchange, to meet the hashes that they lose; a line is
     only ever moved as its hash."""
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.drop("n_lines", "n_dropped")
+    docs = docs.drop(*(counts or ()))
     size = text_bytes(docs, text)
     n = max(batches[0], min(batches[1], math.ceil(size / batch_bytes)))
     doc = F.col(quoted(key)).cast("long")
@@ -165,15 +165,17 @@ def dedup_lines(docs: DataFrame, batch_bytes: int = 128 << 20, batches: tuple[in
     line_table(docs, key, text, least, edges).write.partitionBy("batch").option("compression", "zstd").parquet(path)
     lines = spark.read.schema("doc long, mark long, hash binary, batch int").parquet(path)
     runs = LineRuns(spark, max(8, min(MOST_BUCKETS, size // BUCKET_BYTES)), fan_out)
-    lost = [runs.add(lines.where(F.col("batch") == i).drop("batch")) for i in range(len(edges) + 1)]
-    runs.close()
+    try:
+        lost = [runs.add(lines.where(F.col("batch") == i).drop("batch")) for i in range(len(edges) + 1)]
+    finally:
+        runs.close()
     dropped = reduce(DataFrame.unionByName, lost).groupBy("doc", "mark").agg(F.collect_list("hash").alias("lost"))
     content = F.coalesce(F.col(quoted(text)).cast("string"), F.lit(""))
     own = docs.select(*(content.alias(c) if c == text else F.col(quoted(c)) for c in docs.columns))
     names = [f"c{i}" for i in range(len(own.columns))]
     plain = own.toDF(*names).withColumns({"key": F.col(names[own.columns.index(key)]).cast("long"), "side": mark_of(F.col(names[own.columns.index(key)]), F.col(names[own.columns.index(text)]))})
     met = plain.join(dropped.hint("shuffle_hash"), plain["key"].eqNullSafe(dropped["doc"]) & (plain["side"] == dropped["mark"]), "left").select(*names, "lost")
-    at, out_names = own.columns.index(text), [*own.columns, "n_lines", "n_dropped"]
+    at, out_names = own.columns.index(text), [*own.columns, *(counts or ())]
 
     def rewrite(found: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
@@ -191,6 +193,7 @@ def dedup_lines(docs: DataFrame, batch_bytes: int = 128 << 20, batches: tuple[in
                 n_dropped.append(len(parts) - len(kept))
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             columns[at] = pa.array(texts, type=pa.binary()).cast(batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, type=pa.int64()), pa.array(n_dropped, type=pa.int64())], names=out_names)
+            more = [pa.array(n_lines, type=pa.int64()), pa.array(n_dropped, type=pa.int64())] if counts else []
+            yield pa.RecordBatch.from_arrays([*columns, *more], names=out_names)
 
-    return met.mapInArrow(rewrite, StructType([*own.schema.fields, StructField("n_lines", LongType()), StructField("n_dropped", LongType())]))
+    return met.mapInArrow(rewrite, StructType([*own.schema.fields, *(StructField(c, LongType()) for c in counts or ())]))

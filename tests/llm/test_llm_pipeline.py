@@ -92,13 +92,15 @@ STAY = {"toxicity": len(AWKWARD), "line dedup": len(AWKWARD), "byte-level BPE en
 def test_stages_on_awkward_rows(spark, name, stage):
     """Nulls, empty and long texts, repeated rows, clashing extra columns; and an empty table."""
     docs = spark.createDataFrame(AWKWARD, "doc_id long, text string, lang string, source string, n_chars long")
-    for extra in ("key", "component", "kept", "doc", "lost", "c0", "a`b.c"):
+    for extra in ("key", "component", "kept", "doc", "lost", "c0", "a`b.c", "n_lines", "n_email", "score"):
         docs = docs.withColumn(extra, F.lit(1))
+    docs = docs.withColumn("N_Dropped", F.lit("keep"))
     found = stage(spark, docs, DATA)
     rows = found.collect()
     assert len(rows) == STAY.get(name, len(rows)) and {r.doc_id for r in rows} <= {r[0] for r in AWKWARD}
     if name != corpus_pipeline.STAGES[-1][0]:
-        assert found.columns == docs.columns
+        assert found.columns == docs.columns and found.schema["N_Dropped"].dataType.simpleString() == "string"
+        assert {(r.n_lines, r.N_Dropped, r.n_email) for r in rows} <= {(1, "keep", 1)}
     if name == "SimHash near-dedup":
         assert sorted(r.doc_id for r in rows if r.doc_id is not None) == [1, 1, 3, 6, 7, 2**63 - 1]
         assert sum(r.doc_id is None for r in rows) == 2  # the text without number has no partner among the others
