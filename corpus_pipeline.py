@@ -30,7 +30,7 @@ def drop_toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that a document with a smaller identifier holds; n_chars follows the text."""
-    kept = dedup_lines(docs)
+    kept = dedup_lines(docs, counts=None)
     return kept.select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(quoted(c)) for c in docs.columns))
 
 
