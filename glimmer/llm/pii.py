@@ -14,14 +14,21 @@ format, become keyed digests.
     iban    the digits of the account                      country, letters, spaces; the check digits are computed anew
     ipv4    the 32-bit address                             dots
     ssn     area, group and serial, within their ranges    dashes
-    date    the day among 73,000 days from 1900-01-01      the way it is written
+    ipv6    network and host, 64 bits each                 the form of eight groups
+    date    the day among 73,000 days from 1900-01-01,     the way it is written
+            292,000 before; with two digits of the year
+            among the days of 1950 to 2049
     email   becomes a digest at example.invalid
     secret  becomes 16 to 64 hexadecimal digits            the name before it, quotes, closing punctuation
 
 A secret is a key of a known shape, or a value behind a name such as "password" and a colon or equals sign: up to the
-closing quote, else to the next white space or quote, without closing punctuation. Values of fewer than six characters
-and plain words are none: only letters, lower case behind the first, with inner hyphens or apostrophes, and fewer than
-16 in a row. No kind has a greatest length beyond that of its format.
+closing quote, else to the next white space or quote, without closing punctuation. Every value that is not empty counts,
+but for prose: behind a colon and a space, without quotes, a plain word (letters, lower case behind the first, fewer than
+16) that another word follows on the line; behind a key's name (api_key) there is no prose. So `password = None` in code
+becomes a digest too. No kind has a greatest length beyond that of its format.
+
+Mail addresses and the words around candidates may hold letters of any script. Not found: American numbers of ten digits
+without separators, local numbers without country code, dates with names of months, names and postal addresses.
 
 A null text stays null, an empty one stays empty. Digits are ASCII digits.
 """
@@ -39,30 +46,38 @@ from glimmer.llm.common import quoted
 ROUNDS = 8
 #: Dates are permuted among so many days from the first.
 FIRST_DAY, DAY_PARTS = "1900-01-01", (250, 292)
-
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]*[A-Za-z0-9-]\.[A-Za-z]{2,}"
-#: What stands before a secret.
-NAMED = r"(?i:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key)[\x22\x27]?[ \t]*+[:=][ \t]*+"
+#: Those before, among so many that end the day before; those with two digits of the year, from 1950 to 2049.
+OLD_PARTS = (1000, 292)
+SHORT_FIRST, SHORT_PARTS = "1950-01-01", (75, 487)
+
+EMAIL = r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]++@[\p{L}\p{M}\p{N}.-]*[\p{L}\p{M}\p{N}-]\.\p{L}{2,}"
+#: What stands before a secret; behind a key's name there is no prose.
+BEFORE = r"[\x22\x27]?[ \t]*+[:=][ \t]*+"
+KEY_NAMES = r"api[_-]?key|access[_-]?key"
+NAMED = rf"(?i:token|secret|passwd|password|pwd|{KEY_NAMES}){BEFORE}"
+#: Behind a colon and a space: a plain word that another word follows.
+PROSE = r"(?<=:[ \t]{1,4})\p{L}[\p{Ll}\x27’-]{0,14}[,;]?[ \t]+\p{L}"
 SECRET = (
-    rf"{NAMED}(?:\x22[^\x22\r\n]++(?=\x22)|\x27[^\x27\r\n]++(?=\x27)|[\x22\x27]?[^\s\x22\x27]*[^\s\x22\x27.,;:)\]}}])"
+    rf"(?:(?i:{KEY_NAMES}){BEFORE}|{NAMED}(?!{PROSE}))(?:\x22[^\x22\r\n]++(?=\x22)|\x27[^\x27\r\n]++(?=\x27)|[\x22\x27]?[^\s\x22\x27]*[^\s\x22\x27.,;:)\]}}])"
     r"|(?<![A-Za-z0-9_])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,})(?![A-Za-z0-9_])"
 )
-#: What no plain words hold: digits and symbols, a capital behind a letter, 16 letters in a row.
-TELLING = r"[^\p{L}\x27\u2019 -]|\p{L}\p{Lu}|\p{L}{16}"
+#: Groups of an IPv6 address, some with a digit: eight, or three to seven around one gap.
+GROUP = "[0-9A-Fa-f]{1,4}"
+IPV6 = rf"(?<![\p{{L}}\p{{N}}:._])(?=[0-9A-Fa-f:]*[0-9])(?:(?:{GROUP}:){{7}}{GROUP}|(?=(?::*{GROUP}){{3}})(?:{GROUP}(?::{GROUP}){{0,6}})?::(?:{GROUP}(?::{GROUP}){{0,6}})?)(?![\p{{L}}\p{{N}}:_]|\.[0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
-DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-]|\.[0-9])"
+DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:[0-9]{2}){1,2}|[0-9]{2}/[0-9]{2}/(?:[0-9]{2}){1,2})(?![0-9/-]|\.[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 NANP = r"(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}"
 #: The assigned country codes by their first digits.
 COUNTRY = r"\+(?:[17]|2(?:[07]|[1-69][0-9])|3(?:[0-469]|[578][0-9])|4(?:[013-9]|2[0-9])|5(?:[1-8]|[09][0-9])|6(?:[0-6]|[789][0-9])|8(?:[1246]|[0578][0-9])|9(?:[0-58]|[679][0-9]))"
 PHONE = rf"(?<![0-9(+.-]){NANP}(?![0-9]|[.-][0-9])|(?<![0-9+])\+[0-9](?:[ .-]?[0-9]|[ .-]?\([0-9]{{1,4}}\)){{4,14}}(?![0-9]|[.-][0-9])"
 CARD = r"(?<![0-9.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]|-[0-9])"
-ANY = "|".join((EMAIL, SECRET, IBAN, IPV4, DATE, SSN, PHONE, CARD))
+ANY = "|".join((EMAIL, SECRET, IBAN, IPV6, IPV4, DATE, SSN, PHONE, CARD))
 #: Texts without any of these hold no candidate.
 HINT = r"[0-9@]|(?i:token|secret|passwd|password|pwd|key)|AKIA|gh[pousr]_|sk-"
 #: The kinds that are counted.
-KINDS = ("email", "phone", "card", "iban", "ipv4", "date", "ssn", "secret")
+KINDS = ("email", "phone", "card", "iban", "ipv4", "ipv6", "date", "ssn", "secret")
 
 
 def digest(key: str, kind: str, value: Column) -> Column:
@@ -192,29 +207,68 @@ def ssn(key: str, m: Column) -> Column:
     return F.when(area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0), once(halves, written))
 
 
+def ipv6(key: str, m: Column) -> Column:
+    """Network and host parts of 64 bits, the host's permutation beside its network; written as eight groups."""
+
+    def groups(part: Column) -> Column:
+        return F.filter(F.split(part, ":"), lambda g: g != "")
+
+    def number(part: Column) -> Column:
+        return F.conv(part, 16, 10).cast("long")
+
+    def moved(name: str, part: Column, beside: Column | None = None) -> Column:
+        halves = permuted(key, name, number(F.substring(part, 1, 8)), number(F.substring(part, 9, 8)), 1 << 32, 1 << 32, beside)
+        return once(halves, lambda x: F.concat(*(F.lpad(F.lower(F.conv(x[h].cast("string"), 10, 16)), 8, "0") for h in "ab")))
+
+    def replaced(sides: Column) -> Column:
+        left, right = groups(sides[0]), groups(F.coalesce(F.get(sides, 1), F.lit("")))
+        gap = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(left) - F.size(right)))
+        return once(F.array_join(F.transform(F.concat(left, gap, right), lambda g: F.lpad(F.lower(g), 4, "0")), ""), written)
+
+    def written(whole: Column) -> Column:
+        network, host = F.substring(whole, 1, 16), F.substring(whole, 17, 16)
+        new = F.concat(moved("ipv6-network", network), moved("ipv6-host", host, network))
+        return F.when(F.length(whole) == 32, once(new, lambda x: F.concat_ws(":", *(F.substring(x, 4 * i + 1, 4) for i in range(8)))))
+
+    return once(F.split(m, "::"), replaced)
+
+
 def date(key: str, m: Column) -> Column:
+    def among(name: str, first: Column, parts: tuple[int, int], day: Column, form: str) -> Column:
+        whole = F.when((day >= 0) & (day < parts[0] * parts[1]), day)
+        halves = permuted(key, name, F.floor(whole / parts[1]), whole % parts[1], *parts)
+        return F.when(whole.isNotNull(), once(halves, lambda x: F.date_format(F.date_add(first, (x["a"] * parts[1] + x["b"]).cast("int")), form)))
+
     def by(form: str, read: Column) -> Column:
-        day = F.datediff(F.try_to_timestamp(read, F.lit("yyyy-MM-dd")).cast("date"), F.to_date(F.lit(FIRST_DAY)))
-        whole = F.when((day >= 0) & (day < DAY_PARTS[0] * DAY_PARTS[1]), day)
-        halves = permuted(key, "date", F.floor(whole / DAY_PARTS[1]), whole % DAY_PARTS[1], *DAY_PARTS)
-        return F.when(whole.isNotNull(), once(halves, lambda x: F.date_format(F.date_add(F.to_date(F.lit(FIRST_DAY)), (x["a"] * DAY_PARTS[1] + x["b"]).cast("int")), form)))
+        first, old = F.to_date(F.lit(FIRST_DAY)), F.date_sub(F.to_date(F.lit(FIRST_DAY)), OLD_PARTS[0] * OLD_PARTS[1])
+        day = F.try_to_timestamp(read, F.lit("yyyy-MM-dd")).cast("date")
+        return F.when(day < first, among("date-old", old, OLD_PARTS, F.datediff(day, old), form)).otherwise(among("date", first, DAY_PARTS, F.datediff(day, first), form))
+
+    def short(form: str, read: Column) -> Column:
+        first = F.to_date(F.lit(SHORT_FIRST))
+        return among("date-short", first, SHORT_PARTS, F.datediff(F.try_to_timestamp(read, F.lit("yyyy-MM-dd")).cast("date"), first), form)
 
     def part(start: int, size: int) -> Column:
         return F.substring(m, start, size)
 
+    full = F.length(m) == 10
+    year = F.when(full, part(7, 4)).otherwise(F.concat(F.when(part(7, 2) < "50", "20").otherwise("19"), part(7, 2)))
+
+    def written(form: str, read: Column) -> Column:
+        return F.when(full, by(f"{form}yyyy", read)).otherwise(short(f"{form}yy", read))
+
     iso = by("yyyy-MM-dd", m)
-    dotted = by("dd.MM.yyyy", F.concat_ws("-", part(7, 4), part(4, 2), part(1, 2)))
-    month_first = by("MM/dd/yyyy", F.concat_ws("-", part(7, 4), part(1, 2), part(4, 2)))
-    day_first = by("dd/MM/yyyy", F.concat_ws("-", part(7, 4), part(4, 2), part(1, 2)))
+    dotted = written("dd.MM.", F.concat_ws("-", year, part(4, 2), part(1, 2)))
+    month_first = written("MM/dd/", F.concat_ws("-", year, part(1, 2), part(4, 2)))
+    day_first = written("dd/MM/", F.concat_ws("-", year, part(4, 2), part(1, 2)))
     return F.when(m.contains("-"), iso).when(m.contains("."), dotted).otherwise(F.coalesce(month_first, day_first))
 
 
 def secret(key: str, m: Column) -> Column:
     def replaced(name: Column) -> Column:
         value = F.substring(m, F.length(name) + 1, F.length(m))
-        valid = (name == "") | ((F.length(value) >= 6) & value.rlike(TELLING))
         size = F.least(F.lit(64), F.greatest(F.lit(16), F.length(value)))
-        return F.when(valid, F.concat(name, F.substring(digest(key, "secret", value), F.lit(1), size)))
+        return F.concat(name, F.substring(digest(key, "secret", value), F.lit(1), size))
 
     return once(F.regexp_extract(m, rf"^{NAMED}[\x22\x27]?", 0), replaced)
 
@@ -233,6 +287,7 @@ def replacement(key: str, m: Column) -> Column:
         F.when(m.rlike(f"^{NAMED}"), as_kind("secret", secret(key, m)))
         .when(whole(EMAIL), as_kind("email", email))
         .when(whole(IBAN), as_kind("iban", iban(key, m)))
+        .when(whole(IPV6), as_kind("ipv6", ipv6(key, m)))
         .when(whole(IPV4), as_kind("ipv4", ipv4(key, m)))
         .when(whole(DATE), as_kind("date", date(key, m)))
         .when(whole(SSN), as_kind("ssn", ssn(key, m)))
@@ -242,10 +297,12 @@ def replacement(key: str, m: Column) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """All columns of docs with the text rewritten, and n_<kind> of each kind in place of such columns. key: the secret that fixes the
-    permutations. One scan, no exchange, no Python."""
-    docs = docs.drop(*(f"n_{kind}" for kind in KINDS))
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", prefix: str | None = "n_") -> DataFrame:
+    """All columns of docs with the text rewritten, and how many of each kind were replaced, as <prefix><kind> in place of
+    columns of these names; without a prefix nothing is added. key: the secret that fixes the permutations. One scan, no
+    exchange, no Python."""
+    kinds = KINDS if prefix is not None else ()
+    docs = docs.drop(*(f"{prefix}{kind}" for kind in kinds))
     mark = next(name for i in count() if (name := f"found_{i}") not in {c.lower() for c in docs.columns})
     content, found = F.col(quoted(text)), F.col(mark)
     searched = content.rlike(HINT) & content.rlike(ANY)
@@ -255,6 +312,6 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     new = F.when(found.isNull(), content).otherwise(F.array_join(pieces, ""))
 
     def counted(kind: str) -> Column:
-        return F.coalesce(F.size(F.filter(found, lambda x: x["at"]["kind"] == kind)), F.lit(0)).cast("long").alias(f"n_{kind}")
+        return F.coalesce(F.size(F.filter(found, lambda x: x["at"]["kind"] == kind)), F.lit(0)).cast("long").alias(f"{prefix}{kind}")
 
-    return marked.select(*(new.alias(text) if c == text else F.col(quoted(c)) for c in docs.columns), *map(counted, KINDS))
+    return marked.select(*(new.alias(text) if c == text else F.col(quoted(c)) for c in docs.columns), *map(counted, kinds))
