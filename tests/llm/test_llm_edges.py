@@ -106,6 +106,53 @@ def test_parts_of_a_large_benchmark_give_the_same_hits(spark):
     assert sorted(map(str, drop_leaks(docs, tests, most_nodes=3_000).collect())) == sorted(map(str, drop_leaks(docs, tests).collect()))
 
 
+def test_one_automaton_at_a_time(spark, monkeypatch):
+    """Eight parts: of each the files are removed before the next is read and built."""
+    from glimmer.llm import decontaminate
+
+    alive, most = set(), []
+    write, remove = decontaminate.write_machine, decontaminate.remove_machine
+
+    def written(session, part, size):
+        alive.add(folder := write(session, part, size))
+        most.append(len(alive))
+        return folder
+
+    def removed(folder):
+        alive.remove(folder)
+        remove(folder)
+
+    monkeypatch.setattr(decontaminate, "write_machine", written)
+    monkeypatch.setattr(decontaminate, "remove_machine", removed)
+    tests = spark.createDataFrame([(str(i), " ".join(f"w{j}" for j in range(i, i + 40))) for i in range(4)] + [("long", " ".join(f"x{j}" for j in range(200)))], "item_id string, text string")
+    docs = spark.createDataFrame([(1, " ".join(f"x{j}" for j in range(90, 130))), (2, "nothing"), (3, " ".join(f"w{j}" for j in range(30, 60)))], "doc_id long, text string")
+    found = {r.doc_id: (r.n_hit, r["items"]) for r in find_leaks(docs, tests, most_nodes=450).collect()}
+    assert len(most) >= 8 and max(most) == 1 and not alive
+    assert found == {1: (40, ["long"]), 2: (0, []), 3: (13, ["0", "1", "2", "3"])}
+
+
+def test_automaton_equals_a_plain_search():
+    """Windows of all lengths, windows within windows, words that texts repeat; pieces and warm-up."""
+    import random
+
+    from glimmer.llm.decontaminate import Automaton, built
+
+    rng = random.Random(4)
+    items = [(str(i), [b"abcde"[k : k + 1] for k in rng.choices(range(5), k=rng.randrange(0, 9))]) for i in range(60)] + [(None, [b"f"])]
+    machine = Automaton(built(items, 4), 4)
+    texts = [b" ".join(rng.choices([b"a", b"b", b"c", b"d", b"e", b"f", b"zz"], k=n)) for n in (0, 1, 3, 50, 64, 65, 700)]
+    for text, (n, runs, names) in zip(texts, machine.scan(texts), strict=True):
+        words, hit, found = text.split(), set(), set()
+        for name, own in items:
+            size = min(4, len(own))
+            wins = {tuple(own[i : i + size]) for i in range(len(own) - size + 1)} if own else set()
+            for i in range(len(words) - size + 1):
+                if tuple(words[i : i + size]) in wins:
+                    found.add(name)
+                    hit |= set(range(i, i + size))
+        assert n == len(words) and {k for a, b in runs for k in range(a, b)} == hit and names == found
+
+
 def test_hot_copies_stay_whole(spark):
     """A third of all rows are copies of one text, another third near copies."""
     text = " ".join(f"word{i}" for i in range(60))
