@@ -2,11 +2,12 @@
 
 A text is read as words of letters, in lower case. A gated recurrent network reads each word's bytes in both
 directions; its last states, joined with an embedding of the word by hash, are the inputs of a second such network over
-the words of a window. Attention pools the window's states into one logit. A text is scored by all its overlapping
-windows; the highest counts.
+the words of a window. Attention pools the window's states into one logit. A text is scored by all its windows of WINDOW
+words that begin every STRIDE words, and one that ends with it; each overlaps the next by three quarters, so a passage of
+up to 25 words lies whole in a window. The highest score counts.
 
 Training takes a bounded sample: at most `docs_each` labelled texts of each class, those with the least hash of the
-identifier, each with all its windows. It runs in rounds of a fixed number of steps, whatever the sample's size; texts are
+identifier, each with all the windows that scoring takes; of these, texts over LEARN_BYTES are not learned from. It runs in rounds of a fixed number of steps, whatever the sample's size; texts are
 drawn in turn. In the first round every window takes the label of its text. Before each later round all windows of the
 sample are scored: a toxic text then stands for its highest window, as most others hold nothing toxic, and half of the
 harmless windows of a step are drawn in proportion to their scores. Scoring covers all windows of all texts. A text
@@ -33,8 +34,10 @@ DOCS_EACH = 1500
 #: Rounds of training, steps in a round, and windows of either class in a step.
 ROUNDS, STEPS, EACH = 8, 150, 24
 #: Words in a window, and from one window's start to the next.
-WINDOW, STRIDE = 32, 24
-#: Bytes of a word that are read together; longer words are cut into such pieces.
+WINDOW, STRIDE = 32, 8
+#: Bytes of a text that is learned from at most.
+LEARN_BYTES = 256 << 10
+#: Bytes of a word that are read together; longer words are cut into such pieces, inside a character if it falls so.
 LONGEST = 24
 #: Sizes: of byte and word embeddings, of the states over bytes and words, of the attention, and of the table of words.
 BYTES, WORDS, CHAR, STATE, ATTEND, TABLE = 12, 8, 12, 12, 12, 4096
@@ -262,44 +265,55 @@ def train(docs: list[tuple[int, list[list[bytes]]]], rounds: int = ROUNDS, steps
     return network
 
 
+#: What inputs give to a layer's reset and keep gates, with the sign turned, and to its new states.
+Parts = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def parted(given: np.ndarray, size: int) -> Parts:
+    """Each part in one piece, as numpy is slow on narrow slices."""
+    return -given[:, :size], -given[:, size : 2 * size], given[:, 2 * size :].copy()
+
+
 class Scorer:
     """The trained network, arranged for scoring: the inputs of the layers over words are computed once for each word."""
 
     def __init__(self, params: dict[str, np.ndarray]) -> None:
         self.network, self.params = Network(params), params
 
-    def run(self, name: str, given: np.ndarray, at: np.ndarray, mask: np.ndarray | None, last: bool = False) -> np.ndarray:
+    def run(self, name: str, given: Parts, at: np.ndarray, mask: np.ndarray | None, last: bool = False) -> np.ndarray:
         """States (steps, rows, size), or the last ones, from rows of inputs that are multiplied already."""
         u = self.params[f"{name}_u"]
-        size = u.shape[0]
-        held = np.zeros((at.shape[1], size), dtype=np.float32)
+        size, rows = u.shape[0], at.shape[1]
+        of_reset, of_keep, of_new = parted(u, size)
+        held = np.zeros((rows, size), dtype=np.float32)
         out = None if last else np.empty((*at.shape, size), dtype=np.float32)
+        reset, keep, new, own = (np.empty((rows, size), dtype=np.float32) for _ in range(4))
         for step in range(len(at)):
-            x, own = given[at[step]], held @ u
-            x[:, : 2 * size] += own[:, : 2 * size]
-            gates = x[:, : 2 * size]
-            np.negative(gates, out=gates)
-            np.exp(gates, out=gates)
-            gates += 1
-            np.reciprocal(gates, out=gates)
-            own = own[:, 2 * size :]
-            own *= gates[:, :size]
-            own += x[:, 2 * size :]
+            for gate, inputs, weights in ((reset, given[0], of_reset), (keep, given[1], of_keep)):
+                np.take(inputs, at[step], axis=0, out=gate, mode="clip")
+                gate += np.matmul(held, weights, out=own)
+                np.exp(gate, out=gate)
+                gate += 1
+                np.reciprocal(gate, out=gate)
+            np.take(given[2], at[step], axis=0, out=new, mode="clip")
+            np.matmul(held, of_new, out=own)
+            own *= reset
+            own += new
             np.tanh(own, out=own)
-            after = held - own
-            after *= gates[:, size:]
+            after = held - own if out is None else np.subtract(held, own, out=out[step])
+            after *= keep
             after += own
-            held = after if mask is None else np.where(mask[step][:, None] > 0, after, held)
-            if out is not None:
-                out[step] = held
+            if mask is not None:
+                np.copyto(after, held, where=mask[step][:, None] <= 0)
+            held = after
         return held if out is None else out
 
-    def word_inputs(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def word_inputs(self, words: list[bytes]) -> tuple[Parts, Parts]:
         """What each word gives to the layers over words, ahead and back. Words of a length run together."""
         p, n = self.params, len(words)
         sizes = np.array([len(w) for w in words])
         rows = np.empty((n, 2 * CHAR + WORDS), dtype=np.float32)
-        given = [p["bytes"] @ p[f"{name}_w"] + p[f"{name}_b"] for name in ("char_ahead", "char_back")]
+        given = [parted(p["bytes"] @ p[f"{name}_w"] + p[f"{name}_b"], CHAR) for name in ("char_ahead", "char_back")]
         for size in np.unique(sizes).tolist():
             where = np.flatnonzero(sizes == size)
             for start in range(0, len(where), TOGETHER):
@@ -308,9 +322,9 @@ class Scorer:
                 rows[own, :CHAR] = self.run("char_ahead", given[0], at, None, last=True)
                 rows[own, CHAR : 2 * CHAR] = self.run("char_back", given[1], at[::-1], None, last=True)
         rows[:, 2 * CHAR :] = p["words"][np.fromiter((zlib.crc32(w) % TABLE for w in words), dtype=np.int64, count=n)]
-        return tuple(rows @ p[f"{name}_w"] + p[f"{name}_b"] for name in ("word_ahead", "word_back"))
+        return tuple(parted(rows @ p[f"{name}_w"] + p[f"{name}_b"], STATE) for name in ("word_ahead", "word_back"))
 
-    def window_logits(self, given: tuple[np.ndarray, np.ndarray], at: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
+    def window_logits(self, given: tuple[Parts, Parts], at: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
         p = self.params
         ahead = self.run("word_ahead", given[0], at, mask)
         back = self.run("word_back", given[1], at[::-1], None if mask is None else mask[::-1])[::-1]
@@ -359,17 +373,15 @@ def sample(docs: DataFrame, labels: DataFrame, usable: Callable[[Column], Column
         for batch in slices(batches):
             ids, out, own = [], [], []
             for doc, raw, mark in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words = tokens(raw)
-                starts = window_starts(len(words))
                 ids.append(doc)
                 own.append(mark)
-                out.append([b" ".join(words[s : s + WINDOW]) for s in starts])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array(own, type=pa.int32()), pa.array(out, type=pa.list_(pa.binary()))], names=["doc_id", "label", "windows"])
+                out.append(b" ".join(tokens(raw)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array(own, type=pa.int32()), pa.array(out, type=pa.binary())], names=["doc_id", "label", "words"])
 
-    found = documents(docs, key, text).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
-    rows = found.mapInArrow(cut, "doc_id long, label int, windows array<binary>").collect()  # at most docs_each texts a class
-    unique = {r["doc_id"]: (r["label"], [bytes(w).split(b" ") for w in r["windows"]]) for r in rows}
-    return [unique[k] for k in sorted(unique)]
+    found = documents(docs, key, text).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").where(F.octet_length("text") <= LEARN_BYTES)
+    rows = found.mapInArrow(cut, "doc_id long, label int, words binary").collect()  # at most docs_each texts a class
+    unique = {r["doc_id"]: (r["label"], bytes(r["words"]).split()) for r in rows}
+    return [(label, [words[s : s + WINDOW] for s in window_starts(len(words))]) for _, (label, words) in sorted(unique.items())]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, usable: Callable[[Column], Column], threshold: float = 0.3, key: str = "doc_id", text: str = "text", label: str = "toxic", docs_each: int = DOCS_EACH) -> DataFrame:
