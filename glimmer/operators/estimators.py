@@ -1,7 +1,7 @@
 """Estimators on dense vectors: k-means, principal components and semi-negative factorisation.
 
 Each pass is one scan that ends in sums of fixed size (centres by dimensions, dimensions squared, concepts squared);
-these are added up partition by partition, then across partitions in a few places, and solved on the driver."""
+these are added up in each task, then across tasks in two levels, and solved on the driver."""
 
 from __future__ import annotations
 
@@ -13,36 +13,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def summed(acts: DataFrame, local: Callable[[np.ndarray], dict[str, np.ndarray]], act: str = "act", parts: int = 4) -> dict[str, np.ndarray]:
-    """The sum over all batches of what local(x) returns; x is (rows, dims) in double. Tasks send one row a sum, sums of
-    a name meet in one place one after another; only sums reach the driver."""
-    ddl = "name string, shape array<int>, sums binary"
+#: Places in which the sums of tasks meet first.
+PLACES = 1024
 
-    def rows(total: dict[str, np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(total), type=pa.string()), pa.array([list(x.shape) for x in total.values()], type=pa.list_(pa.int32())), pa.array([x.tobytes() for x in total.values()], type=pa.binary())], names=["name", "shape", "sums"])
 
-    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def added(df: DataFrame, local: Callable[[pa.RecordBatch], Iterable[dict[str, np.ndarray]]]) -> dict[str, np.ndarray]:
+    """The sums, by name, of all arrays that local(batch) yields for the batches of df. Tasks send one row a sum; these
+    meet in PLACES places by task, then in one a name, each holding one sum at a time; only sums reach the driver."""
+    from pyspark.sql import functions as F
+
+    ddl = "name string, place int, shape array<int>, sums binary"
+
+    def total_of(parts: Iterable[tuple[str, np.ndarray]], place: int) -> pa.RecordBatch:
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
-            if batch.num_rows:
-                x = np.asarray(batch.column(0).flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
-                for name, value in local(x).items():
-                    value = np.asarray(value, dtype=np.float64)
-                    total[name] = total[name] + value if name in total else value
-        yield rows(total)
+        for name, value in parts:
+            if name in total:
+                total[name] += value
+            else:
+                total[name] = np.array(value, dtype=np.float64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(total), type=pa.string()), pa.array([place] * len(total), type=pa.int32()), pa.array([list(x.shape) for x in total.values()], type=pa.list_(pa.int32())), pa.array([x.tobytes() for x in total.values()], type=pa.binary())],
+            names=["name", "place", "shape", "sums"],
+        )
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        yield total_of((x for batch in batches if batch.num_rows for found in local(batch) for x in found.items()), TaskContext.get().partitionId() % PLACES)
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for name, shape, sums in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                value = np.frombuffer(sums).reshape(shape)
-                total[name] = total[name] + value if name in total else value
-        yield rows(total)
+        yield total_of(((name, np.frombuffer(sums).reshape(shape)) for batch in batches for name, _, shape, sums in zip(*(c.to_pylist() for c in batch.columns), strict=True)), 0)
 
-    found = acts.select(act).mapInArrow(scan, ddl).repartition(parts, "name").mapInArrow(add, ddl).collect()
+    first = df.mapInArrow(scan, ddl).repartition("name", F.col("place")).mapInArrow(add, ddl)
+    found = first.repartition("name").mapInArrow(add, ddl).collect()
     return {r["name"]: np.frombuffer(r["sums"]).reshape(r["shape"]) for r in found}
 
 
+def summed(acts: DataFrame, local: Callable[[np.ndarray], dict[str, np.ndarray]], act: str = "act") -> dict[str, np.ndarray]:
+    """The sum over all batches of what local(x) returns; x is (rows, dims) in double."""
+
+    def of_batch(batch: pa.RecordBatch) -> Iterator[dict[str, np.ndarray]]:
+        yield local(np.asarray(batch.column(0).flatten(), dtype=np.float64).reshape(batch.num_rows, -1))
+
+    return added(acts.select(act), of_batch)
+
+
 def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The number of and the distance to the nearest centre; ties to the smaller number."""
     squared = (x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1)

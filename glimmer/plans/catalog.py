@@ -441,19 +441,21 @@ def best_prototype_ap(r: Relations) -> DataFrame:
 
 
 def examples(r: Relations) -> DataFrame:
-    """(example_idx, label, features): max-pooled codes and the majority label."""
+    """(example_idx, label, at, of): max-pooled codes and the majority label."""
     labelled = stats.modal_label(r.acts, ["example_idx"]).select("example_idx", "label")
-    return classify.feature_vectors(sparse.pool(r.codes, TOKENS, "max"), labelled, FEATURES)
+    return classify.example_rows(sparse.pool(r.codes, TOKENS, "max"), labelled)
 
 
 @query
 def l1_feature_ranking(r: Relations) -> DataFrame:
-    return classify.feature_ranking(classify.l1_logistic(examples(r), c=1.0), r.spark).select("feature", r6("importance"), "place")
+    """Logistic regression with an absolute penalty (C = 1): the sums of absolute weights."""
+    return classify.feature_ranking(classify.l1_logistic(examples(r), FEATURES, CLASSES, c=1.0), FEATURES, r.spark).select("feature", r6("importance"), "place")
 
 
 @query
 def tree_feature_ranking(r: Relations) -> DataFrame:
-    return classify.feature_ranking(classify.tree(examples(r)), r.spark).select("feature", r6("importance"), "place")
+    """A decision tree of depth five: the shares of lowered impurity."""
+    return classify.feature_ranking(classify.tree(examples(r), FEATURES, CLASSES), FEATURES, r.spark).select("feature", r6("importance"), "place")
 
 
 # --- estimators

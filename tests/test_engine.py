@@ -314,10 +314,10 @@ def test_classifiers_rank_the_telling_feature_first(spark):
     rows = [(i, j, float(v)) for i in range(120) for j, v in enumerate(random.random(4) * [1, 1, 1, 0.1] + ([0, 0, 3 * (i % 2), 0])) if v > 0.05]
     codes = spark.createDataFrame(rows, "example_idx long, feature int, value double")
     labelled = spark.createDataFrame([(i, i % 2) for i in range(121)], "example_idx long, label int")
-    data = classify.feature_vectors(codes, labelled, 4)
-    assert data.count() == 121 and data.where("example_idx = 120").first().features.toArray().tolist() == [0.0] * 4
-    for model in (classify.l1_logistic(data, c=1.0), classify.tree(data)):
-        assert classify.feature_ranking(model, spark).where("place = 1").first().feature == 2
+    data = classify.example_rows(codes, labelled)
+    assert data.count() == 121 and list(data.where("example_idx = 120").first()["at"]) == []
+    for model in (classify.l1_logistic(data, 4, 2, c=1.0), classify.tree(data, 4, 2)):
+        assert classify.feature_ranking(model, 4, spark).where("place = 1").first().feature == 2
 
 
 def test_tie_groups_of_billions_need_no_array(spark):
