@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
+from pyspark.sql.types import ArrayType, BinaryType, DataType, DoubleType, FloatType, MapType, StringType, StructType
 
 #: The Euler-Mascheroni constant.
 EULER = 0.5772156649015329
@@ -164,3 +164,37 @@ def two_sides(text: Column, separator: str = ":") -> tuple[Column, Column]:
     left, right = F.substring(text, F.lit(1), at - 1), F.substring(text, at + len(separator), F.length(text))
     whole = (at > 1) & (F.length(right) > 0)
     return tuple(F.when(whole, side).otherwise(F.raise_error(F.concat(F.lit("two sides are missing in "), text))) for side in (left, right))
+
+
+def canonical(value: Column, kind: DataType, unordered: bool = False) -> Column:
+    """A text that is equal for values that are equal whatever the order of a map's entries: maps by sorted entries,
+    structs by fields, arrays in order (if unordered, as sets: sorted, without repeats); all NaN are equal, and so are
+    -0.0 and 0.0. Values of different kinds differ. Works on any nesting, in one expression."""
+
+    def joined(parts: Column, left: str, right: str) -> Column:
+        return F.concat(F.lit(left), F.array_join(parts, ","), F.lit(right))
+
+    if isinstance(kind, StructType):
+        fields = [F.concat(F.lit(f"{f.name}="), canonical(value.getField(f.name), f.dataType, unordered)) for f in kind.fields]
+        text = joined(F.array(*fields) if fields else F.array().cast("array<string>"), "(", ")")
+    elif isinstance(kind, MapType):
+        entries = F.transform(F.map_entries(value), lambda e: F.concat(canonical(e["key"], kind.keyType, unordered), F.lit("="), canonical(e["value"], kind.valueType, unordered)))
+        text = joined(F.array_sort(entries), "{", "}")
+    elif isinstance(kind, ArrayType):
+        parts = F.transform(value, lambda x: canonical(x, kind.elementType, unordered))
+        text = joined(F.array_sort(F.array_distinct(parts)), "<", ">") if unordered else joined(parts, "[", "]")
+    elif isinstance(kind, (FloatType, DoubleType)):
+        text = F.concat(F.lit("f:"), F.when(F.isnan(value), F.lit("nan")).when(value == 0, F.lit("0.0")).otherwise(value.cast("double").cast("string")))
+    elif isinstance(kind, BinaryType):
+        text = F.concat(F.lit("x:"), F.hex(value))
+    elif isinstance(kind, StringType):
+        text = F.concat(F.lit("s"), F.length(value).cast("string"), F.lit(":"), value)
+    else:
+        short = {"boolean": "b:", "byte": "i:", "short": "i:", "integer": "i:", "long": "i:"}.get(kind.typeName(), f"{kind.simpleString()}:")
+        text = F.concat(F.lit(short), value.cast("string"))
+    return F.when(value.isNull(), F.lit("n")).otherwise(text)
+
+
+def canonical_hash(df: DataFrame, columns: list[str], unordered: bool = False) -> Column:
+    """The SHA-256 of the columns' canonical text."""
+    return F.sha2(F.concat_ws(";", *(canonical(F.col(c), df.schema[c].dataType, unordered) for c in columns)), 256)

@@ -13,7 +13,8 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glimmer.functions.columns import clip, sigmoid, softplus
+from glimmer.functions.columns import clip, harmonic, sigmoid, softplus
+from glimmer.operators.ordered import running
 
 RIDGE = 1e-8
 
@@ -113,3 +114,54 @@ def probe_confusion(codes: DataFrame, labels: DataFrame, params: DataFrame, base
     on = F.when(sigmoid(F.col("b")) > tau, 1).otherwise(0)
     tp, fp = F.col("a") + on * lost, F.col("c") + on * rest
     return full.select("feature", "class", tp.alias("tp"), fp.alias("fp"), (F.lit(n_rows) - F.col("total") - fp).alias("tn"), (F.col("total") - tp).alias("fn"))
+
+
+def best_probes(params: DataFrame) -> DataFrame:
+    """(class, feature, b, w, loss) of each class's probe with the least training loss; ties to the smaller feature."""
+    return params.groupBy("class").agg(F.min_by(F.struct("feature", "b", "w", "loss"), F.struct(F.round("loss", 9), F.col("feature"))).alias("p")).select("class", "p.*")
+
+
+def held_out_metrics(codes: DataFrame, labels: DataFrame, best: DataFrame, n_rows: int) -> DataFrame:
+    """(class, feature, n_positive, ap, precision, recall, f1) of one probe a class on other rows than it was fitted on:
+    average precision of the scores b + w x, and the counts at a score over 0. Rows without a code have the score b, one
+    group of ties that a negative weight puts above stored values. Tied scores count by the mean over their orders;
+    classes without positive rows get zeros. labels: (row, class); best: (class, feature, b, w)."""
+    own = codes.select("row", "feature", "value").join(F.broadcast(best.select("class", "feature", "b", "w")), "feature")  # a row a class
+    own = own.join(labels.select("row", F.col("class").alias("true")), "row")
+    scored = own.select("class", (F.col("w") * F.col("value")).alias("value"), (F.col("true") == F.col("class")).cast("long").alias("y"))
+    stored = scored.groupBy("class", "value").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
+    totals = best.select("class").join(labels.groupBy("class").agg(F.count("*").alias("total")), "class", "left").fillna(0)
+    rest = totals.join(stored.groupBy("class").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")), "class", "left").fillna(0)
+    rest = rest.select("class", F.lit(0.0).alias("value"), (F.lit(n_rows) - F.col("n")).alias("n"), (F.col("total") - F.col("pos")).alias("pos"))
+    every = stored.unionByName(rest).groupBy("class", F.when(F.col("value") == 0, 0.0).otherwise(F.col("value")).alias("value")).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where("n > 0")  # -0.0 is 0.0
+    groups = running(every, ["class"], [F.desc("value")], {"t": F.col("n"), "r0": F.col("pos")})
+    slope = F.when(F.col("n") > 1, (F.col("pos") - 1) / (F.col("n") - 1)).otherwise(F.lit(0.0))
+    t, n = F.col("t").cast("double"), F.col("n").cast("double")
+    ranks = harmonic(t + n) - harmonic(t)
+    part = F.when(F.col("pos") > 0, F.col("pos") / n * ((F.col("r0") + 1 - (t + 1) * slope) * ranks + slope * n)).otherwise(F.lit(0.0))
+    on = F.col("value") + F.col("b") > 0
+    found = groups.join(F.broadcast(best.select("class", "feature", "b")), "class").groupBy("class", "feature").agg(F.sum(part).alias("sum"), F.sum("pos").alias("total"), F.sum(F.when(on, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(on, F.col("n")).otherwise(0)).alias("said"))
+
+    def share(a: Column, b: Column) -> Column:
+        return F.when(b > 0, a / b).otherwise(F.lit(0.0))
+
+    tp, said, total = F.col("tp"), F.col("said"), F.col("total")
+    return found.select("class", "feature", total.alias("n_positive"), share(F.col("sum"), total).alias("ap"), share(tp, said).alias("precision"), share(tp, total).alias("recall"), share(2 * tp, said + total).alias("f1"))
+
+
+def checked_side(codes: DataFrame, labels: DataFrame, n_rows: int, n_features: int, n_classes: int | None = None) -> int:
+    """Checks what a probe is fitted on or judged by, and returns the classes: the largest label plus one. labels, a
+    relation of its own (row, label), must hold each of the rows 0 to n_rows - 1 once; codes must lie within the rows and
+    features; labels may not reach beyond n_classes, the classes of the training side."""
+    got = labels.agg(F.count("*").alias("n"), F.count_distinct("row").alias("different"), F.min("row").alias("first"), F.max("row").alias("last"), F.max("label").alias("most"), F.min("label").alias("least"), F.count("label").alias("given")).first()
+    seen = codes.agg(F.max("row").alias("row"), F.min("row").alias("first"), F.max("feature").alias("feature")).first()
+    if got["n"] != n_rows or got["different"] != n_rows or n_rows and (got["first"], got["last"]) != (0, n_rows - 1):
+        raise ValueError(f"{got['n']} labels, {got['different']} different, from {got['first']} to {got['last']}, for {n_rows} rows")
+    if got["given"] != got["n"] or (got["least"] or 0) < 0:
+        raise ValueError("a label is missing or negative")
+    if seen["row"] is not None and (seen["row"] >= n_rows or seen["first"] < 0 or seen["feature"] >= n_features):
+        raise ValueError(f"codes reach row {seen['row']} and feature {seen['feature']} of {n_rows} and {n_features}")
+    classes = (got["most"] if got["most"] is not None else -1) + 1
+    if n_classes is not None and classes > n_classes:
+        raise ValueError(f"labels reach class {classes - 1}, but {n_classes} classes were fitted")
+    return classes if n_classes is None else n_classes

@@ -144,3 +144,48 @@ def quantiles(df: DataFrame, by: list[str], value: str, at: tuple[float, ...] =
 def expected_bytes(n_examples: Column | int, tokens: int, layers: int, dims: int) -> Column:
     """Of a store of float32 vectors."""
     return (F.lit(n_examples) if isinstance(n_examples, int) else n_examples) * tokens * layers * dims * 4
+
+
+#: Of a record of reconstruction metrics: whole numbers, other numbers, and which ratio each derived one is.
+WHOLE = ("n_tokens", "d_model", "n_elements")
+RATIOS = {
+    "mse_per_dim": ("sse_recon", "n_elements"), "mse_per_token": ("sse_recon", "n_tokens"), "normalized_mse": ("sse_recon", "sse_baseline"),
+    "baseline_mse_per_dim": ("sse_baseline", "n_elements"), "baseline_mse_per_token": ("sse_baseline", "n_tokens"),
+}
+SUMS = ("sse_recon", "sse_baseline")
+
+
+def strict_metrics(df: DataFrame, text: str) -> DataFrame:
+    """df with the fields of a JSON record of metrics and `reason`, null if it is good. A whole number is one written
+    without a fraction; true and false are no numbers; null is missing. A good record has positive sizes that fit each
+    other, finite numbers, a non-negative error, a positive baseline, and ratios that follow from its sums (to 1e-9).
+    Fields of bad records are null where they can't be read."""
+    held = F.try_parse_json(F.col(text))
+    names = [*WHOLE, *SUMS, *RATIOS]
+    kinds = {n: F.schema_of_variant(F.try_variant_get(held, f"$.{n}", "variant")) for n in names}
+    values = {n: F.try_variant_get(held, f"$.{n}", "long" if n in WHOLE else "double") for n in names}
+    read = df.withColumns({"__is": F.when(held.isNotNull(), F.schema_of_variant(held)), **{f"__k_{n}": k for n, k in kinds.items()}, **{n: v for n, v in values.items()}})
+    kind = {n: F.coalesce(F.col(f"__k_{n}"), F.lit("VOID")) for n in names}
+    number = {n: F.when(kind[n] == "BIGINT", True).otherwise(F.lit(n not in WHOLE) & (kind[n].isin("DOUBLE", "FLOAT") | kind[n].startswith("DECIMAL"))) for n in names}
+
+    def off(value: Column, ratio: Column) -> Column:
+        return F.abs(value - ratio) > F.greatest(1e-9 * F.greatest(F.abs(value), F.abs(ratio)), F.lit(1e-12))
+
+    tests = [(~F.coalesce(F.col("__is").startswith("OBJECT"), F.lit(False)), "not a JSON object")]
+    tests += [(kind[n] == "VOID", f"{n} is missing") for n in names]
+    tests += [(~number[n], f"{n} is no {'whole ' if n in WHOLE else ''}number") for n in names]
+    tests += [(F.col(n).isNull() | F.isnan(F.col(n).cast("double")) | (F.abs(F.col(n).cast("double")) == float("inf")), f"{n} is not finite") for n in names]
+    tests += [(F.col(n) <= 0, f"{n} is not positive") for n in ("n_tokens", "d_model")]
+    tests += [(F.col("n_elements").cast("decimal(38,0)") != F.col("n_tokens").cast("decimal(19,0)") * F.col("d_model").cast("decimal(19,0)"), "n_elements is not n_tokens times d_model")]
+    tests += [(F.col("sse_recon") < 0, "sse_recon is negative"), (F.col("sse_baseline") <= 0, "sse_baseline is not positive")]
+    tests += [(off(F.col(n), F.try_divide(F.col(a), F.col(b))), f"{n} is not {a} / {b}") for n, (a, b) in RATIOS.items()]
+    reason = F.lit(None).cast("string")
+    for test, said in reversed(tests):
+        reason = F.when(test, said).otherwise(reason)
+    return read.withColumn("reason", reason).select(*df.columns, *names, "reason")
+
+
+def checked_metrics(df: DataFrame, text: str) -> DataFrame:
+    """The same without `reason`; a bad record is an error."""
+    found = strict_metrics(df, text)
+    return found.where(F.when(F.col("reason").isNotNull(), F.raise_error(F.col("reason")).cast("boolean")).otherwise(F.lit(True))).drop("reason")

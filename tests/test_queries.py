@@ -3,10 +3,10 @@
 import pytest
 
 from conftest import DATA, rows
-from glimmer.plans import evaluation_oracle, oracle
+from glimmer.plans import artifacts, evaluation_oracle, oracle
 from glimmer.plans.evaluation import QUERIES
 
-SQL = oracle.oracle_sql() | evaluation_oracle.oracle_sql()
+SQL = oracle.oracle_sql() | evaluation_oracle.oracle_sql() | artifacts.oracle_sql()
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n in SQL])
