@@ -26,3 +26,10 @@ def patch_grid(spark: SparkSession, n: int, width: int, height: int) -> DataFram
     sides = spark.range(1, n + 1).where(F.lit(n) % F.col("id") == 0).select(F.col("id").alias("w"), F.expr(f"{n} div id").alias("h"))
     gap = F.abs(F.col("w") / F.col("h") - width / height)
     return sides.agg(F.min_by(F.struct("w", "h"), F.struct(gap, F.col("w"))).alias("b")).select("b.w", "b.h")
+
+
+def patch_grids(images: DataFrame, key: str) -> DataFrame:
+    """(key, w, h) by the same rule for each row (key, n, width, height)."""
+    sides = images.select(key, "n", "width", "height", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("w")).where("n % w = 0").withColumn("h", F.expr("cast(n div w as int)"))
+    gap = F.abs(F.col("w") / F.col("h") - F.col("width") / F.col("height"))
+    return sides.groupBy(key).agg(F.min_by(F.struct("w", "h"), F.struct(gap, F.col("w"))).alias("b")).select(key, "b.w", "b.h")

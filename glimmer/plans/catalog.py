@@ -216,7 +216,10 @@ def pixel_patches(r: Relations) -> DataFrame:
 
 @query
 def patch_grid(r: Relations) -> DataFrame:
-    return pixels.patch_grid(r.spark, 640, 640, 480)
+    """Of each part as an image, the grid of patches whose shape is nearest to it."""
+    key = F.col("p_partkey")
+    images = r.table("part").select("p_partkey", ((key % 40 + 1) * 6).cast("int").alias("n"), (key % 7 + 1).alias("width"), (key % 5 + 1).alias("height"))
+    return pixels.patch_grids(images, "p_partkey")
 
 
 @query
@@ -720,7 +723,9 @@ def content_identity(r: Relations) -> DataFrame:
 
 @query
 def grid_expand(r: Relations) -> DataFrame:
-    return sweep.grid(r.spark, lr=[0.1, 0.2, 0.3], k=[8, 16], tied=[True, False]).select("lr", F.col("k").cast("int").alias("k"), "tied")
+    """All combinations of the choices that tables hold."""
+    orders = r.table("orders")
+    return sweep.grid_of(orders.select("o_orderpriority").distinct(), orders.select("o_orderstatus").distinct(), r.table("customer").select("c_mktsegment").distinct())
 
 
 @query
@@ -731,7 +736,9 @@ def config_groups(r: Relations) -> DataFrame:
 
 @query
 def lr_schedule(r: Relations) -> DataFrame:
-    return r.spark.range(0, 1200, 25).select(F.col("id").alias("step"), r6(C.cosine_schedule(F.col("id"), 100, 1000, 0.01, 0.001), "rate"))
+    """The rate at each order's step."""
+    step = F.col("o_orderkey") % 1200
+    return r.table("orders").select("o_orderkey", r6(C.cosine_schedule(step, 100, 1000, 0.01, 0.001), "rate"))
 
 
 # --- streams

@@ -11,7 +11,7 @@ from glimmer.operators import encode, estimators, probe, ranking, relational, sp
 from glimmer.plans import sweep
 from glimmer.plans.catalog import QUERIES, groups, query, r6, relu_stats
 from glimmer.plans.relations import CLASSES, FEATURES, TOKENS, Relations
-from glimmer.sources import readers, store
+from glimmer.sources import files, readers, store
 from glimmer.streaming import online
 
 
@@ -144,10 +144,16 @@ def classifier_summary(r: Relations) -> DataFrame:
 
 @query
 def probe_inputs(r: Relations) -> DataFrame:
-    """The checks before a probe is fitted: rows on either side, classes as the largest label plus one."""
-    sides = r.acts.agg(F.count("*").alias("n_vectors"), (F.max("label") + 1).cast("long").alias("n_classes")).crossJoin(r.labels.agg(F.count("*").alias("n_labels")))  # one row each
-    held = r.acts.agg(F.count_if(held_out()).alias("n_test"), F.count_if(~held_out()).alias("n_train"))
-    return sides.crossJoin(held).withColumn("equal", F.col("n_vectors") == F.col("n_labels"))  # one row each
+    """The checks before a probe is fitted, against two files of labels, one whole and one that lacks some: rows on either
+    side, classes as the largest label plus one, and whether each vector has its label."""
+    out = None
+    for name, lack in (("whole", F.lit(False)), ("torn", F.col("row") % 50 == 7)):
+        labels = store.kept(r.labels.where(~lack).repartition(3))
+        met = r.acts.select("row", held_out().alias("test")).join(labels, "row", "left")
+        found = met.agg(F.count("*").alias("n_vectors"), (F.max("label") + 1).cast("long").alias("n_classes"), F.count("label").alias("n_labels"), F.count_if("test").alias("n_test"), F.count_if(~F.col("test")).alias("n_train"))
+        found = found.select(F.lit(name).alias("file"), "*", (F.col("n_vectors") == F.col("n_labels")).alias("equal"))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def probe_side(r: Relations, test: bool) -> tuple[DataFrame, DataFrame, DataFrame, int]:
@@ -255,13 +261,14 @@ def scaled_mse(r: Relations) -> DataFrame:
 
 @query
 def prefix_draws(r: Relations) -> DataFrame:
-    """Four prefixes of 32 features a draw, without replacement, heavier for short ones: the least exponential keys
+    """Four prefixes of 32 features for each supplier's draw, without replacement, heavier for short ones: the least exponential keys
     -ln(u) / w with u from a hash; the last prefix is all features."""
-    grid = r.spark.range(20).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(1), F.lit(FEATURES - 1))).alias("prefix"))
+    draws = r.table("supplier").select(F.col("s_suppkey").alias("draw"))
+    grid = draws.select("draw", F.explode(F.sequence(F.lit(1), F.lit(FEATURES - 1))).alias("prefix"))
     u = (F.conv(F.substring(F.md5(F.concat_ws(":", "draw", "prefix")), 1, 8), 16, 10).cast("double") + 1) / 4294967297.0
     keyed = grid.withColumn("key", F.round(-F.log(u) / F.pow(F.col("prefix"), F.lit(-1.5)), 9))
     drawn = keyed.withColumn("place", F.row_number().over(Window.partitionBy("draw").orderBy("key", "prefix"))).where("place <= 3").select("draw", "prefix")
-    return drawn.unionByName(r.spark.range(20).select(F.col("id").alias("draw"), F.lit(FEATURES).alias("prefix")))
+    return drawn.unionByName(draws.select("draw", F.lit(FEATURES).alias("prefix")))
 
 
 # --- sources and sinks
@@ -321,11 +328,23 @@ def csv_roundtrip(r: Relations) -> DataFrame:
 
 @query
 def manifest_roundtrip(r: Relations) -> DataFrame:
-    """Rows with rounded numbers and a digest, as one file of JSON lines in order, read again."""
-    path = store.scratch(r.spark, "manifest")
-    made = r.table("supplier").select("s_suppkey", F.round("s_acctbal", 1).alias("balance"), F.sha2("s_name", 256).alias("sha256"))
-    readers.write_manifest(made, path, ["s_suppkey"])
-    return r.spark.read.schema("s_suppkey long, balance double, sha256 string").json(path)
+    """Files with the digests of their contents as one manifest of JSON lines in order, read again."""
+    path, folder = store.scratch(r.spark, "manifest"), store.scratch(r.spark, "files")
+    made = r.table("supplier").select(F.concat("s_name", F.lit(".txt")).alias("name"), F.concat_ws("\n", "s_name", F.col("s_nationkey").cast("string")).cast("binary").alias("content"))
+    readers.write_manifest(store.kept(files.written_files(made, folder)), path, ["name"])
+    said = r.spark.read.schema("name string, bytes long, sha256 string").json(path)
+    return files.checked_files(said, folder).join(said.select("name", "sha256"), "name")
+
+
+@query
+def file_checks(r: Relations) -> DataFrame:
+    """Files of a folder against a manifest: all faults in one table."""
+    folder, key = store.scratch(r.spark, "files"), F.col("n_nationkey")
+    name, text = F.concat("n_name", F.lit(".txt")), F.col("n_name")
+    made = r.table("nation").where(key % 6 != 1).select(F.when(key % 6 == 5, F.concat("n_name", F.lit(".dir"))).otherwise(name).alias("name"), F.when(key % 6 == 2, F.lit("")).otherwise(text).cast("binary").alias("content"))
+    files.written_files(made, folder).count()
+    said = r.table("nation").select(F.when(key % 6 == 5, F.lit(".")).otherwise(name).alias("name"), F.when(key % 6 == 3, F.length(text) + 1).otherwise(F.length(text)).cast("long").alias("bytes"), F.when(key % 6 == 4, F.sha2(F.reverse(text).cast("binary"), 256)).otherwise(F.sha2(text.cast("binary"), 256)).alias("sha256"))
+    return files.checked_files(said, folder).groupBy("status").agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
 
 
 @query
@@ -415,7 +434,8 @@ def many_roots(r: Relations) -> DataFrame:
 @query
 def doubled_stems(r: Relations) -> DataFrame:
     """Stems that occur twice, which a source must not hold."""
-    stems = r.table("documents").select(F.format_string("%s_%d", "lang", (F.col("doc_id") % 50).cast("int")).alias("stem"))
+    lines = r.table("documents").select(F.format_string("%s_%d of %s %s", "lang", (F.col("doc_id") % 50).cast("int"), "source", "lang").alias("value"))
+    stems = store.label_lines(lines)
     return stems.groupBy("stem").agg(F.count("*").alias("n")).where("n > 1")
 
 
@@ -494,32 +514,35 @@ def close_values(r: Relations) -> DataFrame:
 
 @query
 def config_precedence(r: Relations) -> DataFrame:
-    """Command over sweep over default, field by field."""
-    made = r.table("nation").select("n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, F.lit(0.5)).alias("sweep_lr"), F.when(F.col("n_nationkey") % 3 == 0, F.lit(0.9)).alias("command_lr"))
-    return made.select("n_nationkey", F.coalesce("command_lr", "sweep_lr", F.lit(0.1)).alias("lr"))
+    """Command over sweep over default, field by field, of each nation's configuration; and the fields no default knows."""
+    key = F.col("n_nationkey")
+    default = F.create_map(F.lit("lr"), F.lit("0.1"), F.lit("model.k"), F.lit("8"))
+    over = F.map_filter(F.create_map(F.lit("lr"), F.when(key % 2 == 0, "0.5"), F.lit("model.k"), key.cast("string")), lambda k, v: v.isNotNull())
+    top = F.map_filter(F.create_map(F.lit("lr"), F.when(key % 3 == 0, "0.9"), F.lit("typo"), F.when(key % 5 == 0, "1")), lambda k, v: v.isNotNull())
+    config, unknown = sweep.merged_maps(default, over, top)
+    return r.table("nation").select("n_nationkey", config["lr"].alias("lr"), config["model.k"].alias("k"), F.array_join(unknown, ",").alias("unknown"))
 
 
 @query
 def seeded_grid(r: Relations) -> DataFrame:
-    """A grid whose seeds count up from 7, nested ones too."""
-    configs = sweep.with_seeds(sweep.expand({"lr": [0.1, 0.2], "data": {"k": [1, 2, 3]}, "seed": 7}))
-    flat = [(c["seed"], c["lr"], c["data"]["k"]) for c in configs]
-    return r.spark.createDataFrame(flat, "seed int, lr double, k int")
+    """The configurations of suppliers, whose seeds count up from 7 in order."""
+    places = relational.ranked(r.table("supplier").select("s_suppkey", F.round("s_acctbal", 2).alias("lr")), [F.col("s_suppkey")])
+    return places.select("s_suppkey", "lr", (F.col("place") + 6).alias("seed"))
 
 
 @query
 def config_changes(r: Relations) -> DataFrame:
-    """The fields of each configuration that are not the default's."""
-    default = {"lr": 0.1, "model": {"k": 8, "tied": True}}
-    rows = [(i, key, str(value)) for i, c in enumerate(sweep.expand({"lr": [0.1, 0.2], "model": {"k": [8, 16], "tied": True}})) for key, value in sweep.differing(default, c).items()]
-    return r.spark.createDataFrame(rows, "config int, field string, value string")
+    """The fields of each customer's configuration that are not the default's."""
+    configs = r.table("customer").select("c_custkey", (F.col("c_custkey") % 3).alias("lr"), F.col("c_mktsegment").alias("model.kind"), (F.col("c_nationkey") > 12).alias("model.tied"))
+    return sweep.changed_fields(configs, "c_custkey", {"lr": 1, "model.kind": "BUILDING", "model.tied": True})
 
 
 @query
 def ordered_config(r: Relations) -> DataFrame:
-    """The scan in order that belongs to a shuffled scan: its fields without those of the shuffle."""
-    rows = sorted((k, str(v)) for k, v in sweep.ordered({"layer": 3, "tokens": "content", "seed": 7, "buffer": 64, "batch": 128, "workers": 4}).items())
-    return r.spark.createDataFrame(rows, "field string, value string")
+    """The scan in order that belongs to each supplier's shuffled scan: its fields without those of the shuffle."""
+    key = F.col("s_suppkey").cast("string")
+    made = F.create_map(F.lit("layer"), F.col("s_nationkey").cast("string"), F.lit("seed"), key, F.lit("tokens"), F.col("s_name"), F.lit("buffer"), key, F.lit("workers"), key)
+    return r.table("supplier").select("s_suppkey", F.explode(sweep.ordered_map(made)).alias("field", "value"))
 
 
 # --- streams
@@ -552,7 +575,8 @@ def rate(step: Column) -> Column:
 
 @query
 def warmup_schedule(r: Relations) -> DataFrame:
-    return r.spark.range(0, 300, 25).select(F.col("id").alias("step"), r6(rate(F.col("id")), "rate"))
+    """The rate at each part's step."""
+    return r.table("part").select("p_partkey", r6(rate(F.col("p_partkey") % 300), "rate"))
 
 
 __all__ = ["QUERIES", "CLASSES"]

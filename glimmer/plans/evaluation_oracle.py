@@ -71,7 +71,8 @@ def oracle_sql() -> dict[str, str]:
             be AS (SELECT class, max(acc) AS best FROM ba GROUP BY class), fe AS (SELECT class, min(k) AS few, max(best) AS best FROM ba JOIN be USING (class) WHERE acc >= 0.9 * best GROUP BY class)""",
             "SELECT class, round(best, 6) AS best, few, pl.feature AS single FROM fe JOIN pl USING (class) WHERE place = 1",
         ),
-        "probe_inputs": """SELECT count(*) AS n_vectors, (max(label) + 1)::BIGINT AS n_classes, count(label) AS n_labels, count_if(vec_id // 4 % 5 = 0)::BIGINT AS n_test, count_if(vec_id // 4 % 5 <> 0)::BIGINT AS n_train, count(*) = count(label) AS equal FROM embeddings""",
+        "probe_inputs": """SELECT f.file, count(*) AS n_vectors, (max(CASE WHEN NOT lack THEN label END) + 1)::BIGINT AS n_classes, count_if(NOT lack)::BIGINT AS n_labels, count_if(test)::BIGINT AS n_test, count_if(NOT test)::BIGINT AS n_train, count_if(lack) = 0 AS equal
+            FROM (SELECT f.file, label, vec_id // 4 % 5 = 0 AS test, f.file = 'torn' AND vec_id % 50 = 7 AS lack FROM embeddings CROSS JOIN (VALUES ('whole'), ('torn')) f(file)) f GROUP BY f.file""",
         "purity_at_budgets": b(
             ", t AS (SELECT feature, label, row_number() OVER (PARTITION BY feature ORDER BY value DESC, row) AS rank FROM codes), ks AS (SELECT unnest([16, 64, 256])::INTEGER AS k), c AS (SELECT feature, k, label, count(*) AS n FROM t CROSS JOIN ks WHERE rank <= k GROUP BY 1, 2, 3)",
             "SELECT feature, k, round(max(n) / k::DOUBLE, 6) AS purity FROM c GROUP BY feature, k",
@@ -93,16 +94,18 @@ def oracle_sql() -> dict[str, str]:
         "pure_patch_summary": """WITH c AS (SELECT vec_id // 4 AS e, label % 3 AS l, count(*) AS n FROM embeddings GROUP BY 1, 2), s AS (SELECT e, arg_min(l, (-n, l)) AS l, max(n) / sum(n)::DOUBLE AS s FROM c GROUP BY e),
             k AS (SELECT class, count(e) AS n FROM (SELECT unnest([0, 1, 2]) AS class) LEFT JOIN s ON l = class AND s >= 0.75 GROUP BY class) SELECT round(avg(n), 6) AS mean_n, max(n) AS max_n, min(n) AS min_n FROM k""",
         "scaled_mse": b(recon("32"), "SELECT round(avg((x - y) * (x - y)), 6) AS mse FROM hat"),
-        "prefix_draws": """WITH g AS (SELECT d.draw, p.prefix, md5(d.draw || ':' || p.prefix) AS h FROM (SELECT unnest(range(0, 20)) AS draw) d, (SELECT unnest(range(1, 32))::INTEGER AS prefix) p),
+        "prefix_draws": """WITH g AS (SELECT d.draw, p.prefix, md5(d.draw || ':' || p.prefix) AS h FROM (SELECT s_suppkey AS draw FROM supplier) d, (SELECT unnest(range(1, 32))::INTEGER AS prefix) p),
             k AS (SELECT draw, prefix, round(-ln((('0x' || substr(h, 1, 8))::BIGINT::DOUBLE + 1) / 4294967297.0) / pow(prefix, -1.5), 9) AS key FROM g)
-            SELECT draw, prefix FROM k QUALIFY row_number() OVER (PARTITION BY draw ORDER BY key, prefix) <= 3 UNION ALL SELECT unnest(range(0, 20)), 32""",
+            SELECT draw, prefix FROM k QUALIFY row_number() OVER (PARTITION BY draw ORDER BY key, prefix) <= 3 UNION ALL SELECT s_suppkey, 32 FROM supplier""",
         "scan_counts": f"""WITH n AS (SELECT count(*) * 2 AS n FROM ({LAYOUT})) SELECT kind, CASE WHEN kind = 'special' THEN 0 ELSE n END AS expected, CASE WHEN kind = 'special' THEN 0 ELSE n END AS counted FROM n, (SELECT unnest(['content', 'special', 'all']) AS kind)""",
         "layer_token_scan": "SELECT label, count(*) AS n, max(vec_id // 4) AS last FROM embeddings GROUP BY label",
         "labelled_scan": "SELECT vec_id AS row, CASE WHEN vec_id % 3 <> 0 THEN label ELSE -1 END AS token_label FROM embeddings",
         "store_roundtrip": f"SELECT vec_id // 4 // 50 AS shard_idx, count(DISTINCT vec_id // 4) AS n_examples, true AS as_said FROM ({LAYOUT}) GROUP BY 1",
         "codes_roundtrip": b("", "SELECT feature, count(*) AS nnz, round(sum(value), 6) AS sum FROM codes GROUP BY feature"),
         "csv_roundtrip": "SELECT n_nationkey::INTEGER AS n_nationkey, n_name, CASE WHEN n_nationkey % 4 <> 0 THEN 'x' END AS mark FROM nation",
-        "manifest_roundtrip": "SELECT s_suppkey, round(s_acctbal, 1) AS balance, sha256(s_name) AS sha256 FROM supplier",
+        "file_checks": """SELECT status, count(*) AS n, coalesce(sum(CASE WHEN status IN ('ok', 'wrong size', 'wrong digest') THEN strlen(n_name) ELSE 0 END), 0)::BIGINT AS bytes
+            FROM (SELECT n_name, CASE n_nationkey % 6 WHEN 0 THEN 'ok' WHEN 1 THEN 'missing' WHEN 2 THEN 'empty' WHEN 3 THEN 'wrong size' WHEN 4 THEN 'wrong digest' ELSE 'not a file' END AS status FROM nation) GROUP BY status""",
+        "manifest_roundtrip": "SELECT s_name || '.txt' AS name, 'ok' AS status, strlen(s_name || chr(10) || s_nationkey)::BIGINT AS bytes, sha256(s_name || chr(10) || s_nationkey) AS sha256 FROM supplier",
         "resumed_work": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber >= 4)",
         "conditional_labels": "SELECT l AS lang, count(doc_id) > 0 AS made, count(doc_id) AS n FROM (SELECT unnest(['de', 'en', 'xx']) AS l) LEFT JOIN (SELECT doc_id, lang FROM documents JOIN labels USING (doc_id) WHERE toxic = 1) ON lang = l GROUP BY l",
         "checkpoint_roundtrip": "SELECT unnest(range(0, 32))::INTEGER AS feature, 'tied' AS kind, 1.0 AS size",
@@ -121,7 +124,7 @@ def oracle_sql() -> dict[str, str]:
         "many_labels": """WITH l AS (SELECT lang, (row_number() OVER (ORDER BY lang) - 1)::INTEGER AS lang_id FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)), s AS (SELECT source, (row_number() OVER (ORDER BY source) - 1)::INTEGER AS source_id FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL))
             SELECT doc_id, lang_id, source_id FROM documents LEFT JOIN l USING (lang) LEFT JOIN s USING (source)""",
         "many_roots": "WITH l AS (SELECT lang, (row_number() OVER (ORDER BY lang) - 1)::INTEGER AS target FROM (SELECT DISTINCT lang FROM documents)) SELECT lang AS label, target, count(*) AS n FROM documents JOIN l USING (lang) GROUP BY 1, 2",
-        "doubled_stems": "SELECT lang || '_' || (doc_id % 50) AS stem, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
+        "doubled_stems": "SELECT lang || '_' || (doc_id % 50) || ' of ' || source AS stem, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
         "checked_lookup": "SELECT o_orderkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey",
         "chosen_columns": "SELECT p_partkey, p_brand, p_size FROM part",
         "not_nan_filter": "SELECT l_orderkey, l_linenumber, round(l_quantity, 6)::DOUBLE AS x FROM lineitem WHERE l_linenumber NOT IN (3, 5) AND l_quantity > 40 ORDER BY l_orderkey, l_linenumber LIMIT 100",
@@ -131,14 +134,15 @@ def oracle_sql() -> dict[str, str]:
         "byte_sizes": "SELECT s_suppkey, CASE WHEN n >= 1e12 THEN format('{:,.1f} TB', n / 1e12) ELSE format('{:,.1f} GB', n / 1e9) END AS size FROM (SELECT s_suppkey, pow(s_suppkey::DOUBLE, 4) * 1e6 AS n FROM supplier)",
         "recent_events": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' GROUP BY 1",
         "close_values": "SELECT s_suppkey, s_suppkey % 8 NOT IN (2, 4) AS equal FROM supplier",
-        "config_precedence": "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 0.9 WHEN n_nationkey % 2 = 0 THEN 0.5 ELSE 0.1 END::DOUBLE AS lr FROM nation",
-        "seeded_grid": "SELECT (7 + i)::INTEGER AS seed, CASE WHEN i < 3 THEN 0.1 ELSE 0.2 END::DOUBLE AS lr, (i % 3 + 1)::INTEGER AS k FROM (SELECT unnest(range(0, 6)) AS i)",
-        "config_changes": "SELECT * FROM (VALUES (1::INTEGER, 'model.k', '16'), (2, 'lr', '0.2'), (3, 'lr', '0.2'), (3, 'model.k', '16')) AS t(config, field, value)",
-        "ordered_config": "SELECT * FROM (VALUES ('batch', '128'), ('layer', '3'), ('tokens', 'content')) AS t(field, value)",
+        "config_precedence": """SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN '0.9' WHEN n_nationkey % 2 = 0 THEN '0.5' ELSE '0.1' END AS lr, n_nationkey::VARCHAR AS k, CASE WHEN n_nationkey % 5 = 0 THEN 'typo' ELSE '' END AS unknown FROM nation""",
+        "seeded_grid": "SELECT s_suppkey, round(s_acctbal, 2) AS lr, row_number() OVER (ORDER BY s_suppkey) + 6 AS seed FROM supplier",
+        "config_changes": """SELECT c_custkey, 'lr' AS field, (c_custkey % 3)::VARCHAR AS value FROM customer WHERE c_custkey % 3 <> 1 UNION ALL SELECT c_custkey, 'model.kind', c_mktsegment FROM customer WHERE c_mktsegment IS DISTINCT FROM 'BUILDING'
+            UNION ALL SELECT c_custkey, 'model.tied', 'false' FROM customer WHERE c_nationkey <= 12""",
+        "ordered_config": "SELECT s_suppkey, 'layer' AS field, s_nationkey::VARCHAR AS value FROM supplier UNION ALL SELECT s_suppkey, 'tokens', s_name FROM supplier",
         "dead_from_state": b(", last AS (SELECT feature, coalesce(max(row), -1) AS l FROM features LEFT JOIN (SELECT * FROM codes WHERE value > 0.4) USING (feature) GROUP BY feature)", "SELECT feature, n - 1 - l AS since, n - 1 - l >= 100 AS dead FROM last, total"),
         "stochastic_percentile": """WITH RECURSIVE e AS (SELECT event_type, value::DOUBLE AS x, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL),
             s AS (SELECT event_type, n, list(x ORDER BY i) AS xs FROM e GROUP BY event_type, n)
             SELECT event_type, n, round(list_reduce(xs, lambda est, x, k: est + 5.0 * (n - k) / n * (sign(x - est) + 2 * 90.0 / 100 - 1), 0.0::DOUBLE), 6) AS estimate FROM s""",
         "threshold_average": b(", bt AS (SELECT row // 50 AS batch, h FROM h QUALIFY row_number() OVER (PARTITION BY row // 50 ORDER BY h DESC, row, feature) <= 200), ls AS (SELECT batch, min(h) AS least FROM bt GROUP BY batch), ls2 AS (SELECT least, max(batch) OVER () - batch AS back FROM ls)", "SELECT round(sum(0.1 * pow(0.9, back) * least), 6) AS threshold FROM ls2"),
-        "warmup_schedule": "SELECT step, round(CASE WHEN step < 100 THEN 0.01 * step / 100 ELSE 0.01 END, 6) AS rate FROM (SELECT unnest(range(0, 300, 25)) AS step)",
+        "warmup_schedule": "SELECT p_partkey, round(CASE WHEN step < 100 THEN 0.01 * step / 100 ELSE 0.01 END, 6) AS rate FROM (SELECT p_partkey, p_partkey % 300 AS step FROM part)",
     }

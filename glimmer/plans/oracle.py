@@ -156,7 +156,8 @@ def oracle_sql() -> dict[str, str]:
         "pixel_patches": """SELECT example_idx, token_idx, label FROM (
             SELECT vec_id // 64 AS example_idx, (vec_id % 64 // 8 // 2 * 4 + vec_id % 8 // 2)::INTEGER AS token_idx, label % 4 AS label, count(*) AS n FROM embeddings GROUP BY 1, 2, 3)
             QUALIFY row_number() OVER (PARTITION BY example_idx, token_idx ORDER BY n DESC, label) = 1""",
-        "patch_grid": "SELECT w, 640 // w AS h FROM (SELECT unnest(range(1, 641)) AS w) WHERE 640 % w = 0 ORDER BY abs(w / (640 // w)::DOUBLE - 640 / 480.0), w LIMIT 1",
+        "patch_grid": """WITH i AS (SELECT p_partkey, (p_partkey % 40 + 1) * 6 AS n, p_partkey % 7 + 1 AS width, p_partkey % 5 + 1 AS height FROM part), s AS (SELECT *, unnest(range(1, n + 1)) AS w FROM i)
+            SELECT p_partkey, w::INTEGER AS w, (n // w)::INTEGER AS h FROM s WHERE n % w = 0 QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY abs(w / (n // w)::DOUBLE - width / height::DOUBLE), w) = 1""",
         "pure_patch_counts": """WITH c AS (SELECT vec_id // 4 AS e, label % 3 AS label, count(*) AS n FROM embeddings GROUP BY 1, 2), s AS (SELECT e, arg_max(label, (n, -label)) AS label, max(n) / sum(n) AS share FROM c GROUP BY e)
             SELECT k.label, count(s.e) AS n FROM (SELECT unnest([0, 1, 2])::INTEGER AS label) k LEFT JOIN s ON s.label = k.label AND share >= 0.75 GROUP BY k.label""",
         "class_iou": """WITH g AS (SELECT label, 'near' AS model, (vec_id % 10)::INTEGER AS pred FROM embeddings UNION ALL SELECT label, 'low', least(label, 4) FROM embeddings), c AS (SELECT unnest(range(0, 9))::INTEGER AS class)
@@ -276,10 +277,10 @@ def oracle_sql() -> dict[str, str]:
         "json_fields": "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events",
         "colours": "SELECT n_nationkey, round(n_nationkey * 10 / 255.0, 6) AS red, round(n_nationkey / 255.0, 6) AS green, 1.0::DOUBLE AS blue FROM nation",
         "content_identity": """SELECT r_regionkey, substr(sha256('{"r_name":"' || r_name || '","r_regionkey":' || r_regionkey || '}'), 1, 8) AS id FROM region""",
-        "grid_expand": "SELECT lr, k, tied FROM (SELECT unnest([0.1, 0.2, 0.3])::DOUBLE AS lr) CROSS JOIN (SELECT unnest([8, 16])::INTEGER AS k) CROSS JOIN (SELECT unnest([true, false]) AS tied)",
+        "grid_expand": "SELECT * FROM (SELECT DISTINCT o_orderpriority FROM orders) CROSS JOIN (SELECT DISTINCT o_orderstatus FROM orders) CROSS JOIN (SELECT DISTINCT c_mktsegment FROM customer)",
         "config_groups": """WITH g AS (SELECT o_orderkey, substr(sha256(coalesce(o_orderpriority, 'null') || '|' || coalesce(o_orderstatus, 'null')), 1, 8) AS group_key FROM orders)
             SELECT o_orderkey, group_key, (row_number() OVER (PARTITION BY group_key ORDER BY o_orderkey) - 1) // 4 AS batch FROM g""",
-        "lr_schedule": """SELECT step, round(CASE WHEN step < 100 THEN 0.01 * step / 100 WHEN step >= 1000 THEN 0.001 ELSE 0.001 + 0.009 * (1 + cos(pi() * (step - 100) / 900)) / 2 END, 6) AS rate FROM (SELECT unnest(range(0, 1200, 25)) AS step)""",
+        "lr_schedule": """SELECT o_orderkey, round(CASE WHEN step < 100 THEN 0.01 * step / 100 WHEN step >= 1000 THEN 0.001 ELSE 0.001 + 0.009 * (1 + cos(pi() * (step - 100) / 900)) / 2 END, 6) AS rate FROM (SELECT o_orderkey, o_orderkey % 1200 AS step FROM orders)""",
         "stream_stats": "SELECT event_type, count(value) AS n, round(avg(value), 5) AS mean, round(var_samp(value), 4) AS variance FROM events GROUP BY event_type",
         "windowed_activity": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     }

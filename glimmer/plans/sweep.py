@@ -7,7 +7,7 @@ import itertools
 import json
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -84,3 +84,30 @@ SHUFFLE_ONLY = ("seed", "buffer", "workers")
 def ordered(config: dict) -> dict:
     """The configuration of the ordered scan over the same data as a shuffled one."""
     return {k: v for k, v in config.items() if k not in SHUFFLE_ONLY}
+
+
+def merged_maps(default: Column, over: Column, top: Column) -> tuple[Column, Column]:
+    """merged() for maps of dotted keys in columns: top over `over` over default, key by key; and the sorted keys that
+    default does not know."""
+    config = F.transform_values(default, lambda k, v: F.coalesce(F.try_element_at(top, k), F.try_element_at(over, k), v))
+    unknown = F.array_sort(F.array_except(F.array_union(F.map_keys(over), F.map_keys(top)), F.map_keys(default)))
+    return config, unknown
+
+
+def changed_fields(configs: DataFrame, key: str, default: dict[str, object]) -> DataFrame:
+    """(key, field, value) of the fields of each row of configs that are not the default's; fields are columns."""
+    fields = [F.when(~F.col(f"`{c}`").eqNullSafe(F.lit(v)), F.struct(F.lit(c).alias("field"), F.col(f"`{c}`").cast("string").alias("value"))) for c, v in default.items()]
+    return configs.select(key, F.explode(F.filter(F.array(*fields), lambda x: x.isNotNull())).alias("x")).select(key, "x.field", "x.value")
+
+
+def ordered_map(config: Column) -> Column:
+    """ordered() for a map in a column."""
+    return F.map_filter(config, lambda k, _: ~k.isin(*SHUFFLE_ONLY))
+
+
+def grid_of(*sides: DataFrame) -> DataFrame:
+    """All combinations of the rows of small frames of choices."""
+    out = sides[0]
+    for side in sides[1:]:
+        out = out.crossJoin(F.broadcast(side))  # the cross is what is asked for; choices are few
+    return out

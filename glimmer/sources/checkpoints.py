@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glimmer.sources.files import written_files
+
 #: Settings of old files that mean nothing now; the names of activations; old names of an activation's fields.
 DROPPED = ("sparsity_coeff", "ghost_grads", "l1_coeff", "use_ghost_grads", "seed", "n_reinit_samples")
 ACTIVATIONS = ("Relu", "TopK", "BatchTopK")
@@ -120,19 +122,7 @@ def checkpoint_bytes(header: dict, arrays: dict[str, np.ndarray]) -> bytes:
 
 def write_checkpoints(files: DataFrame, folder: str) -> None:
     """files: (name, content), each written as one file below the folder, in tasks."""
-    from glimmer.sources.shards import store_of
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, top = store_of(folder)
-        store.create_dir(top)
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with store.open_output_stream(f"{top}/{name}.part", compression=None) as out:
-                    out.write(content)
-                store.move(f"{top}/{name}.part", f"{top}/{name}")
-            yield batch.select([0])
-
-    files.select("name", "content").mapInArrow(run, "name string").count()
+    written_files(files, folder).count()
 
 
 def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
