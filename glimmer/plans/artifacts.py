@@ -4,14 +4,14 @@ same name below, but for probe_metrics (probes fitted until they stand still), w
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glimmer.functions import columns as C
-from glimmer.operators import ordered, probe, ranking, sparse, stats
-from glimmer.plans.catalog import query, r6
+from glimmer.operators import encode, ordered, probe, ranking, sparse, stats
+from glimmer.plans.catalog import groups, query, r6
 from glimmer.plans.evaluation import held_out, probe_side
-from glimmer.plans.oracle import on_base
+from glimmer.plans.oracle import TIES, on_base, recon
 from glimmer.plans.relations import CLASSES, DIMS, FEATURES, TOKENS, Relations
 from glimmer.sources import checkpoints, shards, store
 
@@ -144,11 +144,80 @@ def probe_metrics(r: Relations) -> DataFrame:
     return found.select("class", "feature", r6("loss"), "n_positive", *(r6(c) for c in ("ap", "precision", "recall", "f1")), *(r6(F.coalesce(f"purity_{k}", F.lit(0.0)), f"purity_{k}") for k in (16, 64, 256)))
 
 
+@query
+def validation_metrics(r: Relations) -> DataFrame:
+    """What a validation run reports of held-out examples: errors of reconstruction, sparsity, and how many features are
+    dead, almost dead or dense."""
+    acts, codes = r.acts.where(held_out()), r.codes.where(held_out())
+    n = acts.count()
+    recon = stats.recon_metrics(encode.reconstructed(acts, r.weights, [FEATURES])).select("n_tokens", r6("nmse"), r6("mse_per_dim"))
+    return recon.crossJoin(stats.eval_summary(codes, sparse.feature_stats(codes, r.features, n), n).select(r6("l0"), r6("l1"), "n_dead", "n_almost_dead", "n_dense"))  # one row each
+
+
+@query
+def validation_freqs(r: Relations) -> DataFrame:
+    """How often each feature fires on held-out examples, and its mean value there."""
+    found = sparse.feature_stats(r.codes.where(held_out()), r.features, r.acts.where(held_out()).count())
+    return found.select("feature", r6("sparsity", "freq"), r6(F.coalesce("mean_value", F.lit(0.0)), "mean_value"))
+
+
+@query
+def audit_yields(r: Relations) -> DataFrame:
+    """Of two rankings of features, the yield at each budget: the share of its first ones whose best class reaches an
+    average precision of 0.2. Only features among the first ten of either are audited; all others count as not grounded."""
+    told = sparse.feature_stats(r.codes, r.features, r.n_rows)
+    orders = told.select("feature", F.explode(F.array(F.struct(F.lit("nnz").alias("ranking"), F.col("nnz").cast("double").alias("by")), F.struct(F.lit("sum").alias("ranking"), F.col("sum").alias("by")))).alias("x"))
+    placed = orders.select("feature", "x.ranking", F.row_number().over(Window.partitionBy("x.ranking").orderBy(F.desc("x.by"), "feature")).alias("position"))  # a row a feature
+    union = placed.where("position <= 10").select("feature").distinct()
+    best = ranking.tie_aware_ap(groups(r).join(F.broadcast(union), "feature", "left_semi")).groupBy("feature").agg(F.max(F.round("ap", 9)).alias("ap"))  # twenty rows at most
+    out = None
+    for name in ("nnz", "sum"):
+        own = placed.where(F.col("ranking") == name).join(best, "feature", "left")
+        found = ranking.yield_at_budgets(own, [3, 10, 30], 0.2).select(F.lit(name).alias("ranking"), "budget", r6("yield"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query
+def concept_lookup(r: Relations) -> DataFrame:
+    """Of each class but the background, the three features that tell it best by F1 over four thresholds, among patches of
+    which one label holds at least half; features that fire on most rows are left out."""
+    shares = r.acts.groupBy("example_idx", "label").agg(F.count("*").alias("n")).groupBy("example_idx").agg((F.max("n") / F.sum("n")).alias("share"))
+    pure = store.kept(r.acts.select("row", "example_idx", "label").join(shares.where("share >= 0.5").select("example_idx"), "example_idx", "left_semi").select("row", "label"))
+    totals = r.classes.join(pure.groupBy(F.col("label").alias("class")).agg(F.count("*").alias("total")), "class", "left").fillna(0)
+    codes = r.codes.select("row", "feature", "value").join(pure.select("row"), "row", "left_semi")
+    counts = ranking.prf1(ranking.confusion(codes, pure.withColumnRenamed("label", "class"), r.features, totals, pure.count(), [0.0, 0.1, 0.3, 1.0]))
+    frequent = sparse.feature_stats(r.codes, r.features, r.n_rows).select("feature", "sparsity")
+    best = counts.where("class > 0").groupBy("class", "feature").agg(F.max_by(F.struct(F.round("f1", 9).alias("f1"), "tau"), F.struct(F.round("f1", 9), -F.col("tau"))).alias("b"))
+    allowed = best.join(F.broadcast(frequent), "feature").select("class", "feature", F.col("b.tau").alias("tau"), F.when(F.col("sparsity") < 0.6, F.col("b.f1")).otherwise(-1.0).alias("f1"))  # a row a feature
+    place = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("f1"), "feature"))
+    return allowed.withColumn("place", place).where("place <= 3").select("class", "place", "feature", r6("tau"), r6("f1"))
+
+
 def oracle_sql() -> dict[str, str]:
     """The DuckDB SQL of each query above that SQL can express."""
     return {
         "csr_roundtrip": on_base("", f"SELECT row // {CAPACITY} AS shard, feature, count(*) AS nnz, round(sum(value::FLOAT::DOUBLE), 3) AS sum FROM codes GROUP BY 1, 2"),
         "raw_roundtrip": f"SELECT vec_id // {CAPACITY} AS shard, count(*) AS n, round(sum(list_sum(embedding::DOUBLE[])), 3) AS sum FROM embeddings GROUP BY 1",
+        "validation_metrics": on_base(
+            recon("32") + """, held AS (SELECT row FROM act WHERE example_idx % 5 = 0), q AS (SELECT d, count(*) AS n, sum(x) AS s, sum(x * x) AS q, sum((x - y) * (x - y)) AS e FROM hat WHERE row IN (FROM held) GROUP BY d
+            ), m AS (SELECT max(n) AS n_tokens, count(*) AS d_model, sum(e) AS e, sum(q) - sum(s * s / n) AS b FROM q), f AS (SELECT feature, count(c.value) AS nnz, coalesce(sum(c.value), 0) AS sum FROM features LEFT JOIN (SELECT * FROM codes WHERE row IN (FROM held)) c USING (feature) GROUP BY feature
+            ), ev AS (SELECT sum(nnz) AS l0, sum(sum) AS l1, count_if(nnz = 0) AS n_dead, count_if(nnz / n_tokens::DOUBLE < 1e-7) AS n_almost_dead, count_if(nnz / n_tokens::DOUBLE > 1e-2) AS n_dense FROM f, m)""",
+            "SELECT n_tokens, round(e / b, 6) AS nmse, round(e / (n_tokens * d_model), 6) AS mse_per_dim, round(l0 / n_tokens, 6) AS l0, round(l1 / n_tokens, 6) AS l1, n_dead::BIGINT AS n_dead, n_almost_dead::BIGINT AS n_almost_dead, n_dense::BIGINT AS n_dense FROM m, ev",
+        ),
+        "validation_freqs": on_base(", held AS (SELECT row FROM act WHERE example_idx % 5 = 0)", "SELECT feature, round(count(c.value) / (SELECT count(*) FROM held)::DOUBLE, 6) AS freq, round(coalesce(avg(c.value), 0), 6) AS mean_value FROM features LEFT JOIN (SELECT * FROM codes WHERE row IN (FROM held)) c USING (feature) GROUP BY feature"),
+        "audit_yields": on_base(
+            TIES + """, o AS (SELECT 'nnz' AS ranking, feature, row_number() OVER (ORDER BY nnz DESC, feature) AS position FROM stats UNION ALL SELECT 'sum', feature, row_number() OVER (ORDER BY sum DESC, feature) FROM stats
+            ), best AS (SELECT feature, max(round(ap, 9)) AS ap FROM tap WHERE feature IN (SELECT feature FROM o WHERE position <= 10) GROUP BY feature)""",
+            "SELECT ranking, budget, round(count_if(position <= budget AND ap >= 0.2) / budget::DOUBLE, 6) AS yield FROM o LEFT JOIN best USING (feature) CROSS JOIN (SELECT unnest([3, 10, 30])::INTEGER AS budget) GROUP BY 1, 2",
+        ),
+        "concept_lookup": on_base(
+            """, sh AS (SELECT example_idx, max(n) / sum(n)::DOUBLE AS share FROM (SELECT example_idx, label, count(*) AS n FROM act GROUP BY 1, 2) GROUP BY 1), px AS (SELECT h.* FROM h JOIN sh USING (example_idx) WHERE share >= 0.5
+            ), cf AS (SELECT feature, class, tau, count_if(h > tau AND label = class) AS tp, count_if(h > tau AND label <> class) AS fp, count_if(h <= tau AND label = class) AS fn FROM px CROSS JOIN classes CROSS JOIN (SELECT unnest([0.0, 0.1, 0.3, 1.0])::DOUBLE AS tau) WHERE class > 0 GROUP BY 1, 2, 3
+            ), f1s AS (SELECT class, feature, tau, round(CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn)::DOUBLE ELSE 0 END, 9) AS f1 FROM cf QUALIFY row_number() OVER (PARTITION BY class, feature ORDER BY f1 DESC, tau) = 1
+            ), ok AS (SELECT class, feature, tau, CASE WHEN sparsity < 0.6 THEN f1 ELSE -1 END AS f1 FROM f1s JOIN stats USING (feature))""",
+            "SELECT class, row_number() OVER (PARTITION BY class ORDER BY ok.f1 DESC, feature)::INTEGER AS place, feature, round(tau, 6) AS tau, round(ok.f1, 6) AS f1 FROM ok QUALIFY place <= 3",
+        ),
         "zipped_streams": "SELECT label AS told, count(*) AS n, round(sum(list_sum(embedding::DOUBLE[])), 6) AS total FROM embeddings GROUP BY 1",
         "checkpoint_files": f"""SELECT t.*, p.part, t.d_sae AS n_rows, round(t.d_sae::DOUBLE, 6) AS squares
             FROM (VALUES (0::INTEGER, 'Relu', 0::INTEGER, {DIMS}::BIGINT), (1, 'BatchTopK', 8, {FEATURES}), (1, 'TopK', 16, {FEATURES}), (3, 'TopK', 4, {FEATURES}), (5, 'Relu', 0, {FEATURES})) t(schema, activation, top_k, d_sae),
