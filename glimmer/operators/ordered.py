@@ -55,7 +55,7 @@ def zipped(a: DataFrame, b: DataFrame, keys: list[str], buckets: int = 8) -> Dat
 def running(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
     """df with, for each name in sums, the sum of its column over the rows before in the group; 0 for the first. The order
     within a group is strict."""
-    named = df.select("*", *(c.alias(f"__{name}") for name, c in sums.items()))
+    named = kept(df.select("*", *(c.alias(f"__{name}") for name, c in sums.items())))  # ranges are sampled first: df is computed once
     dealt = kept(named.repartitionByRange(*by, *order).withColumn("__range", F.spark_partition_id()))
     totals = dealt.groupBy(*by, "__range").agg(*(F.sum(f"__{name}").alias(f"__t_{name}") for name in sums))  # a row a group and range
     ranges = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,4 +1,5 @@
-"""Ranking metrics on sparse scores. Absent scores are zeros: each list holds them as one group of ties, in closed form."""
+"""Ranking metrics on sparse scores. Absent scores are zeros: each list holds them as one group of ties, in closed form.
+Ranks are running sums over ranges of (feature, value), so a feature may have any number of distinct values."""
 
 from __future__ import annotations
 
@@ -8,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glimmer.functions.columns import harmonic
+from glimmer.operators.ordered import running
 
 
 def tie_groups(codes: DataFrame, positives: DataFrame, features: DataFrame, n_rows: int, n_positive: DataFrame) -> DataFrame:
@@ -19,8 +21,7 @@ def tie_groups(codes: DataFrame, positives: DataFrame, features: DataFrame, n_ro
     counts = codes.groupBy("feature", "value").agg(F.count("*").alias("n"))
     absent = features.select("feature").join(counts.groupBy("feature").agg(F.sum("n").alias("s")), "feature", "left")
     absent = absent.select("feature", F.lit(0.0).alias("value"), (F.lit(n_rows) - F.coalesce("s", F.lit(0))).alias("n"))
-    lower = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    every = counts.unionByName(absent).groupBy("feature", "value").agg(F.sum("n").alias("n")).withColumn("below", F.coalesce(F.sum("n").over(lower), F.lit(0)))
+    every = running(counts.unionByName(absent).groupBy("feature", "value").agg(F.sum("n").alias("n")), ["feature"], [F.col("value")], {"below": F.col("n")})
     hits = codes.join(positives, "row").groupBy("feature", "value", "class").agg(F.count("*").alias("pos"))
     grid = features.select("feature").crossJoin(F.broadcast(n_positive.select("class", "total")))  # by classes, a bounded side
     rest = grid.join(hits.groupBy("feature", "class").agg(F.sum("pos").alias("s")), ["feature", "class"], "left")
@@ -46,9 +47,8 @@ def average_precision(ranked: DataFrame, by: list[str], order: list) -> DataFram
 def tie_aware_ap(groups: DataFrame, undefined: float | None = 0.0) -> DataFrame:
     """(feature, class, ap): the mean of average precision over all orders of tied scores, in closed form: a group's
     ranks enter by two harmonic numbers, however many they are."""
-    above = Window.partitionBy("feature", "class").orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, -1)
     t = (F.col("n_rows") - F.col("below") - F.col("n")).cast("double")
-    g = groups.where("pos > 0 or value = 0").withColumn("t", t).withColumn("r0", F.coalesce(F.sum("pos").over(above), F.lit(0)))
+    g = running(groups.where("pos > 0 or value = 0").withColumn("t", t), ["feature", "class"], [F.desc("value")], {"r0": F.col("pos")})
     # sum over j = t+1 .. t+n of (r/n) (R + 1 + (j-t-1)(r-1)/(n-1)) / j = (r/n) (R + 1 - (t+1) s) (H(t+n) - H(t)) + (r/n) s n
     slope = F.when(F.col("n") > 1, (F.col("pos") - 1) / (F.col("n") - 1)).otherwise(F.lit(0.0))
     ranks = harmonic(F.col("t") + F.col("n")) - harmonic(F.col("t"))
@@ -93,9 +93,8 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, at: list[float], n
     e = 3.0 / accuracy
     edges = [x for q in at for x in (max(0.0, q - e), min(1.0, q + e))]
     if n is not None:  # rows that stand for many are put in order by their distinct values
-        running = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-        placed = rows.groupBy(*by, "v").agg(F.sum("w").alias("w")).withColumns({"before": F.coalesce(F.sum("w").over(running), F.lit(0)), "total": F.sum("w").over(Window.partitionBy(*by))})
-        near = placed.select(*by, "v", "w", "before", "total")
+        placed = running(rows.groupBy(*by, "v").agg(F.sum("w").alias("w")), by, [F.col("v")], {"before": F.col("w")})
+        near = placed.join(rows.groupBy(*by).agg(F.sum("w").alias("total")), by).select(*by, "v", "w", "before", "total")
     else:
         bounds = rows.groupBy(*by).agg(F.percentile_approx("v", edges, accuracy).alias("bounds"), F.sum("w").alias("total"))
         # in a small group the bounds may lie less than a rank away: there all values are put in order
@@ -107,8 +106,8 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, at: list[float], n
         values = joined.where(inside).groupBy(*by, "v").agg(F.count("*").alias("w"), F.first("bounds").alias("bounds"), F.first("total").alias("total")).join(lows, by)
         near = None
         for i in range(len(at)):
-            running = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-            own = values.where(F.col("v").between(F.col("bounds")[2 * i], F.col("bounds")[2 * i + 1])).select(*by, "v", "w", (F.col(f"low{i}") + F.coalesce(F.sum("w").over(running), F.lit(0))).alias("before"), "total", F.lit(i).alias("i"))
+            earlier = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+            own = values.where(F.col("v").between(F.col("bounds")[2 * i], F.col("bounds")[2 * i + 1])).select(*by, "v", "w", (F.col(f"low{i}") + F.coalesce(F.sum("w").over(earlier), F.lit(0))).alias("before"), "total", F.lit(i).alias("i"))
             near = own if near is None else near.unionByName(own)
 
     def quantile(i: int, q: float) -> F.Column:
