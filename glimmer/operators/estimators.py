@@ -65,6 +65,11 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return best, np.sqrt(((x - centres[best]) ** 2).sum(axis=1))
 
 
+def lists(v: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as an array of lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, max(1, v.shape[1]), dtype=np.int32)), pa.array(np.ascontiguousarray(v).reshape(-1)))
+
+
 def mapped(acts: DataFrame, carry: tuple[str, ...], names: str, local: Callable[[np.ndarray], list], act: str = "act") -> DataFrame:
     """(carry..., names...) with what local(x) returns for each batch."""
     kinds = {f.name: f.dataType.simpleString() for f in acts.schema}
@@ -74,7 +79,7 @@ def mapped(acts: DataFrame, carry: tuple[str, ...], names: str, local: Callable[
         for batch in batches:
             if batch.num_rows:
                 x = np.asarray(batch.column(len(carry)).flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(carry))), *(pa.array(list(v) if v.ndim > 1 else v) for v in local(x))], names=[*carry, *labels])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(carry))), *(lists(v) if v.ndim > 1 else pa.array(v) for v in local(x))], names=[*carry, *labels])
 
     return acts.select(*carry, act).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), names]))
 
@@ -103,6 +108,21 @@ class KMeans:
 
         return self.assign(acts, carry, act).select(*carry, F.col("center").alias("feature"), (1 / (1 + F.col("distance"))).alias("value"))
 
+    def transform(self, acts: DataFrame, carry: tuple[str, ...] = ("row",), act: str = "act") -> DataFrame:
+        """(carry..., scores): minus the distance to each centre."""
+        held = self.centres.copy()
+
+        def local(x: np.ndarray) -> list:
+            squared = (x * x).sum(axis=1)[:, None] - 2 * x @ held.T + (held * held).sum(axis=1)
+            return [-np.sqrt(np.maximum(squared, 0))]
+
+        return mapped(acts, carry, "scores array<double>", local, act)
+
+    def rebuilt(self, acts: DataFrame, carry: tuple[str, ...] = ("row",), act: str = "act") -> DataFrame:
+        """(carry..., x_hat): the nearest centre."""
+        held = self.centres.copy()
+        return mapped(acts, carry, "x_hat array<double>", lambda x: [held[nearest(x, held)[0]]], act)
+
     def partial_fit(self, acts: DataFrame, act: str = "act") -> KMeans:
         held, k = self.centres.copy(), len(self.centres)
 

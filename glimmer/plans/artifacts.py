@@ -1,5 +1,5 @@
 """Queries for sinks, files, strict records and ordered streams, and for probes judged on held-out rows. Each has SQL of the
-same name below, but for probe_metrics (probes fitted until they stand still), which a test compares with numpy."""
+same name below, but for probe_metrics (probes fitted until they stand still); a test compares its measures with numpy."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from glimmer.functions import columns as C
 from glimmer.operators import encode, ordered, probe, ranking, sparse, stats
+from glimmer.plans import baselines  # noqa: F401  (its query)
 from glimmer.plans.catalog import groups, query, r6
 from glimmer.plans.evaluation import held_out, probe_side
 from glimmer.plans.oracle import TIES, on_base, recon

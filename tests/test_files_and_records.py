@@ -221,3 +221,46 @@ def test_probe_sides_are_checked(spark):
     for c, y, n, f, k, match in ((codes, labels.limit(3), 4, 3, None, "labels"), (codes, shifted, 4, 3, None, "labels"), (codes, twice, 4, 3, None, "labels"), (codes, labels, 4, 2, None, "feature"), (codes.withColumn("row", F.col("row") + 1), labels, 4, 3, None, "codes reach row 4"), (codes, labels, 4, 3, 2, "class 2"), (codes, labels.withColumn("label", F.lit(None).cast("int")), 4, 3, None, "missing")):
         with pytest.raises(ValueError, match=match):
             probe.checked_side(c, y, n, f, k)
+
+
+def plain_baselines(parts, start, every):
+    """Each family over the batches in numpy: reconstructions of all vectors."""
+    centres, counts = start.copy(), np.zeros(len(start))
+    for x in parts:
+        near = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        for c in range(len(centres)):
+            mine = x[near == c]
+            if len(mine):
+                counts[c] += len(mine)
+                centres[c] += (mine.sum(axis=0) - len(mine) * centres[c]) / counts[c]
+    seen = np.concatenate(parts)
+    mean = seen.mean(axis=0)
+    _, _, v = np.linalg.svd(seen - mean, full_matrices=False)
+    return {"kmeans": centres[((every[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)], "pca": (every - mean) @ v[:8].T @ v[:8] + mean}
+
+
+def test_baselines_resume_and_equal_numpy(spark, tmp_path):
+    from glimmer.operators import estimators
+    from glimmer.plans import baselines
+
+    x = rng.normal(size=(300, 12)) + 3 * (np.arange(300) % 8)[:, None] * np.eye(12)[np.arange(300) % 12]
+    acts = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row long, act array<double>").repartition(4)
+    path, start = baselines.shuffled_batches(acts, 5, 3), x[:8]
+    parts = [np.array([r.act for r in spark.read.parquet(path).where(F.col("batch") == b).collect()]) for b in range(3)]
+    assert sum(map(len, parts)) == 300 and min(map(len, parts)) > 50
+    want = plain_baselines(parts, start.copy(), x)
+    for name in baselines.FAMILIES:
+        whole = baselines.trained(name, acts, path, 3, start, f"file://{tmp_path}/whole")
+        baselines.trained(name, acts, path, 3, start, f"file://{tmp_path}/torn", until=2)  # and stops here
+        again = baselines.trained(name, acts, path, 3, start, f"file://{tmp_path}/torn")
+        a, b = ({r.row: r.x_hat for r in baselines.family(name).rebuilt(m, acts).collect()} for m in (whole, again))
+        assert all(np.allclose(a[i], b[i], atol=1e-8) for i in range(300))
+        if name in want:
+            assert all(np.allclose(a[i], want[name][i], atol=1e-6) for i in range(300))
+        found = baselines.measured(name, whole, acts).first()
+        assert 0 < found.nmse < 1 and found.l0 == (1 if name == "kmeans" else 8)
+        assert len(baselines.Run(name, f"file://{tmp_path}/whole").states()) == 2
+    with pytest.raises(ValueError, match="no family"):
+        baselines.family("forest")
+    scores = {r.row: r.scores for r in estimators.KMeans(start).transform(acts).collect()}
+    assert all(np.allclose(scores[i], -np.sqrt(((x[i] - start) ** 2).sum(axis=1)), atol=1e-6) for i in range(300))
