@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame
 PLACES = 1024
 
 
-def added(df: DataFrame, local: Callable[[pa.RecordBatch], Iterable[dict[str, np.ndarray]]]) -> dict[str, np.ndarray]:
-    """The sums, by name, of all arrays that local(batch) yields for the batches of df. Tasks send one row a sum; these
-    meet in PLACES places by task, then in one a name, each holding one sum at a time; only sums reach the driver."""
+def added_rows(df: DataFrame, local: Callable[[pa.RecordBatch], Iterable[dict[str, np.ndarray]]]) -> DataFrame:
+    """(name, place, shape, sums): the sums, by name, of all arrays that local(batch) yields for the batches of df. Tasks
+    send one row a sum; these meet in PLACES places by task, then in one a name, each holding one sum at a time."""
     from pyspark.sql import functions as F
 
     ddl = "name string, place int, shape array<int>, sums binary"
@@ -45,8 +45,12 @@ def added(df: DataFrame, local: Callable[[pa.RecordBatch], Iterable[dict[str, np
         yield total_of(((name, np.frombuffer(sums).reshape(shape)) for batch in batches for name, _, shape, sums in zip(*(c.to_pylist() for c in batch.columns), strict=True)), 0)
 
     first = df.mapInArrow(scan, ddl).repartition("name", F.col("place")).mapInArrow(add, ddl)
-    found = first.repartition("name").mapInArrow(add, ddl).collect()
-    return {r["name"]: np.frombuffer(r["sums"]).reshape(r["shape"]) for r in found}
+    return first.repartition("name").mapInArrow(add, ddl)
+
+
+def added(df: DataFrame, local: Callable[[pa.RecordBatch], Iterable[dict[str, np.ndarray]]]) -> dict[str, np.ndarray]:
+    """The same on the driver, which only sums reach."""
+    return {r["name"]: np.frombuffer(r["sums"]).reshape(r["shape"]) for r in added_rows(df, local).collect()}
 
 
 def summed(acts: DataFrame, local: Callable[[np.ndarray], dict[str, np.ndarray]], act: str = "act") -> dict[str, np.ndarray]:

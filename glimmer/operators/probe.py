@@ -1,19 +1,24 @@
 """One-dimensional logistic probes for every pair of feature and class, on sparse codes.
 
 A probe predicts class membership from one feature's value: sigmoid(b + w x). Rows without a code have x = 0 and enter in
-closed form, so each pass reads stored values only: they meet the parameters of their feature, a bounded side for each
-class, and one grouped sum gives gradient and curvature for all probes at once. Damped Newton steps are column
-expressions. Parameters are written out after each pass; plans do not grow.
+closed form, so each pass reads stored values only. A task holds the parameters of a slab of classes as matrices and adds
+up gradient and curvature for all probes of the slab, so a stored value is no row for each class; a slab has as many
+classes as SLAB_BYTES allow, and each slab is a scan. Damped Newton steps are column expressions. Parameters are written
+out after each pass; plans do not grow.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glimmer.functions.columns import clip, harmonic, sigmoid, softplus
+from glimmer.operators.estimators import added_rows
 from glimmer.operators.ordered import running
 
 RIDGE = 1e-8
@@ -31,20 +36,70 @@ def start(features: DataFrame, base: DataFrame) -> DataFrame:
     return features.select("feature").crossJoin(F.broadcast(base)).select("feature", "class", F.col("b0").alias("b"), F.lit(0.0).alias("w"), F.lit(1e-3).alias("damping"))
 
 
+#: Bytes of a task's sums for a slab of classes.
+SLAB_BYTES = 64 << 20
+#: What is added up for each feature and class, and the features of one row of sums.
+SUMS = ("nnz", "pos", "mu", "g1", "h0", "h1", "h2", "bce")
+BLOCK = 256
+
+
+def slab_sums(own: DataFrame, params: dict[str, np.ndarray], classes: np.ndarray) -> DataFrame:
+    """(feature, class, SUMS...) of the stored values own (feature, value, true) under the parameters of some classes;
+    params: features, ascending, with b and w (features, classes)."""
+    features, b, w = params["features"], params["b"], params["w"]
+
+    def local(batch: pa.RecordBatch) -> Iterator[dict[str, np.ndarray]]:
+        each = max(1, (4 << 20) // (8 * len(SUMS) * len(classes)))
+        for start in range(0, batch.num_rows, each):
+            part = batch.slice(start, each)
+            at = np.searchsorted(features, part.column(0).to_numpy(zero_copy_only=False))
+            order = np.argsort(at, kind="stable")
+            at, x = at[order], part.column(1).to_numpy(zero_copy_only=False)[order][:, None]
+            y = (part.column(2).fill_null(-1).to_numpy(zero_copy_only=False)[order][:, None] == classes).astype(np.float64)
+            z = b[at] + w[at] * x
+            mu = 0.5 * (1 + np.tanh(z / 2))
+            s = mu * (1 - mu)
+            terms = np.stack([np.ones_like(z), y, mu, (mu - y) * x, s, s * x, s * x * x, np.logaddexp(0, z) - y * z], axis=1)
+            firsts = np.r_[0, np.flatnonzero(at[1:] != at[:-1]) + 1]
+            sums, found = np.add.reduceat(terms, firsts, axis=0), at[firsts]
+            for block in np.unique(found // BLOCK).tolist():
+                mine = found // BLOCK == block
+                total = np.zeros((min(BLOCK, len(features) - block * BLOCK), len(SUMS), len(classes)))
+                total[found[mine] - block * BLOCK] = sums[mine]
+                yield {str(block): total}
+
+    def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, shape, sums in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                total = np.frombuffer(sums).reshape(shape)
+                some = np.flatnonzero(total[:, 0, 0] > 0)
+                own = features[int(name) * BLOCK + some]
+                columns = [pa.array(np.repeat(own, len(classes)).astype(np.int32)), pa.array(np.tile(classes, len(some)).astype(np.int32))]
+                columns += [pa.array(total[some, i].reshape(-1)) for i in range(len(SUMS))]
+                yield pa.RecordBatch.from_arrays(columns, names=["feature", "class", *SUMS])
+
+    return added_rows(own, local).mapInArrow(spread, ", ".join(["feature int", "class int", *(f"{c} double" for c in SUMS)]))
+
+
 def probe_stats(codes: DataFrame, labels: DataFrame, params: DataFrame, base: DataFrame, n_rows: int) -> DataFrame:
     """(feature, class, g0, g1, h0, h1, h2, loss): means over all rows of gradient and curvature, and of the loss.
 
-    labels: (row, class) of positive rows."""
-    own = codes.select("row", "feature", "value").join(labels.select("row", F.col("class").alias("true")), "row", "left")
-    z = F.col("b") + F.col("w") * F.col("value")
-    mu, y, x = sigmoid(z), F.when(F.col("true") == F.col("class"), 1.0).otherwise(0.0), F.col("value")
-    s = mu * (1 - mu)
-    sums = own.join(params.select("feature", "class", "b", "w"), "feature").groupBy("feature", "class").agg(
-        F.count("*").alias("nnz"), F.sum(y).alias("pos"), F.sum(mu).alias("mu"), F.sum((mu - y) * x).alias("g1"), F.sum(s).alias("h0"), F.sum(s * x).alias("h1"), F.sum(s * x * x).alias("h2"), F.sum(softplus(z) - y * z).alias("bce")
-    )
+    labels: (row, class) of positive rows; params: of every feature and class, small enough to be sent to every task."""
+    own = codes.select("row", "feature", "value").join(labels.select("row", F.col("class").cast("int").alias("true")), "row", "left").select(F.col("feature").cast("int").alias("feature"), F.col("value").cast("double").alias("value"), "true")
+    told = params.select("feature", "class", "b", "w").toArrow().sort_by([("feature", "ascending"), ("class", "ascending")])
+    features, classes = (np.unique(told[c].to_numpy()) for c in ("feature", "class"))
+    if len(told) != len(features) * len(classes):
+        raise ValueError("a probe lacks its parameters")
+    b, w = (told[c].to_numpy().reshape(len(features), len(classes)) for c in ("b", "w"))
+    own = own.where(F.col("feature").isin(features.tolist())) if len(features) < 1000 else own.join(params.select("feature").distinct(), "feature", "left_semi")
+    each = max(1, SLAB_BYTES // (8 * len(SUMS) * max(1, len(features))))
+    sums = None
+    for start in range(0, len(classes), each):
+        slab = slab_sums(own, {"features": features, "b": b[:, start : start + each], "w": w[:, start : start + each]}, classes[start : start + each])
+        sums = slab if sums is None else sums.unionByName(slab)
     full = params.join(sums, ["feature", "class"], "left").join(F.broadcast(base), "class")
-    zero: dict[str, Column] = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("pos", "mu", "g1", "h0", "h1", "h2", "bce")}
-    rest = (F.lit(n_rows) - F.coalesce("nnz", F.lit(0))) / n_rows
+    zero: dict[str, Column] = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in SUMS[1:]}
+    rest = (F.lit(n_rows) - F.coalesce("nnz", F.lit(0.0))) / n_rows
     at_zero = sigmoid(F.col("b"))
     away = F.col("b") - F.col("b0")
     lost = F.col("total") - zero["pos"]

@@ -564,9 +564,8 @@ def stochastic_percentile(r: Relations) -> DataFrame:
 @query
 def threshold_average(r: Relations) -> DataFrame:
     """The moving average of each batch's least kept value, in the order of batches."""
-    kept = encode.batch_topk(r.codes_of("all"), 4, 50).groupBy("batch").agg(F.min("value").alias("least"))
-    series = kept.agg(F.transform(F.array_sort(F.collect_list(F.struct("batch", "least"))), lambda x: x["least"]).alias("series"))  # one number a batch
-    return series.select(r6(online.decayed_fold(F.col("series"), 0.9, 0.0), "threshold"))
+    least = encode.batch_topk(r.codes_of("all"), 4, 50).groupBy("batch").agg(F.min("value").alias("least"))
+    return online.decayed_average(least, [F.col("batch")], "least", 0.9).select(r6("average", "threshold"))
 
 
 def rate(step: Column) -> Column:

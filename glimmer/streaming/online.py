@@ -112,3 +112,14 @@ def percentile_sgd(values: list[float], percent: float, rate: float, total: int,
 def decayed_fold(values: F.Column, decay: float, start: float) -> F.Column:
     """An exponential moving average over an ordered array column."""
     return F.aggregate(values, F.lit(float(start)), lambda held, x: decay * held + (1 - decay) * x)
+
+
+def decayed_average(df: DataFrame, order: list[F.Column], value: str, decay: float, start: float = 0.0) -> DataFrame:
+    """One row (average): the exponential moving average of a column in a strict order, as one sum: a row enters by its
+    place alone, so rows meet in no particular order."""
+    from glimmer.operators.relational import ranked
+
+    placed = ranked(df.select(*(c.alias(f"__{i}") for i, c in enumerate(order)), F.col(value).alias("value")), [F.col(f"__{i}") for i in range(len(order))])
+    n = df.count()
+    back = F.lit(n) - F.col("place")
+    return placed.agg((F.coalesce(F.sum((1 - decay) * F.pow(F.lit(decay), back) * F.col("value")), F.lit(0.0)) + start * decay**n).alias("average"))
