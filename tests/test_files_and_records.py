@@ -264,3 +264,40 @@ def test_baselines_resume_and_equal_numpy(spark, tmp_path):
         baselines.family("forest")
     scores = {r.row: r.scores for r in estimators.KMeans(start).transform(acts).collect()}
     assert all(np.allclose(scores[i], -np.sqrt(((x[i] - start) ** 2).sum(axis=1)), atol=1e-6) for i in range(300))
+
+
+def test_probe_sums_by_slabs_of_classes(spark, monkeypatch):
+    monkeypatch.setattr(probe, "SLAB_BYTES", 8 * len(probe.SUMS) * 7 * 2)  # two classes a slab
+    monkeypatch.setattr(probe, "BLOCK", 3)
+    n, k, f = 120, 5, 7
+    x = np.round(rng.normal(size=(n, f)) * (rng.random((n, f)) < 0.4), 2)
+    x[:, 6] = 0  # a feature without codes
+    y = rng.integers(0, k, n)
+    b, w = rng.normal(size=(f, k)), rng.normal(size=(f, k))
+    codes = spark.createDataFrame([(i, j, float(x[i, j])) for i, j in zip(*(v.tolist() for v in np.nonzero(x)), strict=True)], "row long, feature int, value double").repartition(4)
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "row long, class int")
+    params = spark.createDataFrame([(i, j, float(b[i, j]), float(w[i, j]), 1e-3) for i in range(f) for j in range(k)], "feature int, class int, b double, w double, damping double")
+    totals = spark.createDataFrame([(j, int((y == j).sum())) for j in range(k)], "class int, total long")
+    found = {(r.feature, r["class"]): r for r in probe.probe_stats(codes, labels, params, probe.priors(totals, n), n).collect()}
+    assert len(found) == f * k and found[6, 0].nnz is None
+    for (i, j), r in found.items():
+        z = b[i, j] + w[i, j] * x[:, i]
+        mu, own = 1 / (1 + np.exp(-z)), (y == j).astype(float)
+        p = own.mean()
+        s = mu * (1 - mu)
+        want = (mu.mean() - p + 1e-8 * (b[i, j] - np.log(p / (1 - p))), ((mu - own) * x[:, i]).mean() + 1e-8 * w[i, j], s.mean() + 1e-8, (s * x[:, i]).mean(), (s * x[:, i] ** 2).mean() + 1e-8, (np.logaddexp(0, z) - own * z).mean())
+        assert np.allclose([r.g0, r.g1, r.h0, r.h1, r.h2, r.loss], want, atol=1e-10)
+    with pytest.raises(ValueError, match="lacks"):
+        probe.probe_stats(codes, labels, params.where("feature > 0 or class > 0"), probe.priors(totals, n), n)
+
+
+def test_decayed_average_equals_the_fold(spark):
+    from glimmer.streaming import online
+
+    values = rng.random(60).tolist()
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "at long, v double").repartition(5)
+    held = 0.5
+    for v in values:
+        held = 0.9 * held + 0.1 * v
+    assert math.isclose(online.decayed_average(frame, [F.col("at")], "v", 0.9, 0.5).first().average, held, rel_tol=1e-9)
+    assert online.decayed_average(frame.where("at < 0"), [F.col("at")], "v", 0.9, 0.5).first().average == 0.5
