@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, DoubleType, FloatType, MapType, StringType, StructType
@@ -117,8 +118,23 @@ def numeric_range(text: Column) -> tuple[Column, Column]:
     return part(1), part(2)
 
 
+@F.arrow_udf(DoubleType())
+def power(x: pa.Array, y: pa.Array) -> pa.Array:
+    """x to the power of y by the C library, as SQL engines in C have it: the JVM's pow differs in the last bit."""
+    return pa.array([None if a is None or b is None else math.pow(a, b) for a, b in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.float64())
+
+
+def one_decimal(x: Column) -> Column:
+    """A double with one decimal and commas. From 2^53 on all digits of the whole number it is (up to 2^106), where
+    format_number writes zeros after the seventeenth."""
+    high = F.floor(x / 2.0**53)
+    high, low = high.cast("decimal(16,0)"), (x - high * 2.0**53).cast("decimal(16,0)")
+    whole = high * F.lit(2**53).cast("decimal(16,0)") + low
+    return F.when((x >= 2.0**53) & (x < 2.0**106), F.format_number(whole, 1)).otherwise(F.format_number(x, 1))
+
+
 def human_bytes(n: Column) -> Column:
-    return F.when(n >= 1e12, F.concat(F.format_number(n / 1e12, 1), F.lit(" TB"))).otherwise(F.concat(F.format_number(n / 1e9, 1), F.lit(" GB")))
+    return F.when(n >= 1e12, F.concat(one_decimal(n / 1e12), F.lit(" TB"))).otherwise(F.concat(one_decimal(n / 1e9), F.lit(" GB")))
 
 
 def hex_colour(text: Column) -> Column:

@@ -490,7 +490,7 @@ def label_line_parts(r: Relations) -> DataFrame:
 
 @query
 def byte_sizes(r: Relations) -> DataFrame:
-    made = r.table("supplier").select("s_suppkey", (F.pow(F.col("s_suppkey").cast("double"), 4) * 1e6).alias("n"))
+    made = r.table("supplier").select("s_suppkey", (C.power(F.col("s_suppkey").cast("double"), F.lit(4.0)) * 1e6).alias("n"))
     return made.select("s_suppkey", C.human_bytes(F.col("n")).alias("size"))
 
 

@@ -253,6 +253,20 @@ def test_columns(spark):
         spark.range(1).select(C.mapped_range(F.lit(2.0), 0, 1, 0, 10)).collect()
 
 
+def test_byte_sizes_of_large_keys(spark, tmp_path):
+    """Halves that the JVM's pow misses by a bit, and sizes of more digits than a double is written with."""
+    import duckdb
+    from glimmer.plans.evaluation import QUERIES
+    from glimmer.plans.evaluation_oracle import oracle_sql
+
+    keys = [0, 1, 50, 999, 10443, 19650, 37369, 41151, 732717, 732718, 1999993, 9000000, 123456789]
+    spark.createDataFrame([(k,) for k in keys], "s_suppkey long").repartition(2).write.parquet(f"{tmp_path}/supplier.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    want = dict(con.sql(oracle_sql()["byte_sizes"]).fetchall())
+    assert {r.s_suppkey: r["size"] for r in QUERIES["byte_sizes"](spark, str(tmp_path)).collect()} == want and len(want) == len(keys)
+
+
 def test_sweep(spark):
     made = sweep.expand({"a": [1, 2], "b": {"c": [3, 4], "d": 5}})
     assert made[1] == {"a": 1, "b": {"c": 4, "d": 5}} and len(made) == 4
