@@ -178,9 +178,12 @@ def best_probes(params: DataFrame) -> DataFrame:
 
 def held_out_metrics(codes: DataFrame, labels: DataFrame, best: DataFrame, n_rows: int) -> DataFrame:
     """(class, feature, n_positive, ap, precision, recall, f1) of one probe a class on other rows than it was fitted on:
-    average precision of the scores b + w x, and the counts at a score over 0. Rows without a code have the score b, one
-    group of ties that a negative weight puts above stored values. Tied scores count by the mean over their orders;
-    classes without positive rows get zeros. labels: (row, class); best: (class, feature, b, w)."""
+    average precision of the scores b + w x, and the counts at a score over the class's cut (0 if best has none). Rows
+    without a code have the score b, one group of ties that a negative weight puts above stored values. Tied scores count
+    by the mean over their orders; classes without positive rows get zeros. labels: (row, class); best: (class, feature,
+    b, w) and perhaps cut."""
+    if "cut" not in best.columns:
+        best = best.withColumn("cut", F.lit(0.0))
     own = codes.select("row", "feature", "value").join(F.broadcast(best.select("class", "feature", "b", "w")), "feature")  # a row a class
     own = own.join(labels.select("row", F.col("class").alias("true")), "row")
     scored = own.select("class", (F.col("w") * F.col("value")).alias("value"), (F.col("true") == F.col("class")).cast("long").alias("y"))
@@ -194,8 +197,8 @@ def held_out_metrics(codes: DataFrame, labels: DataFrame, best: DataFrame, n_row
     t, n = F.col("t").cast("double"), F.col("n").cast("double")
     ranks = harmonic(t + n) - harmonic(t)
     part = F.when(F.col("pos") > 0, F.col("pos") / n * ((F.col("r0") + 1 - (t + 1) * slope) * ranks + slope * n)).otherwise(F.lit(0.0))
-    on = F.col("value") + F.col("b") > 0
-    found = groups.join(F.broadcast(best.select("class", "feature", "b")), "class").groupBy("class", "feature").agg(F.sum(part).alias("sum"), F.sum("pos").alias("total"), F.sum(F.when(on, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(on, F.col("n")).otherwise(0)).alias("said"))
+    on = F.col("value") + F.col("b") > F.col("cut")
+    found = groups.join(F.broadcast(best.select("class", "feature", "b", "cut")), "class").groupBy("class", "feature").agg(F.sum(part).alias("sum"), F.sum("pos").alias("total"), F.sum(F.when(on, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(on, F.col("n")).otherwise(0)).alias("said"))
 
     def share(a: Column, b: Column) -> Column:
         return F.when(b > 0, a / b).otherwise(F.lit(0.0))

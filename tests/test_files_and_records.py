@@ -213,6 +213,26 @@ def test_held_out_metrics_of_signed_scores(spark):
         assert np.allclose([found[c].n_positive, found[c].ap, found[c].precision, found[c].recall, found[c].f1], want, atol=1e-9)
 
 
+def test_a_score_that_equals_the_cut_is_no_hit(spark):
+    codes = spark.createDataFrame([(0, 7, 0.15), (1, 7, 0.149), (2, 7, 0.2)], "row long, feature int, value double")
+    labels = spark.createDataFrame([(i, 7) for i in range(4)], "row long, class int")
+    best = spark.createDataFrame([(7, 7, 0.5, 7 / 20, -1.0)], "class int, feature int, b double, cut double, w double")
+    found = probe.held_out_metrics(codes, labels, best, 4).first()
+    assert (found.n_positive, found.precision, found.recall) == (4, 1.0, 0.5)  # rows 1 and 3; 0 is at the cut, 2 below
+
+
+def test_signed_probe_metrics_of_ten_times_the_table_equal_sql(spark):
+    import duckdb
+    from conftest import rows
+    from glimmer.plans.artifacts import oracle_sql
+    from glimmer.plans.evaluation import QUERIES
+
+    folder = "/root/testdata/sf0.01"  # holds a score at a cut
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet'")
+    assert rows(QUERIES["signed_probe_metrics"](spark, folder)) == rows(con.sql(oracle_sql()["signed_probe_metrics"]).df())
+
+
 def test_probe_sides_are_checked(spark):
     codes = spark.createDataFrame([(0, 1, 1.0), (3, 2, 2.0)], "row long, feature int, value double")
     labels = spark.createDataFrame([(i, i % 3) for i in range(4)], "row long, label int")
