@@ -29,7 +29,13 @@ def patch_grid(spark: SparkSession, n: int, width: int, height: int) -> DataFram
 
 
 def patch_grids(images: DataFrame, key: str) -> DataFrame:
-    """(key, w, h) by the same rule for each row (key, n, width, height)."""
-    sides = images.select(key, "n", "width", "height", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("w")).where("n % w = 0").withColumn("h", F.expr("cast(n div w as int)"))
-    gap = F.abs(F.col("w") / F.col("h") - F.col("width") / F.col("height"))
-    return sides.groupBy(key).agg(F.min_by(F.struct("w", "h"), F.struct(gap, F.col("w"))).alias("b")).select(key, "b.w", "b.h")
+    """(key, w, h) by the same rule for each key of rows (key, n, width, height); nothing where n is below 1. Factors are
+    found within the row, up to the root of n. Images move once, before anything grows, so that no task holds more than
+    its partition of them."""
+    n = F.col("n").cast("int")
+    low = F.filter(F.sequence(F.lit(1), F.floor(F.sqrt(n)).cast("int")), lambda d: n % d == 0)
+    widths = F.concat(low, F.transform(low, lambda d: (n / d).cast("int")))
+    shape = F.col("width") / F.col("height")
+    grids = F.transform(widths, lambda w: F.struct(F.abs(w / (n / w) - shape).alias("gap"), w.alias("w"), (n / w).cast("int").alias("h")))
+    best = images.where(n >= 1).repartition(key).select(key, F.array_min(grids).alias("b"))
+    return best.groupBy(key).agg(F.min("b").alias("b")).select(key, "b.w", "b.h")

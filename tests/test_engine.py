@@ -267,6 +267,21 @@ def test_byte_sizes_of_large_keys(spark, tmp_path):
     assert {r.s_suppkey: r["size"] for r in QUERIES["byte_sizes"](spark, str(tmp_path)).collect()} == want and len(want) == len(keys)
 
 
+def test_patch_grids_take_the_nearest_shape(spark):
+    """Against all factors; a key with two rows, and images without a patch. Its plan joins up no rows a factor."""
+    from glimmer.operators import pixels
+
+    images = [(i, i * 7 % 240 + 1, i % 7 + 1, i % 5 + 1) for i in range(300)] + [(5, 5 * 7 + 1, 6, 1), (900, 0, 1, 1), (901, None, 1, 1), (902, 1_000_003 * 2, 1, 1)]
+    frame = spark.createDataFrame(images, "k int, n int, width int, height int")
+    want = {}
+    for k, n, width, height in images:
+        for w in [d for d in range(1, (n or 0) + 1) if n % d == 0]:
+            want[k] = min(want.get(k, (9e9,)), (abs(w / (n // w) - width / height), w, n // w))
+    found = pixels.patch_grids(frame, "k")
+    assert {r.k: (r.w, r.h) for r in found.collect()} == {k: v[1:] for k, v in want.items()}
+    assert "Generate" not in found._jdf.queryExecution().toString()
+
+
 def test_sweep(spark):
     made = sweep.expand({"a": [1, 2], "b": {"c": [3, 4], "d": 5}})
     assert made[1] == {"a": 1, "b": {"c": 4, "d": 5}} and len(made) == 4
