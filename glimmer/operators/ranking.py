@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from glimmer.functions.columns import harmonic
 from glimmer.operators.ordered import running
+from glimmer.sources.store import kept
+
+#: Tasks that the rows of one group are dealt over where its bounds are joined to them.
+SALTS = 16
 
 
 def tie_groups(codes: DataFrame, positives: DataFrame, features: DataFrame, n_rows: int, n_positive: DataFrame) -> DataFrame:
@@ -100,7 +104,10 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, at: list[float], n
         # in a small group the bounds may lie less than a rank away: there all values are put in order
         whole = F.array(*(F.lit(float(x)) for _ in at for x in ("-inf", "inf")))
         bounds = bounds.withColumn("bounds", F.when(F.col("total") <= accuracy, whole).otherwise(F.col("bounds")))
-        joined = rows.join(bounds, by)
+        # as a table, whose size Spark knows: where groups are few it sends them to all tasks, and rows stay where they are;
+        # where they are many, rows move, those of one group to SALTS tasks
+        bounds = kept(bounds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(bounds, [*by, "salt"])
         inside = reduce(lambda a, b: a | b, [F.col("v").between(F.col("bounds")[2 * i], F.col("bounds")[2 * i + 1]) for i in range(len(at))])
         lows = joined.groupBy(*by).agg(*(F.count_if(F.col("v") < F.col("bounds")[2 * i]).alias(f"low{i}") for i in range(len(at))))
         values = joined.where(inside).groupBy(*by, "v").agg(F.count("*").alias("w"), F.first("bounds").alias("bounds"), F.first("total").alias("total")).join(lows, by)

@@ -383,6 +383,35 @@ def test_exact_quantiles_equal_numpy(spark, accuracy):
             assert r[f"q{i}"] == pytest.approx(np.quantile(values[r.g], q), abs=1e-12)
 
 
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_quantiles_of_one_large_group(spark, threshold):
+    """Rows stay where they are if groups can be sent to them; otherwise one group is read by several tasks."""
+    context, store = spark._jsc.sc(), spark._jsc.sc().statusStore()
+    none = spark._sc._gateway.new_array(spark._sc._jvm.double, 0)
+
+    def read():
+        """The most rows of an exchange that a task has read, by stage."""
+        context.listenerBus().waitUntilEmpty()
+        stages, found = store.stageList(None, False, False, none, None).iterator(), {}
+        while stages.hasNext():
+            s = stages.next()
+            if s.shuffleReadRecords():
+                tasks = store.taskList(s.stageId(), s.attemptId(), 1000)
+                found[s.stageId()] = max(tasks.apply(i).taskMetrics().get().shuffleReadMetrics().recordsRead() for i in range(tasks.size()))
+        return found
+
+    n = 1_500_000
+    df = spark.range(n).select(F.regexp_replace(F.col("id").cast("string"), r"\d+", "a").alias("g"), F.hash("id").cast("double").alias("v"))
+    values, earlier, was = df.toPandas()["v"].to_numpy(), read(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        found = ranking.exact_quantiles(df, ["g"], "v", [0.05, 0.5]).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert [found[0].q0, found[0].q1] == pytest.approx(np.quantile(values, [0.05, 0.5]).tolist(), abs=1e-6) and len(found) == 1
+    assert max(v for k, v in read().items() if k not in earlier) < (n / 10 if threshold == "10m" else 0.6 * n)
+
+
 def test_ranks_over_ranges(spark):
     from glimmer.operators import relational
 
