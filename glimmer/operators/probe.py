@@ -22,6 +22,8 @@ from glimmer.operators.estimators import added_rows
 from glimmer.operators.ordered import running
 
 RIDGE = 1e-8
+#: The most that a step moves a probe by.
+RADIUS = 6.0
 
 
 def priors(n_positive: DataFrame, n_rows: int) -> DataFrame:
@@ -81,11 +83,20 @@ def slab_sums(own: DataFrame, params: dict[str, np.ndarray], classes: np.ndarray
     return added_rows(own, local).mapInArrow(spread, ", ".join(["feature int", "class int", *(f"{c} double" for c in SUMS)]))
 
 
+def labelled(codes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(feature, value, true): the stored values with the classes of their rows. labels: (row, class) of positive rows."""
+    return codes.select("row", "feature", "value").join(labels.select("row", F.col("class").cast("int").alias("true")), "row", "left").select(F.col("feature").cast("int").alias("feature"), F.col("value").cast("double").alias("value"), "true")
+
+
 def probe_stats(codes: DataFrame, labels: DataFrame, params: DataFrame, base: DataFrame, n_rows: int) -> DataFrame:
     """(feature, class, g0, g1, h0, h1, h2, loss): means over all rows of gradient and curvature, and of the loss.
 
     labels: (row, class) of positive rows; params: of every feature and class, small enough to be sent to every task."""
-    own = codes.select("row", "feature", "value").join(labels.select("row", F.col("class").cast("int").alias("true")), "row", "left").select(F.col("feature").cast("int").alias("feature"), F.col("value").cast("double").alias("value"), "true")
+    return stats_of(labelled(codes, labels), params, base, n_rows)
+
+
+def stats_of(own: DataFrame, params: DataFrame, base: DataFrame, n_rows: int) -> DataFrame:
+    """The same from labelled codes."""
     told = params.select("feature", "class", "b", "w").toArrow().sort_by([("feature", "ascending"), ("class", "ascending")])
     features, classes = (np.unique(told[c].to_numpy()) for c in ("feature", "class"))
     if len(told) != len(features) * len(classes):
@@ -114,9 +125,8 @@ def probe_stats(codes: DataFrame, labels: DataFrame, params: DataFrame, base: Da
     )
 
 
-def step(stats: DataFrame, scale: DataFrame, radius: float = 6.0) -> DataFrame:
-    """(feature, class, b, w, loss, damping): one damped Newton step, at most `radius` long in (b, qx w). A feature
-    without values keeps its start. scale: (feature, qx)."""
+def stepped(stats: DataFrame, scale: DataFrame, radius: float) -> DataFrame:
+    """stats with nb and nw, where a step leads to."""
     d, q2 = F.col("damping"), F.col("qx") * F.col("qx")
     a, c = F.col("h0") + d, F.col("h2") + d * q2
     det = a * c - F.col("h1") * F.col("h1")
@@ -125,12 +135,19 @@ def step(stats: DataFrame, scale: DataFrame, radius: float = 6.0) -> DataFrame:
     size = F.sqrt(F.col("db") * F.col("db") + q2 * F.col("dw") * F.col("dw"))
     shrink = F.when(size > radius, radius / size).otherwise(F.lit(1.0))
     some = F.col("nnz").isNotNull()
-    return moved.select("feature", "class", F.when(some, F.col("b") - shrink * F.col("db")).otherwise(F.col("b")).alias("b"), F.when(some, F.col("w") - shrink * F.col("dw")).otherwise(F.col("w")).alias("w"), "loss", "damping")
+    return moved.select(*stats.columns, F.when(some, F.col("b") - shrink * F.col("db")).otherwise(F.col("b")).alias("nb"), F.when(some, F.col("w") - shrink * F.col("dw")).otherwise(F.col("w")).alias("nw"))
+
+
+def step(stats: DataFrame, scale: DataFrame, radius: float = RADIUS) -> DataFrame:
+    """(feature, class, b, w, loss, damping): one damped Newton step, at most `radius` long in (b, qx w). A feature
+    without values keeps its start. scale: (feature, qx)."""
+    return stepped(stats, scale, radius).select("feature", "class", F.col("nb").alias("b"), F.col("nw").alias("w"), "loss", "damping")
 
 
 def fit_probes(codes: DataFrame, labels: DataFrame, features: DataFrame, base: DataFrame, scale: DataFrame, n_rows: int, passes: int, folder: str) -> DataFrame:
     """(feature, class, b, w, loss): so many steps. A step that made a probe's loss worse is taken back and its damping
-    raised tenfold; a good one lowers it. Parameters of each pass are a table below `folder`, in shared storage."""
+    raised tenfold; a good one lowers it. Parameters of each pass are a table below `folder`, in shared storage. Codes meet
+    their labels once, before the passes, and so are the priors and scales made; a pass is one scan of the labelled codes."""
     spark = codes.sparkSession
 
     def written(df: DataFrame) -> DataFrame:
@@ -138,9 +155,10 @@ def fit_probes(codes: DataFrame, labels: DataFrame, features: DataFrame, base: D
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
+    own, base, scale = written(labelled(codes, labels)), written(base), written(scale)
     best = written(start(features, base).withColumns({"best_b": F.col("b"), "best_w": F.col("w"), "best": F.lit(float("inf"))}))
     for turn in range(passes + 1):
-        stats = probe_stats(codes, labels, best.select("feature", "class", "b", "w", "damping"), base, n_rows)
+        stats = stats_of(own, best.select("feature", "class", "b", "w", "damping"), base, n_rows)
         joined = stats.join(best.select("feature", "class", "best_b", "best_w", "best"), ["feature", "class"])
         good = F.col("loss") <= F.col("best")
         kept = joined.select(
@@ -151,10 +169,9 @@ def fit_probes(codes: DataFrame, labels: DataFrame, features: DataFrame, base: D
         kept = written(kept)
         if turn == passes:
             break
-        moved = step(kept, scale).select("feature", "class", F.col("b").alias("nb"), F.col("w").alias("nw"))
-        after = kept.join(moved, ["feature", "class"])
-        # a bad step goes halfway back to the best point instead of on from a worse one
-        best = written(after.select("feature", "class", "damping", "best_b", "best_w", "best", F.when(F.col("good"), F.col("nb")).otherwise((F.col("b") + F.col("best_b")) / 2).alias("b"), F.when(F.col("good"), F.col("nw")).otherwise((F.col("w") + F.col("best_w")) / 2).alias("w")))
+        after = stepped(kept, scale, RADIUS)
+        # a bad step goes halfway back to the best point instead of on from a worse one; worked out from the table at each use
+        best = after.select("feature", "class", "damping", "best_b", "best_w", "best", F.when(F.col("good"), F.col("nb")).otherwise((F.col("b") + F.col("best_b")) / 2).alias("b"), F.when(F.col("good"), F.col("nw")).otherwise((F.col("w") + F.col("best_w")) / 2).alias("w"))
     return kept.select("feature", "class", F.col("best_b").alias("b"), F.col("best_w").alias("w"), F.col("best").alias("loss"))
 
 

@@ -420,6 +420,23 @@ def test_ranks_over_ranges(spark):
     assert got == {i: n for n, (i, _) in enumerate(sorted(rows, key=lambda x: (-x[1], x[0])), 1)}
 
 
+def test_probes_meet_their_labels_once(spark, tmp_path):
+    """However many passes: the codes are read once to be labelled and once more for their scales."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    c = spark.createDataFrame([(i, i % 3, float(i % 7 + 1)) for i in range(60)], "row long, feature int, value double").mapInArrow(counted, "row long, feature int, value double")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "row long, class int")
+    base = probe.priors(labels.groupBy("class").agg(F.count("*").alias("total")), 60)
+    features = spark.range(3).select(F.col("id").cast("int").alias("feature"))
+    assert probe.fit_probes(c, labels, features, base, sparse.rms_scale(c, features), 60, 3, f"file://{tmp_path}").count() == 6
+    assert seen.value <= 2 * 60
+
+
 def test_fitted_probes_stand_still(spark):
     """probe_report on the smallest table against a plain logistic regression of the chosen feature."""
     from conftest import DATA
