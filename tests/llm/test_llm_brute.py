@@ -5,6 +5,7 @@ import math
 import random
 import re
 import struct
+import sys
 import zlib
 from collections import Counter
 from functools import reduce
@@ -367,6 +368,115 @@ def test_suffixes_equal_brute_force(spark, monkeypatch, many):
         assert (got[i].n_removed, bytes(got[i].kept)) == (len(gone), bytes(b for n, b in enumerate(raw) if n not in gone))
 
 
+def removed_by_windows(docs):
+    """(n_removed, kept) of each document, by a dictionary of all windows."""
+    first, out = {}, {}
+    for i, raw in docs:
+        for s in range(len(raw) - 49):
+            first.setdefault(raw[s : s + 50], i)
+    for i, raw in docs:
+        gone = {b for s in range(len(raw) - 49) if first[raw[s : s + 50]] < i for b in range(s, s + 50)}
+        out[i] = (len(gone), bytes(b for n, b in enumerate(raw) if n not in gone))
+    return out
+
+
+@pytest.mark.parametrize("many_texts", [2, 1 << 15])
+def test_suffixes_around_one_anchor_in_all_blocks(spark, monkeypatch, many_texts):
+    """A phrase in every block, whole lines with it in some."""
+    monkeypatch.setattr(suffixes, "MANY_BLOCKS", 2)
+    monkeypatch.setattr(suffixes, "MANY_TEXTS", many_texts)
+    chance = random.Random(8)
+    draw = lambda n: "".join(chance.choices("abcdefgh ij", k=n))
+    line = f"{draw(40)} all rights reserved by the authors {draw(40)}"
+    docs = []
+    for i in range(150):
+        a = chance.choice([f"{draw(60)} all rights reserved by the authors {draw(60)}", line, line[chance.randrange(50) :] + draw(9), draw(49), draw(50)])
+        docs.append((i, a + chance.choice(["", line, draw(70)])))
+    want = removed_by_windows([(i, t.encode()) for i, t in docs])
+    got = suffixes.cut_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: (r.n_removed, bytes(r.kept)) for r in got} == want
+    assert all(r.n_removed == sum(r.stops) - sum(r.starts) and r.n_bytes - r.n_removed == len(r.kept) for r in got)
+
+
+@pytest.mark.parametrize("block_bytes", [1000, 1 << 20])
+def test_suffixes_of_copies(spark, block_bytes):
+    """Copies in one block and, where they would fill it, in all; with null and repeated identifiers and short texts."""
+    chance = random.Random(4)
+    part = lambda n: "".join(chance.choices("abcdefgh é", k=n))
+    base = [part(n) for n in (20, 48, 49, 50, 51, 90, 200)]
+    rows = [(chance.choice([None, *range(60)]), chance.choice(base)) for _ in range(150)] + [(70 + n, base[6][20 * n :] + part(9)) for n in range(9)] + [(-1, base[5]), (-1, base[5]), (None, None)]
+    rank = lambda i: 2**63 - 1 if i is None else i
+    first = {}
+    for i, t in rows:
+        raw = (t or "").encode()
+        for s in range(len(raw) - 49):
+            first[raw[s : s + 50]] = min(rank(i), first.get(raw[s : s + 50], rank(i)))
+    want = []
+    for i, t in rows:
+        raw = (t or "").encode()
+        gone = {b for s in range(len(raw) - 49) if first[raw[s : s + 50]] < rank(i) for b in range(s, s + 50)}
+        want.append((rank(i), len(raw), len(gone), [b for b in sorted(gone) if b - 1 not in gone], [b + 1 for b in sorted(gone) if b + 1 not in gone], bytes(b for n, b in enumerate(raw) if n not in gone)))
+    got = suffixes.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), block_bytes=block_bytes).collect()
+    assert sorted((rank(r.doc_id), r.n_bytes, r.n_removed, r.starts, r.stops, bytes(r.kept)) for r in got) == sorted(want)
+
+
+@pytest.mark.parametrize("n", [300, 1 << 17])
+def test_every_window_stands_in_one_stretch(monkeypatch, n):
+    """Also where the buffer is hashed in short pieces; equal windows have equal anchors at equal places."""
+    monkeypatch.setattr(suffixes, "PIECE", n)
+    chance = random.Random(n)
+    part = "".join(chance.choices("ab c", k=90)).encode()
+    texts = [chance.choice([b"", b"x" * 49, part[: chance.randrange(91)], part + part[chance.randrange(90) :], bytes(chance.choices(b"abc", k=120))]) for _ in range(60)]
+    own = suffixes.Stretches(list(range(60)), texts, 50, 20)
+    windows = [w for lo, hi in zip(own.lo.tolist(), own.hi.tolist(), strict=True) for w in range(lo, hi + 1)]
+    assert own.copies.tolist() == [len(t) >= 50 and t in texts[:n] for n, t in enumerate(texts)]
+    assert windows == [a + s for a, t, copy in zip(own.starts.tolist(), texts, own.copies.tolist(), strict=True) if not copy for s in range(len(t) - 49)]
+    seen = {}
+    for lo, hi, at, value in zip(own.lo.tolist(), own.hi.tolist(), own.at.tolist(), own.hash.tolist(), strict=True):
+        assert hi <= at <= lo + 30
+        for w in range(lo, hi + 1):
+            assert seen.setdefault(own.buffer[w : w + 50], (at - w, value)) == (at - w, value)
+
+
+@pytest.mark.parametrize("meet, at_once", [(False, 1 << 20), (False, 40), (True, 40)])
+def test_suffixes_with_hashes_that_meet(monkeypatch, meet, at_once):
+    """Texts whose hashes are equal, but not their bytes, count as different; sorts of a few windows find the same."""
+    if meet:
+        monkeypatch.setattr(suffixes, "text_hashes", lambda words, start, size, place: np.zeros(len(start), dtype=np.uint64))
+    monkeypatch.setattr(suffixes, "SORTED", at_once)
+    chance = random.Random(3)
+    core = "".join(chance.choices("xyz", k=20))
+    texts = ["".join(chance.choices("ab", k=18)) + core + "".join(chance.choices("ab", k=16)) for _ in range(60)] * 2
+    texts = [t[: 50 + n % 5] for n, t in enumerate(texts)]
+    docs = [chance.randrange(40) for _ in texts]
+    first = {}
+    for doc, t in zip(docs, texts, strict=True):
+        for s in range(len(t) - 49):
+            first[t[s : s + 50], 18 - s] = min(doc, first.get((t[s : s + 50], 18 - s), doc))
+    start = np.cumsum([0, *map(len, texts)])[:-1]
+    windows = np.array([len(t) - 49 for t in texts])
+    got = suffixes.starts_before(suffixes.eights("".join(texts).encode()), start, windows, np.full(len(texts), 18), np.array(docs), 50, 20)
+    assert got.tolist() == [first[t[s : s + 50], 18 - s] < doc for doc, t in zip(docs, texts, strict=True) for s in range(len(t) - 49)]
+
+
+def test_suffixes_work_of_a_large_table():
+    """Rows between blocks and buckets at 10 GB of text; and what a block does for its repeated stretches calls nothing
+    for each of them."""
+    assert (10 * 10**9 / suffixes.BLOCK_BYTES) ** 2 < 10**6
+    chance = random.Random(1)
+    words = ["".join(chance.choices("etaoinshrdlu", k=chance.randrange(2, 9))) for _ in range(3000)]
+    own = suffixes.Stretches(list(range(100)), [" ".join(chance.choices(words, k=400)).encode() for _ in range(100)], 50, 20)
+    calls = Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        keys, place = own.keys(600)
+        sent, uses = own.contents(np.ones(len(keys), dtype=np.uint8), place, keys, 600)
+    finally:
+        sys.setprofile(None)
+    assert len(uses["text"]) == len(own.lo) > 10_000
+    assert calls.total() < 2000
+
+
 # --- pseudonyms
 
 
